@@ -241,7 +241,7 @@ def _joined(docs: DataFrame, found: DataFrame, text_col: str, into: str, most: i
     n_words, items = F.col(f"`{into}`.n_words"), F.coalesce(F.col(f"`{hits_col}`.items"), F.array().cast("array<string>"))
     full = rows.join(hit, row, "left").withColumn(into, F.struct(n_words.alias("n_words"), items.alias("items"), runs(n_words, F.col(f"`{hits_col}`.spans")).alias("runs")))
     r = F.col(f"`{into}`.runs")
-    n_hit = F.aggregate(r, F.struct(F.lit(-1).alias("sign"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct((-a["sign"]).alias("sign"), (a["n"] + a["sign"] * x).alias("n")), lambda a: -a["n"])
+    n_hit = F.aggregate(r, F.struct(F.lit(-1).alias("sign"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct((-a["sign"]).alias("sign"), (a["n"] + a["sign"] * x).alias("n")), lambda a: a["n"])
     whole = F.struct(n_words.alias("n_words"), n_hit.alias("n_hit"), F.size(f"`{into}`.items").cast("long").alias("n_items"), F.transform(f"`{into}`.items", lambda x: F.nullif(x, F.lit(NO_ID))).alias("items"), r.alias("runs"))
     return full.withColumn(into, whole).drop(row, hits_col)
 

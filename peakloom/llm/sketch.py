@@ -22,7 +22,7 @@ ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 def bits_for(items: float, cells_per_item: float, most: int) -> int:
-    return int(min(most, max(16, np.ceil(np.log2(max(1.0, items * cells_per_item))))))
+    return int(max(16, min(most, np.ceil(np.log2(max(1.0, items * cells_per_item))))))
 
 
 def cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
