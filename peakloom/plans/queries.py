@@ -630,7 +630,7 @@ def streamed_windows(spark, d):
     from peakloom.streaming.events import counts_by_window
 
     like, out = table(spark, d, "events"), new_folder(spark, "stream")
-    events = spark.readStream.schema(like.schema).parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = spark.readStream.schema(like.schema).parquet(f"{d}/[e]vents.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     counts = counts_by_window(events, "ts", "event_type", "value", "1 hour", "10 minutes")
     counts.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/rows")).start().awaitTermination()
     return spark.read.parquet(f"{out}/rows").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -21,7 +21,7 @@ def read_mgf(spark: SparkSession, path: str) -> DataFrame:
     body = records.filter(F.trim(F.regexp_replace("value", r"\s+", "")) != "")
     begins = F.size(F.regexp_extract_all("value", F.lit(r"(?m)^BEGIN IONS\s*$"), F.lit(0)))
     inner = F.element_at(F.split("value", r"(?m)^BEGIN IONS\s*$"), -1)
-    lines = F.filter(F.transform(F.split(inner, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(inner, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     headers = F.filter(lines, lambda x: x.rlike(r"^[A-Za-z_][A-Za-z0-9_]*="))
     peaks = F.filter(lines, lambda x: ~x.rlike(r"^[A-Za-z_][A-Za-z0-9_]*=|^[#;!/]"))
     part = lambda k: F.transform(peaks, lambda x: F.get(F.split(x, r"\s+"), F.lit(k)).try_cast("double"))
