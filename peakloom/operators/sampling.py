@@ -119,18 +119,21 @@ def capped(df: DataFrame, project: str, run: str, order: list[str], project_cap:
 
 
 def length_holdout(df: DataFrame, run: str, length: str, quota: int, seed: str) -> DataFrame:
-    """Whole runs, in hash order, that any length still has need of: (run). Sequential over runs' counts, not over rows.
+    """Whole runs, in hash order, that any length still has need of: (run).
 
-    A run is taken while some length it holds has fewer than `quota` rows so far.
+    A run is taken while some length it holds has fewer than `quota` rows so far. When `quota` runs that hold a length
+    have passed it needs no more, so only each length's first `quota` runs are judged one after the other: at most as
+    many as quota times the number of lengths.
     """
-    counts = df.groupBy(run, length).agg(F.count(F.lit(1)).alias("n")).withColumn("_rank", hash_rank(seed, F.col(run)))
-    profile = counts.groupBy(run, "_rank").agg(F.map_from_entries(F.collect_list(F.struct(length, "n"))).alias("have"))
+    counts = df.groupBy(F.col(run).alias("_run"), F.col(length).alias("_length")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_rank", hash_rank(seed, F.col("_run")))
+    able = first_by_group(counts, ["_length"], [F.col("_rank"), F.col("_run")], quota).select("_run").distinct()
+    profile = counts.join(able, "_run", "left_semi").groupBy("_run", "_rank").agg(F.map_from_entries(F.collect_list(F.struct("_length", "_n"))).alias("_have"))
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got: dict = {}
         for pdf in batches:
             taken = []
-            for r, have in zip(pdf[run], pdf["have"]):
+            for r, have in zip(pdf["_run"], pdf["_have"]):
                 have = dict(have)
                 if any(got.get(k, 0) < quota for k in have):
                     taken.append(r)
@@ -138,4 +141,4 @@ def length_holdout(df: DataFrame, run: str, length: str, quota: int, seed: str)
                         got[k] = got.get(k, 0) + n
             yield pd.DataFrame({run: taken})
 
-    return profile.repartition(1).sortWithinPartitions("_rank", run).select(run, "have").mapInPandas(choose, df.select(run).schema)
+    return profile.repartition(1).sortWithinPartitions("_rank", "_run").select("_run", "_have").mapInPandas(choose, df.select(run).schema)

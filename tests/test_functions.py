@@ -15,7 +15,7 @@ def of(spark, rows, schema, *cols):
 
 
 def on_peaks(spark, mz, intensity, f):
-    got = spark.createDataFrame([(mz, intensity)], "mz array<double>, i array<double>").select(f(peaks.zipped(F.col("mz"), F.col("i"))).alias("p")).first().p
+    got = spark.createDataFrame([(list(map(float, mz)), list(map(float, intensity)))], "mz array<double>, i array<double>").select(f(peaks.zipped(F.col("mz"), F.col("i"))).alias("p")).first().p
     return [(p.mz, p.intensity) for p in got]
 
 
@@ -80,7 +80,7 @@ def test_merging(spark):
 
 
 def test_bins_and_crops(spark):
-    df = spark.createDataFrame([([0.5, 1.0, 1.5, 99.0], [1.0, 1, 4, 8])], "mz array<double>, i array<double>").select(peaks.zipped(F.col("mz"), F.col("i")).alias("p"))
+    df = spark.createDataFrame([([0.5, 1.0, 1.5, 99.0], [1.0, 1.0, 4.0, 8.0])], "mz array<double>, i array<double>").select(peaks.zipped(F.col("mz"), F.col("i")).alias("p"))
     assert df.select(peaks.binned(F.col("p"), 4.0, 4)).first()[0] == [0.25, 0.5, 0.0, 1.0]
     for f in (peaks.uniform_subset, peaks.weighted_subset):
         got = df.select(f(F.col("p"), F.lit("k"), F.lit(2)).alias("p")).first().p
@@ -90,7 +90,7 @@ def test_bins_and_crops(spark):
 
 
 def test_purity(spark):
-    df = spark.createDataFrame([([500.0, 500.5016774, 500.2, 900.0], [3.0, 1, 4, 9])], "mz array<double>, i array<double>")
+    df = spark.createDataFrame([([500.0, 500.5016774, 500.2, 900.0], [3.0, 1.0, 4.0, 9.0])], "mz array<double>, i array<double>")
     assert df.select(peaks.window_purity(peaks.zipped(F.col("mz"), F.col("i")), F.lit(500.0), F.lit(2), 2.0, 10)).first()[0] == pytest.approx(0.5)
 
 
