@@ -25,14 +25,16 @@ def queries_of(rows: DataFrame, group: str, row_id: str, seed: str) -> DataFrame
     return first_by_group(rows.join(many, group, "left_semi"), [group], [hash_rank(seed, F.col(row_id)), F.col(row_id)], 1)
 
 
-def distances(queries: DataFrame, rows: DataFrame, row_id: str, group: str, vector: str, ppm: float | None = None, mz: str | None = None, charge: str | None = None, block: int = 256) -> DataFrame:
+def distances(queries: DataFrame, rows: DataFrame, row_id: str, group: str, vector: str, ppm: float | None = None, mz: str | None = None, charge: str | None = None, same_charge: bool = True, query_vector: str | None = None, block: int = 256) -> DataFrame:
     """(query_id, query_group, id, group, distance): cosine distances, rounded to nine digits, of queries to all other rows.
 
-    Queries are broadcast by block: a block has `block` rows of one vector each, and rows stream past it.
+    With ppm only rows within the tolerance of the query's mz, at the same charge or at another one. query_vector names
+    another view of the queries than `vector` in the rows. Queries are broadcast by block: a block has about `block` rows of one
+    vector each, and rows stream past it.
     """
-    cols = [F.col(row_id).alias("id"), F.col(group).alias("g"), unit(F.col(vector)).alias("v")]
+    cols = lambda v: [F.col(row_id).alias("id"), F.col(group).alias("g"), unit(F.col(v)).alias("v")]
     extra = [F.col(mz).cast("double").alias("mz"), F.col(charge).alias("z")] if ppm else []
-    q, r = queries.select(*cols, *extra), rows.select(*cols, *extra)
+    q, r = queries.select(*cols(query_vector or vector), *extra), rows.select(*cols(vector), *extra)
     blocks = int(np.ceil(queries.count() / block)) or 1
     out = None
     for k in range(blocks):
@@ -51,7 +53,7 @@ def distances(queries: DataFrame, rows: DataFrame, row_id: str, group: str, vect
                 if ppm:
                     am, bm = np.array(q.column("mz")), b.column(3).to_numpy()
                     az, bz = np.array(q.column("z")), np.array(b.column(4))
-                    ok &= (np.abs(bm[None] - am[:, None]) <= am[:, None] * ppm / 1e6) & (az[:, None] == bz[None])
+                    ok &= (np.abs(bm[None] - am[:, None]) <= am[:, None] * ppm / 1e6) & ((az[:, None] == bz[None]) == same_charge)
                 for i in range(len(qi)):
                     at = [j for j in np.flatnonzero(ok[i]).tolist() if ids[j] != qi[i]]
                     yield pa.RecordBatch.from_arrays([pa.array([qi[i]] * len(at), b.schema.field(0).type), pa.array([qg[i]] * len(at), b.schema.field(1).type), b.column(0).take(pa.array(at, pa.int64())), b.column(1).take(pa.array(at, pa.int64())), pa.array(d[i, at])], names=["query_id", "query_group", "id", "group", "distance"])
@@ -63,10 +65,7 @@ def distances(queries: DataFrame, rows: DataFrame, row_id: str, group: str, vect
 
 
 def ranked_metrics(near: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """(query_id, query_group, n, n_positive, ap, rr, hit and recall at each k) of each query's neighbours by (distance, id).
-
-    Only positives need ranks: a positive's rank is one more than the rows before it, counted by partial aggregation.
-    """
+    """(query_id, query_group, n, n_positive, ap, rr, hit and recall at each k, chance of a hit) of queries' neighbours by (distance, id)."""
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("query_id").orderBy("distance", "id")
@@ -81,6 +80,21 @@ def ranked_metrics(near: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFra
     return totals.join(found, "query_id").select("query_id", "query_group", "n", "n_positive", "ap", "rr", *hits, *chance)
 
 
+def eligible(near: DataFrame) -> DataFrame:
+    """Neighbours of queries that have a positive and a negative among them."""
+    positive = (F.col("group") == F.col("query_group")).cast("int")
+    both = near.groupBy("query_id").agg(F.min(positive).alias("a"), F.max(positive).alias("b")).filter("a < b").select("query_id")
+    return near.join(both, "query_id", "left_semi")
+
+
+def alignment(rows: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
+    """(group, n, mean_cosine, least_cosine) of two views of the same rows."""
+    from peakloom.functions.vectors import dot
+
+    c = dot(unit(F.col(a)), unit(F.col(b)))
+    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg(c).alias("mean_cosine"), F.min(c).alias("least_cosine"))
+
+
 def knn_labels(train: DataFrame, test: DataFrame, row_id: str, label: str, vector: str, k: int) -> DataFrame:
     """(id, label, predicted): the label most frequent among the k nearest training rows; ties go to the smallest label."""
     near = distances(test, train, row_id, label, vector)

@@ -25,21 +25,39 @@ def first_groups(df: DataFrame, partition: list[str], group: str, k: int, m: int
     return first_by_group(rows, [*partition, group], [hash_rank(seed, "row", F.col(row_id)), F.col(row_id)], m)
 
 
+def hash_numbers(df: DataFrame, partition: list[str], rank: Column, row_id: str) -> DataFrame:
+    """df with `_no`: each row's place (from 1) in its partition by (rank, id), rank being a hash in hex.
+
+    A partition is cut at the hash's first three digits: each of the 4096 cuts is numbered on its own and starts from the
+    count of those before it, so a label that half of all rows have is no single task.
+    """
+    cut = df.withColumn("_rank", rank).withColumn("_cut", F.substring("_rank", 1, 3))
+    sizes = cut.groupBy(*partition, "_cut").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*partition).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*partition, "_cut", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*partition, "_cut").orderBy("_rank", row_id))
+    return cut.withColumn("_own", own).join(offsets, [*partition, "_cut"]).withColumn("_no", F.col("_before") + F.col("_own")).drop("_rank", "_cut", "_own", "_before")
+
+
 def until_target(df: DataFrame, partition: list[str], group: str, target: int, seed: str) -> DataFrame:
-    """Whole groups in hash order until their rows reach the target, the group that crosses it included: (partition, group, n)."""
+    """Whole groups in hash order until their rows reach the target, the group that crosses it included: (partition, group, n).
+
+    As a group has a row at least, only a partition's first `target` groups are summed up.
+    """
     sizes = df.groupBy(*partition, group).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*partition).orderBy(hash_rank(seed, F.col(group)), F.col(group)).rowsBetween(Window.unboundedPreceding, 0)
-    return sizes.withColumn("_sum", F.sum("n").over(w)).filter(F.col("_sum") - F.col("n") < target).drop("_sum")
+    order = [hash_rank(seed, F.col(group)), F.col(group)]
+    able = first_by_group(sizes, partition, order, target) if partition else sizes.orderBy(*order).limit(target)
+    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return able.withColumn("_sum", F.sum("n").over(w)).filter(F.col("_sum") - F.col("n") < target).drop("_sum")
 
 
 def balanced(df: DataFrame, partition: list[str], label: str, row_id: str, seed: str, labels: int = 2) -> DataFrame:
     """As many rows of each label in every partition as its rarest label has; partitions without all labels go."""
     counts = df.groupBy(*partition, label).agg(F.count(F.lit(1)).alias("n"))
-    least = counts.groupBy(*partition).agg(F.min("n").alias("_least"), F.count(F.lit(1)).alias("_labels")).filter(F.col("_labels") == labels) if partition else counts.agg(F.min("n").alias("_least"), F.count(F.lit(1)).alias("_labels")).filter(F.col("_labels") == labels)
-    w = Window.partitionBy(*partition, label).orderBy(hash_rank(seed, F.col(row_id)), F.col(row_id))
-    numbered = df.withColumn("_no", F.row_number().over(w))
-    joined = numbered.join(F.broadcast(least), partition) if partition else numbered.join(F.broadcast(least))  # a row a partition, one row without
-    return joined.filter(F.col("_no") <= F.col("_least")).drop("_no", "_least", "_labels")
+    least = counts.groupBy(*partition).agg(F.min("n").alias("_least"), F.count(F.lit(1)).alias("_labels")).filter(F.col("_labels") == labels).drop("_labels")
+    numbered = hash_numbers(df, [*partition, label], hash_rank(seed, F.col(row_id)), row_id)
+    joined = numbered.join(least, partition) if partition else numbered.join(F.broadcast(least))  # one row without partitions
+    return joined.filter(F.col("_no") <= F.col("_least")).drop("_no", "_least")
 
 
 def hash_split(row_id: Column, seed: str, validation: float, test: float) -> Column:
@@ -50,9 +68,8 @@ def hash_split(row_id: Column, seed: str, validation: float, test: float) -> Col
 
 def budgets(df: DataFrame, label: str, row_id: str, seed: str, shares: list[float]) -> DataFrame:
     """df with, for each share, whether a row is in that budget: nested, of floor(n * share) rows a label, one at least."""
-    w = Window.partitionBy(label)
-    no = F.row_number().over(w.orderBy(hash_rank(seed, F.col(row_id)), F.col(row_id)))
-    out = df.withColumn("_no", no).withColumn("_n", F.count(F.lit(1)).over(w))
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    out = hash_numbers(df, [label], hash_rank(seed, F.col(row_id)), row_id).join(sizes, label)
     for s in shares:
         out = out.withColumn(f"budget_{s:g}".replace(".", "p"), F.col("_no") <= F.greatest(F.lit(1), F.floor(F.col("_n") * s)))
     return out.drop("_no", "_n")

@@ -634,3 +634,166 @@ def streamed_windows(spark, d):
     counts = counts_by_window(events, "ts", "event_type", "value", "1 hour", "10 minutes")
     counts.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/rows")).start().awaitTermination()
     return spark.read.parquet(f"{out}/rows").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+HASH8 = "('0x' || sha256(concat_ws(chr(31), {}))[1:8])::BIGINT"
+
+
+@query(f"""
+    WITH p AS (SELECT o_orderkey AS id, o_totalprice AS mz, o_orderkey % 3 + 2 AS z, o_custkey AS y, {HASH8.format("'m', 'looks', o_orderkey::VARCHAR")} % 128 AS looks, {HASH8.format("'m', 'lies', o_orderkey::VARCHAR")} % 128 AS lies FROM orders),
+    c AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.z = b.z AND abs(b.mz - a.mz) <= a.mz * 10 / 1e6 THEN 0 WHEN a.z = b.z AND abs(b.mz - a.mz) <= a.mz * 100 / 1e6 THEN 1 WHEN a.looks = b.lies AND a.z = b.z THEN 2 WHEN a.looks = b.lies THEN 3 END AS tier
+          FROM p a JOIN p b ON a.y <> b.y AND (a.looks = b.lies OR a.z = b.z AND abs(b.mz - a.mz) <= a.mz * 100 / 1e6))
+    SELECT a AS o_orderkey, b AS partner_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY tier, {SHA.format("'m', 'pair', a::VARCHAR, b::VARCHAR")}, b) AS no FROM c) WHERE no = 1""")
+def matched_partners(spark, d):
+    """A partner of another label for each spectrum: within 10 ppm, within 100 ppm, of the same charge, or any."""
+    from peakloom.operators.partners import matched_partners as find
+
+    rows = precursors(spark, d).withColumnRenamed("spectrum_id", "o_orderkey")
+    return find(rows, row_id="o_orderkey", mz="precursor_mz", charge="charge", label="label", tolerances=[10, 100], seed="m", buckets=128)
+
+
+@query()
+def partner_diagnostics(spark, d):
+    from peakloom.operators.partners import diagnostics
+
+    rows = precursors(spark, d).withColumnRenamed("spectrum_id", "o_orderkey")
+    return diagnostics(matched_partners(spark, d), rows, "o_orderkey", "precursor_mz", "charge", 10)
+
+
+@query(f"""
+    WITH {UNIT_SQL},
+    u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+    m AS (SELECT a.vec_id % 4 AS part, a.e AS a, b.e AS b, list_transform(list_zip(a.e, b.e), lambda p: 0.7 * p[1] + 0.3 * p[2]) AS ma, list_transform(list_zip(a.e, b.e), lambda p: 0.3 * p[1] + 0.7 * p[2]) AS mb FROM u a JOIN u b ON b.vec_id = a.vec_id + 1)
+    SELECT part, count(*) AS n, round(avg(greatest(0, 1 - list_cosine_similarity(ma, mb))), 6) AS condition_distance,
+           round(avg(((list_cosine_similarity(ma, a) > list_cosine_similarity(ma, b))::INT + (list_cosine_similarity(mb, b) > list_cosine_similarity(mb, a))::INT) / 2), 6) AS accuracy,
+           round(avg((list_cosine_similarity(ma, a) > list_cosine_similarity(ma, b))::INT * (list_cosine_similarity(mb, b) > list_cosine_similarity(mb, a))::INT), 6) AS paired_accuracy
+    FROM m GROUP BY part""")
+def source_selection(spark, d):
+    """Mixtures of neighbouring vectors against their sources."""
+    from peakloom.operators.counterfactual import source_selection as select
+
+    v = table(spark, d, "embeddings").select("vec_id", vectors.unit(F.col("embedding")).alias("v"))
+    pairs = v.select("vec_id", F.col("v").alias("a")).join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("b")), "vec_id")
+    mix = lambda s: F.zip_with("a", "b", lambda x, y: s * x + (1 - s) * y)
+    rows = pairs.select((F.col("vec_id") % 4).alias("part"), "a", "b", mix(0.7).alias("ma"), mix(0.3).alias("mb"))
+    return select(rows, ["part"], "cosine", "a", "b", "ma", "mb").select("part", "n", r6("condition_distance"), r6("accuracy"), r6("paired_accuracy"))
+
+
+@query("""
+    WITH c AS (SELECT k, (k + 0.5) * 0.0125 AS c FROM range(8) t(k)),
+    x AS (SELECT DISTINCT l_discount AS x FROM lineitem), r AS (SELECT x, k, c, exp(-power(c - greatest(0, least(0.1, x)), 2) / (2 * 0.02 * 0.02)) AS w FROM x, c),
+    n AS (SELECT x, k, c, w / sum(w) OVER (PARTITION BY x) AS w FROM r),
+    e AS (SELECT x, sum(w * c) AS m, sqrt(greatest(0, sum(w * c * c) - power(sum(w * c), 2))) AS s FROM n GROUP BY x)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(m, 6) AS expectation, round(s, 6) AS deviation FROM lineitem JOIN e ON l_discount = x""")
+def soft_ordinal(spark, d):
+    """Discounts as soft labels over eight bins, and decoded again."""
+    from peakloom.functions import ordinal
+
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", ordinal.soft_labels(F.col("l_discount"), 0.0, 0.1, 8, 0.02).alias("w"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6(ordinal.expectation(F.col("w"), 0.0, 0.1, 8), "expectation"), r6(ordinal.deviation(F.col("w"), 0.0, 0.1, 8), "deviation"))
+
+
+@query()
+def isotonic_alignment(spark, d):
+    """Prices of each ship month on the scale of the parts' medians over all months."""
+    from peakloom.operators.alignment import aligned
+
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.date_trunc("month", F.col("l_shipdate").cast("timestamp")).alias("month"), "l_extendedprice")
+    return aligned(rows, "month", "l_partkey", "l_extendedprice")
+
+
+@query("""
+    WITH s AS (SELECT avg(ln(o_totalprice * (o_orderkey % 3 + 2))) AS m, stddev_pop(ln(o_totalprice * (o_orderkey % 3 + 2))) AS sd, avg(o_orderkey % 3 + 2) AS zm, stddev_pop(o_orderkey % 3 + 2) AS zs FROM orders)
+    SELECT o_orderkey AS spectrum_id, round((ln(o_totalprice * (o_orderkey % 3 + 2)) - m) / greatest(sd, 1e-6), 6) AS mass_z, round((o_orderkey % 3 + 2 - zm) / greatest(zs, 1e-6), 6) AS charge_z FROM orders, s""")
+def metadata_baseline(spark, d):
+    """Precursor mass (logarithm) and charge as z-scores: a baseline without peaks."""
+    p = precursors(spark, d).select("spectrum_id", F.log(F.col("precursor_mz") * F.col("charge")).alias("m"), F.col("charge").cast("double").alias("z"))
+    s = p.agg(F.avg("m").alias("mm"), F.stddev_pop("m").alias("ms"), F.avg("z").alias("zm"), F.stddev_pop("z").alias("zs"))
+    z = lambda x, m, sd: (F.col(x) - F.col(m)) / F.greatest(F.col(sd), F.lit(1e-6))
+    return p.join(F.broadcast(s)).select("spectrum_id", r6(z("m", "mm", "ms"), "mass_z"), r6(z("z", "zm", "zs"), "charge_z"))  # s is one row
+
+
+@query(f"""
+    WITH {UNIT_SQL}, j AS (SELECT a.label, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON b.vec_id = a.vec_id + 1)
+    SELECT label, count(*) AS n, round(avg(c), 6) AS mean_cosine, round(min(c), 6) AS least_cosine FROM j GROUP BY label""")
+def view_alignment(spark, d):
+    """How alike two views are: each vector, and the next one in its place."""
+    v = table(spark, d, "embeddings")
+    pairs = v.select("vec_id", "label", F.col("embedding").alias("a")).join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
+    return retrieval.alignment(pairs, ["label"], "a", "b").select("label", "n", r6("mean_cosine"), r6("least_cosine"))
+
+
+def placed_vectors(spark, d) -> DataFrame:
+    """Vectors with a stand-in precursor: m/z from the id, charge 2 or 3."""
+    return table(spark, d, "embeddings").select("vec_id", "label", "embedding", (500 + F.col("vec_id") % 50 * 0.002).alias("mz"), (F.col("vec_id") % 2 + 2).cast("int").alias("z"))
+
+
+NEAR_SQL = f"""
+    WITH {UNIT_SQL}, p AS (SELECT *, 500 + vec_id % 50 * 0.002 AS mz, vec_id % 2 + 2 AS z FROM v),
+    q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {SHA.format("'0', vec_id::VARCHAR")}, vec_id) AS no, count(*) OVER (PARTITION BY label) AS n FROM p) WHERE no = 1 AND n > 1),
+    n1 AS (SELECT q.vec_id AS query_id, q.label AS ql, p.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(greatest(0, 1 - list_cosine_similarity(q.e, p.e)), 9), p.vec_id) AS rank FROM q JOIN p ON q.vec_id <> p.vec_id AND {{0}}),
+    ok AS (SELECT query_id FROM n1 GROUP BY query_id HAVING min((label = ql)::INT) < max((label = ql)::INT)),
+    h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM n1 SEMI JOIN ok USING (query_id) WHERE label = ql),
+    t AS (SELECT query_id, count(*) AS n FROM n1 GROUP BY query_id)
+    SELECT query_id, t.n, count(*) AS n_positive, round(avg(k / rank), 6) AS ap, round(1 - (CASE WHEN t.n - count(*) > 0 THEN (t.n - count(*)) / t.n ELSE 0 END), 6) AS random_hit_at_1 FROM h JOIN t USING (query_id) GROUP BY query_id, t.n"""
+
+
+def near_scores(spark, d, mz: str, same: bool) -> DataFrame:
+    rows = placed_vectors(spark, d).withColumn("mass", F.col("mz") * F.col("z"))
+    near = retrieval.distances(retrieval.queries_of(rows, "label", "vec_id", "0"), rows, "vec_id", "label", "embedding", ppm=100.0 if same else 400_000.0, mz=mz, charge="z", same_charge=same)
+    return retrieval.ranked_metrics(retrieval.eligible(near), ks=(1,)).select("query_id", "n", "n_positive", r6("ap"), r6("random_hit_at_1"))
+
+
+@query(NEAR_SQL.format("q.z = p.z AND abs(p.mz - q.mz) <= q.mz * 100 / 1e6"))
+def mass_controlled_retrieval(spark, d):
+    """Retrieval among neighbours of the same charge within 100 ppm, against chance."""
+    return near_scores(spark, d, "mz", True)
+
+
+@query(NEAR_SQL.format("q.z <> p.z AND abs(p.mz * p.z - q.mz * q.z) <= q.mz * q.z * 400000 / 1e6"))
+def cross_charge_retrieval(spark, d):
+    """Retrieval among rows of another charge and a like product of m/z and charge."""
+    return near_scores(spark, d, "mass", False)
+
+
+@query(f"""
+    WITH {UNIT_SQL}, o AS (SELECT vec_id, label, e, list_reverse(e) AS r FROM v),
+    q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {SHA.format("'0', vec_id::VARCHAR")}, vec_id) AS no, count(*) OVER (PARTITION BY label) AS n FROM o) WHERE no = 1 AND n > 1),
+    w AS (SELECT *, list_transform(list_zip(e, r), lambda p: p[1] + 0.1 * p[2]) AS noisy FROM q),
+    n1 AS (SELECT w.vec_id AS query_id, w.label AS ql, v.label, row_number() OVER (PARTITION BY w.vec_id ORDER BY round(greatest(0, 1 - list_cosine_similarity(w.noisy, v.e)), 9), v.vec_id) AS rank FROM w, v WHERE w.vec_id <> v.vec_id)
+    SELECT query_id, round(1.0 / min(rank) FILTER (label = ql), 6) AS rr FROM n1 GROUP BY query_id""")
+def clean_gallery_robustness(spark, d):
+    """Disturbed queries against the clean vectors of all other rows."""
+    rows = table(spark, d, "embeddings").withColumn("v", vectors.doubles(F.col("embedding")))
+    q = retrieval.queries_of(rows, "label", "vec_id", "0").withColumn("noisy", F.zip_with("v", F.reverse("v"), lambda x, y: x + 0.1 * y))
+    near = retrieval.distances(q, rows.withColumn("noisy", F.col("v")), "vec_id", "label", "v", query_vector="noisy")
+    return retrieval.ranked_metrics(near, ks=(1,)).select("query_id", r6("rr"))
+
+
+@query()
+def corpus_build(spark, d):
+    """A corpus from the labelled documents: gates, bucket limits, caps, agreement, splits."""
+    from peakloom.plans.pipelines import CorpusPlan, build_corpus
+
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", F.md5(F.coalesce("text", F.lit(""))).alias("digest")).join(table(spark, d, "labels"), "doc_id")
+    rows = docs.withColumn("bucket", text.charge_bucket(F.floor(F.log10(F.greatest("n_chars", F.lit(1)))).cast("int"), "0-2,3,4+"))
+    plan = CorpusPlan("doc_id", "digest", "quality", "source", "lang", "bucket", {"toxic": "toxic = 1", "short": "n_chars < 50"}, 2000, 500, 200)
+    return build_corpus(rows, plan).select("doc_id", "digest", "source", "lang", "bucket", "split")
+
+
+@query()
+def pair_benchmark(spark, d):
+    """Balanced pairs of three protocols from the orders of each priority."""
+    from peakloom.plans.pipelines import pair_benchmark as build
+
+    return build(precursors(spark, d), partition="partition", row_id="spectrum_id", label="label", mz="precursor_mz", charge="charge", ppm=500, per_label=4, seed="b", buckets=64)
+
+
+@query(f"""
+    WITH s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), c AS (SELECT *, sum(n) OVER (ORDER BY {SHA.format("'c', o_custkey::VARCHAR")}, o_custkey ROWS UNBOUNDED PRECEDING) AS cum FROM s)
+    SELECT o_orderkey, CASE WHEN cum - n < 500 THEN 'validation' ELSE 'train' END AS split FROM orders JOIN c USING (o_custkey)""")
+def validation_carve_out(spark, d):
+    """Whole customers in hash order are validation until 500 orders are reached."""
+    from peakloom.plans.pipelines import carve_validation
+
+    return carve_validation(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 500, "c").select("o_orderkey", "split")

@@ -212,3 +212,108 @@ def test_queries_match_sql(spark, data):
             table = lambda t: sorted(str(tuple(map(shown, r))) for r in t[sorted(t.columns)].itertuples(index=False))
             assert table(got) == table(expected), name
         assert set(queries.SQL) <= set(queries.QUERIES)
+
+
+def test_source_selection(spark):
+    from peakloom.operators.counterfactual import jensen_shannon, source_selection
+
+    df = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0], [2.0, 0.0], [0.0, 2.0])], "a array<double>, b array<double>, ma array<double>, mb array<double>")
+    r = source_selection(df, [], "cosine", "a", "b", "ma", "mb").first()
+    assert (r.condition_distance, r.accuracy, r.paired_accuracy) == (1, 1, 1)
+    assert source_selection(df, [], "euclidean", "a", "b", "ma", "mb").first().condition_distance > 2
+    p = spark.createDataFrame([([0.99, 0.01], [0.01, 0.99], [0.9, 0.1], [0.1, 0.9])], "a array<double>, b array<double>, ma array<double>, mb array<double>")
+    r = source_selection(p, [], "jensen_shannon", "a", "b", "ma", "mb").first()
+    assert r.paired_accuracy == 1 and r.condition_distance > 0
+    assert p.select(jensen_shannon(F.col("a"), F.col("a"))).first()[0] == pytest.approx(0)
+
+
+def test_dense_source_selection(spark):
+    from peakloom.operators.counterfactual import dense_source_selection
+
+    one, two = [1.0, 0.0], [0.0, 1.0]
+    df = spark.createDataFrame([(1, [one, one], [two, two], [one, one], [0, 1])], "id int, a array<array<double>>, b array<array<double>>, m array<array<double>>, s array<int>")
+    assert dense_source_selection(df, "id", "a", "b", "m", "s").first().accuracy == 0.5
+
+
+def test_soft_ordinal(spark):
+    from peakloom.functions import ordinal
+
+    df = spark.createDataFrame([(-3.0,), (0.3,), (0.77,), (7.0,)], "x double").select("x", ordinal.soft_labels(F.col("x"), 0.0, 1.0, 64, 0.024).alias("w"))
+    got = df.select("x", F.aggregate("w", F.lit(0.0), lambda a, v: a + v).alias("s"), ordinal.expectation(F.col("w"), 0.0, 1.0, 64).alias("e"), ordinal.mode(F.col("w"), 0.0, 1.0, 64).alias("m"), ordinal.cross_entropy(F.col("w"), F.transform("w", lambda v: F.log(v + 1e-30))).alias("c")).collect()
+    assert all(r.s == pytest.approx(1) for r in got)
+    assert all(abs(r.e - r.x) < 1 / 64 and abs(r.m - r.x) < 1 / 64 for r in got[1:3]) and all(r.c > 0 for r in got)
+
+
+def test_isotonic_fit():
+    import itertools
+
+    import numpy as np
+
+    from peakloom.operators.alignment import isotonic
+
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        y = rng.normal(size=6)
+        fit = isotonic(np.arange(6), y)
+        by_formula = [max(min(y[a : b + 1].mean() for b in range(i, 6)) for a in range(i + 1)) for i in range(6)]
+        assert np.allclose(fit, by_formula)
+    assert list(itertools.chain(isotonic(np.arange(0), np.array([])))) == []
+
+
+def test_runs_are_aligned(spark):
+    from peakloom.operators.alignment import aligned
+
+    data = [("a", k, float(k)) for k in range(60)] + [("b", k, float(k)) for k in range(60)] + [("c", k, 2.0 * k + 5) for k in range(60)] + [("d", 0, 3.0)]
+    got = aligned(spark.createDataFrame(data, "run string, key int, v double"), "run", "key", "v").collect()
+    assert all(r.aligned == pytest.approx(r.key) for r in got if r.run in "abc") and [r.aligned for r in got if r.run == "d"] == [3.0]
+
+
+def test_partners(spark):
+    from peakloom.operators.partners import matched_partners
+
+    df = spark.createDataFrame([("A", 500.0, 2), ("B", 500.004, 2), ("C", 650.0, 2), ("D", 900.0, 3)], "y string, mz double, z int")
+    got = {r.y: (r.partner_id, r.tier) for r in matched_partners(df.withColumn("label", F.col("y")), row_id="y", mz="mz", charge="z", label="label", tolerances=[10], seed="s", buckets=1).collect()}
+    assert got["A"] == ("B", 0) and got["B"] == ("A", 0) and got["C"][1] == 1 and got["D"][1] == 2
+
+
+def test_corpus_build(spark, data):
+    from peakloom.plans import pipelines
+
+    got = queries.corpus_build(spark, data)
+    assert got.count() == got.select("digest").distinct().count() > 0
+    docs = spark.read.parquet(f"{data}/documents.parquet").join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id")
+    judged = pipelines.judged(docs, {"toxic": "toxic = 1"})
+    assert sum(r.n for r in pipelines.reject_counts(judged).collect()) == docs.count()
+
+
+def test_pair_benchmark_is_balanced(spark, data):
+    from peakloom.plans import pipelines
+
+    pairs = queries.pair_benchmark(spark, data).cache()
+    n = {(r.partition, r.pair_set): (r.a, r.b) for r in pairs.groupBy("partition", "pair_set").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).collect()}
+    assert n and all(a == b for a, b in n.values())
+    rows_ = queries.precursors(spark, data)
+    few, kept = pipelines.charge_filtered(rows_, pairs, "spectrum_id", F.col("charge") == 2, ["partition", "pair_set"], "s")
+    assert {r.charge for r in few.select("charge").distinct().collect()} <= {2}
+    hard = pairs.filter("label = 0 and pair_set = 'hard'").agg(F.max("ppm")).first()[0]
+    assert hard is None or hard < 501
+
+
+def test_clean_splits(spark):
+    from peakloom.plans.pipelines import clean_splits
+
+    df = spark.createDataFrame([("a", "test", "f1", 1), ("a", "train", "f2", 2), ("b", "train", "f1", 3), ("c", "train", "f3", 4)], "key string, split string, fp string, id int")
+    assert rows(clean_splits(df, "key", "fp", ["id"]).select("id")) == [(1,), (4,)]
+
+
+def test_stream_appends_once(spark, data, tmp_path):
+    from peakloom.streaming.events import append_new, first_only, sessions, stream
+
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    events = spark.read.parquet(f"{data}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).limit(200).cache()
+    events.write.parquet(str(source))
+    for k in range(2):
+        append_new(stream(spark, str(source), events), ["event_id"], out, str(tmp_path / f"state{k}")).awaitTermination()
+        assert spark.read.parquet(out).count() == 200
+    live = stream(spark, str(source), events)
+    assert first_only(live, "ts", ["event_id"], "1 hour").isStreaming and sessions(live, "ts", "user_id", "5 minutes", "1 hour").isStreaming
