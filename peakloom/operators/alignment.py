@@ -35,7 +35,7 @@ def aligned(df: DataFrame, run: str, key: str, value: str, least_anchors: int =
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < least_anchors:
-            return pd.DataFrame({"_run": [], "_xs": [], "_ys": []})
+            return pd.DataFrame({k: pd.Series([], dtype=object) for k in ("_run", "_xs", "_ys")})
         one = pdf.groupby("_x", as_index=False)["_y"].mean().sort_values("_x")
         x = one["_x"].to_numpy(float)
         return pd.DataFrame({"_run": [pdf["_run"].iloc[0]], "_xs": [x.tolist()], "_ys": [isotonic(x, one["_y"].to_numpy(float)).tolist()]})
