@@ -37,7 +37,7 @@ def annotate(
     into: str,
     fields: str,
     make: Callable[[], Callable[[list[bytes | None], pa.RecordBatch], list[tuple]]],
-    slice_bytes: int = 32 << 20,
+    slice_bytes: int = 8 << 20,
 ) -> DataFrame:
     """docs with the struct column `into`, which a task-local function makes from whole texts.
 

@@ -1,7 +1,7 @@
 """Toxicity: a linear-chain conditional random field tags toxic tokens.
 
-Labels are given by document. Tokens get theirs in two rounds: a word's log-odds between toxic and other documents,
-counted again with only the words that best explain each toxic document. The field has two states and sees each
+Labels are given by document. Tokens get theirs in two rounds: the log-odds of words and of their first letters
+between toxic and other documents, counted again with only what best explains each toxic document. The field has two states and sees each
 token's evidence class. Forward-backward marginals give offending offsets and, aggregated, the document's score.
 """
 
@@ -26,15 +26,37 @@ CLASSES = len(EDGES) + 1
 NEUTRAL = int(np.searchsorted(EDGES, 0.0))
 #: At most so many tokens are in work at once, besides one text.
 MOST_TOKENS = 2_000_000
+MOST_WORDS = 300_000
 
 
 def tokens(text: bytes | None) -> list[str]:
     return WORD.findall((text or b"").decode().lower())
 
 
+def units(word: str) -> list[str]:
+    """What a word is known by: itself and its first four, five and six letters."""
+    return [word, *(f"^{word[:k]}" for k in (4, 5, 6) if len(word) > k)]
+
+
+class Evidence(dict):
+    """The evidence class of a word, the strongest of its units'; remembered, at most MOST_WORDS."""
+
+    def __init__(self, classes: dict[str, int]):
+        super().__init__()
+        self.classes = classes
+
+    def __missing__(self, word: str) -> int:
+        c = max((self.classes.get(u, NEUTRAL) for u in units(word)), default=NEUTRAL)
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = c
+        return c
+
+
 @dataclass
 class Model:
-    words: dict[str, int]  # evidence class of each word that isn't neutral
+    classes: dict[str, int]  # evidence class of each unit that isn't neutral
     emission: np.ndarray  # CLASSES: log-odds of the toxic state
     change: np.ndarray  # 2 x 2: from state, to state
     start: float
@@ -100,20 +122,20 @@ def features(odds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def tagged(texts: list[bytes | None], model: Model) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """(numbers of texts, their lengths in tokens, log-odds of all their tokens), some texts at a time."""
-    of = model.words.get
+    of = Evidence(model.classes).__getitem__
     held, flat, lengths = [], [], []
     for i, t in enumerate(texts):
         own = tokens(t)
         held.append(i)
         lengths.append(len(own))
-        flat.append(np.fromiter((of(w, NEUTRAL) for w in own), np.int64, len(own)))
+        flat.append(np.fromiter(map(of, own), np.int64, len(own)))
         if sum(lengths) >= MOST_TOKENS or i + 1 == len(texts):
             n = np.array(lengths)
             yield held, n, forward_backward(np.concatenate(flat), n, model.emission, model.change, model.start)[0]
             held, flat, lengths = [], [], []
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, rounds: int = 12, partitions: int = 8) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, rounds: int = 12, partitions: int = 24) -> Model:
     """Trains on at most most_rows labelled rows, those with the smallest hashes of their ids; give no held-out rows.
 
     Equal texts count once. Without labels of both kinds the model scores every text by the labels' rate.
@@ -131,42 +153,43 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     if not n_toxic or not n_other:
         return neutral
 
-    def counted(known: dict[str, float] | None):
-        """Documents of each kind that a word explains: all its words, or with known log-odds those near the best."""
+    def counted(label: int, pick) -> DataFrame:
+        """(u, n): in how many documents of a label pick(units) holds a unit; at most most_rows texts' units."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            got = (Counter(), Counter())
+            got: Counter = Counter()
             for b in batches:
-                for t, y in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()):
-                    own = set(tokens(t))
-                    if known is not None and y:
-                        best = max((known.get(w, 0.0) for w in own), default=0.0)
-                        own = {w for w in own if known.get(w, 0.0) >= max(1.0, best - 0.7)}
-                    got[y].update(own)
-            ws = list(got[0] | got[1])
-            yield pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), pa.array([got[1][w] for w in ws], pa.int64()), pa.array([got[0][w] for w in ws], pa.int64())], names=["w", "toxic", "other"])
-
-        return (
-            sample.select("text", "y").mapInArrow(run, "w string, toxic long, other long").groupBy("w")
-            .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-            .withColumn("odds", F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("other") + 0.5) / (n_other + 1.0)))
-            .filter("toxic >= 3 and odds > 1 or odds < -1 and other >= 20")
-        )
-
-    # At most most_rows texts' words, of which few pass the filter.
-    first = {r.w: r.odds for r in counted(None).filter("odds > 1").collect()}
-    words = {r.w: int(np.searchsorted(EDGES, r.odds)) for r in counted(first).collect()}
-    words = {w: c for w, c in words.items() if c != NEUTRAL}
+                for t in b.column(0).cast(pa.binary()).to_pylist():
+                    got.update(pick({u for w in set(tokens(t)) for u in units(w)}))
+            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], names=["u", "n"])
+
+        return sample.filter(F.col("y") == label).select("text").mapInArrow(run, "u string, n long").groupBy("u").agg(F.sum("n").alias("n"))
+
+    def collected(df: DataFrame) -> dict[str, int]:
+        return {r.u: r.n for r in df.collect()}
+
+    def log_odds(toxic: dict[str, int], other: dict[str, int]) -> dict[str, float]:
+        return {u: float(np.log((n + 0.5) / (n_toxic + 1)) - np.log((other.get(u, 0) + 0.5) / (n_other + 1))) for u, n in toxic.items()}
+
+    def best(own: set[str]) -> list[str]:
+        top = max((odds.get(u, 0.0) for u in own), default=0.0)
+        return [u for u in own if odds.get(u, 0.0) >= max(1.0, top - 0.7)]
+
+    toxic = collected(counted(1, lambda own: own).filter("n >= 3"))
+    other = collected(counted(0, lambda own: own & toxic.keys()))
+    odds = log_odds(toxic, other)
+    explaining = log_odds(collected(counted(1, best).filter("n >= 3")), other)
+    classes = {u: int(np.searchsorted(EDGES, x)) for u, x in explaining.items() if x > 1}
     top = int(np.searchsorted(EDGES, 3.0))
 
     def gradients(emission, change, start):
         """Sums over a partition: expected less observed counts, for all weights, and the tokens."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            g = np.zeros(CLASSES + 5)
+            g, of = np.zeros(CLASSES + 5), Evidence(classes).__getitem__
             for b in batches:
                 texts, ys = b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()
-                flat = [np.array([words.get(w, NEUTRAL) for w in tokens(t)], np.int64) for t in texts]
+                flat = [np.array([of(w) for w in tokens(t)], np.int64) for t in texts]
                 flat, ys = zip(*[(f, y) for f, y in zip(flat, ys) if len(f)]) if any(map(len, flat)) else ((), ())
                 if not flat:
                     continue
@@ -198,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         g = gradients(theta[:CLASSES], theta[CLASSES : CLASSES + 4].reshape(2, 2), theta[-1]) - 0.01 * theta
         mean, square = 0.8 * mean + 0.2 * g, 0.95 * square + 0.05 * g * g
         theta = theta + speed * (mean / (1 - 0.8**k)) / (np.sqrt(square / (1 - 0.95**k)) + 1e-9)
-    model = Model(words, theta[:CLASSES], theta[CLASSES : CLASSES + 4].reshape(2, 2), theta[-1], np.zeros(4))
+    model = Model(classes, theta[:CLASSES], theta[CLASSES : CLASSES + 4].reshape(2, 2), theta[-1], np.zeros(4))
 
     def make():
         def of(texts: list[bytes | None], _: pa.RecordBatch) -> list[tuple]:
