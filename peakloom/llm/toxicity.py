@@ -182,15 +182,23 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     classes = {u: int(np.searchsorted(EDGES, x)) for u, x in explaining.items() if x > 1}
     top = int(np.searchsorted(EDGES, 3.0))
 
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text's evidence classes, a byte each."""
+        of = Evidence(classes).__getitem__
+        for b in batches:
+            c = [bytes(map(of, tokens(t))) for t in b.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), b.column(1)], names=["c", "y"])
+
+    seen_classes = saved(sample.select("text", "y").mapInArrow(sequences, "c binary, y int"), "toxicity-sequences")
+
     def gradients(emission, change, start):
-        """Sums over a partition: expected less observed counts, for all weights, and the tokens."""
+        """Sums over a partition: observed less expected counts, for all weights."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            g, of = np.zeros(CLASSES + 5), Evidence(classes).__getitem__
+            g = np.zeros(CLASSES + 5)
             for b in batches:
-                texts, ys = b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()
-                flat = [np.array([of(w) for w in tokens(t)], np.int64) for t in texts]
-                flat, ys = zip(*[(f, y) for f, y in zip(flat, ys) if len(f)]) if any(map(len, flat)) else ((), ())
+                pairs = [(np.frombuffer(c, np.uint8).astype(np.int64), y) for c, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if c]
+                flat, ys = zip(*pairs) if pairs else ((), ())
                 if not flat:
                     continue
                 n, c = np.array([len(f) for f in flat]), np.concatenate(flat)
@@ -212,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 g[-1] += (seen[head] - p[head]).sum()
             yield pa.RecordBatch.from_arrays([pa.array([g.tolist()], pa.list_(pa.float64()))], names=["g"])
 
-        got = sample.select("text", "y").mapInArrow(run, "g array<double>").collect()  # a row a partition
+        got = seen_classes.mapInArrow(run, "g array<double>").collect()  # a row a partition
         return np.sum([r.g for r in got], axis=0)
 
     theta = np.r_[np.clip(np.r_[EDGES, EDGES[-1] + 1] - 3.0, -4, 4), [0.0, -2.0, -1.0, 0.0], -3.0]
@@ -223,14 +231,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         theta = theta + speed * (mean / (1 - 0.8**k)) / (np.sqrt(square / (1 - 0.95**k)) + 1e-9)
     model = Model(classes, theta[:CLASSES], theta[CLASSES : CLASSES + 4].reshape(2, 2), theta[-1], np.zeros(4))
 
-    def make():
-        def of(texts: list[bytes | None], _: pa.RecordBatch) -> list[tuple]:
-            return [tuple(x) for _, n, odds in tagged(texts, model) for x in features(odds, n).tolist()]
-
-        return of
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = [np.frombuffer(c, np.uint8).astype(np.int64) for c in b.column(0).to_pylist()]
+            n = np.array([len(c) for c in flat])
+            odds = forward_backward(np.concatenate(flat), n, model.emission, model.change, model.start)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(features(odds, n).tolist(), pa.list_(pa.float64())), b.column(1)], names=["f", "y"])
 
-    rows = annotate(sample.select("text", "y"), "text", "f", "a double, b double, c double", make).select("y", "f.*").collect()  # at most most_rows rows of four numbers
-    x, y = np.array([[1.0, r.a, r.b, r.c] for r in rows]), np.array([r.y for r in rows], float)
+    rows = seen_classes.mapInArrow(scored, "f array<double>, y int").collect()  # at most most_rows rows of four numbers
+    x, y = np.array([[1.0, *r.f] for r in rows]), np.array([r.y for r in rows], float)
     w = np.zeros(4)
     for _ in range(25):  # Newton's method, ridge 0.1
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
