@@ -127,3 +127,89 @@ def peptide_mass(tokens: Column) -> Column:
         F.transform(F.regexp_extract_all(t, F.lit(r"[+-]\d+(\.\d+)?"), F.lit(0)), lambda d: d.cast("double")), F.lit(0.0), lambda a, d: a + d
     )
     return F.aggregate(F.transform(tokens, one), F.lit(WATER), lambda a, m: a + m)
+
+
+# Audited UniMod ids and the numeric delta that stands for each.
+UNIMOD_DELTAS = {1: "+42.011", 4: "+57.021", 5: "+43.006", 7: "+0.984", 21: "+79.966", 35: "+15.995", 385: "-17.027"}
+# Deltas that numbers within 0.00051 of them are written as.
+KNOWN_DELTAS = (0.984, 15.995, 42.011, 43.006, 57.021, 79.966, -17.027)
+
+
+def unimod_label(x: Column) -> Column:
+    """A label with (UniMod:n), [UNIMOD:n] written as deltas; null if another id remains or it isn't a label."""
+    t = as_text(x)
+    for n, delta in UNIMOD_DELTAS.items():
+        t = F.regexp_replace(t, rf"(?i)[\[(]unimod:{n}[\])]-?", delta.replace("$", r"\$"))
+    t = F.upper(F.regexp_replace(t, "^_|_$", ""))
+    return F.when(~t.contains("UNIMOD:") & t.rlike(LABEL), t)
+
+
+def numeric_label(x: Column) -> Column:
+    """A label whose deltas stand in brackets or parentheses, such as M[+15.995] or (+42.011)PEP."""
+    t = F.regexp_replace(as_text(x), r"[\[(]([+-]?\d+(?:\.\d+)?)[\])]", "$1")
+    t = F.upper(F.regexp_replace(t, r"([A-Za-z])(\d)", "$1+$2"))
+    return F.when(t.rlike(LABEL), t)
+
+
+def in_vocabulary(tokens: Column, vocabulary: list[str]) -> Column:
+    return F.coalesce(F.forall(tokens, lambda t: t.isin(*vocabulary)), F.lit(False))
+
+
+def snapped_delta(x: Column) -> Column:
+    """The known delta within 0.00051 of x, else x."""
+    out = x
+    for d in KNOWN_DELTAS:
+        out = F.when(F.abs(x - d) <= 0.00051, F.lit(d)).otherwise(out)
+    return out
+
+
+def vocabulary_tokens(label: Column, vocabulary: list[str], aliases: dict[str, str] | None = None, leucine: bool = False, reverse: bool = False) -> Column:
+    """Tokens of a label, longest first; aliases are written as what they stand for.
+
+    Deltas before the first residue come first whatever the order; leucine writes I as L; reverse turns the rest round.
+    """
+    import re
+
+    names = sorted({*vocabulary, *(aliases or {})}, key=lambda t: (-len(t), t))
+    text = F.translate(label, "I", "L") if leucine else label
+    tokens = F.regexp_extract_all(text, F.lit("|".join(map(re.escape, names))), F.lit(0))
+    for a, t in (aliases or {}).items():
+        tokens = F.transform(tokens, _renamed(a, t))
+    first = F.filter(tokens, lambda t: t.rlike(r"^[+-]"))
+    rest = F.filter(tokens, lambda t: ~t.rlike(r"^[+-]"))
+    return F.concat(first, F.reverse(rest) if reverse else rest)
+
+
+def _renamed(old: str, new: str):
+    return lambda x: F.when(x == old, new).otherwise(x)
+
+
+def rounded_aliases(vocabulary: list[str], digits: tuple[int, ...] = (2, 1, 0)) -> dict[str, str]:
+    """Deltas rounded to fewer digits, where only one token of the vocabulary rounds to them."""
+    import re
+
+    found: dict[str, set[str]] = {}
+    for t in vocabulary:
+        for k in digits:
+            short = re.sub(r"[+-]\d+\.\d+", lambda m: f"{float(m.group()):+.{k}f}", t)
+            if short != t:
+                found.setdefault(short, set()).add(t)
+    return {a: next(iter(ts)) for a, ts in found.items() if len(ts) == 1 and a not in vocabulary}
+
+
+def species_of(name: Column, prefixes: dict[str, str]) -> Column:
+    """The species whose prefix a name starts with; another name stops the job."""
+    out = F.raise_error(F.concat(F.lit("no species for "), name)).cast("string")
+    for p, species in reversed(prefixes.items()):
+        out = F.when(F.lower(name).startswith(p.lower()), species).otherwise(out)
+    return out
+
+
+def acquisition(name: Column) -> Column:
+    """The batch of a run's name: what stands before its last number, else the name."""
+    return F.coalesce(F.nullif(F.regexp_extract(name, r"^(.+?)[_-]?\d+$", 1), F.lit("")), name)
+
+
+def rate_suffix(x: Column) -> Column:
+    """0.01 as 0p01."""
+    return F.replace(x.cast("string"), F.lit("."), F.lit("p"))

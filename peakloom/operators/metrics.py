@@ -138,3 +138,61 @@ def replicate_spread(df: DataFrame, group: str, run: str, value: str) -> DataFra
     medians = df.groupBy(group).agg(F.median(value).alias("_m"), F.count_distinct(run).alias("_runs")).filter("_runs >= 2")
     off = df.join(medians, group).select(group, F.abs(F.col(value) - F.col("_m")).alias("d"))
     return off.agg(F.count_distinct(group).alias("n_groups"), F.avg("d").alias("mean"), F.percentile("d", 0.95).alias("p95"))
+
+
+def spearman(df: DataFrame, group: list[str], a: str, b: str, row_id: str) -> DataFrame:
+    """(group, n, spearman): correlation of ordinal ranks, ties by id. Ranks are numbered in cuts, not in one window."""
+    ranked = ordinal_ranks(ordinal_ranks(df.select(*group, a, b, row_id), group, a, row_id, "_ra"), group, b, row_id, "_rb")
+    return ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr(F.col("_ra").cast("double"), F.col("_rb").cast("double")).alias("spearman"))
+
+
+def ordinal_ranks(df: DataFrame, group: list[str], value: str, row_id: str, into: str, buckets: int = 64) -> DataFrame:
+    """df with `into`: places from 1 by (value, id) in each group."""
+    edges = sorted(set(df.approxQuantile(value, [k / buckets for k in range(1, buckets)], 0.01)))
+    cut = df.withColumn("_cut", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(value))) if edges else F.lit(0))
+    sizes = cut.groupBy(*group, "_cut").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*group, "_cut", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*group, "_cut").orderBy(value, row_id))
+    return cut.withColumn("_own", own).join(offsets, [*group, "_cut"]).withColumn(into, F.col("_before") + F.col("_own")).drop("_cut", "_own", "_before")
+
+
+def contrastive_loss(rows: DataFrame, batch: str, row_id: str, label: str, vector: str, temperature: float) -> DataFrame:
+    """(batch, n, n_valid, loss): supervised contrastive loss of each batch's rows; rows without a positive don't count.
+
+    Batches are the caller's, and small: a row meets the others of its batch.
+    """
+    from peakloom.functions.vectors import dot, unit
+
+    side = lambda s: rows.select(F.col(batch).alias("b"), F.col(row_id).alias(f"{s}i"), F.col(label).alias(f"{s}y"), unit(F.col(vector)).alias(f"{s}v"))
+    pairs = side("l").join(side("r"), "b").filter("li <> ri").select("b", "li", (dot(F.col("lv"), F.col("rv")) / temperature).alias("s"), (F.col("ly") == F.col("ry")).alias("same"))
+    each = pairs.groupBy("b", "li").agg(F.log(F.sum(F.exp("s"))).alias("z"), F.avg(F.when(F.col("same"), F.col("s"))).alias("p"))
+    return each.groupBy(F.col("b").alias(batch)).agg(F.count(F.lit(1)).alias("n"), F.count("p").alias("n_valid"), F.avg(F.when(F.col("p").isNotNull(), F.col("z") - F.col("p"))).alias("loss"))
+
+
+def silhouette(rows: DataFrame, row_id: str, label: str, vector: str, most: int, seed: str) -> DataFrame:
+    """(label, n, silhouette) with cosine distances, over the `most` rows of smallest hash, all of which meet each other."""
+    from peakloom.functions.vectors import cosine_distance, hash_rank, unit
+
+    few = rows.orderBy(hash_rank(seed, F.col(row_id)), row_id).limit(most).select(F.col(row_id).alias("i"), F.col(label).alias("y"), unit(F.col(vector)).alias("v"))
+    few = few.withColumn("block", F.lit(0))
+    other = few.select("block", F.col("i").alias("j"), F.col("y").alias("w"), F.col("v").alias("u"))
+    mean = few.join(other, "block").filter("i <> j").groupBy("i", "y", "w").agg(F.avg(cosine_distance(F.col("v"), F.col("u"))).alias("d"))
+    each = mean.groupBy("i", "y").agg(F.max(F.when(F.col("w") == F.col("y"), F.col("d"))).alias("a"), F.min(F.when(F.col("w") != F.col("y"), F.col("d"))).alias("b"))
+    s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return each.groupBy(F.col("y").alias(label)).agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("silhouette"))
+
+
+def flattened(report: DataFrame, by: list[str]) -> DataFrame:
+    """(by, metric, value): a wide report, structs included, as one row a finite number; nested names are joined by "/"."""
+    def leaves(schema, path: str = "", name: str = ""):
+        for f in schema.fields:
+            at, full = f"{path}`{f.name}`", f"{name}{f.name}"
+            if hasattr(f.dataType, "fields"):
+                yield from leaves(f.dataType, f"{at}.", f"{full}/")
+            elif full not in by and f.dataType.typeName() in ("double", "float", "long", "integer", "short", "decimal", "boolean"):
+                yield at, full
+
+    cells = F.array(*(F.struct(F.lit(n).alias("metric"), F.col(c).cast("double").alias("value")) for c, n in leaves(report.schema)))
+    rows = report.select(*by, F.explode(cells).alias("x")).select(*by, "x.metric", "x.value")
+    return rows.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))

@@ -797,3 +797,92 @@ def validation_carve_out(spark, d):
     from peakloom.plans.pipelines import carve_validation
 
     return carve_validation(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 500, "c").select("o_orderkey", "split")
+
+
+@query("""
+    WITH r AS (SELECT l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity, k) AS a, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice, k) AS b
+               FROM (SELECT l_returnflag, l_quantity, l_extendedprice, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem))
+    SELECT l_returnflag, count(*) AS n, round(corr(a, b), 6) AS spearman FROM r GROUP BY l_returnflag""")
+def spearman(spark, d):
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("k"))
+    return metrics.spearman(rows, ["l_returnflag"], "l_quantity", "l_extendedprice", "k").select("l_returnflag", "n", r6("spearman"))
+
+
+@query(f"""
+    WITH {UNIT_SQL}, b AS (SELECT *, vec_id // 32 AS batch FROM v),
+    p AS (SELECT l.batch, l.vec_id AS i, list_cosine_similarity(l.e, r.e) / 0.5 AS s, l.label = r.label AS same FROM b l JOIN b r ON l.batch = r.batch AND l.vec_id <> r.vec_id),
+    e AS (SELECT batch, i, ln(sum(exp(s))) AS z, avg(s) FILTER (same) AS p FROM p GROUP BY ALL)
+    SELECT batch, count(*) AS n, count(p) AS n_valid, round(avg(z - p), 6) AS loss FROM e GROUP BY batch""")
+def contrastive_loss(spark, d):
+    """Loss of batches of 32 neighbouring vectors."""
+    rows = table(spark, d, "embeddings").withColumn("batch", F.floor(F.col("vec_id") / 32).cast("long"))
+    return metrics.contrastive_loss(rows, "batch", "vec_id", "label", "embedding", 0.5).select("batch", "n", "n_valid", r6("loss"))
+
+
+@query(f"""
+    WITH {UNIT_SQL}, f AS (SELECT * FROM v ORDER BY {SHA.format("'s', vec_id::VARCHAR")}, vec_id LIMIT 1000),
+    m AS (SELECT a.vec_id, a.label AS y, b.label AS w, avg(greatest(0, 1 - list_cosine_similarity(a.e, b.e))) AS d FROM f a JOIN f b ON a.vec_id <> b.vec_id GROUP BY ALL),
+    e AS (SELECT vec_id, y, max(d) FILTER (y = w) AS a, min(d) FILTER (y <> w) AS b FROM m GROUP BY ALL)
+    SELECT y AS label, count(*) AS n, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 6) AS silhouette FROM e GROUP BY y""")
+def silhouette(spark, d):
+    """Silhouette by label of a thousand vectors chosen by hash: the sample is the measure's own bound."""
+    return metrics.silhouette(table(spark, d, "embeddings"), "vec_id", "label", "embedding", 1000, "s").select("label", "n", r6("silhouette"))
+
+
+@query(f"""
+    WITH n AS (SELECT o_orderpriority, count(*) // 512 + 1 AS batches FROM orders GROUP BY o_orderpriority),
+    b AS (SELECT o_orderkey, o_totalprice, o_orderpriority, {SHA.format("'p', o_orderkey::VARCHAR")} AS rank, {HASH8.format("'p', o_orderkey::VARCHAR")} % batches AS batch FROM orders JOIN n USING (o_orderpriority))
+    SELECT o_orderkey, coalesce(lead(o_totalprice) OVER w, first_value(o_totalprice) OVER w) AS permuted FROM b WINDOW w AS (PARTITION BY o_orderpriority, batch ORDER BY rank, o_orderkey)""")
+def permuted_precursors(spark, d):
+    """Total prices dealt anew among the orders of a priority."""
+    from peakloom.operators.interventions import permuted
+
+    return permuted(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), ["o_orderpriority"], "o_orderkey", "o_totalprice", "p").select("o_orderkey", "permuted")
+
+
+@query()
+def shuffled_intensities(spark, d):
+    """Spectra with their own intensities in another order."""
+    from peakloom.operators.interventions import shuffled_intensities as shuffle
+
+    return peak_sums(spectra(spark, d).withColumn("peaks", shuffle(F.col("peaks"), F.concat_ws("|", F.lit("shuffle"), F.col("spectrum_id")))))
+
+
+@query("""
+    WITH s AS (SELECT l_returnflag, avg(l_quantity) AS q, min(l_discount) AS a, max(l_discount) AS z FROM lineitem GROUP BY l_returnflag)
+    SELECT l_returnflag, m AS metric, round(v, 6) AS value FROM (SELECT l_returnflag, unnest(['quantity', 'discount/min', 'discount/max']) AS m, unnest([q, a, z]) AS v FROM s)""")
+def report_unpivot(spark, d):
+    """A nested report as rows of metric and value."""
+    wide = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.avg("l_quantity").alias("quantity"), F.struct(F.min("l_discount").alias("min"), F.max("l_discount").alias("max")).alias("discount"))
+    return metrics.flattened(wide, ["l_returnflag"]).select("l_returnflag", "metric", r6("value"))
+
+
+@query("""
+    WITH w AS (SELECT upper(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'))) AS w FROM documents), c AS (SELECT w, count(*) AS n FROM w GROUP BY w),
+    l AS (SELECT replace(w, 'C', 'C+57.021') AS label, n FROM c WHERE regexp_matches(w, '^[ACDEFGHIKLMNPQRSTVWYO]+$'))
+    SELECT len(regexp_replace(label, '[^A-Z]', '', 'g')) AS length, sum(n)::BIGINT AS n, sum(n * len(regexp_extract_all(label, 'C')))::BIGINT AS n_modified FROM l GROUP BY ALL""")
+def unimod_labels(spark, d):
+    """Words with a UniMod term on every C, written as numeric labels, by length."""
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.upper("w").alias("w"))
+    labels = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).select(text.unimod_label(F.replace("w", F.lit("C"), F.lit("C(UniMod:4)"))).alias("label"), "n").filter("label is not null")
+    modified = F.size(F.filter(text.residue_tokens(F.col("label")), lambda t: t == "C+57.021"))
+    return labels.groupBy(F.length(text.backbone(F.col("label"))).cast("long").alias("length")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * modified).alias("n_modified"))
+
+
+@query("SELECT o_orderkey AS canonical_index, o_orderpriority AS predicted_sequence, CASE WHEN o_orderkey % 5 > 0 THEN round(o_totalprice, 2) END AS peptide_confidence FROM orders")
+def predictions_round_trip(spark, d):
+    """Orders as predictions: written, read with checks, and joined to the full index."""
+    from peakloom.plans.scratch import new_folder
+    from peakloom.sources.predictions import read_predictions, with_denominator, write_predictions
+
+    path = new_folder(spark, "predictions")
+    o = table(spark, d, "orders")
+    rows = o.filter("o_orderkey % 5 > 0").select(
+        F.col("o_orderkey").alias("canonical_index"), *(F.lit(None).cast(k).alias(c) for c, k in (("spectrum_id", "string"), ("peak_file", "string"), ("scan_id", "long"))), F.lit("t").alias("title"),
+        *(F.lit(None).cast(k).alias(c) for c, k in (("species", "string"), ("split", "string"), ("source_row_index", "long"), ("precursor_mz", "double"), ("precursor_charge", "double"), ("isolation_low", "double"), ("isolation_high", "double"), ("true_sequence", "string"))),
+        F.col("o_orderpriority").alias("predicted_sequence"), F.col("o_totalprice").alias("peptide_confidence"), F.lit(False).alias("no_prediction"),
+    )
+    write_predictions(rows, path)
+    index = o.select(F.col("o_orderkey").alias("canonical_index"), F.col("o_orderpriority").alias("known"))
+    got = read_predictions(spark, path).select("canonical_index", "predicted_sequence", "peptide_confidence")
+    return with_denominator(index, got, "canonical_index", "peptide_confidence").select("canonical_index", F.coalesce("predicted_sequence", "known").alias("predicted_sequence"), F.round("peptide_confidence", 2).alias("peptide_confidence"))

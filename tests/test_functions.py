@@ -99,3 +99,24 @@ def test_vectors(spark):
     assert [tuple(r) for r in df.select(vectors.cosine_distance(vectors.unit(F.col("a")), vectors.unit(F.col("b"))), vectors.euclidean_distance(F.col("a"), F.col("b"))).collect()] == [(1.0, math.sqrt(5)), (1.0, 1.0)]
     chance = spark.createDataFrame([(2, 10)], "p int, n int").select(vectors.random_hit_chance(F.col("p"), F.col("n"), 3)).first()[0]
     assert chance == pytest.approx(1 - (8 * 7 * 6) / (10 * 9 * 8))
+
+
+def test_unimod_and_numeric_labels(spark):
+    got = of(spark, [("_(UniMod:1)PEPC[UNIMOD:4]M(UniMod:35)_",), ("PEP(UniMod:999)",)], "x string", text.unimod_label(F.col("x")))
+    assert got == [("+42.011PEPC+57.021M+15.995",), (None,)]
+    assert of(spark, [("M[+15.995]K",), ("M(15.995)K",), ("B",)], "x string", text.numeric_label(F.col("x"))) == [("M+15.995K",), ("M+15.995K",), (None,)]
+    assert of(spark, [(57.0213,), (57.03,)], "x double", text.snapped_delta(F.col("x"))) == [(57.021,), (57.03,)]
+
+
+def test_vocabulary_tokens(spark):
+    vocabulary = ["A", "L", "C", "C+57.021", "+42.011"]
+    assert text.rounded_aliases(vocabulary) == {"C+57.02": "C+57.021", "C+57.0": "C+57.021", "C+57": "C+57.021", "+42.01": "+42.011", "+42.0": "+42.011", "+42": "+42.011"}
+    t = text.vocabulary_tokens(F.col("x"), vocabulary, {"C+57.02": "C+57.021"}, leucine=True, reverse=True)
+    assert of(spark, [("+42.011AIC+57.02",)], "x string", t, text.in_vocabulary(t, vocabulary)) == [(["+42.011", "C+57.021", "L", "A"], True)]
+
+
+def test_names_of_runs(spark):
+    assert of(spark, [("batch_a_07",), ("x",)], "x string", text.acquisition(F.col("x"))) == [("batch_a",), ("x",)]
+    assert of(spark, [("HUMAN_1",)], "x string", text.species_of(F.col("x"), {"human": "H. sapiens"}), text.rate_suffix(F.lit("0.01"))) == [("H. sapiens", "0p01")]
+    with pytest.raises(Exception, match="no species for"):
+        of(spark, [("mouse",)], "x string", text.species_of(F.col("x"), {"human": "H. sapiens"}))

@@ -317,3 +317,90 @@ def test_stream_appends_once(spark, data, tmp_path):
         assert spark.read.parquet(out).count() == 200
     live = stream(spark, str(source), events)
     assert first_only(live, "ts", ["event_id"], "1 hour").isStreaming and sessions(live, "ts", "user_id", "5 minutes", "1 hour").isStreaming
+
+
+def test_contrastive_loss(spark):
+    import math
+
+    df = spark.createDataFrame([(0, 0, "A", [1.0, 0.0]), (0, 1, "A", [1.0, 0.0]), (0, 2, "B", [0.0, 1.0])], "b int, i int, y string, v array<double>")
+    r = metrics.contrastive_loss(df, "b", "i", "y", "v", 1.0).first()
+    assert r.loss == pytest.approx(-math.log(math.e / (math.e + 1))) and (r.n, r.n_valid) == (3, 2)
+
+
+def test_permutation_keeps_each_stratum(spark):
+    from peakloom.operators.interventions import permuted, shuffled_intensities, without_precursor
+
+    df = spark.createDataFrame([(k, k % 3, float(k * k)) for k in range(90)] + [(90, 9, None)], "id int, z int, v double")
+    got = permuted(df, ["z"], "id", "v", "s", batch=10).collect()
+    for z in (0, 1, 2, 9):
+        assert sorted((r.v or 0) for r in got if r.z == z) == sorted((r.permuted or 0) for r in got if r.z == z)
+    assert sum(r.v != r.permuted for r in got) > 80
+    assert without_precursor(df, "v", "z").filter("v <> 0 or z <> 0").count() == 0
+    p = spark.createDataFrame([([(1.0, 5.0), (2.0, 6.0), (3.0, 7.0)],)], "p array<struct<mz:double,intensity:double>>").select(shuffled_intensities(F.col("p"), F.lit("k")).alias("p")).first().p
+    assert [x.mz for x in p] == [1, 2, 3] and sorted(x.intensity for x in p) == [5, 6, 7]
+
+
+def test_prediction_files(spark, tmp_path):
+    from peakloom.sources import predictions as files_
+
+    rows_ = spark.createDataFrame([(0, "b"), (0, "a"), (1, "c")], "canonical_index long, title string")
+    full = rows_.select("canonical_index", *(F.lit(None).cast(t).alias(c) for c, t in (x.strip().rsplit(" ", 1) for x in files_.SCHEMA.split(",")) if c not in ("canonical_index", "title")), "title").select(*[x.strip().split(" ")[0] for x in files_.SCHEMA.split(",")])
+    assert rows(files_.write_predictions(full, str(tmp_path / "a"), 2).select("canonical_index", "title")) == [(0, "a"), (1, "c")]
+    assert files_.read_predictions(spark, str(tmp_path / "a"), 2).count() == 2
+    with pytest.raises(ValueError, match="every index"):
+        files_.write_predictions(full, str(tmp_path / "b"), 3)
+    with pytest.raises(ValueError, match="0 to 0"):
+        files_.read_predictions(spark, str(tmp_path / "a"), 1)
+    index = spark.createDataFrame([(0, 0, 5), (1, 0, 6)], "shard int, local int, canonical int")
+    assert files_.stitched(index.select("shard", "local"), index, "shard", "local", "canonical").count() == 2
+    with pytest.raises(ValueError, match="must be in the index"):
+        files_.stitched(spark.createDataFrame([(3, 3)], "shard int, local int"), index, "shard", "local", "canonical")
+
+
+def test_mztab_is_scored(spark, tmp_path):
+    """Three rows, one without a prediction: precision one third, one null, a curve of area between 0 and 1."""
+    from peakloom.sources.predictions import validate_psms
+
+    psms = spark.createDataFrame([(1, "AG", 0.9), (2, "A", 0.5), (3, None, None)], "PSM_ID int, sequence string, `search_engine_score[1]` double")
+    files.write_mztab(psms.coalesce(1), str(tmp_path / "t"), "test")
+    got = validate_psms(files.read_mztab(spark, str(tmp_path / "t"), one_header=True).withColumn("file", F.lit("t")), "search_engine_score[1]")
+    judged = got.withColumn("ok", (F.col("sequence") == "AG").cast("int")).fillna(0, ["ok"])
+    assert judged.agg(F.avg("ok")).first()[0] == pytest.approx(1 / 3) and judged.filter("score is null").count() == 1
+    assert 0 < metrics.auc_tie_anchored(judged, [], "score", "ok").first()[0] < 1
+    assert metrics.precision_coverage(judged, [], "score", "ok").count() == 3
+    bad = spark.createDataFrame([("f", {"PSM_ID": "1", "sequence": "A", "s": "x", "spectra_ref": ""})], "file string, psm map<string,string>")
+    with pytest.raises(ValueError, match="scores must be"):
+        validate_psms(bad, "s")
+
+
+def test_mzid(spark, tmp_path):
+    import gzip
+
+    item = lambda rank, ok: f'<SpectrumIdentificationItem rank="{rank}" passThreshold="{ok}" peptide_ref="p{rank}" chargeState="2" experimentalMassToCharge="500.5"/>'
+    text_ = f'<a><SpectrumIdentificationResult spectrumID="scan=1">{item(1, "true")}{item(2, "true")}</SpectrumIdentificationResult><SpectrumIdentificationResult spectrumID="scan=2">{item(1, "false")}{item(2, "true")}</SpectrumIdentificationResult></a>'
+    (tmp_path / "r.mzid.gz").write_bytes(gzip.compress(text_.encode()))
+    from peakloom.sources.predictions import read_mzid
+
+    assert rows(read_mzid(spark, str(tmp_path))) == [("scan=1", "p1", 2, 500.5)]
+
+
+def test_publish(spark, tmp_path):
+    from peakloom.sources.predictions import publish
+
+    path = str(tmp_path / "out")
+    publish(spark.range(3), path, lambda df: None)
+    with pytest.raises(FileExistsError):
+        publish(spark.range(4), path, lambda df: None)
+    with pytest.raises(ValueError):
+        publish(spark.range(4), path, lambda df: checks.assert_empty(df, "never"), overwrite=True)
+    assert spark.read.parquet(path).count() == 3
+    publish(spark.range(4), path, lambda df: None, overwrite=True)
+    assert spark.read.parquet(path).count() == 4 and spark.read.parquet(f"{path}.backup").count() == 3
+
+
+def test_files_and_arrays(spark, tmp_path):
+    (tmp_path / "x").write_text("abc")
+    r = files.tree_digest(spark, str(tmp_path)).first()
+    assert r.length == 3 and r.sha256.startswith("ba7816bf")
+    values, sizes = files.flat_arrays(spark.createDataFrame([(1, [5, 6]), (2, [])], "id int, a array<int>"), "id", "a")
+    assert rows(values) == [(1, 0, 5), (1, 1, 6)] and rows(sizes) == [(1, 2), (2, 0)]
