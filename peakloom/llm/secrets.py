@@ -64,8 +64,9 @@ def _of_kind(text: Column, no: int, kind: str) -> Column:
 def fit(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, sample_values: int, sample_docs: int) -> list[float]:
     """Log-likelihood ratios of next characters, (len(ALPHABET) + 1) ** 2 values: random strings against identifiers.
 
-    Labelled samples: at most sample_values distinct secrets of the base patterns, and the tokens of at most
-    sample_docs documents, both those with the smallest hashes; a token that is a secret's value is no identifier.
+    Labelled samples: at most sample_values distinct secrets of the base patterns, as they are and in capitals, and the
+    tokens of at most sample_docs documents, both those with the smallest hashes; a token that is a secret's value is no
+    identifier. How a token begins tells nothing (ratio 0), so that a plain number isn't taken for a random string.
     """
     values = found.select(F.explode("base.value").alias("value")).distinct().orderBy(F.xxhash64("value"), "value").limit(sample_values)
     chosen = docs.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample_docs)
@@ -76,7 +77,8 @@ def fit(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, sample_va
         .agg(F.count(F.lit(1)).alias("n"))
         .join(F.broadcast(values), "value", "left_anti")
     )
-    labelled = values.select("value", F.lit(1).alias("n"), F.lit(1).alias("secret")).union(tokens.select("value", "n", F.lit(0)))
+    both = values.select(F.explode(F.array_distinct(F.array("value", F.upper("value")))).alias("value"))
+    labelled = both.select("value", F.lit(1).alias("n"), F.lit(1).alias("secret")).union(tokens.select("value", "n", F.lit(0)))
     code = f"transform(split(value, ''), c -> instr('{ALPHABET}', c))"
     counts = (
         labelled.select("secret", "n", F.expr(code).alias("c"))
@@ -89,7 +91,8 @@ def fit(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, sample_va
     n = [[[0.5] * k for _ in range(k)] for _ in range(2)]
     for r in counts:
         n[r.secret][r.a][r.b] += r.n
-    return [math.log(n[1][a][b] / sum(n[1][a])) - math.log(n[0][a][b] / sum(n[0][a])) for a in range(k) for b in range(k)]
+    ratio = lambda a, b: math.log(n[1][a][b] / sum(n[1][a])) - math.log(n[0][a][b] / sum(n[0][a]))
+    return [ratio(a, b) if a else 0.0 for a in range(k) for b in range(k)]
 
 
 def scan_secrets(
