@@ -886,3 +886,43 @@ def predictions_round_trip(spark, d):
     index = o.select(F.col("o_orderkey").alias("canonical_index"), F.col("o_orderpriority").alias("known"))
     got = read_predictions(spark, path).select("canonical_index", "predicted_sequence", "peptide_confidence")
     return with_denominator(index, got, "canonical_index", "peptide_confidence").select("canonical_index", F.coalesce("predicted_sequence", "known").alias("predicted_sequence"), F.round("peptide_confidence", 2).alias("peptide_confidence"))
+
+
+@query("""
+    WITH f AS (SELECT DISTINCT 'title' AS kind, unnest(regexp_extract_all(html, '<title>([^<]*)', 1)) AS value FROM pages
+               UNION SELECT DISTINCT 'link', unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) FROM pages
+               UNION SELECT DISTINCT 'number', unnest(regexp_extract_all(html, '([0-9]{4,})', 1)) FROM pages)
+    SELECT kind, value FROM f""")
+def metadata_harvest(spark, d):
+    """Titles, links and long numbers of the pages."""
+    from peakloom.sources.tables import harvest
+
+    return harvest(table(spark, d, "pages"), "html", {"title": "<title>([^<]*)", "link": 'href="([^"]*)"', "number": "([0-9]{4,})"})
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL")
+def partitioned_sink(spark, d):
+    """Lines written by flag and status, and counted from what was written."""
+    from peakloom.plans.scratch import new_folder
+    from peakloom.sources.tables import write_partitioned
+
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_linestatus")
+    return write_partitioned(rows, new_folder(spark, "partitioned"), ["l_returnflag", "l_linestatus"])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE (o_custkey, o_orderstatus) NOT IN (SELECT (o_custkey, o_orderstatus) FROM orders WHERE o_totalprice > 300000)")
+def predicate_delete(spark, d):
+    """Orders without those whose customer and status a large order has."""
+    from peakloom.sources.tables import without_rows
+
+    o = table(spark, d, "orders")
+    return without_rows(o, o.filter("o_totalprice > 300000"), ["o_custkey", "o_orderstatus"]).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT spectrum_id, at, mz FROM (SELECT l_orderkey AS spectrum_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) - 1)::INT AS at, l_extendedprice AS mz FROM lineitem) WHERE spectrum_id IN (SELECT o_orderkey FROM orders)".replace(" at", " pos"))
+def flat_peaks(spark, d):
+    """Ragged arrays as values with their places."""
+    from peakloom.sources.spectra import flat_arrays
+
+    values, _ = flat_arrays(spectra(spark, d).select("spectrum_id", F.transform("peaks", lambda p: p["mz"]).alias("mz")), "spectrum_id", "mz")
+    return values.select("spectrum_id", F.col("at").alias("pos"), F.col("value").alias("mz"))

@@ -404,3 +404,24 @@ def test_files_and_arrays(spark, tmp_path):
     assert r.length == 3 and r.sha256.startswith("ba7816bf")
     values, sizes = files.flat_arrays(spark.createDataFrame([(1, [5, 6]), (2, [])], "id int, a array<int>"), "id", "a")
     assert rows(values) == [(1, 0, 5), (1, 1, 6)] and rows(sizes) == [(1, 2), (2, 0)]
+
+
+def test_tables(spark, tmp_path):
+    import numpy as np
+
+    from peakloom.sources import tables
+
+    df = spark.createDataFrame([(0, "a", None), (1, "b", "x")], "n int, k string, s string")
+    df.write.parquet(str(tmp_path / "t"))
+    assert tables.scan(spark, str(tmp_path / "t"), ["n", "missing", "k"], ["n"], {"k": "key"}).columns == ["n", "key"]
+    with pytest.raises(ValueError, match="lacks"):
+        tables.scan(spark, str(tmp_path / "t"), ["n"], ["other"])
+    assert rows(tables.rows_by_number(df, df.filter("n = 1"), "n", "k").select("n")) == [(1,)]
+    with pytest.raises(ValueError, match="k must agree"):
+        tables.rows_by_number(df, spark.createDataFrame([(1, "z")], "n int, k string"), "n", "k")
+    assert rows(tables.without_rows(df, df.filter("n = 0"), ["s"]).select("n")) == [(1,)]
+    assert rows(tables.without_present(spark.createDataFrame([("/x/a.gz",), ("/y/b.gz",)], "p string"), spark.createDataFrame([("/z/b.gz",)], "p string"), "p")) == [("/x/a.gz",)]
+    np.savez(tmp_path / "v.npz", v=np.eye(2), i=np.array([5, 6]))
+    assert [(r.row, r.id, r.vector) for r in tables.read_arrays(spark, str(tmp_path / "v.npz"), "v", "i").orderBy("row").collect()] == [(0, "5", [1, 0]), (1, "6", [0, 1])]
+    (tmp_path / "m.json").write_text('{"a": 1,\n "b": [2]}')
+    assert tables.read_manifest(spark, str(tmp_path / "m.json")).first().a == 1
