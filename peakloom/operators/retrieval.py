@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from peakloom.functions.vectors import hash_rank, random_hit_chance, unit
 from peakloom.operators.sampling import first_by_group
@@ -66,11 +67,14 @@ def distances(queries: DataFrame, rows: DataFrame, row_id: str, group: str, vect
 
 def ranked_metrics(near: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """(query_id, query_group, n, n_positive, ap, rr, hit and recall at each k, chance of a hit) of queries' neighbours by (distance, id)."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
+    # A query's neighbours are cut by distance; a cut is numbered on its own and starts from the count of those before it.
+    cut = near.withColumn("_cut", F.floor(F.col("distance") * 1024).cast("int"))
+    sizes = cut.groupBy("query_id", "_cut").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("query_id").orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("query_id", "_cut", before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("query_id", "_cut").orderBy("distance", "id"))
     positive = F.col("group") == F.col("query_group")
-    ranked = near.withColumn("rank", F.row_number().over(w)).filter(positive)
+    ranked = cut.withColumn("_own", own).filter(positive).join(offsets, ["query_id", "_cut"]).withColumn("rank", F.col("_before") + F.col("_own"))
     ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     totals = near.groupBy("query_id", "query_group").agg(F.count(F.lit(1)).alias("n"))
     at = [F.sum((F.col("rank") <= k).cast("int")).alias(f"_{k}") for k in ks]

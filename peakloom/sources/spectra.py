@@ -25,8 +25,14 @@ def read_mgf(spark: SparkSession, path: str) -> DataFrame:
     headers = F.filter(lines, lambda x: x.rlike(r"^[A-Za-z_][A-Za-z0-9_]*="))
     peaks = F.filter(lines, lambda x: ~x.rlike(r"^[A-Za-z_][A-Za-z0-9_]*=|^[#;!/]"))
     part = lambda k: F.transform(peaks, lambda x: F.get(F.split(x, r"\s+"), F.lit(k)).try_cast("double"))
+    # Records are numbered in their block of the file; a block starts from the count of those before it.
+    body = body.withColumn("part", F.shiftright("at", 33))
+    sizes = body.groupBy("file", "block", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("file", "block", "part").orderBy("at"))
+    body = body.withColumn("own", own).join(sizes.withColumn("before", before).drop("n"), ["file", "block", "part"]).withColumn("ordinal", F.col("before") + F.col("own") - 1)
     numbered = body.select(
-        "file", (F.row_number().over(Window.partitionBy("file").orderBy("block", "at")) - 1).cast("long").alias("ordinal"), begins.alias("begins"), "value",
+        "file", F.col("ordinal"), begins.alias("begins"), "value",
         F.map_from_entries(F.transform(F.array_distinct(F.transform(headers, lambda h: F.upper(F.substring_index(h, "=", 1)))), lambda k: F.struct(k, F.regexp_replace(F.filter(headers, lambda h: F.upper(F.substring_index(h, "=", 1)) == k)[0], "^[^=]*=", "")))).alias("headers"),
         part(0).alias("mz_array"), part(1).alias("intensity_array"),
     )
