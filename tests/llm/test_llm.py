@@ -416,3 +416,40 @@ def test_pipeline(spark, data):
     assert not any(x[2] for x in leaks)
 
 
+
+
+def test_bpe_stitches_random_texts(spark):
+    import random
+
+    import tiktoken
+
+    rng = random.Random(11)
+    alphabet = ["a", "bc", "'re", "'", " ", "  ", "\n", " \n ", "\t", "12", "é", "𝒳", "!?", "'ll", "ß"]
+    rows = [(k, "".join(rng.choices(alphabet, k=rng.randint(0, 120)))) for k in range(400)] + [(900, "a" * 500 + " b" * 50), (901, " " * 300 + "x"), (902, "\n" * 90 + "'s")]
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(path), special_tokens={})
+    df = spark.createDataFrame(rows, SCHEMA)
+    for chunk, overlap in ((20, 12), (37, 20), (64, 40)):
+        got = {r.doc_id: list(struct.unpack(f"<{len(r.ids) // 4}I", r.ids)) for r in bpe.encode(df, path=path, pattern=public_tokenizers.PATTERN, chunk_chars=chunk, overlap_chars=overlap).collect()}
+        assert got == {i: library.encode_ordinary(t) for i, t in rows}
+
+
+def test_substrings_of_random_texts(spark):
+    import random
+
+    rng = random.Random(12)
+    rows = [(rng.randint(0, 60), " ".join(rng.choices("ab", k=rng.randint(0, 14)))) for _ in range(150)]
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, SCHEMA), n=4, part_bytes=300)
+    same([(r.doc_id, r.substring_dedup.n_words, r.substring_dedup.n_removed, sha(r.text)) for r in got.collect()], brute_substrings(rows, 4))
+
+
+def test_fingerprints_of_random_texts():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.sampled_from(["a", "B", "é", " ", "\n", "\x0b", "\x1c", "zz"]), max_size=400).map("".join))
+    def check(t):
+        assert simhash.fingerprint(t.encode(), 3, 42, xxhash.xxh64_intdigest) == brute_fingerprint(t)
+
+    check()
