@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from peakloom.plans.scratch import new_folder
+from peakloom.session import bounded_batches
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: later work starts there, also after lost executors."""
@@ -44,6 +45,7 @@ def annotate(
     make() runs once a task and returns the function, which gets a slice's texts (UTF-8) and the slice.
     A column of docs that is already named `into` is replaced.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.drop(into) if into in docs.columns else docs
     struct = T._parse_datatype_string(fields)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, struct)])

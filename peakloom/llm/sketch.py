@@ -64,23 +64,31 @@ class Pair:
             yield int(k), pack(self.once[k * per : (k + 1) * per]), pack(self.twice[k * per : (k + 1) * per])
 
 
-def pack(words: np.ndarray) -> bytes:
-    """Gaps between held cells, a byte each (255: go on by 255 and add the next); the plain bits if those are shorter."""
-    held = np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little"))
-    gaps = np.diff(held, prepend=0)
-    ends = np.cumsum(gaps // 255 + 1)
-    if not len(held) or ends[-1] >= UNIT >> 3:
-        return words.tobytes() if len(held) else b""
-    out = np.full(ends[-1], 255, np.uint8)
-    out[ends - 1] = gaps % 255
+def gaps(at: np.ndarray) -> bytes:
+    """Sorted distinct numbers as the gaps between them, a byte each (255: go on by 255 and add the next)."""
+    step = np.diff(at.astype(np.int64), prepend=0)
+    ends = np.cumsum(step // 255 + 1)
+    out = np.full(ends[-1] if len(ends) else 0, 255, np.uint8)
+    out[ends - 1] = step % 255
     return out.tobytes()
 
 
+def from_gaps(data: bytes) -> np.ndarray:
+    step = np.frombuffer(data, np.uint8)
+    return np.cumsum(step, dtype=np.int64)[step < 255]
+
+
+def pack(words: np.ndarray) -> bytes:
+    """A unit's held cells as gaps, or its plain bits if those are shorter."""
+    data = gaps(np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little")))
+    return data if len(data) < UNIT >> 3 else words.tobytes()
+
+
 def unpack(data: bytes) -> np.ndarray:
     if len(data) == UNIT >> 3:
         return np.frombuffer(data, np.uint64).copy()
-    gaps, flags = np.frombuffer(data, np.uint8), np.zeros(UNIT, np.uint8)
-    flags[np.cumsum(gaps, dtype=np.int64)[gaps < 255]] = 1
+    flags = np.zeros(UNIT, np.uint8)
+    flags[from_gaps(data)] = 1
     return np.packbits(flags, bitorder="little").view(np.uint64)
 
 

@@ -25,8 +25,10 @@ EDGES = np.array([-1.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0])
 CLASSES = len(EDGES) + 1
 NEUTRAL = int(np.searchsorted(EDGES, 0.0))
 #: At most so many tokens are in work at once, besides one text.
-MOST_TOKENS = 2_000_000
-MOST_WORDS = 300_000
+MOST_TOKENS = 1_000_000
+#: And where all of a token's weights are in work.
+MOST_TRAINED = 250_000
+MOST_WORDS = 100_000
 
 
 def tokens(text: bytes | None) -> list[str]:
@@ -135,6 +137,20 @@ def tagged(texts: list[bytes | None], model: Model) -> Iterator[tuple[list[int],
             held, flat, lengths = [], [], []
 
 
+def chunked(batch: pa.RecordBatch, most: int) -> Iterator[tuple[list[np.ndarray], list[int]]]:
+    """Evidence classes and labels of a batch's texts, as many texts at a time as have about `most` tokens."""
+    held, ys, n = [], [], 0
+    for c, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        held.append(np.frombuffer(c, np.uint8).astype(np.int64))
+        ys.append(y)
+        n += len(c)
+        if n >= most:
+            yield held, ys
+            held, ys, n = [], [], 0
+    if held:
+        yield held, ys
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, rounds: int = 12, partitions: int = 24) -> Model:
     """Trains on at most most_rows labelled rows, those with the smallest hashes of their ids; give no held-out rows.
 
@@ -196,9 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             g = np.zeros(CLASSES + 5)
-            for b in batches:
-                pairs = [(np.frombuffer(c, np.uint8).astype(np.int64), y) for c, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if c]
-                flat, ys = zip(*pairs) if pairs else ((), ())
+            for flat, ys in (x for b in batches for x in chunked(b, MOST_TRAINED)):
+                flat, ys = [c for c in flat if len(c)], [y for c, y in zip(flat, ys) if len(c)]
                 if not flat:
                     continue
                 n, c = np.array([len(f) for f in flat]), np.concatenate(flat)
@@ -232,11 +247,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     model = Model(classes, theta[:CLASSES], theta[CLASSES : CLASSES + 4].reshape(2, 2), theta[-1], np.zeros(4))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat = [np.frombuffer(c, np.uint8).astype(np.int64) for c in b.column(0).to_pylist()]
+        for flat, ys in (x for b in batches for x in chunked(b, MOST_TOKENS)):
             n = np.array([len(c) for c in flat])
             odds = forward_backward(np.concatenate(flat), n, model.emission, model.change, model.start)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(features(odds, n).tolist(), pa.list_(pa.float64())), b.column(1)], names=["f", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(features(odds, n).tolist(), pa.list_(pa.float64())), pa.array(ys, pa.int32())], names=["f", "y"])
 
     rows = seen_classes.mapInArrow(scored, "f array<double>, y int").collect()  # at most most_rows rows of four numbers
     x, y = np.array([[1.0, *r.f] for r in rows]), np.array([r.y for r in rows], float)
