@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from peakloom.llm.shared import annotate, new_folder
+from peakloom.llm.shared import annotate, new_folder, saved
 
-MOST_WORDS = 500_000
+MOST_WORDS = 200_000
 CACHE = "tokenizer string, digest binary, n_bytes long, n_tokens long"
 
 
@@ -120,15 +120,11 @@ def count_tokens(
     encoded = annotate(distinct, "text", "c", "n_tokens long", make)
     encoded.select(F.lit(version).alias("tokenizer"), "digest", "n_bytes", "c.n_tokens").write.mode("append").parquet(cache_path)
 
-    # Equal rows of two concurrent appends are one; a content's count meets its documents under a salt.
-    salts = 16
-    counts = (
-        spark.read.schema(CACHE).parquet(cache_path).filter(F.col("tokenizer") == version)
-        .groupBy("digest", "n_bytes").agg(F.max("n_tokens").alias("n_tokens"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
+    # Equal rows of two concurrent appends are one. Both sides of the join are plain scans, so that Spark can split a
+    # content that very many documents share.
+    counts = saved(spark.read.schema(CACHE).parquet(cache_path).filter(F.col("tokenizer") == version).groupBy("digest", "n_bytes").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return (
-        content.select("id", "digest", "n_bytes", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-        .join(counts, ["digest", "n_bytes", "salt"])
+        content.select("id", "digest", "n_bytes")
+        .join(counts, ["digest", "n_bytes"])
         .select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )
