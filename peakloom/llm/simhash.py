@@ -133,7 +133,6 @@ def near_duplicates(
     roots = components(links(nodes.select("fp"), distance, blocks, pair_bucket)).select(F.col("node").alias("fp"), "root")
     linked = nodes.join(roots, "fp")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    # Rows meet their fingerprint's component under a salt, as one fingerprint may hold a large share of them.
-    salts = 16
-    spread = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return prints.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(spread, ["fp", "salt"]).select(F.col("id").alias(id_col), "fp", "component_id")
+    # Both sides of the last join are plain scans, so that Spark can split a fingerprint that very many rows share.
+    every = saved(nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "components")
+    return prints.join(every, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
