@@ -1,0 +1,147 @@
+"""Near copies by exact shingle similarity: sets of n-word shingles whose Jaccard similarity is at least a threshold.
+
+Over any one order of all shingles, two sets that are similar enough share one of the first |x| - ceil(t |x|) + 1 of
+each (prefix filter), so sets that meet on a shingle of their prefixes are all candidates; nothing is left to chance.
+Shingles that fill a bucket go to the end of the order, which changes cost only. Members of a bucket that is still full
+are first compared with one of them, and pairs that these links already connect are not compared again.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from peakloom.llm.shared import annotate, saved
+from peakloom.llm.simhash import components
+
+#: Codes of ordinary shingles are below, those of shingles at the end of the order from here on.
+LAST = 1 << 62
+
+
+def codes(text: bytes | None, n: int, seed: int, late: np.ndarray, ranks: np.ndarray, xxh64) -> np.ndarray:
+    """A text's distinct shingles as ascending numbers; `late` ascends and holds codes that go to the end by rank."""
+    w = (text or b"").lower().split()
+    if not w:
+        return np.zeros(0, np.int64)
+    m = max(1, len(w) - n + 1)
+    parts = [w[i : i + m] for i in range(min(n, len(w)))]
+    h = np.array([xxh64(x, seed) for x in map(b" ".join, zip(*parts))], np.uint64)
+    c = np.unique((h >> np.uint64(2)).view(np.int64))
+    if len(late):
+        at = np.minimum(np.searchsorted(late, c), len(late) - 1)
+        c = np.sort(np.where(late[at] == c, LAST + ranks[at], c))
+    return c
+
+
+def coded(docs: DataFrame, n: int, seed: int, percent: int, late: list[int], whole: bool) -> DataFrame:
+    """docs (id, text) as id, sig (of all codes), n and codes: all of them or the prefix."""
+
+    def make():
+        import xxhash
+
+        order = np.argsort(np.array(late, np.int64), kind="stable")
+        ascending, ranks = np.array(late, np.int64)[order], order.astype(np.int64)
+
+        def of(texts: list[bytes | None], _: pa.RecordBatch) -> list[tuple]:
+            out = []
+            for t in texts:
+                c = codes(t, n, seed, ascending, ranks, xxhash.xxh64_intdigest)
+                k = len(c)
+                out.append((xxhash.xxh3_128_hexdigest(c.tobytes()), k, c if whole else c[: k + 1 + -k * percent // 100] if k else c))
+            return [(s, k, c.tolist()) for s, k, c in out]
+
+        return of
+
+    return annotate(docs, "text", "c", "sig string, n int, codes array<bigint>", make).select("id", "c.sig", "c.n", "c.codes")
+
+
+def similar(both: object, a: object, b: object, percent: int):
+    """Whether `both` common shingles of a and b make at least percent of the union."""
+    return both * (100 + percent) >= (a + b) * percent
+
+
+def near_copies(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    n: int = 5,
+    seed: int = 42,
+    percent: int = 80,
+    full_bucket: int = 64,
+    most_reorders: int = 2,
+    most_late: int = 200_000,
+) -> DataFrame:
+    """One row for each row of docs: id_col and component_id, the smallest id that links reach, its own included.
+
+    All pairs whose n-word shingle sets have Jaccard similarity of percent / 100 or more are linked. Words as in
+    simhash.fingerprints; a text of fewer words is one shingle; texts without words are copies of each other.
+    most_reorders and most_late bound what goes to the end of the order: cost, not results.
+    """
+    if not 0 < percent <= 100:
+        raise ValueError("percent is above 0 and at most 100")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    late: list[int] = []
+    for turn in range(most_reorders + 1):
+        prints = saved(coded(texts, n, seed, percent, late, False), "prefixes")
+        sets = prints.groupBy("sig").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("codes").alias("codes"))
+        sets = saved(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+        posts = sets.select("node", "n", F.posexplode("codes").alias("pos", "code"))
+        sizes = posts.groupBy("code").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        shared = saved(posts.join(sizes, "code"), "shared")
+        if turn == most_reorders:
+            break
+        # The most frequent at the very end.
+        more = shared.filter((F.col("size") > full_bucket) & (F.col("code") < LAST)).select("code", "size").distinct().orderBy(F.desc("size"), "code").limit(most_late).collect()
+        if not more or len(late) + len(more) > most_late:
+            break
+        late = [r.code for r in reversed(more)] + late
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose whole sets are similar."""
+        pairs = saved(pairs, "candidates")
+        nodes = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "sig", F.col("least").alias("id")), "node"), "nodes")
+        # Of the rows of an id those with the set's own signature count; null ids are equal here.
+        ids = nodes.select(F.col("id").alias("wanted")).distinct()
+        found = texts.join(ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").dropDuplicates(["id", "text"])
+        whole = coded(found, n, seed, percent, late, True).select("id", "sig", "n", "codes").alias("w")
+        whole = whole.join(nodes.alias("k"), (F.col("w.sig") == F.col("k.sig")) & F.col("w.id").eqNullSafe(F.col("k.id"))).select("node", "w.n", "w.codes")
+        # Texts of one id that differ in case or spaces only share a set.
+        whole = saved(whole.dropDuplicates(["node"]), "whole")
+        side = lambda c: whole.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("codes").alias(f"codes_{c}"))
+        full = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+        return saved(full.filter(similar(F.size(F.array_intersect("codes_a", "codes_b")), F.col("n_a"), F.col("n_b"), percent)).select("a", "b"), "links")
+
+    # Full buckets: each member meets the smallest of its length band.
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) or 1.0)) if percent < 100 else F.col("n")
+    full = shared.filter(F.col("size") > full_bucket).withColumn("band", band)
+    first = full.groupBy("code", "band").agg(F.min("node").alias("a"))
+    star = full.join(first, ["code", "band"]).filter("a < node").select("a", F.col("node").alias("b")).distinct()
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("codes").alias(f"codes_{c}"))
+    mu = F.least(F.element_at("codes_a", -1), F.element_at("codes_b", -1))
+    star = star.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", F.filter("codes_a", lambda x: x <= mu).alias("x"), F.filter("codes_b", lambda x: x <= mu).alias("y"))
+    most = F.size(F.array_intersect("x", "y")) + F.least(F.col("n_a") - F.size("x"), F.col("n_b") - F.size("y"))
+    linked = verified(star.filter(similar(most, F.col("n_a"), F.col("n_b"), percent)).select("a", "b"))
+    roots = components(linked).select("node", "root")
+    members = saved(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
+
+    # All other pairs. Beyond the last shared shingle of two prefixes at most the rest of either set is shared.
+    side = lambda c: members.select("code", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("pos").alias(f"pos_{c}"), F.col("root").alias(f"root_{c}"), "size")
+    columns = ["a", "b", "n_a", "n_b", "pos_a", "pos_b"]
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    small = F.col("size") <= full_bucket
+    met = side("a").filter(small).join(side("b").filter(small).drop("size"), "code").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near).select(columns)
+    groups = members.filter(~small).select("code", "root").distinct()
+    couples = groups.withColumnRenamed("root", "root_a").join(groups.withColumnRenamed("root", "root_b"), "code").filter("root_a < root_b")
+    far = couples.join(side("a").drop("size"), ["code", "root_a"]).join(side("b").drop("size"), ["code", "root_b"]).filter(near)
+    turned = F.col("a") > F.col("b")
+    far = far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *(F.when(turned, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}") for c in ("n", "pos") for x, y in ("ab", "ba")))
+    counted = met.union(far.select(columns)).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"), F.max("pos_a").alias("i"), F.max("pos_b").alias("j"))
+    most = F.col("c") + F.least(F.col("n_a") - F.col("i") - 1, F.col("n_b") - F.col("j") - 1)
+    linked = linked.union(verified(counted.filter(similar(most, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")))
+    roots = components(linked)
+    named = sets.select("node", "sig", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    every = saved(named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "component_id"), "components")
+    return prints.join(every, "sig").select(F.col("id").alias(id_col), "component_id")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from peakloom.llm import bpe, decontaminate, exact_dedup, line_dedup, queries, secrets, sharding, simhash, substring_dedup, token_counts, toxicity
+from peakloom.llm import bpe, decontaminate, exact_dedup, line_dedup, near_copies, queries, secrets, sharding, simhash, substring_dedup, token_counts, toxicity
 
 SPACE = " \t\n\x0b\x0c\r"
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
@@ -291,6 +291,62 @@ def test_simhash(docs, odd, empty, bucket):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [64, 2])
+def test_near_copies(spark, docs, odd, empty, bucket):
+    import random
+
+    rng = random.Random(5)
+    made = []
+    for k in range(12):
+        base = [rng.choice("abcdefghij") * rng.randint(1, 3) + str(rng.randint(0, 99)) for _ in range(rng.choice([30, 90, 200]))]
+        made.append((1000 + 10 * k, " ".join(base)))
+        for c in range(1, 8):
+            w = list(base)
+            for _ in range(rng.randint(1, 4) * len(w) // 200 + 1):
+                w[rng.randrange(len(w))] = f"new{rng.random()}"
+            made.append((1000 + 10 * k + c, " ".join(w)))
+    common = " ".join(f"shared{i}" for i in range(40))
+    made += [(3000 + k, common + " " + " ".join(f"own{k}x{i}" for i in range(rng.randint(5, 30)))) for k in range(30)]
+    crowds = spark.createDataFrame(made, SCHEMA)
+    for df, rows in zip((docs, odd, crowds), both(docs, odd) + [made]):
+        grams = []
+        for _, t in rows:
+            w = lower(t or "").encode().split()
+            grams.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+        names = sorted(set(grams), key=hash)
+        root = {g: g for g in names}
+
+        def find(g):
+            while root[g] != g:
+                g = root[g]
+            return g
+
+        close = 0
+        for i, a in enumerate(names):
+            for b in names[:i]:
+                if 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                    root[find(a)], close = find(b), close + 1
+        least = {}
+        for (i, _), g in zip(rows, grams):
+            k = find(g)
+            least[k] = i if least.get(k) is None else least[k] if i is None else min(i, least[k])
+        got = near_copies.near_copies(df, full_bucket=bucket).collect()
+        same([(r.doc_id, r.component_id) for r in got], [(i, least[find(g)]) for (i, _), g in zip(rows, grams)])
+    assert close > 20 and near_copies.near_copies(empty).count() == 0
+
+
+def test_pipeline_drops_similar_texts_with_distant_fingerprints(spark):
+    """Two words of 120 differ: similarity is above 0.8, but the fingerprints are more than two bits apart."""
+    from corpus_pipeline import drop_near_copies
+
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(words), " ".join("other" if i in (40, 80) else w for i, w in enumerate(words))]
+    a, b = (simhash.fingerprint(t.encode(), 3, 42, xxhash.xxh64_intdigest) for t in texts)
+    assert (a ^ b).bit_count() > 2
+    df = spark.createDataFrame([(k + 1, t) for k, t in enumerate([*texts, "quite another text of some words"])], SCHEMA)
+    assert sorted(r.doc_id for r in drop_near_copies(spark, df, "").collect()) == [1, 3]
+
+
 @pytest.mark.parametrize("bucket", [64, 2])
 def test_simhash_links_chains_and_crowds(spark, bucket):
     import random
