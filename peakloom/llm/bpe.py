@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from peakloom.llm.shared import annotate, free_name, saved
+from peakloom.llm.shared import annotate, free_name, saved, without
 
 #: Characters that a pre-token's end may depend on beyond it.
 AHEAD = 8
@@ -79,7 +79,7 @@ def encode(
     replaced. Texts up to chunk_chars are one piece; if a chunk and the next one don't resynchronise in their overlap,
     the text's rest is one piece.
     """
-    docs = docs.drop(into) if into in docs.columns else docs
+    docs = without(docs, into)
     long = F.length(F.coalesce(text_col, F.lit(""))) > chunk_chars
     short = docs.filter(~long)
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.llm import sketch
-from peakloom.llm.shared import annotate, free_name, saved, total_bytes
+from peakloom.llm.shared import annotate, free_name, saved, total_bytes, without
 
 SPACE = b" \t\n\x0b\x0c\r"
 HASH_ROWS = 2
@@ -50,7 +50,7 @@ def dedup_lines(
     if keep not in ("none", "first"):
         raise ValueError("keep is 'none' or 'first'")
     spark = docs.sparkSession
-    docs = docs.drop(into) if into in docs.columns else docs
+    docs = without(docs, into)
     texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     bits = sketch.bits_for(total_bytes(docs, text_col) / bytes_per_line, 8, max_filter_bits)
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from peakloom.plans.scratch import new_folder
 from peakloom.session import bounded_batches
 
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: later work starts there, also after lost executors."""
     spark = df.sparkSession
@@ -24,6 +25,20 @@ def total_bytes(docs: DataFrame, text_col: str) -> int:
     return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
+def without(df: DataFrame, name: str) -> DataFrame:
+    """df without the column of that name; case doesn't tell names apart, as in Spark."""
+    return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()])
+
+
+def meet(rows: DataFrame, groups: DataFrame, keys: list[str], salt: str) -> DataFrame:
+    """The inner join of rows with groups, which has one row for each key.
+
+    A hot key's rows are dealt by their column `salt`, too: groups meet the few distinct (key, salt), then these meet
+    the rows, so that no task gets all rows of a key.
+    """
+    return rows.join(rows.select(*keys, salt).distinct().join(groups, keys), [*keys, salt])
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -46,7 +61,7 @@ def annotate(
     A column of docs that is already named `into` is replaced.
     """
     bounded_batches(docs.sparkSession)
-    docs = docs.drop(into) if into in docs.columns else docs
+    docs = without(docs, into)
     struct = T._parse_datatype_string(fields)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, struct)])
     names, text_at = [f.name for f in struct.fields], docs.columns.index(text_col)

@@ -1,8 +1,11 @@
 """SimHash near-dedup by pigeonhole blocks.
 
-Fingerprints at most `distance` bits apart differ in at most `distance` of the blocks, so they agree in all of some
-choice of the others: they are joined on those, then the Hamming distance is verified. Buckets that are too full for pairs use another
+Fingerprints at most two bits apart differ in at most two of the blocks, so they agree in all of some choice of the
+others: they are joined on those, then the Hamming distance is verified. Buckets that are too full for pairs use another
 exact way: each member names the fingerprints one bit away, and members that name the same one are two bits apart at most.
+
+No 64-bit fingerprint can tell a Jaccard similarity of 0.8: texts as alike are up to 14 bits apart. Where `percent` asks
+for a similarity, the fingerprint is the shingle set itself, one bit a shingle (see shingle_sets).
 """
 
 from __future__ import annotations
@@ -14,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.shared import annotate, saved
+from peakloom.llm import shingle_sets
+from peakloom.llm.components import SALTS, components, named_components
+from peakloom.llm.shared import annotate, meet, saved
 
 #: Bits of each of the 256 byte values, most significant first.
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1).astype(np.int64)
@@ -56,31 +61,31 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text", n: int = 3, seed: i
 
 
 def links(prints: DataFrame, distance: int, blocks: int, pair_bucket: int) -> DataFrame:
-    """(a, b): links that connect all distinct fingerprints (column fp, one row each) up to `distance` bits apart.
+    """(a, b): links that connect all distinct fingerprints (column fp, one row each) up to two bits apart.
 
-    Not every pair is given: in a bucket of more than pair_bucket members (for distance up to 2), members are linked
-    through the fingerprints that lie a bit from both.
+    Not every pair is given: in a bucket of more than pair_bucket members, members are linked through the fingerprints
+    that lie a bit from both. That way is exact for distance 2 only.
     """
+    if distance != 2 or not 2 < blocks <= 16:
+        raise ValueError("the distance is 2, and there are 3 to 16 blocks")
     edges = [64 * k // blocks for k in range(blocks + 1)]
     keys = []
-    for no, chosen in enumerate(combinations(range(blocks), blocks - distance)):
+    for no, chosen in enumerate(combinations(range(blocks), blocks - 2)):
         mask = sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in chosen)
         mask -= (mask >= 1 << 63) << 64
         keys.append(F.struct(F.lit(no).alias("no"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key")))
-    keyed = prints.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.no", "k.key")
+    keyed = prints.select("fp", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt"), F.explode(F.array(*keys)).alias("k")).select("fp", "salt", "k.no", "k.key")
     # A bucket of one member links nothing, so only shared keys go on.
-    sizes = keyed.groupBy("no", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = saved(keyed.join(sizes, ["no", "key"]), "buckets")
-    few = shared.filter(F.col("n") <= pair_bucket) if distance <= 2 else shared
+    sizes = saved(keyed.groupBy("no", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    shared = saved(meet(keyed, sizes, ["no", "key"], "salt"), "buckets")
+    few = shared.filter(F.col("n") <= pair_bucket)
     pairs = (
         few.select("no", "key", F.col("fp").alias("a"))
         .join(few.select("no", "key", F.col("fp").alias("b")), ["no", "key"])
-        .filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
+        .filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2))
         .select("a", "b")
     )
-    if distance > 2:
-        return pairs.distinct()
-    # distance 1: a fingerprint is named by itself and by what it names; two are then at most 2 apart, so pairs are verified below.
+    # A fingerprint also names itself, so that neighbours one bit apart meet.
     many = shared.filter(F.col("n") > pair_bucket).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << k) - ((k == 63) << 64)).cast("long") for k in range(64)))
     named = many.select("fp", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("near"))
@@ -88,28 +93,6 @@ def links(prints: DataFrame, distance: int, blocks: int, pair_bucket: int) -> Da
     return pairs.union(named.join(hubs, "near").filter("a < fp").select("a", F.col("fp").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node that each node of the edges (a, b) reaches. Alternating large and small stars."""
-    now = saved(edges.select("a", "b"), "edges")
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.select("a", "b").union(e.select(F.col("b"), F.col("a"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        joined = both.join(least, "a")
-        if large:
-            return joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        return joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.filter("a <> m").select("a", F.col("m").alias("b"))).distinct()
-
-    checksum = None
-    for _ in range(most_rounds):
-        now = saved(star(star(now, True), False), "edges")
-        r = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (r.n, r.h) == checksum:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
-        checksum = (r.n, r.h)
-    raise RuntimeError("the stars did not settle")
-
-
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -120,19 +103,22 @@ def near_duplicates(
     distance: int = 2,
     blocks: int = 5,
     pair_bucket: int = 64,
+    percent: int | None = None,
 ) -> DataFrame:
-    """One row for each row of docs: id_col, fp long, component_id (the smallest id that links reach, its own included).
+    """One row for each row of docs: id_col, fp, component_id (the smallest id that links reach, its own included).
+
+    Fingerprints (long) link at two or fewer differing bits. With percent, texts link instead if their sets of n-word
+    shingles have a Jaccard similarity of percent / 100 or more, and fp is the set's digest (string).
 
-    Texts without words have fingerprint zero and are linked like any other. Repeated rows and equal fingerprints are
-    one node; null ids count as larger than all others. Other columns of docs are ignored; empty input, empty result.
+    Texts without words have the same fingerprint and are linked like any other. Repeated rows and equal fingerprints
+    are one node; null ids count as larger than all others. Other columns of docs are ignored; empty input, empty result.
     """
-    if not 1 < distance < blocks:
-        raise ValueError("distance is 2 or more and below the number of blocks")
-    prints = saved(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), text_col="text", n=n, seed=seed).select("id", "fp"), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(nodes.select("fp"), distance, blocks, pair_bucket)).select(F.col("node").alias("fp"), "root")
-    linked = nodes.join(roots, "fp")
-    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    # Both sides of the last join are plain scans, so that Spark can split a fingerprint that very many rows share.
-    every = saved(nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "components")
-    return prints.join(every, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("run"))
+    if percent is not None:
+        prints, nodes, edges = shingle_sets.similar(texts, n=n, seed=seed, percent=percent, pair_bucket=pair_bucket)
+        every = named_components(nodes, edges, "node").join(nodes.select("node", "fp"), "node").select("fp", "component_id")
+    else:
+        prints = saved(fingerprints(texts, text_col="text", n=n, seed=seed).select("id", "run", "fp"), "fingerprints")
+        nodes = saved(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+        every = named_components(nodes, links(nodes.select("fp"), distance, blocks, pair_bucket), "fp")
+    return meet(prints.select("id", "run", "fp"), saved(every, "components"), ["fp"], "run").select(F.col("id").alias(id_col), "fp", "component_id")

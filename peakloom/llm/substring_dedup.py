@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from peakloom.llm import sketch
-from peakloom.llm.shared import free_name, slices, total_bytes
+from peakloom.llm.shared import free_name, slices, total_bytes, without
 
 HASH_ROWS = 2
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -111,7 +111,7 @@ def dedup_substrings(
     if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
         raise ValueError(f"{id_col} must be an integer column")
     spark = docs.sparkSession
-    docs = docs.drop(into) if into in docs.columns else docs
+    docs = without(docs, into)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     part_col = free_name(docs, "part")
     size = total_bytes(docs, text_col)

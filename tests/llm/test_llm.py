@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from peakloom.llm import bpe, decontaminate, exact_dedup, line_dedup, near_copies, queries, secrets, sharding, simhash, substring_dedup, token_counts, toxicity
+from peakloom.llm import bpe, decontaminate, exact_dedup, line_dedup, queries, secrets, sharding, simhash, substring_dedup, token_counts, toxicity
 
 SPACE = " \t\n\x0b\x0c\r"
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
@@ -330,9 +330,9 @@ def test_near_copies(spark, docs, odd, empty, bucket):
         for (i, _), g in zip(rows, grams):
             k = find(g)
             least[k] = i if least.get(k) is None else least[k] if i is None else min(i, least[k])
-        got = near_copies.near_copies(df, full_bucket=bucket).collect()
+        got = simhash.near_duplicates(df, n=5, percent=80, pair_bucket=bucket).collect()
         same([(r.doc_id, r.component_id) for r in got], [(i, least[find(g)]) for (i, _), g in zip(rows, grams)])
-    assert close > 20 and near_copies.near_copies(empty).count() == 0
+    assert close > 20 and simhash.near_duplicates(empty, n=5, percent=80).count() == 0
 
 
 def test_pipeline_drops_similar_texts_with_distant_fingerprints(spark):
