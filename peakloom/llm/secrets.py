@@ -9,6 +9,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from peakloom.llm.shared import saved
 
@@ -25,57 +26,55 @@ IDENTIFIER = r"[A-Za-z0-9+/_=-]{4,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
-def located(text: Column, pattern: str, group: int = 0) -> Column:
-    """Non-overlapping matches, leftmost first: array of (start, end, value), code points, end exclusive.
+def matches(text: Column, no: int, pattern: str, group: int = 0) -> Column:
+    """Non-overlapping matches, leftmost first: array of (kind_no, no, step, n, value).
 
-    What stands between matches, and the matches, add up to each match's place.
+    n is a match's length, step adds what stands between it and the one before: running sums of steps are the ends.
     """
     p = F.lit(pattern)
     found = F.regexp_extract_all(text, p, F.lit(0))
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    gaps = F.slice(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)), 1, F.size(found))
     value = F.regexp_extract_all(text, p, F.lit(group)) if group else found
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    walk = F.aggregate(
-        F.arrays_zip(found.alias("m"), value.alias("v"), F.slice(between, 1, F.size(found)).alias("gap")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"), x["v"].alias("value")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
+    each = F.transform(
+        F.arrays_zip(gaps.alias("gap"), F.transform(found, lambda x: F.length(x)).alias("n"), value.alias("value")),
+        lambda x, i: F.struct(F.lit(no).alias("kind_no"), i.alias("no"), (x["gap"] + x["n"]).alias("step"), x["n"].alias("n"), x["value"].alias("value")),
     )
-    return F.when(text.rlike(pattern), walk).otherwise(empty)
+    return F.when(text.rlike(pattern), each).otherwise(F.array().cast("array<struct<kind_no:int,no:int,step:int,n:int,value:string>>"))
 
 
-def base_spans(text: Column) -> Column:
-    """array of (start, kind_no, kind, end, value), by start, then kind as listed."""
-    return F.array_sort(F.concat(*(_of_kind(text, no, kind) for no, kind in enumerate(KINDS))))
+def located(found: DataFrame) -> DataFrame:
+    """found (row_no, matches) as rows (row_no, kind_no, start, end, value): base spans, and tokens that none overlaps.
 
-
-def _of_kind(text: Column, no: int, kind: str) -> Column:
-    pattern, group, least = KINDS[kind]
-    hits = located(text, HEX_RUN if kind == "hex" else pattern, group)
-    return F.transform(
-        F.filter(hits, lambda x: F.length(x["value"]) >= least),
-        lambda x: F.struct(x["start"].alias("start"), F.lit(no).alias("kind_no"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["value"].alias("value")),
-    )
-
-
-def fit(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, sample_values: int, sample_docs: int) -> list[float]:
+    Windows by document: the ends are running sums, and a token is free if no base span before it ends, and none from it
+    on starts, inside.
+    """
+    rows = found.select("row_no", F.explode("matches").alias("m")).repartition("row_no").select("row_no", "m.*")
+    ends = rows.withColumn("end", F.sum("step").over(Window.partitionBy("row_no", "kind_no").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    base = F.col("kind_no") < len(KINDS)
+    long = F.lit(False)
+    for no, (_, _, least) in enumerate(KINDS.values()):
+        long |= (F.col("kind_no") == no) & (F.length("value") >= least)
+    kept = ends.withColumn("start", F.col("end") - F.col("n")).filter(long | ~base)
+    # At one start base spans come first. Frames that begin at the first row take a step a row.
+    order = lambda *by: Window.partitionBy("row_no").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.max(F.when(base, F.col("end"))).over(order("start", "kind_no"))
+    after = F.min(F.when(base, F.col("start"))).over(order(F.desc("start"), F.desc("kind_no")))
+    free = base | ((F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end")))
+    return kept.withColumns({"before": before, "after": after}).filter(free).select("row_no", "kind_no", "start", "end", "value")
+
+
+def fit(values: DataFrame, docs: DataFrame, text_col: str) -> list[float]:
     """Log-likelihood ratios of next characters, (len(ALPHABET) + 1) ** 2 values: random strings against identifiers.
 
-    Labelled samples: at most sample_values distinct secrets of the base patterns, as they are and in capitals, and the
-    tokens of at most sample_docs documents, both those with the smallest hashes; a token that is a secret's value is no
-    identifier. How a token begins tells nothing (ratio 0), so that a plain number isn't taken for a random string.
+    Labelled samples, from all documents: the distinct secrets of the base patterns, as they are and in capitals, and
+    all other tokens, as often as they occur; a secret's value (column value, distinct) is no identifier. How a token begins tells nothing
+    (ratio 0), so that a plain number isn't taken for a random string.
     """
-    values = found.select(F.explode("base.value").alias("value")).distinct().orderBy(F.xxhash64("value"), "value").limit(sample_values)
-    chosen = docs.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample_docs)
     tokens = (
-        docs.join(F.broadcast(chosen), id_col, "left_semi")
-        .select(F.explode(F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(IDENTIFIER), F.lit(0))).alias("value"))
+        docs.select(F.explode(F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(IDENTIFIER), F.lit(0))).alias("value"))
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("n"))
-        .join(F.broadcast(values), "value", "left_anti")
+        .join(values, "value", "left_anti")
     )
     both = values.select(F.explode(F.array_distinct(F.array("value", F.upper("value")))).alias("value"))
     labelled = both.select("value", F.lit(1).alias("n"), F.lit(1).alias("secret")).union(tokens.select("value", "n", F.lit(0)))
@@ -100,8 +99,6 @@ def scan_secrets(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    sample_values: int = 20_000,
-    sample_docs: int = 2_000,
     least_ratio: float = 0.25,
 ) -> DataFrame:
     """One row for each row of docs: id_col, base and added spans: arrays of (start, kind, end, value), in order.
@@ -112,39 +109,33 @@ def scan_secrets(
     trained and nothing is added. Other columns of docs are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = saved(
-        docs.select(F.col(id_col), base_spans(text).alias("base"), located(text, TOKEN).alias("tokens")).withColumn(
-            "tokens",
-            F.filter(
-                F.col("tokens"),
-                lambda t: ~F.exists(F.col("base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
-            ),
-        ),
-        "secret-spans",
-    )
-    nothing = F.array().cast("array<struct<start:int,kind_no:int,kind:string,end:int,value:string>>")
-    if found.filter(F.size("base") > 0).isEmpty():
-        added = nothing
+    patterns = [(HEX_RUN if kind == "hex" else pattern, group) for kind, (pattern, group, _) in KINDS.items()] + [(TOKEN, 0)]
+    found = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row_no"), F.concat(*(matches(text, no, *p) for no, p in enumerate(patterns))).alias("matches"))
+    found = saved(found, "secret-matches")
+    spans = saved(located(found), "secret-spans")
+    base = F.col("kind_no") < len(KINDS)
+    values = saved(spans.filter(base).select("value").distinct(), "secret-values")
+    if values.isEmpty():
+        kept = spans.filter(base)
     else:
-        ratios = fit(found, docs, id_col, text_col, sample_values, sample_docs)
-        table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
+        table = F.split(F.lit(",".join(f"{x:.6f}" for x in fit(values, docs, text_col))), ",").cast("array<double>")
         k = len(ALPHABET) + 1
-
-        def ratio(value: Column) -> Column:
-            codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-            total = F.aggregate(
-                codes,
-                F.struct(F.lit(0).alias("prev"), F.lit(0.0).alias("sum")),
-                lambda acc, c: F.struct(c.alias("prev"), (acc["sum"] + F.get(table, acc["prev"] * k + c)).alias("sum")),
-                lambda acc: acc["sum"],
-            )
-            return total / F.length(value)
-
-        added = F.transform(
-            F.filter(F.col("tokens"), lambda t: ratio(t["value"]) >= least_ratio),
-            lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("kind_no"), F.lit("random").alias("kind"), t["end"].alias("end"), t["value"].alias("value")),
+        codes = F.transform(F.split("value", ""), lambda c: F.instr(F.lit(ALPHABET), c))
+        total = F.aggregate(
+            codes,
+            F.struct(F.lit(0).alias("prev"), F.lit(0.0).alias("sum")),
+            lambda acc, c: F.struct(c.alias("prev"), (acc["sum"] + F.get(table, acc["prev"] * k + c)).alias("sum")),
+            lambda acc: acc["sum"],
         )
-    return found.select(id_col, "base", added.alias("added"))
+        kept = spans.filter(base | (total / F.length("value") >= least_ratio))
+    kind = F.element_at(F.array(*map(F.lit, [*KINDS, "random"])), F.col("kind_no") + 1)
+    each = kept.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("start", "kind_no", kind.alias("kind"), "end", "value"))).alias("spans"))
+    some = F.coalesce("spans", F.array().cast("array<struct<start:int,kind_no:int,kind:string,end:int,value:string>>"))
+    return found.select("id", "row_no").join(each, "row_no", "left").select(
+        F.col("id").alias(id_col),
+        F.filter(some, lambda x: x["kind_no"] < len(KINDS)).alias("base"),
+        F.filter(some, lambda x: x["kind_no"] == len(KINDS)).alias("added"),
+    )
 
 
 def as_text(spans: Column) -> Column:
