@@ -9,13 +9,17 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """Below spark.checkpoint.dir, else, where the session is local (tests), below a checkpoint folder of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, else, where the session is local (tests), a checkpoint folder of our own."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.getCheckpointDir():
-            if not re.match(r"local(\[|$)", spark.sparkContext.master):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder's path that is not taken, below the shared root."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
