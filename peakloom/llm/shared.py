@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from pyspark.sql import types as T
 from peakloom.plans.scratch import new_folder
 from peakloom.session import bounded_batches
 
+#: Bits of a filter that picks rows at a scan, at most: 32 MB.
+MOST_BITS = 28
+
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: later work starts there, also after lost executors."""
@@ -92,3 +96,12 @@ def slices(batch: pa.RecordBatch, text_at: int, most: int) -> Iterator[pa.Record
             start, held = i + 1, 0
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def bit_filter(spots: DataFrame, bits: int) -> np.ndarray:
+    """The bytes of a filter of 2**bits bits that has the given spots (column spot)."""
+    flags = np.zeros(1 << (bits - 3), np.uint8)
+    own = spots.groupBy(F.shiftright("spot", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("spot") % 32768).alias("bits"))
+    for r in own.toLocalIterator():
+        flags[r.k * 4096 : (r.k + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return flags

@@ -17,14 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.llm.components import components
-from peakloom.llm.shared import saved, slices
+from peakloom.llm.shared import MOST_BITS, bit_filter, saved, slices
 
 #: Codes of ordinary shingles are below, those of shingles at the end of the order from here on.
 LAST = 1 << 62
 MOST_WORDS = 100_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of the filter that picks texts at the scan, at most: 32 MB.
-MOST_BITS = 28
 
 
 class Words(dict):
@@ -110,15 +108,6 @@ def coded(texts: DataFrame, n: int, seed: int, percent: int | None, late: list[i
     return texts.select("id", "text", "run", "spot").mapInArrow(run, f"id {kind}, run int, fp string, n int, codes array<bigint>")
 
 
-def bit_filter(spots: DataFrame, bits: int) -> np.ndarray:
-    """The bytes of a filter of 2**bits bits that has the given spots (column spot)."""
-    flags = np.zeros(1 << (bits - 3), np.uint8)
-    own = spots.groupBy(F.shiftright("spot", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("spot") % 32768).alias("bits"))
-    for r in own.toLocalIterator():
-        flags[r.k * 4096 : (r.k + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    return flags
-
-
 def similar(texts: DataFrame, *, n: int, seed: int, percent: int, pair_bucket: int, most_reorders: int = 2, most_late: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """texts (id, text, run) as prints (id, run, fp), nodes (node, fp, least) and links (a, b) between similar nodes.
 

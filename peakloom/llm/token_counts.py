@@ -8,14 +8,15 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from peakloom.llm.shared import annotate, new_folder, saved
+from peakloom.llm.shared import MOST_BITS, annotate, bit_filter, meet, new_folder, saved
 
 MOST_WORDS = 200_000
 CACHE = "tokenizer string, digest binary, n_bytes long, n_tokens long"
@@ -80,6 +81,17 @@ def version_of(path: str, counter: str) -> str:
 COUNTERS = {"words": by_words, "pieces": by_pieces, "texts": whole_texts}
 
 
+def stored_counts(spark: SparkSession, cache_path: str, version: str) -> DataFrame:
+    """(digest, n_bytes, n_tokens) that the cache holds for a tokenizer; equal rows of two concurrent appends are one."""
+    try:
+        held = spark.read.schema(CACHE).parquet(cache_path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        held = spark.createDataFrame([], CACHE)
+    return held.filter(F.col("tokenizer") == version).groupBy("digest", "n_bytes").agg(F.max("n_tokens").alias("n_tokens"))
+
+
 def count_tokens(
     docs: DataFrame,
     *,
@@ -96,35 +108,58 @@ def count_tokens(
     texts are encoded once, repeated rows stay. counter is "words" (see by_words), "pieces" (sentencepiece) or "texts".
     cache_path is a Parquet folder of counts of earlier calls, made if missing; without one, a new folder in the
     shared folder is used. Other columns of docs are ignored; empty input, empty result.
+
+    Digests alone are dealt. Two bit filters of bounded size, of missing contents and of stored or repeated ones, then
+    tell at the scan which texts are stored for certain (dropped), which are missing and there once for certain
+    (encoded), and which need the exact way: these are joined with the misses, one row a content, and encoded.
     """
     spark = docs.sparkSession
     version = version_of(path, counter)
     cache_path = cache_path or new_folder(spark, "token-cache")
     text = F.coalesce(F.col(text_col), F.lit(""))
     content = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
-    try:
-        stored = spark.read.schema(CACHE).parquet(cache_path).filter(F.col("tokenizer") == version).select("digest", "n_bytes")
-        misses = content.join(stored, ["digest", "n_bytes"], "left_anti")
-    except AnalysisException:
-        misses = content
-    distinct = misses.groupBy("digest", "n_bytes").agg(F.first("text").alias("text"))
+    rows = saved(content.select("id", "digest", "n_bytes", F.spark_partition_id().alias("run")), "contents")
+    each = rows.groupBy("digest", "n_bytes").agg(F.count(F.lit(1)).alias("n"))
+    known = stored_counts(spark, cache_path, version).select("digest", "n_bytes", F.lit(True).alias("known"))
+    each = saved(each.join(known, ["digest", "n_bytes"], "left").withColumn("spot", F.xxhash64("digest")), "distinct-contents")
+    misses = each.filter("known is null")
+    bits = int(np.clip(np.ceil(np.log2(max(1, each.count()) * 16)), 16, MOST_BITS))
+    spot = F.pmod(F.xxhash64("digest"), F.lit(1 << bits)).alias("spot")
+    sent = [spark.sparkContext.broadcast(bit_filter(x.select(spot), bits)) for x in (misses, each.filter("known or n > 1"))]
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text that may be missing: its count, or the text itself where that isn't certain."""
+        count = COUNTERS[counter](path)
+        missing, doubtful = (x.value for x in sent)
+        for batch in batches:
+            at = batch.column(3).to_numpy()
+            has = lambda flags: (flags[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)  # noqa: B023, E731
+            doubt = has(doubtful)
+            again, counts, texts, keep = set(), [], [], []
+            digests, all_texts = batch.column(1).to_pylist(), batch.column(0).cast(pa.binary())
+            for k in np.flatnonzero(has(missing)).tolist():
+                if doubt[k]:
+                    if digests[k] in again:
+                        continue
+                    again.add(digests[k])
+                keep.append(k)
+                counts.append(None if doubt[k] else count(all_texts[k].as_py()))
+                texts.append(all_texts[k].as_py() if doubt[k] else None)
+            part = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(counts, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["digest", "n_bytes", "n_tokens", "text"])
+
+    form = "digest binary, n_bytes long, n_tokens long, text string"
+    met = saved(content.select("text", "digest", "n_bytes", spot).mapInArrow(encode, form), "met-contents")
+    rest = met.filter("text is not null").join(misses.select("digest", "n_bytes"), ["digest", "n_bytes"], "left_semi").groupBy("digest", "n_bytes").agg(F.first("text").alias("text"))
 
     def make():
         count = COUNTERS[counter](path)
+        return lambda texts, _: [(count(t or b""),) for t in texts]
 
-        def of(texts: list[bytes | None], _: pa.RecordBatch) -> list[tuple]:
-            return [(count(t or b""),) for t in texts]
-
-        return of
-
-    encoded = annotate(distinct, "text", "c", "n_tokens long", make)
-    encoded.select(F.lit(version).alias("tokenizer"), "digest", "n_bytes", "c.n_tokens").write.mode("append").parquet(cache_path)
+    encoded = annotate(rest, "text", "c", "n_tokens long", make).select("digest", "n_bytes", "c.n_tokens")
+    new = met.filter("text is null").select("digest", "n_bytes", "n_tokens").union(encoded)
+    new.select(F.lit(version).alias("tokenizer"), "digest", "n_bytes", "n_tokens").write.mode("append").parquet(cache_path)
 
-    # Equal rows of two concurrent appends are one. Both sides of the join are plain scans, so that Spark can split a
-    # content that very many documents share.
-    counts = saved(spark.read.schema(CACHE).parquet(cache_path).filter(F.col("tokenizer") == version).groupBy("digest", "n_bytes").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
-    return (
-        content.select("id", "digest", "n_bytes")
-        .join(counts, ["digest", "n_bytes"])
-        .select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    )
+    counts = saved(stored_counts(spark, cache_path, version), "token-counts")
+    got = meet(rows, counts, ["digest", "n_bytes"], "run")
+    return got.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
