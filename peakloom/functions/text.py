@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 # Texts that stand for a missing value, and those that stand for false.
 MISSING = ("", "nan", "none", "null")
 FALSE = ("", "0", "false", "no", "nan", "none")
-# Named modifications (case is ignored) and the mass delta that stands for each.
+# Notations of modifications (case is ignored) and what each is written as.
 NAMED_DELTAS = [
-    (r"\[oxidation\]", "+15.995"), (r"\[carbamidomethyl\]", "+57.021"), (r"\[acetyl\]-?", "+42.011"), (r"\[carbamyl\]-?", "+43.006"),
-    (r"\[deamidated\]", "+0.984"), (r"\[ammonia-loss\]-?", "-17.027"), (r"\[\+25\.980265\]-?", "+43.006-17.027"),
+    (r"M\(ox\)", "M+15.995"), (r"M\[Oxidation\]", "M+15.995"), (r"C\[Carbamidomethyl\]", "C+57.021"), (r"([NQ])\[Deamidated\]", "$1+0.984"),
+    (r"\[Acetyl\]-", "+42.011"), (r"\[Carbamyl\]-", "+43.006"), (r"\[Ammonia-loss\]-", "-17.027"),
 ]
 # Monoisotopic residue masses, water, proton.
 RESIDUES = {
@@ -36,18 +36,15 @@ def truthy(x: Column) -> Column:
 
 def normal_run(path: Column) -> Column:
     """A run's name: the last part of its path without endings, lower case, without a leading accession."""
-    name = F.regexp_extract(path, r"[^/\\]+$", 0)
+    name = F.regexp_extract(as_text(path), r"([^/]+)/*$", 1)
     name = F.regexp_replace(F.lower(name), r"\.gz$", "")
-    name = F.regexp_replace(name, r"\.(mgf|mzml|raw|mzxml|d)$", "")
+    name = F.regexp_replace(name, r"\.(mgf|mzml|raw|mzxml)$", "")
     return F.regexp_replace(name, r"^pxd\d+_", "")
 
 
 def scan_number(x: Column) -> Column:
-    """A whole number, else what follows the last "scan=" or "=", else null."""
-    t = F.trim(x)
-    named = F.regexp_extract(t, r"scan=(\d+)", 1)
-    last = F.regexp_extract(t, r"=(\d+)$", 1)
-    return F.coalesce(t.try_cast("bigint"), F.nullif(named, F.lit("")).try_cast("bigint"), F.nullif(last, F.lit("")).try_cast("bigint"))
+    """A whole number, alone or at the end after "=" or ":"; else null."""
+    return F.nullif(F.regexp_extract(as_text(x.cast("string")), r"(?:^|[=:])\s*(\d+)\s*$", 1), F.lit("")).try_cast("bigint")
 
 
 def first_integer(x: Column) -> Column:
@@ -55,14 +52,15 @@ def first_integer(x: Column) -> Column:
 
 
 def title_parts(title: Column) -> Column:
-    """struct(run, scan) of titles such as run.123.123.2."""
-    p = r"^(.+?)\.(\d+)\.\d+(?:\.\d+)?"
-    return F.struct(F.nullif(F.regexp_extract(title, p, 1), F.lit("")).alias("run"), F.nullif(F.regexp_extract(title, p, 2), F.lit("")).try_cast("bigint").alias("scan"))
+    """struct(run, scan) of titles such as run:scan:123 or run.123.123.2."""
+    t, named, dotted = as_text(title), r"(?i)^(.+?):scan:(\d+)$", r"^(.+?)\.(\d+)\.\d+(?:\.\d+)?"
+    part = lambda k: F.when(t.rlike(named), F.regexp_extract(t, named, k)).otherwise(F.nullif(F.regexp_extract(t, dotted, k), F.lit("")))
+    return F.struct(part(1).alias("run"), part(2).try_cast("bigint").alias("scan"))
 
 
 def canonical_label(x: Column) -> Column:
-    """A peptide label with numeric deltas, or null where it isn't one."""
-    t = as_text(x)
+    """A peptide label with numeric deltas, or null where it isn't one: an unknown modification is never erased."""
+    t = F.translate(as_text(x), " _", "")
     for pattern, delta in NAMED_DELTAS:
         t = F.regexp_replace(t, f"(?i){pattern}", delta)
     t = F.upper(t)

@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peakloom.functions.vectors import hash_rank
+from peakloom.operators.sampling import first_by_group, hash_numbers
+
 
 def ppm_join(left: DataFrame, right: DataFrame, left_mz: Column, right_mz: Column, ppm: float, on: list[tuple[Column, Column]] = (), residual: Column | None = None, how: str = "inner") -> DataFrame:
     """Pairs with |right - left| <= left * ppm / 1e6 (the tolerance is the left side's), positive values only.
@@ -27,19 +30,34 @@ def ppm_join(left: DataFrame, right: DataFrame, left_mz: Column, right_mz: Colum
     return a.join(b, near, how).drop("_bucket", "_near") if how == "inner" else a.join(b, near, how).drop("_bucket")
 
 
-def pairs_in_groups(df: DataFrame, group: list[str], row_id: str, most: int) -> DataFrame:
-    """(group, left, right): pairs of a group's first `most` rows by id; the cap is the protocol's own bound on pairs."""
-    from peakloom.operators.sampling import first_by_group
+def pairs_in_groups(df: DataFrame, group: list[str], row_id: str, seed: str, most: int | None = None, full: int = 64, steps: int = 8) -> DataFrame:
+    """(group, left_id, right_id): pairs of different rows of a group, left_id < right_id.
 
-    few = first_by_group(df.select(*group, row_id), group, [F.col(row_id)], most)
-    a, b = few.select(*group, F.col(row_id).alias("left_id")), few.select(*group, F.col(row_id).alias("right_id"))
-    return a.join(b, group).filter("left_id < right_id")
+    Groups of up to `full` rows give every pair. A larger group gives each row with the `steps` rows that follow it in
+    hash order, round the circle: every row is in pairs, and their number is linear. With `most` a group keeps that many,
+    those of smallest hash (of a large group: neighbours of the first rows in hash order). Ids are distinct in a group.
+    """
+    at = hash_numbers(df.select(*group, F.col(row_id).alias("_id")), group, hash_rank(seed, "row", F.col("_id")), "_id", total="_n").withColumn("_no", F.col("_no") - 1)
+    small, large = at.filter(F.col("_n") <= full), at.filter(F.col("_n") > full)
+    every = small.select(*group, F.col("_id").alias("left_id")).join(small.select(*group, F.col("_id").alias("right_id")), group).filter("left_id < right_id")
+    rank = hash_rank(seed, "positive", F.col("left_id"), F.col("right_id"))
+    if most is not None:
+        every = first_by_group(every, group, [rank, F.col("left_id"), F.col("right_id")], most)
+        large = large.filter(F.col("_no") < most)
+    ahead = large.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(steps if most is None else 1)))).withColumn("_no", F.pmod(F.col("_no") + F.col("_step"), F.col("_n")))
+    near = ahead.select(*group, "_no", F.col("_id").alias("_a")).join(at.select(*group, "_no", F.col("_id").alias("_b")), [*group, "_no"])
+    return every.select(*group, "left_id", "right_id").union(near.select(*group, F.least("_a", "_b"), F.greatest("_a", "_b")).distinct())
 
 
 def endpoints(pairs: DataFrame, rows: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
-    """Pairs with both ends' columns, as left_ and right_."""
-    side = lambda s: rows.select(F.col(row_id).alias(f"{s}_id"), *(F.col(c).alias(f"{s}_{c}") for c in columns))
-    return pairs.join(side("left"), "left_id").join(side("right"), "right_id")
+    """Pairs with both ends' columns, as left_ and right_. An id that no row has, or a pair of a row with itself, stops the job."""
+    out = pairs.withColumn("left_id", F.when(F.col("left_id") == F.col("right_id"), F.raise_error(F.concat(F.lit("a pair of one row: "), F.col("left_id").cast("string"))).cast(pairs.schema["left_id"].dataType)).otherwise(F.col("left_id")))
+    for s in ("left", "right"):
+        side = rows.select(F.col(row_id).alias(f"{s}_id"), *(F.col(c).alias(f"{s}_{c}") for c in columns), F.lit(True).alias("_here"))
+        kind = pairs.schema[f"{s}_id"].dataType
+        here = F.when(F.col("_here").isNull(), F.raise_error(F.concat(F.lit("no row has the id "), F.coalesce(F.col(f"{s}_id").cast("string"), F.lit("null")))).cast(kind)).otherwise(F.col(f"{s}_id"))
+        out = out.join(side, f"{s}_id", "left").withColumn(f"{s}_id", here).drop("_here")
+    return out
 
 
 def referenced(rows: DataFrame, pairs: DataFrame, row_id: str) -> DataFrame:

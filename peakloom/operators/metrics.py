@@ -26,6 +26,26 @@ def cumulative(df: DataFrame, group: list[str], score: str, sums: dict[str, Colu
     return out.select(*group, score, *sums, *((F.sum(k).over(own) + F.col(f"_{k}")).alias(f"cum_{k}") for k in sums))
 
 
+def quantiles(df: DataFrame, group: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """(group, a column for each entry of `at`): exact quantiles with linear interpolation, nulls left out.
+
+    From running counts by distinct value, so that no task or buffer holds a group.
+    """
+    steps = cumulative(df.filter(F.col(value).isNotNull()), group, value, {"n": F.lit(1).cast("long")}, descending=False)
+    total = steps.groupBy(*group).agg((F.sum("n") - 1).alias("_last"))
+    steps = steps.join(total, group) if group else steps.join(F.broadcast(total))  # one row
+    place = lambda q: F.col("_last") * F.lit(float(q))
+    ends = [F.min(F.when(F.col("cum_n") > f(place(q)), F.col(value))).alias(f"_{side}_{k}") for k, q in at.items() for side, f in (("low", F.floor), ("high", F.ceil))]
+    found = steps.groupBy(*group).agg(F.first("_last").alias("_last"), *ends)
+    part = lambda q: place(q) - F.floor(place(q))
+    return found.select(*group, *((F.col(f"_low_{k}") + (F.col(f"_high_{k}") - F.col(f"_low_{k}")) * part(q)).alias(k) for k, q in at.items()))
+
+
+def _with(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
+    """Both have one row a group."""
+    return a.join(b, group) if group else a.crossJoin(F.broadcast(b))
+
+
 def roc_auc(df: DataFrame, group: list[str], score: str, label: str) -> DataFrame:
     """(group, n_pos, n_neg, auroc): higher scores mean label 1; ties count half; null where a label is missing."""
     steps = cumulative(df, group, score, {"pos": F.col(label).cast("long"), "neg": (1 - F.col(label)).cast("long")}, descending=True)
@@ -113,11 +133,12 @@ def binary_scores(df: DataFrame, group: list[str], score: str, label: str, thres
 def regression_scores(df: DataFrame, group: list[str], predicted: str, target: str) -> DataFrame:
     """(group, n, mae, dt95, pearson, r2): dt95 is the 95th percentile of the absolute error."""
     p, t = F.col(predicted), F.col(target)
+    df = df.withColumn("_off", F.abs(p - t))
     means = df.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.abs(p - t)).alias("mae"), F.percentile(F.abs(p - t), 0.95).alias("dt95"), F.corr(p, t).alias("pearson"),
-        F.sum((p - t) * (p - t)).alias("_sse"), (F.var_pop(t) * F.count(F.lit(1))).alias("_sst"),
+        F.count(F.lit(1)).alias("n"), F.avg("_off").alias("mae"), F.corr(p, t).alias("pearson"), F.sum((p - t) * (p - t)).alias("_sse"), (F.var_pop(t) * F.count(F.lit(1))).alias("_sst")
     )
-    return means.select(*group, "n", "mae", "dt95", "pearson", (1 - F.try_divide("_sse", "_sst")).alias("r2"))
+    full = _with(means, quantiles(df, group, "_off", {"dt95": 0.95}), group)
+    return full.select(*group, "n", "mae", "dt95", "pearson", (1 - F.try_divide("_sse", "_sst")).alias("r2"))
 
 
 def macro(df: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
@@ -129,15 +150,16 @@ def macro(df: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
 
 def distribution(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """(group, n, min, max, mean, p25, median, p75, p90), exact percentiles with linear interpolation."""
-    q = lambda x: F.percentile(value, x)
-    return df.groupBy(*group).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"), q(0.9).alias("p90"))
+    means = df.groupBy(*group).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    return _with(means, quantiles(df, group, value, {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}), group)
 
 
 def replicate_spread(df: DataFrame, group: str, run: str, value: str) -> DataFrame:
     """(n_groups, mean, p95) of absolute differences from the group's median, over groups that two runs or more hold."""
-    medians = df.groupBy(group).agg(F.median(value).alias("_m"), F.count_distinct(run).alias("_runs")).filter("_runs >= 2")
+    many = df.groupBy(group).agg(F.count_distinct(run).alias("_runs")).filter("_runs >= 2").select(group)
+    medians = quantiles(df, [group], value, {"_m": 0.5}).join(many, group, "left_semi")
     off = df.join(medians, group).select(group, F.abs(F.col(value) - F.col("_m")).alias("d"))
-    return off.agg(F.count_distinct(group).alias("n_groups"), F.avg("d").alias("mean"), F.percentile("d", 0.95).alias("p95"))
+    return _with(off.agg(F.count_distinct(group).alias("n_groups"), F.avg("d").alias("mean")), quantiles(off, [], "d", {"p95": 0.95}), [])
 
 
 def spearman(df: DataFrame, group: list[str], a: str, b: str, row_id: str) -> DataFrame:

@@ -6,31 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.functions.vectors import hash_rank
+from peakloom.operators.circle import negatives
 from peakloom.operators.joins import ppm_join
+from peakloom.operators.metrics import quantiles
 
 
-def matched_partners(df: DataFrame, *, row_id: str, mz: str, charge: str, label: str, tolerances: list[float], seed: str, buckets: int) -> DataFrame:
+def matched_partners(df: DataFrame, *, row_id: str, mz: str, charge: str, label: str, tolerances: list[float], seed: str) -> DataFrame:
     """(row_id, partner_id, tier): for each row one of another label.
 
-    Tiers in order: within each tolerance (ppm) at the same charge, then the same charge, then any. For the last two,
-    rows are dealt into `buckets` by hash and a row looks into one of them, so nobody meets all rows; buckets should
-    hold some dozens. Within a tier the candidate of smallest hash is taken; without any candidate there is no row.
+    Tiers in order: within each tolerance (ppm) at the same charge, then the same charge, then any. Within a tolerance
+    the candidate of smallest hash is taken. Rows left over look along a circle in hash order, of their charge and then
+    of all rows: the first of another label is taken, so a row has a partner whenever another label exists.
     """
-    number = lambda *parts: F.conv(F.substring(hash_rank(seed, *parts), 1, 8), 16, 10).cast("long") % buckets
     side = lambda s: [F.col(row_id).alias(f"{s}_id"), F.col(mz).alias(f"{s}_mz"), F.col(charge).alias(f"{s}_z"), F.col(label).alias(f"{s}_y")]
-    a = df.select(*side("a"), number("looks", F.col(row_id)).alias("_looks"))
-    b = df.select(*side("b"), number("lies", F.col(row_id)).alias("_lies"))
-    other = F.col("a_y") != F.col("b_y")
-    found = None
-    for tier, ppm in enumerate(tolerances):
-        near = ppm_join(a, b, F.col("a_mz"), F.col("b_mz"), ppm, [(F.col("a_z"), F.col("b_z"))], other)
-        near = near.select("a_id", "b_id", F.lit(tier).alias("tier"))
-        found = near if found is None else found.union(near)
-    n = len(tolerances)
-    met = a.join(b, (F.col("_looks") == F.col("_lies")) & other).select("a_id", "b_id", F.when(F.col("a_z") == F.col("b_z"), n).otherwise(n + 1).alias("tier"))
-    found = met if found is None else found.union(met)
-    best = found.withColumn("h", hash_rank(seed, "pair", F.col("a_id"), F.col("b_id"))).groupBy("a_id").agg(F.min(F.struct("tier", "h", "b_id")).alias("x"))
-    return best.select(F.col("a_id").alias(row_id), F.col("x.b_id").alias("partner_id"), F.col("x.tier").alias("tier"))
+    a, b = df.select(*side("a")), df.select(*side("b"))
+    off = F.abs(F.col("b_mz") - F.col("a_mz"))
+    tier = F.lit(len(tolerances))
+    for no, ppm in reversed(list(enumerate(tolerances))):
+        tier = F.when(off <= F.col("a_mz") * ppm / 1e6, no).otherwise(tier)
+    near = ppm_join(a, b, F.col("a_mz"), F.col("b_mz"), max(tolerances), [(F.col("a_z"), F.col("b_z"))], F.col("a_y") != F.col("b_y"))
+    best = near.select("a_id", F.struct(tier.alias("tier"), hash_rank(seed, "pair", F.col("a_id"), F.col("b_id")).alias("h"), "b_id").alias("x")).groupBy("a_id").agg(F.min("x").alias("x"))
+    out = best.select(F.col("a_id").alias(row_id), F.col("x.b_id").alias("partner_id"), F.col("x.tier").alias("tier"))
+    rows = df.select(row_id, charge, label)
+    left = rows.join(out, row_id, "left_anti")
+    for no, group in enumerate(([charge], [])):
+        found = negatives(rows, group, row_id, label, f"{seed} {no}", left).select(row_id, F.col("negative_id").alias("partner_id"), F.lit(len(tolerances) + no).alias("tier"))
+        out, left = out.union(found), left.join(found, row_id, "left_anti")
+    return out
 
 
 def diagnostics(pairs: DataFrame, rows: DataFrame, row_id: str, mz: str, charge: str, ppm: float) -> DataFrame:
@@ -39,5 +41,7 @@ def diagnostics(pairs: DataFrame, rows: DataFrame, row_id: str, mz: str, charge:
     p = pairs.select(F.col(row_id).alias("a_id"), F.col("partner_id").alias("b_id"), "tier").join(side("a"), "a_id").join(side("b"), "b_id")
     off = F.abs(F.col("b_mz") - F.col("a_mz")) / F.col("a_mz") * 1e6
     same = F.col("a_z") == F.col("b_z")
-    return p.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.avg(same.cast("double")).alias("same_charge"), F.avg((same & (off <= ppm)).cast("double")).alias("within"), F.median(off).alias("median_ppm"))
+    p = p.withColumn("_off", off)
+    means = p.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.avg(same.cast("double")).alias("same_charge"), F.avg((same & (F.col("_off") <= ppm)).cast("double")).alias("within"))
+    return means.join(quantiles(p, ["tier"], "_off", {"median_ppm": 0.5}), "tier")
 

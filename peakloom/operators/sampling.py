@@ -25,8 +25,8 @@ def first_groups(df: DataFrame, partition: list[str], group: str, k: int, m: int
     return first_by_group(rows, [*partition, group], [hash_rank(seed, "row", F.col(row_id)), F.col(row_id)], m)
 
 
-def hash_numbers(df: DataFrame, partition: list[str], rank: Column, row_id: str) -> DataFrame:
-    """df with `_no`: each row's place (from 1) in its partition by (rank, id), rank being a hash in hex.
+def hash_numbers(df: DataFrame, partition: list[str], rank: Column, row_id: str, total: str | None = None) -> DataFrame:
+    """df with `_no`: each row's place (from 1) in its partition by (rank, id), rank being a hash in hex. total: column for the partition's count.
 
     A partition is cut at the hash's first three digits: each of the 4096 cuts is numbered on its own and starts from the
     count of those before it, so a label that half of all rows have is no single task.
@@ -34,7 +34,8 @@ def hash_numbers(df: DataFrame, partition: list[str], rank: Column, row_id: str)
     cut = df.withColumn("_rank", rank).withColumn("_cut", F.substring("_rank", 1, 3))
     sizes = cut.groupBy(*partition, "_cut").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*partition).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*partition, "_cut", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    whole = [F.sum("_n").over(Window.partitionBy(*partition)).alias(total)] if total else []
+    offsets = sizes.select(*partition, "_cut", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), *whole)
     own = F.row_number().over(Window.partitionBy(*partition, "_cut").orderBy("_rank", row_id))
     return cut.withColumn("_own", own).join(offsets, [*partition, "_cut"]).withColumn("_no", F.col("_before") + F.col("_own")).drop("_rank", "_cut", "_own", "_before")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from peakloom.functions.vectors import hash_rank
 from peakloom.operators import dedup, joins, sampling
+from peakloom.operators.circle import negatives
 
 
 @dataclass(frozen=True)
@@ -70,27 +71,27 @@ def retrieval_benchmark(rows: DataFrame, partition: str, label: str, row_id: str
     return sampling.first_groups(able.join(many, [partition, label], "left_semi"), [partition], label, labels, rows_each, seed, row_id)
 
 
-def pair_benchmark(rows: DataFrame, *, partition: str, row_id: str, label: str, mz: str, charge: str, ppm: float, per_label: int, seed: str, buckets: int) -> DataFrame:
+def pair_benchmark(rows: DataFrame, *, partition: str, row_id: str, label: str, mz: str, charge: str, ppm: float, per_label: int, seed: str) -> DataFrame:
     """(partition, pair_set, left_id, right_id, label, ppm): balanced pairs of three protocols.
 
-    Positive pairs share a label; "random" negatives are any other row of the partition, "charge" ones have the same
-    charge, "hard" ones also lie within ppm. A protocol has as many negatives as positives.
+    Positive pairs share a label, at most per_label of each, chosen by hash; "random" negatives are any other row of the
+    partition, "charge" ones have the same charge (both the first of another label along a circle in hash order), "hard"
+    ones also lie within ppm. A protocol has as many negatives as positives.
     """
-    positive = joins.pairs_in_groups(rows, [partition, label], row_id, per_label).select(partition, "left_id", "right_id", F.lit(1).alias("label"))
-    bucket = lambda name: F.conv(F.substring(hash_rank(seed, name, F.col(row_id)), 1, 8), 16, 10).cast("long") % buckets
+    positive = joins.pairs_in_groups(rows, [partition, label], row_id, seed, per_label).select(partition, "left_id", "right_id", F.lit(1).alias("label"))
     side = lambda s: [F.col(row_id).alias(f"{s}_id"), F.col(label).alias(f"{s}_y"), F.col(mz).alias(f"{s}_mz"), F.col(charge).alias(f"{s}_z"), F.col(partition).alias(f"{s}_p")]
-    a, b = rows.select(*side("left"), bucket("looks").alias("_looks")), rows.select(*side("right"), bucket("lies").alias("_lies"))
-    other = F.col("left_y") != F.col("right_y")
+    a, b = rows.select(*side("left")), rows.select(*side("right"))
+    near = joins.ppm_join(a, b, F.col("left_mz"), F.col("right_mz"), ppm, [(F.col("left_p"), F.col("right_p")), (F.col("left_z"), F.col("right_z"))], F.col("left_y") != F.col("right_y"))
+    best = near.withColumn("h", hash_rank(seed, "pair", F.col("left_id"), F.col("right_id"))).groupBy("left_p", "left_id").agg(F.min(F.struct("h", "right_id")).alias("x"))
+    hard = best.select(F.col("left_p").alias(partition), F.lit("hard").alias("pair_set"), "left_id", F.col("x.right_id").alias("right_id"), F.lit(0).alias("label"))
 
-    def one_each(found: DataFrame, name: str) -> DataFrame:
-        best = found.withColumn("h", hash_rank(seed, "pair", F.col("left_id"), F.col("right_id"))).groupBy("left_p", "left_id").agg(F.min(F.struct("h", "right_id")).alias("x"))
-        return best.select(F.col("left_p").alias(partition), F.lit(name).alias("pair_set"), "left_id", F.col("x.right_id").alias("right_id"), F.lit(0).alias("label"))
+    def around(group: list[str], name: str) -> DataFrame:
+        found = negatives(rows, group, row_id, label, f"{seed} {name}")
+        return found.select(partition, F.lit(name).alias("pair_set"), F.col(row_id).alias("left_id"), F.col("negative_id").alias("right_id"), F.lit(0).alias("label"))
 
-    met = a.join(b, (F.col("left_p") == F.col("right_p")) & (F.col("_looks") == F.col("_lies")) & other)
-    near = joins.ppm_join(a, b, F.col("left_mz"), F.col("right_mz"), ppm, [(F.col("left_p"), F.col("right_p")), (F.col("left_z"), F.col("right_z"))], other)
-    negatives = one_each(met, "random").union(one_each(met.filter("left_z = right_z"), "charge")).union(one_each(near, "hard"))
     sets = F.explode(F.array(*map(F.lit, ("random", "charge", "hard"))))
-    pairs = positive.select(partition, sets.alias("pair_set"), "left_id", "right_id", "label").union(negatives).withColumn("pair_id", F.concat_ws("|", "pair_set", "left_id", "right_id"))
+    every = positive.select(partition, sets.alias("pair_set"), "left_id", "right_id", "label").union(around([partition], "random")).union(around([partition, charge], "charge")).union(hard)
+    pairs = every.withColumn("pair_id", F.concat_ws("|", "pair_set", "left_id", "right_id"))
     chosen = sampling.balanced(pairs, [partition, "pair_set"], "label", "pair_id", seed)
     full = joins.endpoints(chosen, rows, row_id, [mz])
     off = F.abs(F.col(f"left_{mz}") - F.col(f"right_{mz}")) / ((F.col(f"left_{mz}") + F.col(f"right_{mz}")) / 2) * 1e6

@@ -176,15 +176,15 @@ def hard_negative_coverage(spark, d):
 
 
 @query("""
-    WITH p AS (SELECT o_orderkey AS id, o_custkey AS label, o_totalprice AS mz, o_orderkey % 3 + 2 AS z, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS no FROM orders)
+    WITH p AS (SELECT o_orderkey AS id, o_custkey AS label, o_totalprice AS mz, o_orderkey % 3 + 2 AS z FROM orders)
     SELECT a.id AS left_id, b.id AS right_id, round(abs(a.mz - b.mz) / ((a.mz + b.mz) / 2) * 1e6, 4) AS ppm,
            NOT (a.z = b.z AND abs(a.mz - b.mz) < (a.mz + b.mz) / 2 * 5000 / 1e6)
            AND NOT (abs(a.z * (a.mz - 1.00727646688) - b.z * (b.mz - 1.00727646688)) < (a.z * (a.mz - 1.00727646688) + b.z * (b.mz - 1.00727646688)) / 2 * 5000 / 1e6) AS may_mix
-    FROM p a JOIN p b ON a.label = b.label AND a.no <= 4 AND b.no <= 4 AND a.id < b.id""")
+    FROM p a JOIN p b ON a.label = b.label AND a.id < b.id""")
 def positive_pairs(spark, d):
-    """Pairs of a label's first four spectra, with their distance and whether one may be mixed into the other."""
+    """All pairs of a label's spectra, with their distance and whether one may be mixed into the other."""
     rows = precursors(spark, d)
-    pairs = joins.endpoints(joins.pairs_in_groups(rows, ["label"], "spectrum_id", 4).drop("label"), rows, "spectrum_id", ["precursor_mz", "charge"])
+    pairs = joins.endpoints(joins.pairs_in_groups(rows, ["label"], "spectrum_id", "p", full=256).drop("label"), rows, "spectrum_id", ["precursor_mz", "charge"])
     a, b = F.col("left_precursor_mz"), F.col("right_precursor_mz")
     return pairs.select("left_id", "right_id", F.round(F.abs(a - b) / ((a + b) / 2) * 1e6, 4).alias("ppm"), joins.distractor_ok((a, F.col("left_charge")), (b, F.col("right_charge")), 5000).alias("may_mix"))
 
@@ -211,13 +211,13 @@ def retrieval_map(spark, d):
 
 @query(f"""
     WITH {UNIT_SQL},
-    near AS (SELECT q.vec_id, q.label, t.label AS g, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(greatest(0, 1 - list_cosine_similarity(q.e, t.e)), 9), t.vec_id) AS rank FROM v q, v t WHERE q.vec_id % 100 = 0 AND t.vec_id % 100 <> 0),
+    near AS (SELECT q.vec_id, q.label, t.label AS g, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(greatest(0, 1 - list_cosine_similarity(q.e, t.e)), 9), t.vec_id) AS rank FROM v q, v t WHERE q.vec_id % 100 = 0 AND q.vec_id <> t.vec_id),
     votes AS (SELECT vec_id, label, g, count(*) AS n FROM near WHERE rank <= 10 GROUP BY ALL)
     SELECT vec_id AS id, label, g AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, g) AS no FROM votes) WHERE no = 1""")
 def knn_accuracy(spark, d):
     """The label that ten nearest neighbours vote for; queries are the ids divisible by 100, against all other rows."""
     rows = table(spark, d, "embeddings")
-    return retrieval.knn_labels(rows.filter("vec_id % 100 <> 0"), rows.filter("vec_id % 100 = 0"), "vec_id", "label", "embedding", 10)
+    return retrieval.knn_labels(rows, rows.filter("vec_id % 100 = 0"), "vec_id", "label", "embedding", 10)
 
 
 @query(f"""
@@ -372,7 +372,7 @@ def replicate_spread(spark, d):
 def run_normalized(spark, d):
     """Values on the scale of their run's 0.5 and 99.5 percentiles, clipped."""
     e = table(spark, d, "events").select("event_id", "user_id", "value")
-    w = e.groupBy("user_id").agg(F.percentile("value", 0.005).alias("a"), F.percentile("value", 0.995).alias("z"))
+    w = metrics.quantiles(e, ["user_id"], "value", {"a": 0.005, "z": 0.995})
     x = F.when(F.col("z") > F.col("a"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("value") - F.col("a")) / (F.col("z") - F.col("a")))))
     return e.join(w, "user_id").select("event_id", r6(x, "x"))
 
@@ -552,7 +552,7 @@ def token_vocabulary(spark, d):
 
 
 @query("""
-    SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '[^/\\\\]+$', 0)), '\\.gz$', ''), '\\.(mgf|mzml|raw|mzxml|d)$', ''), '^pxd\\d+_', '') AS run,
+    SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(CASE WHEN lower(trim(coalesce(url, ''))) IN ('nan', 'none', 'null') THEN '' ELSE trim(coalesce(url, '')) END, '([^/]+)/*$', 1)), '\\.gz$', ''), '\\.(mgf|mzml|raw|mzxml)$', ''), '^pxd\\d+_', '') AS run,
            try_cast(nullif(regexp_extract(url, '-?\\d+', 0), '') AS BIGINT) AS first_integer FROM pages""")
 def run_names(spark, d):
     return table(spark, d, "pages").select("page_id", text.normal_run(F.col("url")).alias("run"), text.first_integer(F.col("url")).alias("first_integer"))
@@ -616,10 +616,9 @@ def mztab_round_trip(spark, d):
 
     path = new_folder(spark, "mztab")
     psms = table(spark, d, "orders").select(F.col("o_orderpriority").alias("sequence"), F.col("o_orderkey").alias("PSM_ID"), F.format_string("%.6f", "o_totalprice").alias("search_engine_score[1]"))
-    write_mztab(psms.coalesce(1), path, "orders")
+    write_mztab(psms, path, "orders")
     psm = F.col("psm")
-    # All parts of one writer share the first part's header.
-    rows = read_mztab(spark, path, one_header=True)
+    rows = read_mztab(spark, path)
     return rows.select(psm["PSM_ID"].cast("long").alias("psm_id"), psm["sequence"].alias("sequence"), F.round(psm["search_engine_score[1]"].cast("double"), 2).alias("score"))
 
 
@@ -639,25 +638,43 @@ def streamed_windows(spark, d):
 HASH8 = "('0x' || sha256(concat_ws(chr(31), {}))[1:8])::BIGINT"
 
 
+def circle_sql(name: str, group: str, seed: str, looks: str) -> str:
+    """CTEs from p (id, y, ...): {name}_found (id, other), the first row of another label from a row's place on its group's circle on."""
+    return f"""
+    {name}_c AS (SELECT {group} AS g, id, y, row_number() OVER (PARTITION BY {group} ORDER BY {SHA.format(f"'{seed} circle', id::VARCHAR")}, id) - 1 AS pos, count(*) OVER (PARTITION BY {group}) AS n FROM p),
+    {name}_d AS (SELECT g, pos, id, y, n FROM {name}_c UNION ALL SELECT g, pos + n, id, y, n FROM {name}_c),
+    {name}_e AS (SELECT *, y <> lag(y) OVER (PARTITION BY g ORDER BY pos) AS new FROM {name}_d),
+    {name}_f AS (SELECT *, first_value(CASE WHEN new THEN id END IGNORE NULLS) OVER (PARTITION BY g ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM {name}_e),
+    {name}_l AS (SELECT id, y, {group} AS g, {HASH8.format(f"'{seed} start', id::VARCHAR")} AS start FROM {looks}),
+    {name}_found AS (SELECT * FROM (SELECT l.id, CASE WHEN f.y <> l.y THEN f.id ELSE f.nxt END AS other FROM {name}_l l JOIN {name}_f f ON f.g = l.g AND f.pos < f.n AND f.pos = l.start % f.n) WHERE other IS NOT NULL)"""
+
+
 @query(f"""
-    WITH p AS (SELECT o_orderkey AS id, o_totalprice AS mz, o_orderkey % 3 + 2 AS z, o_custkey AS y, {HASH8.format("'m', 'looks', o_orderkey::VARCHAR")} % 128 AS looks, {HASH8.format("'m', 'lies', o_orderkey::VARCHAR")} % 128 AS lies FROM orders),
-    c AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.z = b.z AND abs(b.mz - a.mz) <= a.mz * 10 / 1e6 THEN 0 WHEN a.z = b.z AND abs(b.mz - a.mz) <= a.mz * 100 / 1e6 THEN 1 WHEN a.looks = b.lies AND a.z = b.z THEN 2 WHEN a.looks = b.lies THEN 3 END AS tier
-          FROM p a JOIN p b ON a.y <> b.y AND (a.looks = b.lies OR a.z = b.z AND abs(b.mz - a.mz) <= a.mz * 100 / 1e6))
-    SELECT a AS o_orderkey, b AS partner_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY tier, {SHA.format("'m', 'pair', a::VARCHAR, b::VARCHAR")}, b) AS no FROM c) WHERE no = 1""")
+    WITH p AS (SELECT o_orderkey AS id, o_totalprice AS mz, o_orderkey % 3 + 2 AS z, o_custkey AS y FROM orders),
+    near AS (SELECT a.id AS a, b.id AS b, CASE WHEN abs(b.mz - a.mz) <= a.mz * 10 / 1e6 THEN 0 ELSE 1 END AS tier FROM p a JOIN p b ON a.y <> b.y AND a.z = b.z AND abs(b.mz - a.mz) <= a.mz * 100 / 1e6),
+    best AS (SELECT a, b, tier FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY tier, {SHA.format("'m', 'pair', a::VARCHAR, b::VARCHAR")}, b) AS no FROM near) WHERE no = 1),
+    rest AS (SELECT * FROM p WHERE id NOT IN (SELECT a FROM best)),
+    {circle_sql("charge", "z", "m 0", "rest")},
+    last AS (SELECT * FROM rest WHERE id NOT IN (SELECT id FROM charge_found)),
+    {circle_sql("whole", "0", "m 1", "last")}
+    SELECT a AS o_orderkey, b AS partner_id, tier FROM best UNION ALL SELECT id, other, 2 FROM charge_found UNION ALL SELECT id, other, 3 FROM whole_found""")
 def matched_partners(spark, d):
     """A partner of another label for each spectrum: within 10 ppm, within 100 ppm, of the same charge, or any."""
     from peakloom.operators.partners import matched_partners as find
 
     rows = precursors(spark, d).withColumnRenamed("spectrum_id", "o_orderkey")
-    return find(rows, row_id="o_orderkey", mz="precursor_mz", charge="charge", label="label", tolerances=[10, 100], seed="m", buckets=128)
+    return find(rows, row_id="o_orderkey", mz="precursor_mz", charge="charge", label="label", tolerances=[10, 100], seed="m")
 
 
-@query()
+@query(f"""
+    WITH pr AS ({{partners}}), j AS (SELECT tier, a.o_orderkey % 3 = b.o_orderkey % 3 AS same, abs(b.o_totalprice - a.o_totalprice) / a.o_totalprice * 1e6 AS d FROM pr JOIN orders a ON a.o_orderkey = pr.o_orderkey JOIN orders b ON b.o_orderkey = partner_id)
+    SELECT tier, count(*) AS n, avg(same::INT) AS same_charge, avg((same AND d <= 10)::INT) AS within, round(median(d), 4) AS median_ppm FROM j GROUP BY tier""".replace("{partners}", SQL["matched_partners"]))
 def partner_diagnostics(spark, d):
+    """How the partners of each tier lie."""
     from peakloom.operators.partners import diagnostics
 
     rows = precursors(spark, d).withColumnRenamed("spectrum_id", "o_orderkey")
-    return diagnostics(matched_partners(spark, d), rows, "o_orderkey", "precursor_mz", "charge", 10)
+    return diagnostics(matched_partners(spark, d), rows, "o_orderkey", "precursor_mz", "charge", 10).withColumn("median_ppm", F.round("median_ppm", 4))
 
 
 @query(f"""
@@ -695,11 +712,11 @@ def soft_ordinal(spark, d):
 
 @query()
 def isotonic_alignment(spark, d):
-    """Prices of each ship month on the scale of the parts' medians over all months."""
+    """Prices of each ship month on the scale of the month with most lines, by return flag."""
     from peakloom.operators.alignment import aligned
 
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.date_trunc("month", F.col("l_shipdate").cast("timestamp")).alias("month"), "l_extendedprice")
-    return aligned(rows, "month", "l_partkey", "l_extendedprice")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", F.date_trunc("month", F.col("l_shipdate").cast("timestamp")).alias("month"), "l_extendedprice")
+    return aligned(rows, "month", "l_partkey", "l_extendedprice", ["l_returnflag"])
 
 
 @query("""
@@ -781,12 +798,23 @@ def corpus_build(spark, d):
     return build_corpus(rows, plan).select("doc_id", "digest", "source", "lang", "bucket", "split")
 
 
-@query()
+@query(f"""
+    WITH p AS (SELECT o_orderkey AS id, o_totalprice AS mz, o_orderkey % 3 + 2 AS z, o_custkey AS y, o_orderpriority AS part FROM orders),
+    pos AS (SELECT part, l, r FROM (SELECT a.part, a.id AS l, b.id AS r, row_number() OVER (PARTITION BY a.part, a.y ORDER BY {SHA.format("'b', 'positive', a.id::VARCHAR, b.id::VARCHAR")}, a.id, b.id) AS no FROM p a JOIN p b ON a.part = b.part AND a.y = b.y AND a.id < b.id) WHERE no <= 4),
+    {circle_sql("rnd", "part", "b random", "p")},
+    {circle_sql("chg", "(part, z)", "b charge", "p")},
+    hard AS (SELECT l, r FROM (SELECT a.id AS l, b.id AS r, row_number() OVER (PARTITION BY a.id ORDER BY {SHA.format("'b', 'pair', a.id::VARCHAR, b.id::VARCHAR")}, b.id) AS no FROM p a JOIN p b ON a.part = b.part AND a.z = b.z AND a.y <> b.y AND abs(b.mz - a.mz) <= a.mz * 500 / 1e6) WHERE no = 1),
+    neg AS (SELECT 'random' AS pair_set, id AS l, other AS r FROM rnd_found UNION ALL SELECT 'charge', id, other FROM chg_found UNION ALL SELECT 'hard', l, r FROM hard),
+    every AS (SELECT part, unnest(['random', 'charge', 'hard']) AS pair_set, l, r, 1 AS label FROM pos UNION ALL SELECT part, pair_set, l, r, 0 FROM neg JOIN p ON p.id = l),
+    no AS (SELECT *, row_number() OVER (PARTITION BY part, pair_set, label ORDER BY {SHA.format("'b', concat_ws('|', pair_set, l::VARCHAR, r::VARCHAR)")}, concat_ws('|', pair_set, l::VARCHAR, r::VARCHAR)) AS no FROM every),
+    least AS (SELECT part, pair_set, min(n) AS least FROM (SELECT part, pair_set, label, count(*) AS n FROM every GROUP BY ALL) GROUP BY ALL HAVING count(*) = 2)
+    SELECT no.part AS "partition", no.pair_set, l AS left_id, r AS right_id, label, round(abs(a.mz - b.mz) / ((a.mz + b.mz) / 2) * 1e6, 4) AS ppm
+    FROM no JOIN least ON no.part = least.part AND no.pair_set = least.pair_set JOIN p a ON a.id = l JOIN p b ON b.id = r WHERE no <= least""")
 def pair_benchmark(spark, d):
     """Balanced pairs of three protocols from the orders of each priority."""
     from peakloom.plans.pipelines import pair_benchmark as build
 
-    return build(precursors(spark, d), partition="partition", row_id="spectrum_id", label="label", mz="precursor_mz", charge="charge", ppm=500, per_label=4, seed="b", buckets=64)
+    return build(precursors(spark, d), partition="partition", row_id="spectrum_id", label="label", mz="precursor_mz", charge="charge", ppm=500, per_label=4, seed="b").withColumn("ppm", F.round("ppm", 4))
 
 
 @query(f"""
@@ -926,3 +954,33 @@ def flat_peaks(spark, d):
 
     values, _ = flat_arrays(spectra(spark, d).select("spectrum_id", F.transform("peaks", lambda p: p["mz"]).alias("mz")), "spectrum_id", "mz")
     return values.select("spectrum_id", F.col("at").alias("pos"), F.col("value").alias("mz"))
+
+
+WORDS_SQL = "w AS (SELECT DISTINCT upper(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'))) AS w FROM documents), ok AS (SELECT w, length(w) % 7 AS form FROM w WHERE regexp_matches(w, '^[ACDEFGHIKLMNPQRSTVWYO]+$'))"
+
+
+@query(f"""
+    WITH {WORDS_SQL}
+    SELECT w, CASE form WHEN 0 THEN replace(w, 'M', 'M+15.995') WHEN 1 THEN replace(w, 'M', 'M+15.995') WHEN 2 THEN replace(w, 'C', 'C+57.021') WHEN 3 THEN replace(replace(w, 'N', 'N+0.984'), 'Q', 'Q+0.984')
+                       WHEN 4 THEN '+42.011' || w WHEN 5 THEN CASE WHEN w LIKE '%M' THEN w || '+15.995' END END AS label FROM ok""")
+def label_forms(spark, d):
+    """Words as labels with modifications in brackets; those that stand at another residue, or unknown ones, are no labels."""
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.upper("w").alias("w")).distinct()
+    w = F.col("w")
+    forms = [
+        F.replace(F.lower(w), F.lit("m"), F.lit("m(ox)")), F.replace(w, F.lit("M"), F.lit("M[OXIDATION]")), F.replace(w, F.lit("C"), F.lit("C[Carbamidomethyl]")),
+        F.regexp_replace(w, "([NQ])", "$1[deamidated]"), F.concat(F.lit(" [Acetyl]-_"), w, F.lit("_ ")), F.concat(w, F.lit("[Oxidation]")), F.concat(F.lit("[Acetyl]"), w),
+    ]
+    able = words.filter(w.rlike("^[ACDEFGHIKLMNPQRSTVWYO]+$"))
+    return able.select("w", text.canonical_label(F.element_at(F.array(*forms), (F.length(w) % 7 + 1).cast("int"))).alias("label"))
+
+
+@query("""
+    SELECT page_id, 'run' || page_id AS run, page_id AS scan, CASE WHEN page_id % 3 < 2 THEN page_id END AS native FROM pages""")
+def titles_and_scans(spark, d):
+    """Runs and scans from titles, scans from native ids, of each page."""
+    k = F.col("page_id").cast("string")
+    title = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("run"), k, F.lit(":SCAN:"), k)).otherwise(F.concat(F.lit("run"), k, F.lit("."), k, F.lit("."), k, F.lit(".2")))
+    native = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("controllerType=0 scan="), k)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("x: "), k)).otherwise(F.concat(F.lit("scan="), k, F.lit(" foo")))
+    t = text.title_parts(title)
+    return table(spark, d, "pages").select("page_id", t["run"].alias("run"), t["scan"].alias("scan"), text.scan_number(native).alias("native"))

@@ -5,6 +5,9 @@ All reading goes through Spark's own text, XML and CSV readers, so files may lie
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,13 +69,15 @@ PSM_COLUMNS = (
 def read_mztab(spark: SparkSession, path: str, one_header: bool = False) -> DataFrame:
     """One row a PSM: file, and a map of the header's column names to texts.
 
-    Files have a header each, or with one_header all share the one of a single file, as write_mztab leaves it.
+    Every file has a header of its own, as write_mztab leaves them; PSMs of a file without one stop the job. With
+    one_header a single file's header holds for all.
     """
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\t", -1).alias("parts"))
     header = rows.filter(F.col("parts")[0] == "PSH").groupBy("file").agg(F.first("parts").alias("names"))  # a row a file
     psms = rows.filter(F.col("parts")[0] == "PSM")
-    joined = psms.join(F.broadcast(header.drop("file").limit(1))) if one_header else psms.join(header, "file")  # one row
-    return joined.select("file", F.map_from_arrays(F.slice("names", 2, F.size("names") - 1), F.slice("parts", 2, F.size("names") - 1)).alias("psm"))
+    joined = psms.join(F.broadcast(header.drop("file").limit(1)), how="left") if one_header else psms.join(header, "file", "left")  # one row
+    names = F.when(F.col("names").isNull(), F.raise_error(F.concat(F.lit("no header in "), F.col("file"))).cast("array<string>")).otherwise(F.col("names"))
+    return joined.withColumn("names", names).select("file", F.map_from_arrays(F.slice("names", 2, F.size("names") - 1), F.slice("parts", 2, F.size("names") - 1)).alias("psm"))
 
 
 def psm_lines(psms: DataFrame) -> DataFrame:
@@ -83,11 +88,15 @@ def psm_lines(psms: DataFrame) -> DataFrame:
 
 
 def write_mztab(psms: DataFrame, path: str, title: str) -> None:
-    """A folder of text parts: metadata and header come first in the first part."""
-    spark = psms.sparkSession
-    head = spark.createDataFrame([(0, "MTD\tmzTab-version\t1.0.0"), (1, "MTD\tmzTab-mode\tSummary"), (2, f"MTD\tdescription\t{title}"), (3, "PSH\t" + "\t".join(PSM_COLUMNS))], "no int, value string").coalesce(1).sortWithinPartitions("no").select("value")
-    head.write.text(path)
-    psm_lines(psms).write.mode("append").text(path)
+    """A folder of text parts, each a whole file: metadata and header come first in every part."""
+    head = ["MTD\tmzTab-version\t1.0.0", "MTD\tmzTab-mode\tSummary", f"MTD\tdescription\t{title}", "PSH\t" + "\t".join(PSM_COLUMNS)]
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(head, pa.string())], names=["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
+
+    psm_lines(psms).mapInArrow(headed, "value string").write.text(path)
 
 
 def _param(name: str, params: Column) -> Column:

@@ -272,7 +272,7 @@ def test_partners(spark):
     from peakloom.operators.partners import matched_partners
 
     df = spark.createDataFrame([("A", 500.0, 2), ("B", 500.004, 2), ("C", 650.0, 2), ("D", 900.0, 3)], "y string, mz double, z int")
-    got = {r.y: (r.partner_id, r.tier) for r in matched_partners(df.withColumn("label", F.col("y")), row_id="y", mz="mz", charge="z", label="label", tolerances=[10], seed="s", buckets=1).collect()}
+    got = {r.y: (r.partner_id, r.tier) for r in matched_partners(df.withColumn("label", F.col("y")), row_id="y", mz="mz", charge="z", label="label", tolerances=[10], seed="s").collect()}
     assert got["A"] == ("B", 0) and got["B"] == ("A", 0) and got["C"][1] == 1 and got["D"][1] == 2
 
 
@@ -362,8 +362,8 @@ def test_mztab_is_scored(spark, tmp_path):
     from peakloom.sources.predictions import validate_psms
 
     psms = spark.createDataFrame([(1, "AG", 0.9), (2, "A", 0.5), (3, None, None)], "PSM_ID int, sequence string, `search_engine_score[1]` double")
-    files.write_mztab(psms.coalesce(1), str(tmp_path / "t"), "test")
-    got = validate_psms(files.read_mztab(spark, str(tmp_path / "t"), one_header=True).withColumn("file", F.lit("t")), "search_engine_score[1]")
+    files.write_mztab(psms, str(tmp_path / "t"), "test")
+    got = validate_psms(files.read_mztab(spark, str(tmp_path / "t")).withColumn("file", F.lit("t")), "search_engine_score[1]")
     judged = got.withColumn("ok", (F.col("sequence") == "AG").cast("int")).fillna(0, ["ok"])
     assert judged.agg(F.avg("ok")).first()[0] == pytest.approx(1 / 3) and judged.filter("score is null").count() == 1
     assert 0 < metrics.auc_tie_anchored(judged, [], "score", "ok").first()[0] < 1
