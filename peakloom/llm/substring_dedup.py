@@ -7,7 +7,7 @@ windows that it counts once occur once. Only the others go to an exact count, as
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,8 @@ from peakloom.llm import sketch
 from peakloom.llm.shared import free_name, slices, total_bytes, without
 
 HASH_ROWS = 2
+MOST_WORDS = 100_000
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-IS_SPACE = np.zeros(256, bool)
-IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LAST = np.iinfo(np.int64).max
 
 
@@ -32,51 +31,49 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_codes(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-    """Two 64-bit codes of each word of the texts, and each text's number of words. Words are bytes without ASCII space."""
-    texts = texts.cast(pa.large_binary())
-    _, at, data = texts.buffers()
-    at = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    b = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data and at[-1] > at[0] else np.empty(0, np.uint8)
-    at = at - at[0]
-    inside = np.concatenate([[False], ~IS_SPACE[b], [False]])
-    starts_word = inside[1:-1] & ~inside[:-2]
-    ends_word = inside[1:-1] & ~inside[2:]
-    cut = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(b))]
-    starts_word[cut] = inside[1:-1][cut]
-    ends_word[cut - 1] = inside[1:-1][cut - 1]
-    starts, ends = np.flatnonzero(starts_word), np.flatnonzero(ends_word) + 1
-    counts = np.diff(np.searchsorted(starts, at))
-    if not len(starts):
-        return [np.empty(0, np.uint64)] * 2, counts
-    lengths = ends - starts
-    where = np.flatnonzero(inside[1:-1])
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    within = np.arange(len(where)) - np.repeat(first, lengths)
-    values = b[where].astype(np.uint64) + np.uint64(1)
-    codes = []
-    for base in BASES:
-        powers = np.ones(int(lengths.max()), np.uint64)
-        powers[1:] = base
-        codes.append(mixed(np.add.reduceat(values * np.cumprod(powers)[within], first) + lengths.astype(np.uint64)))
-    return codes, counts
-
-
-def window_digests(texts: pa.Array, n: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of every window of n words, its text's number in the array, and each text's number of words."""
-    codes, counts = word_codes(texts)
+class Codes(dict):
+    """Numbers of words in two arrays of 64-bit hashes, the halves of XXH3-128; remembered, at most MOST_WORDS between slices."""
+
+    def __init__(self):
+        import xxhash
+
+        super().__init__()
+        self.digest, self.known = xxhash.xxh3_128_digest, []
+
+    def __missing__(self, word: bytes) -> int:
+        self.known.append(self.digest(word))
+        self[word] = n = len(self.known) - 1
+        return n
+
+    def of(self, words: list[list[bytes]]) -> list[np.ndarray]:
+        """Two codes of each of the words."""
+        if len(self) > MOST_WORDS:
+            self.clear()
+            self.known = []
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+        both = np.frombuffer(b"".join(self.known), np.uint64).reshape(-1, 2)
+        return [both[at, 0], both[at, 1]] if len(at) else [np.empty(0, np.uint64)] * 2
+
+
+def window_digests(texts: list[bytes | None], n: int, codes: Codes) -> tuple[list[np.ndarray], np.ndarray, list[list[bytes]]]:
+    """Two 64-bit hashes of every window of n words, its text's number in the list, and each text's words.
+
+    Words are bytes without ASCII space. Different hashes of words, not crafted ones, are what windows differ by.
+    """
+    words = [(t or b"").split() for t in texts]
+    counts = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(counts)
     of_word = np.repeat(np.arange(len(counts)), counts)
     m = max(0, len(of_word) - n + 1)
     own = np.arange(m) + n <= ends[of_word[:m]] if m else np.zeros(0, bool)
     out = []
-    for code, base in zip(codes, BASES):
+    for code, base in zip(codes.of(words), BASES):
         h = np.zeros(m, np.uint64)
         for j in range(n if m else 0):
             h *= np.uint64(base)
             h += code[j : j + m]
         out.append(mixed(h[own]))
-    return out, of_word[:m][own], counts
+    return out, of_word[:m][own], words
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -106,23 +103,27 @@ def dedup_substrings(
     smaller than each other. A null text stays null. A column named `into` is replaced. Empty input, empty result.
 
     The broadcast sketch has one bit a cell and at most 2 * 2**max_sketch_bits cells. Windows are equal if 96 bits of
-    digest are. A task holds about part_bytes of text, or of digests, and one document.
+    digest are. A task holds about part_bytes of text, or of digests, and one document: the number of tasks grows with
+    the input, and rows are dealt by id and text, so that rows that share an id are spread.
     """
     if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
         raise ValueError(f"{id_col} must be an integer column")
     spark = docs.sparkSession
     docs = without(docs, into)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     part_col = free_name(docs, "part")
     size = total_bytes(docs, text_col)
     bits = sketch.bits_for(size / 7, 1.5, max_sketch_bits)
-    parts = int(size // part_bytes) | 1  # odd: ids that are all even are dealt evenly, too
+    parts = int(size // part_bytes) + 1
+    dealt = F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)).cast("int")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), dealt.alias("part"))
 
     def hashes_of():
+        codes = Codes()
+
         def of(batch: pa.RecordBatch) -> np.ndarray:
             got = [np.empty(0, np.uint64)]
-            for part in slices(batch, 1, 2 << 20):
-                (h, _), doc, _ = window_digests(part.column(1), n)
+            for part in slices(batch, 1, 1 << 20):
+                (h, _), doc, _ = window_digests(part.column(1).cast(pa.binary()).to_pylist(), n, codes)
                 got.append(distinct(h, doc, h)[0])
             return np.concatenate(got)
 
@@ -131,28 +132,26 @@ def dedup_substrings(
     seen = spark.sparkContext.broadcast(sketch.twice_seen(texts, hashes_of, HASH_ROWS, bits))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packed (window, id) by bucket. Where a batch holds a window in several documents, the smallest asks for all
-        and the others are told at once: a window has an entry a batch at most."""
+        """Packed (window, id, part) by bucket. Where a batch holds a window in several documents, the smallest id asks
+        for all and the others are told at once: a window has an entry a batch at most, unless rows share an id."""
+        codes = Codes()
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            held: list[list[np.ndarray]] = [[], [], []]
+            ids, own_part = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            held: list[list[np.ndarray]] = [[], [], [], []]
             at = 0
-            for part in slices(batch, 1, 2 << 20):
-                (h1, h2), doc, _ = window_digests(part.column(1), n)
+            for part in slices(batch, 1, 1 << 20):
+                (h1, h2), doc, _ = window_digests(part.column(1).cast(pa.binary()).to_pylist(), n, codes)
                 yes = sketch.suspected(seen.value, h1, HASH_ROWS, bits)
-                for k, x in enumerate((h1[yes], (h2[yes] >> np.uint64(32)).astype(np.uint32), ids[at : at + part.num_rows][doc[yes]])):
+                row = at + doc[yes]
+                for k, x in enumerate((h1[yes], (h2[yes] >> np.uint64(32)).astype(np.uint32), ids[row], own_part[row])):
                     held[k].append(x)
                 at += part.num_rows
-            h1, h2, who = (np.concatenate(x) for x in held) if held[0] else (np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64))
-            h1, h2, who, later, _ = grouped(h1, h2, who)
-            out = [(0, *x) for x in packed_hits(h1[later], who[later], parts)]
-            h1, h2, who = h1[~later], h2[~later], who[~later]
-            bucket = (h1 % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            ends = np.cumsum(np.bincount(bucket, minlength=parts))
-            for k in np.unique(bucket).tolist():
-                own = order[ends[k - 1] if k else 0 : ends[k]]
-                out.append((1, k, planes(h1[own]) + planes(h2[own]) + planes(who[own])))
+            if not held[0]:
+                continue
+            entries, later = grouped(*map(np.concatenate, held))
+            out = [(0, *x) for x in packed_hits(entries, later)]
+            entries = [x[~later] for x in entries]
+            out += [(1, k, b"".join(planes(x[own]) for x in entries)) for k, own in by_number((entries[0] % np.uint64(parts)).astype(np.int64))]
             yield rows_of(out)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,19 +164,20 @@ def dedup_substrings(
                     out.append((0, part, data))
                     continue
                 if part != now:
-                    out += settle(held, parts)
+                    out += settle(held)
                     now, held = part, []
                 held.append(data)
             yield rows_of(out)
-        yield rows_of(settle(held, parts))
+        yield rows_of(settle(held))
 
     form = "kind int, part int, data binary"
     hits = (
         texts.mapInArrow(suspects, form)
-        .repartition(F.col("kind"), F.col("part"))
+        .repartition(parts, "kind", "part")
         .sortWithinPartitions("kind", "part")
         .mapInArrow(confirm, form)
         .select(F.col("part").alias(part_col), "data")
+        .repartition(parts, part_col)
     )
 
     names = docs.columns
@@ -189,37 +189,34 @@ def dedup_substrings(
         data = [x.as_py() for x in told.column("data")]
         h = np.concatenate([np.empty(0, np.uint64), *(numbers(x[: len(x) // 2], "<u8", len(x) // 16) for x in data)])
         who = np.concatenate([np.empty(0, np.int64), *(numbers(x[len(x) // 2 :], "<i8", len(x) // 16) for x in data)])
-        gone = np.unique(mixed(h ^ mixed(who.view(np.uint64))))
+        gone = {int(who[own[0]]): np.unique(h[own]) for _, own in by_number(np.unique(who, return_inverse=True)[1])}
         rows = rows.combine_chunks()
+        codes = Codes()
         out, total, removed = [], [], []
         for batch in rows.to_batches():
-            for part in slices(batch, text_at, 2 << 20):
-                (h1, _), doc, counts = window_digests(pa.array([x or b"" for x in part.column(text_at).cast(pa.binary()).to_pylist()], pa.binary()), n)
-                ids = np.array([LAST if x is None else x for x in part.column(id_at).to_pylist()], np.int64)
-                asked = mixed(h1 ^ mixed(ids[doc].view(np.uint64)))
-                hit = gone[np.minimum(np.searchsorted(gone, asked), len(gone) - 1)] == asked if len(gone) else np.zeros(len(asked), bool)
-                begun = np.cumsum(np.r_[0, counts])
-                windows = np.cumsum(np.r_[0, np.bincount(doc, minlength=len(counts))])
-                for i, t in enumerate(part.column(text_at).cast(pa.binary()).to_pylist()):
-                    words, own = (t or b"").split(), hit[windows[i] : windows[i + 1]]
+            for part in slices(batch, text_at, 1 << 20):
+                texts = part.column(text_at).cast(pa.binary()).to_pylist()
+                (h1, _), doc, split = window_digests(texts, n, codes)
+                windows = np.cumsum(np.r_[0, np.bincount(doc, minlength=len(texts))])
+                for i, (t, words, who_i) in enumerate(zip(texts, split, part.column(id_at).to_pylist())):
+                    own, lost = h1[windows[i] : windows[i + 1]], gone.get(LAST if who_i is None else who_i)
+                    total.append(len(words))
                     dropped = 0
-                    if own.any():
+                    if lost is not None and len(own):
                         d = np.zeros(len(words) + 1, np.int64)
-                        at = np.flatnonzero(own)
+                        at = np.flatnonzero(lost[np.minimum(np.searchsorted(lost, own), len(lost) - 1)] == own)
                         d[at] += 1
                         d[at + n] -= 1
                         stay = np.cumsum(d[:-1]) == 0
                         dropped = len(words) - int(stay.sum())
                         words = compress(words, stay.tolist())
                     out.append(None if t is None else b" ".join(words).decode())
-                    total.append(int(begun[i + 1] - begun[i]))
                     removed.append(dropped)
         made = pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=["n_words", "n_removed"])
         keep = rows.select(names).set_column(text_at, text_col, pa.array(out, pa.string()))
         return keep.append_column(into, made)
 
-    dealt = docs.withColumn(part_col, F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.lit(parts)).cast("int"))
-    return dealt.groupBy(part_col).cogroup(hits.groupBy(part_col)).applyInArrow(cut, schema)
+    return docs.withColumn(part_col, dealt).repartition(parts, part_col).groupBy(part_col).cogroup(hits.groupBy(part_col)).applyInArrow(cut, schema)
 
 
 def distinct(key: np.ndarray, doc: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
@@ -230,43 +227,42 @@ def distinct(key: np.ndarray, doc: np.ndarray, *columns: np.ndarray) -> list[np.
     return [c[first] for c in columns]
 
 
-def grouped(h1: np.ndarray, h2: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted distinct (window, id), a mask of those whose id isn't the window's smallest, and of the first of windows."""
-    order = np.lexsort((who, h2, h1))
-    h1, h2, who = h1[order], h2[order], who[order]
+def by_number(number: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each number that occurs, with the places where it does."""
+    order = np.argsort(number, kind="stable")
+    found, first = np.unique(number[order], return_index=True)
+    yield from zip(found.tolist(), np.split(order, first[1:]) if len(found) else [])
+
+
+def grouped(h1: np.ndarray, h2: np.ndarray, who: np.ndarray, part: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted distinct (window, id, part), and a mask of those whose id isn't the window's smallest."""
+    order = np.lexsort((part, who, h2, h1))
+    h1, h2, who, part = h1[order], h2[order], who[order], part[order]
     new = np.ones(len(h1), bool)
     new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
     own = new.copy()
-    own[1:] |= who[1:] != who[:-1]
-    return h1[own], h2[own], who[own], ~new[own], new[own]
-
-
-def packed_hits(h: np.ndarray, who: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
-    """Windows that go, by the part of the documents they go from."""
-    if not len(h):
-        return []
-    part = parts_of(who, parts)
-    order = np.argsort(part, kind="stable")
-    ends = np.cumsum(np.bincount(part, minlength=parts))
-    return [(k, planes(h[own]) + planes(who[own])) for k in np.unique(part).tolist() for own in [order[ends[k - 1] if k else 0 : ends[k]]]]
+    own[1:] |= (who[1:] != who[:-1]) | (part[1:] != part[:-1])
+    later = who != who[new][np.cumsum(new) - 1] if len(who) else new
+    return [x[own] for x in (h1, h2, who, part)], later[own]
 
 
-def parts_of(ids: np.ndarray, parts: int) -> np.ndarray:
-    """As pmod(id, parts) in Spark."""
-    return np.mod(ids, np.int64(parts))
+def packed_hits(entries: list[np.ndarray], later: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Windows that go, with the ids they go from, by the part that holds these documents."""
+    h, _, who, part = (x[later] for x in entries)
+    for k, own in by_number(part):
+        yield k, planes(h[own]) + planes(who[own])
 
 
-def settle(held: list[bytes], parts: int) -> list[tuple[int, int, bytes]]:
+def settle(held: list[bytes]) -> list[tuple[int, int, bytes]]:
     """A bucket's entries: those that aren't the smallest id of their window are hits."""
     if not held:
         return []
-    cols: list[list[np.ndarray]] = [[], [], []]
+    cols: list[list[np.ndarray]] = [[], [], [], []]
     for x in held:
-        m = len(x) // 20
-        for k, (a, b, kind) in enumerate(((0, 8, "<u8"), (8, 12, "<u4"), (12, 20, "<i8"))):
+        m = len(x) // 24
+        for k, (a, b, kind) in enumerate(((0, 8, "<u8"), (8, 12, "<u4"), (12, 20, "<i8"), (20, 24, "<i4"))):
             cols[k].append(numbers(x[a * m : b * m], kind, m))
-    h1, _, who, later, _ = grouped(*map(np.concatenate, cols))
-    return [(0, *x) for x in packed_hits(h1[later], who[later], parts)]
+    return [(0, *x) for x in packed_hits(*grouped(*map(np.concatenate, cols)))]
 
 
 def rows_of(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
