@@ -25,14 +25,19 @@ EDGES = np.array([-1.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0])
 CLASSES = len(EDGES) + 1
 NEUTRAL = int(np.searchsorted(EDGES, 0.0))
 #: At most so many tokens are in work at once, besides one text.
-MOST_TOKENS = 1_000_000
+MOST_TOKENS = 250_000
 #: And where all of a token's weights are in work.
 MOST_TRAINED = 250_000
 MOST_WORDS = 100_000
 
 
+def lowered(text: bytes | None) -> str:
+    """Lower case, each character in its place: only U+0130 would become two."""
+    return (text or b"").decode().replace("\u0130", "i").lower()
+
+
 def tokens(text: bytes | None) -> list[str]:
-    return WORD.findall((text or b"").decode().lower())
+    return WORD.findall(lowered(text))
 
 
 def units(word: str) -> list[str]:
@@ -188,19 +193,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         return {u: float(np.log((n + 0.5) / (n_toxic + 1)) - np.log((other.get(u, 0) + 0.5) / (n_other + 1))) for u, n in toxic.items()}
 
     def best(own: set[str]) -> list[str]:
+        odds = sent.value
         top = max((odds.get(u, 0.0) for u in own), default=0.0)
         return [u for u in own if odds.get(u, 0.0) >= max(1.0, top - 0.7)]
 
+    # Units that three of at most most_rows toxic texts hold: what is sent is bounded by the sample.
     toxic = collected(counted(1, lambda own: own).filter("n >= 3"))
-    other = collected(counted(0, lambda own: own & toxic.keys()))
-    odds = log_odds(toxic, other)
+    met = spark.sparkContext.broadcast(frozenset(toxic))
+    other = collected(counted(0, lambda own: own & met.value))
+    sent = spark.sparkContext.broadcast(log_odds(toxic, other))
     explaining = log_odds(collected(counted(1, best).filter("n >= 3")), other)
     classes = {u: int(np.searchsorted(EDGES, x)) for u, x in explaining.items() if x > 1}
     top = int(np.searchsorted(EDGES, 3.0))
 
+    strong = spark.sparkContext.broadcast(classes)
+
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each text's evidence classes, a byte each."""
-        of = Evidence(classes).__getitem__
+        of = Evidence(strong.value).__getitem__
         for b in batches:
             c = [bytes(map(of, tokens(t))) for t in b.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), b.column(1)], names=["c", "y"])
@@ -283,15 +293,10 @@ def score_toxicity(docs: DataFrame, model: Model, *, text_col: str = "text", spa
                     found = []
                     if len(own):
                         places = [x.span() for x in WORD.finditer(lowered(texts[i]))]
-                        found = [{"start": places[k][0], "end": places[k][1], "p": float(1 / (1 + np.exp(-odds[at[j] + k])))} for k in own.tolist()] if len(places) == n[j] else []
+                        found = [{"start": places[k][0], "end": places[k][1], "p": float(1 / (1 + np.exp(-odds[at[j] + k])))} for k in own.tolist()]
                     out.append((scores[j], int(scores[j] >= 0.5), found))
             return out
 
         return of
 
     return annotate(docs, text_col, into, "score double, predicted int, spans array<struct<start:int,end:int,p:double>>", make)
-
-
-def lowered(text: bytes | None) -> str:
-    """Lower case where that keeps a character's place, so that offsets hold in the text itself."""
-    return "".join(c.lower() if len(c.lower()) == 1 else c for c in (text or b"").decode())
