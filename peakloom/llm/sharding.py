@@ -89,17 +89,26 @@ def shard(
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(F.encode(text, "utf-8")).alias("crc"),
             place_on_ring.alias("at"),
+            F.col(id_col).isNull().alias("none"),
+            F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"),
             F.shiftrightunsigned(place_on_ring, 64 - ring_bits).cast("int").alias("cell"),
+            F.spark_partition_id().alias("run"),
+            F.monotonically_increasing_id().alias("row_no"),
         ),
         "ring-rows",
     )
-    counts = {r.cell: r.n for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}  # at most a row a cell
+    # Rows that are alike in all of `kind` are interchangeable. Numbers of a cell's rows go by kind, then by run: a
+    # window over counts finds where each (kind, run) begins, so that no task orders all rows of a repeated id.
+    kind = ["cell", "at", "none", "key", "crc", "size", "run"]
+    each = saved(rows.groupBy(*kind).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "ring-counts")
+    counts = {r.cell: r.n for r in each.groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator()}  # at most a row a cell
     n = sum(counts.values())
     most = -(-n // shards)
     room = [most - (slack == 0 and n % shards > 0 and s >= n % shards) for s in range(shards)] if slack == 0 else [max(most, int((1 + slack) * n / shards))] * shards
     plan = spark.createDataFrame(place(counts, virtual_nodes(shards, per_shard, cells), room, cells), "cell int, low long, high long, shard int, first long")
-    order = Window.partitionBy("cell").orderBy("at", "id", "crc", "size")
-    numbered = rows.withColumn("no", F.row_number().over(order) - 1)
+    order = Window.partitionBy("cell").orderBy("at", "none", "id", "crc", "size", "run").rowsBetween(Window.unboundedPreceding, 0)
+    begun = each.withColumn("begin", F.sum("n").over(order) - F.col("n")).select(*kind, "begin")
+    numbered = rows.join(begun, kind).withColumn("no", F.col("begin") + F.row_number().over(Window.partitionBy(*kind).orderBy("row_no")) - 1)
     return numbered.join(F.broadcast(plan), (numbered["cell"] == plan["cell"]) & (F.col("no") >= F.col("low")) & (F.col("no") < F.col("high"))).select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("first") + F.col("no") - F.col("low")).alias("slot")
     )
