@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from peakloom.llm.shared import annotate, free_name, saved
+from peakloom.llm.shared import annotate, free_name, meet, saved
 
 WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
@@ -216,10 +216,10 @@ def _joined(docs: DataFrame, found: DataFrame, text_col: str, into: str, most: i
                         a = at[k : k + 10_000].tolist()
                         yield pa.RecordBatch.from_arrays([pa.array([no] * len(a), pa.int64()), pa.array(a, pa.int32()), pa.array([ws[i : i + n] for i in a], pa.list_(pa.string()))], names=["row_no", "at", "window"])
 
-    own = rows.select(row, text_col).mapInArrow(candidates, "row_no long, at int, window array<string>")
+    own = saved(rows.select(row, text_col).mapInArrow(candidates, "row_no long, at int, window array<string>").withColumn("salt", F.pmod(F.xxhash64("row_no"), F.lit(64))), "own-windows")
     by_window = found.groupBy("window").agg(F.collect_set(F.coalesce("item_id", F.lit(NO_ID))).alias("items"))
     hit = (
-        own.join(by_window, "window")
+        meet(own, by_window, ["window"], "salt")  # very many documents may share a window
         .groupBy("row_no")
         .agg(F.collect_list(F.struct("at", F.size("window").alias("n"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         .select(F.col("row_no").alias(row), F.struct("spans", "items").alias(hits_col := free_name(docs, "hits")))
