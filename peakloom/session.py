@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 8 MB from here on in this session, unless they are smaller already: whole texts are long."""
+    """Arrow batches of at most 2 MB from here on in this session, unless they are smaller already: whole texts are long."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key, None)
     if now is None or not 0 < int("".join(c for c in now if c.isdigit() or c == "-")) <= BATCH_BYTES:
