@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from peakloom.plans.scratch import new_folder
+from peakloom.plans.scratch import new_folder, remove
 from peakloom.session import bounded_batches
 
 #: Bits of a filter that picks rows at a scan, at most: 32 MB.
@@ -25,6 +25,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of saved tables that nothing reads any more."""
+    for t in tables:
+        files = t.inputFiles()
+        if files:
+            remove(t.sparkSession, files[0].rpartition("/")[0])
+
+
 def total_bytes(docs: DataFrame, text_col: str) -> int:
     return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 

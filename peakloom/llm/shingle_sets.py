@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakloom.llm import sketch
 from peakloom.llm.components import components
-from peakloom.llm.shared import MOST_BITS, bit_filter, saved, slices
+from peakloom.llm.shared import MOST_BITS, bit_filter, discard, saved, slices
 
 #: Codes of ordinary shingles are below, those of shingles at the end of the order from here on.
 LAST = 1 << 62
-MOST_WORDS = 100_000
+MOST_WORDS = 50_000
+#: Cells of a row of the twice-seen filter, at most (a power of two): 32 MB are sent.
+MOST_CELLS = 27
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,8 +83,9 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64()))
 
 
-def coded(texts: DataFrame, n: int, seed: int, percent: int | None, late: list[int], chosen=None) -> DataFrame:
-    """texts (id, text, run, spot) as id, run, fp (digest of all codes), n and codes: all, or the first of them by percent.
+def coded(texts: DataFrame, n: int, seed: int, percent: int | None, late: list[int], before: int = 0, chosen=None) -> DataFrame:
+    """texts (id, text, run, spot) as id, run, fp (digest of all codes), n, codes: all, or the first of them by percent,
+    and fresh: those that weren't among them when only the first `before` of `late` were at the end.
 
     chosen: a broadcast bit filter; only texts whose spot is in it are coded and given.
     """
@@ -89,23 +93,58 @@ def coded(texts: DataFrame, n: int, seed: int, percent: int | None, late: list[i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        words, order = Words(seed), placed(late)
+        words, order, earlier = Words(seed), placed(late), placed(late[:before])
         for batch in batches:
             if chosen is not None:
                 spot = batch.column(3).to_numpy()
                 batch = batch.filter(pa.array((chosen.value[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)))
             for part in slices(batch, 1, 1 << 20):
-                prints, sizes, kept = [], [], []
+                prints, sizes, kept, fresh = [], [], [], []
                 for t in part.column(1).cast(pa.binary()).to_pylist():
                     c = codes(t, n, words)
                     prints.append(xxhash.xxh3_128_hexdigest(c.tobytes()))
-                    c = reordered(c, *order)
+                    k = len(c) if percent is None else prefix_length(len(c), percent)
                     sizes.append(len(c))
-                    kept.append(c if percent is None else c[: prefix_length(len(c), percent)])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(prints, pa.string()), pa.array(sizes, pa.int32()), lists(kept)], names=["id", "run", "fp", "n", "codes"])
+                    kept.append(reordered(c, *order)[:k])
+                    fresh.append(np.setdiff1d(kept[-1], reordered(c, *earlier)[:k], assume_unique=True) if len(late) > before else c[:0])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(prints, pa.string()), pa.array(sizes, pa.int32()), lists(kept), lists(fresh)], names=["id", "run", "fp", "n", "codes", "fresh"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("id", "text", "run", "spot").mapInArrow(run, f"id {kind}, run int, fp string, n int, codes array<bigint>")
+    return texts.select("id", "text", "run", "spot").mapInArrow(run, f"id {kind}, run int, fp string, n int, codes array<bigint>, fresh array<bigint>")
+
+
+def posted(layers: list[DataFrame]) -> DataFrame:
+    """(node, n, pos, code): the codes of sets (node, n, codes) that a twice-seen filter suspects of more than one set.
+
+    A node's set is the one in the last layer that has it; the filter counts the first layer's codes and what is fresh in
+    others. Most shingles are in one set only, and such a code meets nothing. Beyond its largest size the filter
+    suspects more, and in the end all.
+    """
+    spark, codes = layers[0].sparkSession, layers[0].select("codes")
+    for x in layers[1:]:
+        codes = codes.union(x.select("fresh"))
+    total = codes.agg(F.sum(F.size("codes"))).first()[0] or 0
+    bits = sketch.bits_for(total, 4, MOST_CELLS)
+    parts_of = lambda column: (column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()))
+    hashes_of = lambda: lambda batch: parts_of(batch.column(0))[0].view(np.uint64)
+    seen = spark.sparkContext.broadcast(sketch.twice_seen(codes, hashes_of, 2, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, sizes = parts_of(b.column(2))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = np.flatnonzero(sketch.suspected(seen.value, flat.view(np.uint64), 2, bits))
+            some = lambda x: x.take(pa.array(row[at]))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([some(b.column(0)), some(b.column(1)), pa.array(pos[at], pa.int32()), pa.array(flat[at], pa.int64())], names=["node", "n", "pos", "code"])
+
+    out = None
+    for k, x in enumerate(layers):
+        own = x.select("node", "n", "codes").mapInArrow(run, "node long, n int, pos int, code long")
+        for later in layers[k + 1 :]:
+            own = own.join(later.select("node"), "node", "left_anti")
+        out = own if out is None else out.union(own)
+    return saved(out, "posts")
 
 
 def similar(texts: DataFrame, *, n: int, seed: int, percent: int, pair_bucket: int, most_reorders: int = 2, most_late: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -119,23 +158,26 @@ def similar(texts: DataFrame, *, n: int, seed: int, percent: int, pair_bucket: i
     spark = texts.sparkSession
     bits = int(np.clip(np.ceil(np.log2(max(1, texts.select("id").count()) * 8)), 16, MOST_BITS))
     texts = texts.withColumn("spot", F.pmod(F.xxhash64("id"), F.lit(1 << bits)))
-    prints = saved(coded(texts, n, seed, percent, []), "prefixes")
-    sets = prints.groupBy("fp").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("codes").alias("codes"))
+    prefixes = saved(coded(texts, n, seed, percent, []), "prefixes")
+    prints = saved(prefixes.select("id", "run", "fp"), "prints")
+    sets = prefixes.groupBy("fp").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("codes").alias("codes"))
     sets = saved(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    discard(prefixes)
     nodes = sets.select("node", "fp", "least")
 
-    def whole(wanted: DataFrame, part: int | None, late: list[int]) -> DataFrame:
-        """(node, n, codes) of the wanted nodes, whose texts are picked at the scan."""
+    def whole(wanted: DataFrame, part: int | None, late: list[int], before: int = 0) -> DataFrame:
+        """(node, n, codes, fresh) of the wanted nodes, whose texts are picked at the scan."""
         wanted = saved(nodes.join(wanted, "node"), "wanted")
         chosen = spark.sparkContext.broadcast(bit_filter(wanted.select(F.pmod(F.xxhash64("least"), F.lit(1 << bits)).alias("spot")), bits))
-        got = coded(texts, n, seed, part, late, chosen).alias("g")
+        got = coded(texts, n, seed, part, late, before, chosen).alias("g")
         # Of the rows of an id those with the set's own fingerprint count; null ids are equal here.
         met = got.join(wanted.alias("w"), (F.col("g.fp") == F.col("w.fp")) & F.col("g.id").eqNullSafe(F.col("w.least")))
-        return saved(met.select("w.node", "g.n", "g.codes").dropDuplicates(["node"]), "whole")
+        return saved(met.select("w.node", "g.n", "g.codes", "g.fresh").dropDuplicates(["node"]), "whole")
 
     late: list[int] = []
+    layers = [sets.select("node", "n", "codes")]
     for turn in range(most_reorders + 1):
-        posts = sets.select("node", "n", F.posexplode("codes").alias("pos", "code"))
+        posts = posted(layers)
         sizes = saved(posts.groupBy("code").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
         # The most frequent go to the very end.
         more = sizes.filter((F.col("size") > pair_bucket) & (F.col("code") < LAST)).orderBy(F.desc("size"), "code").limit(most_late).collect() if turn < most_reorders else []
@@ -144,9 +186,8 @@ def similar(texts: DataFrame, *, n: int, seed: int, percent: int, pair_bucket: i
         late += [r.code for r in more]
         moved = spark.createDataFrame([(r.code,) for r in more], "code long")
         changed = posts.join(F.broadcast(moved), "code", "left_semi").select("node").distinct()
-        again = whole(changed, percent, late)
-        kept = sets.join(again.select("node"), "node", "left_anti").select("node", "n", "codes")
-        sets = saved(kept.union(again.select("node", "n", "codes")), "sets")
+        layers.append(whole(changed, percent, late, len(late) - len(more)))
+        discard(posts, sizes)
     shared = saved(posts.join(sizes, "code"), "shared")
 
     def alike(common, a, b):
@@ -159,14 +200,18 @@ def similar(texts: DataFrame, *, n: int, seed: int, percent: int, pair_bucket: i
         full = whole(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), None, [])
         side = lambda c: full.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("codes").alias(f"codes_{c}"))
         both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-        return saved(both.filter(alike(F.size(F.array_intersect("codes_a", "codes_b")), F.col("n_a"), F.col("n_b"))).select("a", "b"), "links")
+        out = saved(both.filter(alike(F.size(F.array_intersect("codes_a", "codes_b")), F.col("n_a"), F.col("n_b"))).select("a", "b"), "links")
+        discard(full, pairs)
+        return out
 
     # Full buckets: each member meets the smallest of its length band.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))) if percent < 100 else F.col("n")
     full = shared.filter(F.col("size") > pair_bucket).withColumn("band", band)
     first = full.groupBy("code", "band").agg(F.min("node").alias("a"))
     star = full.join(first, ["code", "band"]).filter("a < node").select("a", F.col("node").alias("b")).distinct()
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("codes").alias(f"codes_{c}"))
+    # Of their first shingles those that other sets have, too: no others are common.
+    firsts = posts.join(star.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").groupBy("node", "n").agg(F.array_sort(F.collect_list("code")).alias("codes"))
+    side = lambda c: firsts.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("codes").alias(f"codes_{c}"))
     mu = F.least(F.element_at("codes_a", -1), F.element_at("codes_b", -1))
     star = star.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", F.filter("codes_a", lambda x: x <= mu).alias("x"), F.filter("codes_b", lambda x: x <= mu).alias("y"))
     most = F.size(F.array_intersect("x", "y")) + F.least(F.col("n_a") - F.size("x"), F.col("n_b") - F.size("y"))
