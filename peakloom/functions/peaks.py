@@ -79,19 +79,46 @@ def released_model_peaks(peaks: Column, low: float, high: float, floor: float, n
     return let(_scaled(inside, F.sqrt), lambda ps: F.when(F.size(ps) > 0, let(norm(ps), lambda n: unit(ps, n))).otherwise(sentinel))
 
 
+def clusters(peaks: Column, apart) -> Column:
+    """Sorted peaks as an array of runs: a new one begins where apart(before, peak) holds. Each peak is copied once."""
+    def cut(ps: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(ps)), lambda i: (i == 1) | apart(F.get(ps, i - 2), F.get(ps, i - 1)))
+        run = lambda ss: F.transform(ss, lambda s, k: F.slice(ps, s, F.coalesce(F.get(ss, k + 1), F.size(ps) + 1) - s))
+        return F.when(F.size(ps) > 0, let(starts, run)).otherwise(F.slice(F.array(ps), 1, 0))
+
+    return let(peaks, cut)
+
+
+def _centre(c: Column) -> Column:
+    """Weighted mean m/z (plain where nothing has intensity)."""
+    total = lambda f: F.aggregate(F.transform(c, f), F.lit(0.0), lambda a, x: a + x)
+    weight = total(lambda p: p["intensity"])
+    return F.when(weight > 0, total(lambda p: p["mz"] * p["intensity"]) / weight).otherwise(total(lambda p: p["mz"]) / F.size(c))
+
+
+def _sum(c: Column) -> Column:
+    return F.aggregate(F.transform(c, lambda p: p["intensity"]), F.lit(0.0), lambda a, x: a + x)
+
+
 def merged(peaks: Column, ppm: float) -> Column:
     """Peaks by m/z; a peak within ppm of the one before joins its cluster: weighted mean m/z and summed intensity."""
-    new = lambda p: F.struct((p["mz"] * p["intensity"]).alias("weight"), p["intensity"].alias("intensity"), p["mz"].alias("sum"), F.lit(1).alias("n"), p["mz"].alias("last"))
-    grown = lambda c, p: F.struct((c["weight"] + p["mz"] * p["intensity"]).alias("weight"), (c["intensity"] + p["intensity"]).alias("intensity"), (c["sum"] + p["mz"]).alias("sum"), (c["n"] + 1).alias("n"), p["mz"].alias("last"))
-    clusters = F.aggregate(
-        F.array_sort(peaks),
-        F.array().cast("array<struct<weight:double,intensity:double,sum:double,n:int,last:double>>"),
-        lambda acc, p: F.when(
-            (F.size(acc) > 0) & (p["mz"] - F.try_element_at(acc, F.lit(-1))["last"] <= p["mz"] * ppm / 1e6),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown(F.try_element_at(acc, F.lit(-1)), p))),
-        ).otherwise(F.concat(acc, F.array(new(p)))),
-    )
-    return F.transform(clusters, lambda c: F.struct(F.when(c["intensity"] > 0, c["weight"] / c["intensity"]).otherwise(c["sum"] / c["n"]).alias("mz"), c["intensity"].alias("intensity")))
+    runs = clusters(F.array_sort(peaks), lambda a, b: b["mz"] - a["mz"] > b["mz"] * ppm / 1e6)
+    return F.transform(runs, lambda c: F.struct(_centre(c).alias("mz"), _sum(c).alias("intensity")))
+
+
+def distractor_count(anchor: Column, distractor: Column, strength: float) -> Column:
+    """Peaks of a distractor to mix in: a share of the anchor's count, one at least, as many as there are at most."""
+    n = F.least(F.floor(F.size(anchor) * F.lit(strength)).cast("int"), F.size(distractor))
+    return F.when(F.lit(strength) > 0, F.greatest(n, F.least(F.lit(1), F.size(distractor)))).otherwise(0)
+
+
+def mixed(anchor: Column, distractor: Column, ppm: float) -> Column:
+    """Both spectra's peaks, neighbours closer than ppm of their midpoint merged: struct(mz, intensity, origin), origin 0
+    for the anchor's own, 1 for the distractor's, 2 for merged from both."""
+    side = lambda ps, k: F.transform(ps, lambda p: F.struct(p["mz"].alias("mz"), F.lit(k).alias("origin"), p["intensity"].alias("intensity")))
+    runs = clusters(F.array_sort(F.concat(side(anchor, 0), side(distractor, 1))), lambda a, b: ~(b["mz"] - a["mz"] < ppm * 1e-6 * (a["mz"] + b["mz"]) / 2))
+    own = lambda c: F.array_distinct(F.transform(c, lambda p: p["origin"]))
+    return F.transform(runs, lambda c: F.struct(_centre(c).alias("mz"), _sum(c).alias("intensity"), F.when(F.size(own(c)) > 1, 2).otherwise(F.get(own(c), F.lit(0))).alias("origin")))
 
 
 def running_merge(peaks: Column, ppm: float) -> Column:

@@ -30,6 +30,11 @@ def euclidean_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
+def two_view_distance(a_one: Column, a_two: Column, b_one: Column, b_two: Column) -> Column:
+    """Of unit vectors in two views: the mean of both directions, a's first view to b's second and a's second to b's first."""
+    return (cosine_distance(a_one, b_two) + cosine_distance(a_two, b_one)) / 2
+
+
 def hash_rank(*parts: Column | str) -> Column:
     """A stable rank: SHA-256 of the parts' texts, joined by the unit separator. Hex sorts as bytes do."""
     return F.sha2(F.concat_ws("\x1f", *(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts)), 256)

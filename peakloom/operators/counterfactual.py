@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.functions.vectors import cosine_distance, doubles, euclidean_distance, unit
+from peakloom.functions.vectors import cosine_distance, dot, doubles, euclidean_distance, unit
 
 
 def jensen_shannon(p: Column, q: Column) -> Column:
@@ -39,3 +39,32 @@ def dense_source_selection(df: DataFrame, row_id: str, clean_a: str, clean_b: st
     d = lambda x: cosine_distance(unit(F.col("t.m")), unit(F.col(f"t.{x}")))
     right = F.when(F.col("t.s") == 0, d("a") < d("b")).otherwise(d("b") < d("a"))
     return tokens.filter("t.s in (0, 1)").groupBy(row_id).agg(F.count(F.lit(1)).alias("n"), F.avg(right.cast("double")).alias("accuracy"))
+
+
+def null_local(df: DataFrame, group: list[str], source: str, negative: str, one: str, two: str) -> DataFrame:
+    """(group, pairs, accuracies, margins and distances) of two local views without a precursor, against their clean source.
+
+    A view is right if it lies nearer to its source than to the negative; a margin is how much nearer.
+    """
+    v = {c: unit(F.col(c)) for c in (source, negative, one, two)}
+    d = lambda a, b: 1.0 - dot(v[a], v[b])
+    rows = df.select(*group, d(one, source).alias("s1"), d(one, negative).alias("n1"), d(two, source).alias("s2"), d(two, negative).alias("n2"), d(one, two).alias("local"), d(source, negative).alias("clean"))
+    right1, right2 = (F.col("s1") < F.col("n1")).cast("double"), (F.col("s2") < F.col("n2")).cast("double")
+    m1, m2 = F.col("n1") - F.col("s1"), F.col("n2") - F.col("s2")
+    means = {
+        "accuracy_1": right1, "accuracy_2": right2, "paired_accuracy": right1 * right2, "mean_accuracy": (right1 + right2) / 2, "margin_1": m1, "margin_2": m2, "mean_margin": (m1 + m2) / 2,
+        "local_distance": F.col("local"), "clean_distance": F.col("clean"), "distance_ratio": F.col("local") / F.greatest(F.col("clean"), F.lit(1e-8)),
+    }
+    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("pairs"), *(F.avg(x).alias(k) for k, x in means.items()))
+
+
+def coprime_stride(size: Column, seed: Column) -> Column:
+    """The first step from 1 + seed mod (size - 1) on, round to 1, that has no divisor in common with size; 1 below two."""
+    def gcd(a: Column, b: Column) -> Column:
+        pair = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+        turn = lambda x, _: F.struct(F.when(x["b"] == 0, x["a"]).otherwise(x["b"]).alias("a"), F.when(x["b"] == 0, F.lit(0).cast("long")).otherwise(x["a"] % F.greatest(x["b"], F.lit(1))).alias("b"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(92)), pair, turn, lambda x: x["a"])  # as many turns as a long needs at most
+
+    # Among any 400 neighbours one is coprime to a 64-bit number.
+    steps = F.transform(F.sequence(F.lit(0), F.lit(400)), lambda k: F.pmod(F.pmod(seed, size - 1) + k, size - 1) + 1)
+    return F.when(size < 2, F.lit(1).cast("long")).otherwise(F.get(F.filter(steps, lambda s: gcd(s, size) == 1), F.lit(0)).cast("long"))

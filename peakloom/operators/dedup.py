@@ -68,3 +68,11 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], loaded: str) -> DataF
     """The ledger after new rows: by key, the row loaded last."""
     w = Window.partitionBy(*key).orderBy(F.col(loaded).desc())
     return old.unionByName(new).withColumn("_no", F.row_number().over(w)).filter("_no = 1").drop("_no")
+
+
+def known_rows(rows: DataFrame, known: DataFrame, cheap: list[str], fingerprint: Column, row_id: str) -> DataFrame:
+    """Ids of rows that `known` holds as well: first those whose cheap key it has, then, of these alone, those whose
+    fingerprint agrees. The fingerprint is worked out for the few that are left of either side."""
+    few = rows.join(known.select(*cheap).distinct(), cheap, "left_semi")
+    other = known.join(few.select(*cheap).distinct(), cheap, "left_semi").select(*cheap, fingerprint.alias("_f")).distinct()
+    return few.withColumn("_f", fingerprint).join(other, [*cheap, "_f"], "left_semi").select(row_id)

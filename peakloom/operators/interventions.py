@@ -11,7 +11,7 @@ from peakloom.functions.vectors import hash_rank
 
 def shuffled_intensities(peaks: Column, key: Column) -> Column:
     """The spectrum's m/z with its own intensities in another order, which key decides."""
-    order = F.array_sort(F.transform(peaks, lambda p, i: F.struct(F.xxhash64(key, i).alias("h"), i.alias("at"), p["intensity"].alias("x"))))
+    order = F.array_sort(F.transform(peaks, lambda p, i: F.struct(F.md5(F.concat_ws("|", key, i)).alias("h"), i.alias("at"), p["intensity"].alias("x"))))
     return F.zip_with(peaks, order, lambda p, q: F.struct(p["mz"].alias("mz"), q["x"].alias("intensity")))
 
 

@@ -218,3 +218,38 @@ def flattened(report: DataFrame, by: list[str]) -> DataFrame:
     cells = F.array(*(F.struct(F.lit(n).alias("metric"), F.col(c).cast("double").alias("value")) for c, n in leaves(report.schema)))
     rows = report.select(*by, F.explode(cells).alias("x")).select(*by, "x.metric", "x.value")
     return rows.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
+
+
+def thresholds(df: DataFrame, group: list[str], score: str, correct: str, n_total: str, at: list[float]) -> DataFrame:
+    """(group, threshold, precision, recall) of residues whose score is above each threshold; n_total: column or expression
+    of the true residues' number, the same in all rows of a group. Null where nothing is above it."""
+    c = df.groupBy(*group).agg(
+        F.max(F.expr(n_total)).alias("_n"), *(F.sum((F.col(score) > t).cast("long")).alias(f"_all_{k}") for k, t in enumerate(at)), *(F.sum(((F.col(score) > t) & F.col(correct).cast("boolean")).cast("long")).alias(f"_ok_{k}") for k, t in enumerate(at))
+    )
+    cells = F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.try_divide(F.col(f"_ok_{k}").cast("double"), F.col(f"_all_{k}").cast("double")).alias("precision"), F.try_divide(F.col(f"_ok_{k}").cast("double"), F.col("_n").cast("double")).alias("recall")) for k, t in enumerate(at)))
+    return c.select(*group, F.explode(cells).alias("x")).select(*group, "x.*")
+
+
+def array_sums(df: DataFrame, group: list[str], values: str) -> DataFrame:
+    """(group, sums): arrays of counts added up place by place."""
+    long = df.select(*group, F.posexplode(values).alias("k", "x")).groupBy(*group, "k").agg(F.sum("x").alias("x"))
+    return long.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("sums"))
+
+
+def pair_report(pairs: DataFrame, group: list[str], distance: str, label: str, rates: tuple[float, ...] = (0.01, 0.05, 0.1), targets: tuple[float, ...] = (0.1, 0.5)) -> DataFrame:
+    """(group, metric, value): AUC, average precision, false negatives and threshold at each rate, purity at each coverage.
+
+    Labels must be as many of one kind as of the other in each group; else the job stops.
+    """
+    scored = pairs.select(*group, F.col(distance).alias("_d"), (-F.col(distance)).alias("_s"), F.col(label).cast("int").alias("_y"))
+    auc, ap = roc_auc(scored, group, "_s", "_y"), average_precision(scored, group, "_s", "_y")
+    uneven = F.when(F.col("n_pos") != F.col("n_neg"), F.raise_error(F.lit("labels must be 1:1")).cast("double")).otherwise(F.col("auroc"))
+    parts = [auc.select(*group, F.lit("auc").alias("metric"), uneven.alias("value")), ap.select(*group, F.lit("average_precision").alias("metric"), F.col("average_precision").alias("value"))]
+    points = operating_points(scored, group, "_d", "_y", list(rates))
+    name = lambda what, c: F.concat(F.lit(f"{what}_at_"), F.regexp_replace(F.col(c).cast("string"), r"\.", "p")).alias("metric")
+    parts += [points.select(*group, name("fnr", "fdr"), F.col("fnr").alias("value")), points.select(*group, name("threshold", "fdr"), F.col("threshold").alias("value"))]
+    parts.append(purity_curve(scored, group, "_d", "_y", list(targets)).select(*group, name("purity", "target"), F.col("purity").alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out

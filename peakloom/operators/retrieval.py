@@ -20,44 +20,59 @@ from peakloom.operators.sampling import first_by_group
 DIGITS = 9
 
 
-def queries_of(rows: DataFrame, group: str, row_id: str, seed: str) -> DataFrame:
-    """One row of each group of two or more: the one with the smallest hash."""
-    many = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(group)
-    return first_by_group(rows.join(many, group, "left_semi"), [group], [hash_rank(seed, F.col(row_id)), F.col(row_id)], 1)
+def queries_of(rows: DataFrame, group: str, row_id: str, seed: str, partition: list[str] = ()) -> DataFrame:
+    """One row of each group of two or more (of each partition): the one with the smallest hash."""
+    by = [*partition, group]
+    many = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*by)
+    return first_by_group(rows.join(many, by, "left_semi"), by, [hash_rank(seed, F.col(row_id)), F.col(row_id)], 1)
 
 
-def distances(queries: DataFrame, rows: DataFrame, row_id: str, group: str, vector: str, ppm: float | None = None, mz: str | None = None, charge: str | None = None, same_charge: bool = True, query_vector: str | None = None, block: int = 256) -> DataFrame:
+def distances(queries: DataFrame, rows: DataFrame, row_id: str, group: str, vector: str, ppm: float | None = None, mz: str | None = None, charge: str | None = None, same_charge: bool = True, query_vector: str | None = None, block: int = 256, partition: str | None = None, keep: int | None = None) -> DataFrame:
     """(query_id, query_group, id, group, distance): cosine distances, rounded to nine digits, of queries to all other rows.
 
-    With ppm only rows within the tolerance of the query's mz, at the same charge or at another one. query_vector names
-    another view of the queries than `vector` in the rows. Queries are broadcast by block: a block has about `block` rows of one
-    vector each, and rows stream past it.
+    With ppm only rows within the tolerance of the query's mz, at the same charge or at another one; with a partition
+    column only rows of the query's own. query_vector names another view of the queries than `vector` in the rows. With
+    keep, each batch of rows gives a query its `keep` nearest only (by distance, then id), which is all that the nearest of
+    all can come from. Queries are broadcast by block of about `block`, and rows stream past it.
     """
-    cols = lambda v: [F.col(row_id).alias("id"), F.col(group).alias("g"), unit(F.col(v)).alias("v")]
+    part = F.col(partition).cast("string") if partition else F.lit("")
+    cols = lambda v: [F.col(row_id).alias("id"), F.col(group).alias("g"), unit(F.col(v)).alias("v"), part.alias("p")]
     extra = [F.col(mz).cast("double").alias("mz"), F.col(charge).alias("z")] if ppm else []
     q, r = queries.select(*cols(query_vector or vector), *extra), rows.select(*cols(vector), *extra)
     blocks = int(np.ceil(queries.count() / block)) or 1
     out = None
     for k in range(blocks):
-        part = q.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toArrow() if blocks > 1 else q.toArrow()
-        sent = queries.sparkSession.sparkContext.broadcast(part)
+        own = q.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toArrow() if blocks > 1 else q.toArrow()
+        sent = queries.sparkSession.sparkContext.broadcast(own)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             q = sent.value
             a = np.array(q.column("v").to_pylist(), float).reshape(q.num_rows, -1)
-            qi, qg = q.column("id").to_pylist(), q.column("g").to_pylist()
+            qi, qg, qp = q.column("id").combine_chunks(), q.column("g").combine_chunks(), np.array(q.column("p").to_pylist(), object)
             for b in batches:
                 v = np.array(b.column(2).to_pylist(), float).reshape(b.num_rows, -1)
+                if not q.num_rows or not b.num_rows:
+                    continue
                 d = np.round(np.maximum(0.0, 1.0 - a @ v.T), DIGITS)
-                ids, gs = b.column(0).to_pylist(), b.column(1).to_pylist()
-                ok = np.ones(d.shape, bool)
+                ids = np.array(b.column(0).to_pylist(), object)
+                ok = np.array(qi.to_pylist(), object)[:, None] != ids[None]
+                if partition:
+                    ok &= qp[:, None] == np.array(b.column(3).to_pylist(), object)[None]
                 if ppm:
-                    am, bm = np.array(q.column("mz")), b.column(3).to_numpy()
-                    az, bz = np.array(q.column("z")), np.array(b.column(4))
+                    am, bm = np.array(q.column("mz")), b.column(4).to_numpy()
+                    az, bz = np.array(q.column("z")), np.array(b.column(5))
                     ok &= (np.abs(bm[None] - am[:, None]) <= am[:, None] * ppm / 1e6) & ((az[:, None] == bz[None]) == same_charge)
-                for i in range(len(qi)):
-                    at = [j for j in np.flatnonzero(ok[i]).tolist() if ids[j] != qi[i]]
-                    yield pa.RecordBatch.from_arrays([pa.array([qi[i]] * len(at), b.schema.field(0).type), pa.array([qg[i]] * len(at), b.schema.field(1).type), b.column(0).take(pa.array(at, pa.int64())), b.column(1).take(pa.array(at, pa.int64())), pa.array(d[i, at])], names=["query_id", "query_group", "id", "group", "distance"])
+                if keep:
+                    by_id = np.empty(len(ids), np.int64)
+                    by_id[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+                    for i in range(len(d)):
+                        at = np.flatnonzero(ok[i])
+                        if len(at) > keep:
+                            ok[i, at[np.lexsort((by_id[at], d[i, at]))[keep:]]] = False
+                for first in range(0, len(d), 64):
+                    i, j = np.nonzero(ok[first : first + 64])
+                    row, col = pa.array(i + first, pa.int64()), pa.array(j, pa.int64())
+                    yield pa.RecordBatch.from_arrays([qi.take(row), qg.take(row), b.column(0).take(col), b.column(1).take(col), pa.array(d[i + first, j])], names=["query_id", "query_group", "id", "group", "distance"])
 
         kinds = {f.name: f.dataType.simpleString() for f in r.schema.fields}
         got = r.mapInArrow(run, f"query_id {kinds['id']}, query_group {kinds['g']}, id {kinds['id']}, group {kinds['g']}, distance double")
@@ -84,6 +99,21 @@ def ranked_metrics(near: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFra
     return totals.join(found, "query_id").select("query_id", "query_group", "n", "n_positive", "ap", "rr", *hits, *chance)
 
 
+def report(rows: DataFrame, partition: str, group: str, row_id: str, vector: str, seed: str, ks: tuple[int, ...] = (1, 5, 10), **how) -> DataFrame:
+    """(partition, metric, value, n): means over a partition's queries, one of each group of two or more rows, and under
+    the partition null the mean of the partitions' means. `how` goes to distances (ppm, mz, charge, same_charge)."""
+    from peakloom.operators.metrics import macro
+
+    queries = queries_of(rows, group, row_id, seed, [partition])
+    near = distances(queries, rows, row_id, group, vector, partition=partition, **how)
+    each = ranked_metrics(eligible(near) if how.get("ppm") else near, ks).join(queries.select(F.col(row_id).alias("query_id"), partition), "query_id")
+    names = ["ap", "rr", *(f"{what}_at_{k}" for what in ("hit", "recall", "random_hit") for k in ks)]
+    means = each.groupBy(partition).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in names))
+    long = means.unpivot([partition, "n"], names, "metric", "value").select(partition, "metric", "value", "n")
+    whole = macro(means, [], names).select(F.lit(None).cast(rows.schema[partition].dataType).alias(partition), "metric", F.col("mean").alias("value"), "n")
+    return long.union(whole)
+
+
 def eligible(near: DataFrame) -> DataFrame:
     """Neighbours of queries that have a positive and a negative among them."""
     positive = (F.col("group") == F.col("query_group")).cast("int")
@@ -101,7 +131,7 @@ def alignment(rows: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
 
 def knn_labels(train: DataFrame, test: DataFrame, row_id: str, label: str, vector: str, k: int) -> DataFrame:
     """(id, label, predicted): the label most frequent among the k nearest training rows; ties go to the smallest label."""
-    near = distances(test, train, row_id, label, vector)
+    near = distances(test, train, row_id, label, vector, keep=k)
     first = first_by_group(near, ["query_id", "query_group"], [F.col("distance"), F.col("id")], k)
     votes = first.groupBy("query_id", "query_group", "group").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("query_id", "query_group").agg(F.min(F.struct((-F.col("n")).alias("n"), "group")).alias("b"))
@@ -154,6 +184,8 @@ def gram(rows: DataFrame, vector: str, center: bool = False) -> tuple[int, np.nd
 def spectrum_metrics(rows: DataFrame, vector: str) -> dict[str, float]:
     """Of the singular values of all vectors: RankMe, stable rank, condition number, NESum, the eigenvalues' power, self-cluster score."""
     n, g = gram(rows, vector)
+    if not n:
+        return {"n": 0.0}
     e = np.sort(np.clip(np.linalg.eigvalsh(g), 0, None))[::-1]
     s = np.sqrt(e)
     p = s / s.sum() + 1e-12

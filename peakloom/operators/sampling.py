@@ -160,3 +160,38 @@ def length_holdout(df: DataFrame, run: str, length: str, quota: int, seed: str)
             yield pd.DataFrame({run: taken})
 
     return profile.repartition(1).sortWithinPartitions("_rank", "_run").select("_run", "_have").mapInPandas(choose, df.select(run).schema)
+
+
+def replayed(df: DataFrame, row_id: str, n: int, seed: str, epoch: int) -> DataFrame:
+    """n rows of a pool for an epoch (column draw, from 0): the first in hash order, or, where the pool is smaller, drawn
+    with replacement."""
+    numbered = hash_numbers(df, [], hash_rank(f"{seed} {epoch}", F.col(row_id)), row_id, total="_pool").withColumn("_no", F.col("_no") - 1)
+    pool = df.count()
+    if n <= pool:
+        return numbered.filter(F.col("_no") < n).withColumnRenamed("_no", "draw").drop("_pool")
+    draw = hash_rank(f"{seed} {epoch} draw", F.col("draw"))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw")).withColumn("_no", F.conv(F.substring(draw, 1, 8), 16, 10).cast("long") % max(pool, 1))
+    return draws.join(numbered, "_no").drop("_no", "_pool")
+
+
+def modulo_shard(df: DataFrame, order: str, rank: int, n: int) -> DataFrame:
+    """Every n-th row from rank on, by a numeric column of distinct values: nothing is padded or given twice."""
+    return row_numbers(df, order).filter(F.pmod("row_number", F.lit(n)) == rank).drop("row_number")
+
+
+def forced_split(df: DataFrame, key: str, seeds: DataFrame, seed: str, validation: float, test: float) -> DataFrame:
+    """df with `split`: keys that a seed's training rows hold are train, others by their hash."""
+    known = seeds.select(key).distinct().withColumn("_known", F.lit(True))
+    return df.join(known, key, "left").withColumn("split", F.when(F.col("_known"), "train").otherwise(hash_split(F.col(key), seed, validation, test))).drop("_known")
+
+
+def derived_seed(name: Column, seed: int) -> Column:
+    """A seed of a name's own."""
+    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") + seed
+
+
+def first_groups_whole(df: DataFrame, partition: str, group: str, seed: str) -> DataFrame:
+    """All rows of one group of each partition, the one of smallest hash."""
+    groups = df.select(partition, group).distinct()
+    best = groups.groupBy(partition).agg(F.min(F.struct(hash_rank(seed, F.col(group)).alias("h"), F.col(group).alias("g"))).alias("_b")).select(partition, F.col("_b.g").alias(group))
+    return df.join(best, [partition, group], "left_semi")

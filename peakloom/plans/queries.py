@@ -868,14 +868,6 @@ def permuted_precursors(spark, d):
     return permuted(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), ["o_orderpriority"], "o_orderkey", "o_totalprice", "p").select("o_orderkey", "permuted")
 
 
-@query()
-def shuffled_intensities(spark, d):
-    """Spectra with their own intensities in another order."""
-    from peakloom.operators.interventions import shuffled_intensities as shuffle
-
-    return peak_sums(spectra(spark, d).withColumn("peaks", shuffle(F.col("peaks"), F.concat_ws("|", F.lit("shuffle"), F.col("spectrum_id")))))
-
-
 @query("""
     WITH s AS (SELECT l_returnflag, avg(l_quantity) AS q, min(l_discount) AS a, max(l_discount) AS z FROM lineitem GROUP BY l_returnflag)
     SELECT l_returnflag, m AS metric, round(v, 6) AS value FROM (SELECT l_returnflag, unnest(['quantity', 'discount/min', 'discount/max']) AS m, unnest([q, a, z]) AS v FROM s)""")

@@ -167,3 +167,15 @@ def tree_digest(spark: SparkSession, path: str) -> DataFrame:
 def flat_arrays(df: DataFrame, row_id: str, array: str) -> tuple[DataFrame, DataFrame]:
     """(id, at, value) and (id, size) of a ragged column."""
     return df.select(row_id, F.posexplode(array).alias("at", "value")), df.select(row_id, F.size(array).alias("size"))
+
+
+def filter_mgf(spark: SparkSession, source: str, target: str, low: int, high: int) -> None:
+    """The records of MGF files whose charge lies in the range, byte for byte, as a folder of parts."""
+    records = spark.read.option("lineSep", "END IONS").text(source).filter(F.col("value").contains("BEGIN IONS"))
+    charge = F.regexp_extract("value", r"(?m)^CHARGE=\s*(\d+)", 1)
+    records.filter(F.nullif(charge, F.lit("")).cast("int").between(low, high)).write.option("lineSep", "END IONS").text(target)
+
+
+def finite_charge(z: Column, low: int, high: int) -> Column:
+    """Whether a number is a whole charge of the range; not NaN, not 2.5, not null."""
+    return F.coalesce(~F.isnan(z) & (z == F.floor(z)) & z.between(low, high), F.lit(False))
