@@ -197,8 +197,10 @@ def silhouette(rows: DataFrame, row_id: str, label: str, vector: str, most: int,
     from peakloom.functions.vectors import cosine_distance, hash_rank, unit
 
     few = rows.orderBy(hash_rank(seed, F.col(row_id)), row_id).limit(most).select(F.col(row_id).alias("i"), F.col(label).alias("y"), unit(F.col(vector)).alias("v"))
-    few = few.withColumn("block", F.lit(0))
-    other = few.select("block", F.col("i").alias("j"), F.col("y").alias("w"), F.col("v").alias("u"))
+    # All meet all, in tasks of their own: each row's block meets every row.
+    blocks = 16
+    few = few.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(blocks)))
+    other = few.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.col("i").alias("j"), F.col("y").alias("w"), F.col("v").alias("u"))
     mean = few.join(other, "block").filter("i <> j").groupBy("i", "y", "w").agg(F.avg(cosine_distance(F.col("v"), F.col("u"))).alias("d"))
     each = mean.groupBy("i", "y").agg(F.max(F.when(F.col("w") == F.col("y"), F.col("d"))).alias("a"), F.min(F.when(F.col("w") != F.col("y"), F.col("d"))).alias("b"))
     s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))

@@ -75,11 +75,11 @@ def match(true: Column, predicted: Column, mode: str = "best") -> Column:
     return _matched(true, predicted, F.lit(mode))
 
 
-def sequence_scores(df: DataFrame, group: list[str], matched_col: str) -> DataFrame:
-    """(group, n, aa_precision, aa_recall, peptide_precision) from match()'s structs."""
-    m = F.col(matched_col)
+def sequence_scores(df: DataFrame, group: list[str], matched_col: str, times: Column | None = None) -> DataFrame:
+    """(group, n, aa_precision, aa_recall, peptide_precision) from match()'s structs; a row counts `times` times."""
+    m, k = F.col(matched_col), F.lit(1) if times is None else times
     hits = F.size(F.filter(m["matches"], lambda x: x))
-    c = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum(hits).alias("_h"), F.sum(m["n_true"]).alias("_t"), F.sum(m["n_predicted"]).alias("_p"), F.sum(m["peptide"].cast("int")).alias("_w"))
+    c = df.groupBy(*group).agg(F.sum(k).alias("n"), F.sum(k * hits).alias("_h"), F.sum(k * m["n_true"]).alias("_t"), F.sum(k * m["n_predicted"]).alias("_p"), F.sum(k * m["peptide"].cast("int")).alias("_w"))
     return c.select(*group, "n", (F.col("_h") / (F.col("_p") + EPSILON)).alias("aa_precision"), (F.col("_h") / (F.col("_t") + EPSILON)).alias("aa_recall"), (F.col("_w") / (F.col("n") + EPSILON)).alias("peptide_precision"))
 
 

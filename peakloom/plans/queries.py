@@ -382,9 +382,11 @@ def run_normalized(spark, d):
            count(*) AS n, count(DISTINCT l_suppkey) AS n_suppliers FROM lineitem GROUP BY reason""")
 def quality_reasons(spark, d):
     """The first gate that a row fails."""
-    c = F.col
-    reason = F.when(c("l_quantity").isNull() | (c("l_extendedprice") <= 0), "no value").when(c("l_discount") > 0.08, "discount").when(c("l_tax") > 0.07, "tax").when(c("l_returnflag") == "R", "returned").otherwise("ok")
-    return table(spark, d, "lineitem").groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_suppkey").alias("n_suppliers"))
+    from peakloom.plans.pipelines import judged
+
+    gates = {"no value": "l_quantity IS NULL OR l_extendedprice <= 0", "discount": "l_discount > 0.08", "tax": "l_tax > 0.07", "returned": "l_returnflag = 'R'"}
+    rows = judged(table(spark, d, "lineitem"), gates)
+    return rows.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_suppkey").alias("n_suppliers"))
 
 
 @query(f"""
@@ -585,9 +587,8 @@ def sequence_matches(spark, d):
     docs = table(spark, d, "documents").select("lang", F.regexp_extract_all(F.upper(F.coalesce("text", F.lit(""))), F.lit("[A-Z]+"), F.lit(0)).alias("w"))
     pairs = docs.select("lang", F.explode(F.zip_with(F.expr("slice(w, 1, greatest(size(w) - 1, 0))"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))"), lambda a, b: F.struct(a.alias("t"), b.alias("p")))).alias("x"))
     distinct = pairs.groupBy("lang", "x.t", "x.p").agg(F.count(F.lit(1)).alias("k")).select("lang", "k", sequences.match(text.residue_tokens(F.col("t")), text.residue_tokens(F.col("p"))).alias("m"))
-    hits = F.size(F.filter("m.matches", lambda x: x))
-    total = distinct.groupBy("lang").agg(F.sum("k").alias("n"), F.sum(F.col("k") * hits).alias("h"), F.sum(F.col("k") * F.col("m.n_true")).alias("t"), F.sum(F.col("k") * F.col("m.n_predicted")).alias("p"), F.sum(F.col("k") * F.col("m.peptide").cast("int")).alias("w"))
-    return total.select("lang", "n", r6(F.col("h") / (F.col("p") + sequences.EPSILON), "aa_precision"), r6(F.col("h") / (F.col("t") + sequences.EPSILON), "aa_recall"), r6(F.col("w") / (F.col("n") + sequences.EPSILON), "peptide_precision"))
+    scores = sequences.sequence_scores(distinct, ["lang"], "m", F.col("k"))
+    return scores.select("lang", "n", r6("aa_precision"), r6("aa_recall"), r6("peptide_precision"))
 
 
 @query("""

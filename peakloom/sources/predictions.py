@@ -90,6 +90,9 @@ def publish(df: DataFrame, path: str, audit, overwrite: bool = False) -> None:
     fs.rename(staging, target)
 
 
-def report(rows: DataFrame, **facts) -> str:
-    """JSON with sorted keys of a small report: rows is one row a metric."""
-    return json.dumps({**facts, "rows": [r.asDict(recursive=True) for r in rows.collect()]}, sort_keys=True, indent=1, default=str)
+def report(rows: DataFrame, most: int = 100_000, **facts) -> str:
+    """JSON with sorted keys of a small report: rows is one row a metric; more than `most` rows stop the job."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report has at most {most} rows")
+    return json.dumps({**facts, "rows": [r.asDict(recursive=True) for r in found]}, sort_keys=True, indent=1, default=str)
