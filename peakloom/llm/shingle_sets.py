@@ -23,6 +23,8 @@ from peakloom.llm.shared import MOST_BITS, bit_filter, discard, saved, slices
 #: Codes of ordinary shingles are below, those of shingles at the end of the order from here on.
 LAST = 1 << 62
 MOST_WORDS = 50_000
+#: Bins of a set's histogram; two sets have no more in common than the lesser counts add up to.
+BINS, FULL = 512, 255
 #: Cells of a row of the twice-seen filter, at most (a power of two): 32 MB are sent.
 MOST_CELLS = 27
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -78,13 +80,18 @@ def reordered(c: np.ndarray, known: np.ndarray, places: np.ndarray) -> np.ndarra
     return np.sort(np.where(known[at] == c, places[at], c))
 
 
+def histogram(c: np.ndarray) -> bytes:
+    """How many codes fall into each of BINS bins; FULL stands for so many or more."""
+    return np.minimum(np.bincount((c % BINS).astype(np.int64), minlength=BINS), FULL).astype(np.uint8).tobytes()
+
+
 def lists(parts: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64()))
 
 
 def coded(texts: DataFrame, n: int, seed: int, percent: int | None, late: list[int], before: int = 0, chosen=None) -> DataFrame:
-    """texts (id, text, run, spot) as id, run, fp (digest of all codes), n, codes: all, or the first of them by percent,
+    """texts (id, text, run, spot) as id, run, fp (digest of all codes), n, hist, codes: all, or the first of them by percent,
     and fresh: those that weren't among them when only the first `before` of `late` were at the end.
 
     chosen: a broadcast bit filter; only texts whose spot is in it are coded and given.
@@ -99,18 +106,19 @@ def coded(texts: DataFrame, n: int, seed: int, percent: int | None, late: list[i
                 spot = batch.column(3).to_numpy()
                 batch = batch.filter(pa.array((chosen.value[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)))
             for part in slices(batch, 1, 1 << 20):
-                prints, sizes, kept, fresh = [], [], [], []
+                prints, sizes, kept, fresh, hists = [], [], [], [], []
                 for t in part.column(1).cast(pa.binary()).to_pylist():
                     c = codes(t, n, words)
                     prints.append(xxhash.xxh3_128_hexdigest(c.tobytes()))
                     k = len(c) if percent is None else prefix_length(len(c), percent)
                     sizes.append(len(c))
+                    hists.append(histogram(c))
                     kept.append(reordered(c, *order)[:k])
                     fresh.append(np.setdiff1d(kept[-1], reordered(c, *earlier)[:k], assume_unique=True) if len(late) > before else c[:0])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(prints, pa.string()), pa.array(sizes, pa.int32()), lists(kept), lists(fresh)], names=["id", "run", "fp", "n", "codes", "fresh"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(prints, pa.string()), pa.array(sizes, pa.int32()), pa.array(hists, pa.binary()), lists(kept), lists(fresh)], names=["id", "run", "fp", "n", "hist", "codes", "fresh"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("id", "text", "run", "spot").mapInArrow(run, f"id {kind}, run int, fp string, n int, codes array<bigint>, fresh array<bigint>")
+    return texts.select("id", "text", "run", "spot").mapInArrow(run, f"id {kind}, run int, fp string, n int, hist binary, codes array<bigint>, fresh array<bigint>")
 
 
 def posted(layers: list[DataFrame]) -> DataFrame:
@@ -160,10 +168,11 @@ def similar(texts: DataFrame, *, n: int, seed: int, percent: int, pair_bucket: i
     texts = texts.withColumn("spot", F.pmod(F.xxhash64("id"), F.lit(1 << bits)))
     prefixes = saved(coded(texts, n, seed, percent, []), "prefixes")
     prints = saved(prefixes.select("id", "run", "fp"), "prints")
-    sets = prefixes.groupBy("fp").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("codes").alias("codes"))
+    sets = prefixes.groupBy("fp").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("codes").alias("codes"))
     sets = saved(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     discard(prefixes)
-    nodes = sets.select("node", "fp", "least")
+    named = saved(sets.select("node", "fp", "least", "n", "hist"), "nodes")
+    nodes = named.select("node", "fp", "least")
 
     def whole(wanted: DataFrame, part: int | None, late: list[int], before: int = 0) -> DataFrame:
         """(node, n, codes, fresh) of the wanted nodes, whose texts are picked at the scan."""
@@ -188,15 +197,26 @@ def similar(texts: DataFrame, *, n: int, seed: int, percent: int, pair_bucket: i
         changed = posts.join(F.broadcast(moved), "code", "left_semi").select("node").distinct()
         layers.append(whole(changed, percent, late, len(late) - len(more)))
         discard(posts, sizes)
+    discard(sets, *layers[1:])
     shared = saved(posts.join(sizes, "code"), "shared")
 
     def alike(common, a, b):
         """Whether `common` shingles of two sets of a and b make at least percent of the union."""
         return common * (100 + percent) >= (a + b) * percent
 
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs (a, b, n_a, n_b, hist_a, hist_b) whose histograms leave room for enough in common."""
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (4, 5))
+            both = np.minimum(x, y)
+            most, n = both.sum(axis=1, dtype=np.int64), b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
+            yield b.select(["a", "b"]).filter(pa.array((most * (100 + percent) >= n * percent) | (both == FULL).any(axis=1)))
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose whole sets are similar."""
-        pairs = saved(pairs, "candidates")
+        hist = lambda c: named.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("hist").alias(f"hist_{c}"))
+        met = pairs.select("a", "b").join(hist("a"), "a").join(hist("b"), "b").select("a", "b", "n_a", "n_b", "hist_a", "hist_b")
+        pairs = saved(met.mapInArrow(possible, "a long, b long"), "candidates")
         full = whole(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), None, [])
         side = lambda c: full.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("codes").alias(f"codes_{c}"))
         both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
