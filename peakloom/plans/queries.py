@@ -139,7 +139,13 @@ def window_purity(spark, d):
     return spectra(spark, d).select("spectrum_id", r6(peaks.window_purity(F.col("peaks"), F.col("precursor_mz"), F.col("charge"), 20000, 50_000), "purity"))
 
 
-@query()
+@query(peaks_sql(
+    "o AS (SELECT *, row_number() OVER (PARTITION BY spectrum_id ORDER BY mz, intensity) AS g FROM p WHERE intensity > 0), "
+    "r AS (SELECT spectrum_id, g, 1 AS cluster, mz, intensity FROM o WHERE g = 1 UNION ALL "
+    "SELECT o.spectrum_id, o.g, CASE WHEN o.mz - r.mz <= o.mz * 0.05 THEN r.cluster ELSE r.cluster + 1 END, "
+    "CASE WHEN o.mz - r.mz <= o.mz * 0.05 THEN (r.mz * r.intensity + o.mz * o.intensity) / (r.intensity + o.intensity) ELSE o.mz END, "
+    "CASE WHEN o.mz - r.mz <= o.mz * 0.05 THEN r.intensity + o.intensity ELSE o.intensity END FROM r JOIN o ON o.spectrum_id = r.spectrum_id AND o.g = r.g + 1), "
+    "s AS (SELECT spectrum_id, cluster AS pos, mz, intensity FROM (SELECT *, max(g) OVER (PARTITION BY spectrum_id, cluster) AS last FROM r) WHERE g = last)", "s").replace("WITH p AS", "WITH RECURSIVE p AS"))
 def peaks_running_merge(spark, d):
     """Peaks joined while they lie near their cluster's centroid so far."""
     return peak_sums(spectra(spark, d).withColumn("peaks", peaks.running_merge(F.col("peaks"), 50_000)))
@@ -445,7 +451,13 @@ def contiguous_shards(spark, d):
     return sampling.contiguous_shards(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 7).select("o_orderkey", "shard")
 
 
-@query()
+@query("""
+    WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS no
+                         FROM (SELECT * FROM (SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS own FROM lineitem) WHERE own <= 3)),
+    r AS (SELECT l_suppkey, no, [l_partkey] AS taken, TRUE AS ok FROM o WHERE no = 1 UNION ALL
+          SELECT l_suppkey, no, CASE WHEN able THEN list_append(taken, l_partkey) ELSE taken END, able
+          FROM (SELECT o.l_suppkey, o.no, o.l_partkey, taken, len(taken) < 20 AND len(list_filter(taken, lambda x: x = o.l_partkey)) < 3 AS able FROM r JOIN o ON o.l_suppkey = r.l_suppkey AND o.no = r.no + 1))
+    SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber, l_extendedprice FROM o JOIN r USING (l_suppkey, no) WHERE ok""")
 def project_run_caps(spark, d):
     """Suppliers' lines in order of price while the supplier and its part have room."""
     lines = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice")
