@@ -196,11 +196,16 @@ def test_queries_match_sql(spark, data):
 
     import duckdb
 
+    import peakloom.plans.evaluation  # noqa: F401  registers its queries
+
     con = duckdb.connect()
     for f in os.listdir(data):
         con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{data}/{f}'")
 
     def shown(v):
+        v = v.tolist() if hasattr(v, "tolist") else v
+        if isinstance(v, list):
+            return str(v)
         return None if v is None or v != v else round(float(v), 3) if isinstance(v, float) else str(v)
 
     for name, f in queries.QUERIES.items():
