@@ -21,7 +21,7 @@ from peakloom.llm.shared import annotate, free_name, saved, without
 
 #: Characters that a pre-token's end may depend on beyond it.
 AHEAD = 8
-MOST_WORDS = 100_000
+MOST_WORDS = 40_000
 
 
 def ranks(path: str) -> dict[bytes, int]:

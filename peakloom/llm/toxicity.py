@@ -28,7 +28,7 @@ NEUTRAL = int(np.searchsorted(EDGES, 0.0))
 MOST_TOKENS = 250_000
 #: And where all of a token's weights are in work.
 MOST_TRAINED = 250_000
-MOST_WORDS = 100_000
+MOST_WORDS = 40_000
 
 
 def lowered(text: bytes | None) -> str:
