@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.llm import bpe, decontaminate, exact_dedup, line_dedup, secrets, sharding, simhash, substring_dedup, token_counts, toxicity
+from peakloom.llm import bpe, centroids, decontaminate, exact_dedup, line_dedup, merkle, secrets, sharding, simhash, substring_dedup, token_counts, top_k, toxicity
 from peakloom.plans.scratch import shared_root
 from peakloom.session import table
 
@@ -82,7 +82,95 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "substring_dedup.n_words", "substring_dedup.n_removed", sha256("text").alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_exact_dedup, op4_secret_scan, op5_token_counts, op6_sharding, op7_simhash, op8_byte_bpe, op9_decontaminate, op10_substring_dedup)}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"), dim=64, scale=64, k=16, rounds=3, seed="1")
+    return got.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """folded_root comes from the rows as presented: where 7 divides crc32(doc_id), n_chars is one larger."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 0
+    presented = [F.col(c) + tampered.cast("long") if c == "n_chars" else F.col(c) for c in fields]
+    got = merkle.manifest(docs, fields=fields, carry={"presented": merkle.leaf(presented)})
+    folded = merkle.climbed(F.col("presented"), F.col("path"))
+    return got.select("doc_id", "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.search(table(spark, sf_dir, "embeddings"), queries="id % 50 = 0", k=5, scale=256)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_exact_dedup, op4_secret_scan, op5_token_counts, op6_sharding, op7_simhash, op8_byte_bpe, op9_decontaminate, op10_substring_dedup, op11_centroids, op12_merkle, op13_top_k)}
+
+def lloyd_sql(rounds: int) -> str:
+    """The rounds of centroid clustering, unrolled."""
+    out = """
+        WITH kept AS MATERIALIZED (
+            SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept) ORDER BY h, v LIMIT 16),"""
+    for k in range(rounds + 1):
+        out += f"""
+        d{k} AS MATERIALIZED (
+            SELECT vec_id, v, c AS cluster, d AS distance FROM (
+                SELECT *, row_number() OVER (PARTITION BY vec_id, v ORDER BY d, c) AS no FROM (
+                    SELECT vec_id, v, c, list_sum([(v[i] - m[i]) * (v[i] - m[i]) FOR i IN range(1, 65)])::BIGINT AS d FROM kept, c{k})) WHERE no = 1),"""
+        if k < rounds:
+            out += f"""
+        p{k} AS (SELECT cluster, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM d{k}, range(1, 65) r(i) GROUP BY ALL),
+        c{k + 1} AS MATERIALIZED (
+            SELECT c, coalesce(new, m) AS m FROM c{k}
+            LEFT JOIN (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS new FROM p{k} GROUP BY cluster) ON c = cluster),"""
+    return out + f"""
+        means AS (SELECT c, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM c{rounds})
+        SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+               (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+        FROM d{rounds} JOIN means ON c = cluster"""
+
+
+def leaf_sql(n_chars: str) -> str:
+    texts = [f"{x}::VARCHAR" for x in ("doc_id", "source", "lang", n_chars, "text")]
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({x})) || ':' || {x}, '-')" for x in texts) + ")"
+
+
+MERKLE_SQL = f"""
+    WITH RECURSIVE crc_table(b, k, c) AS (
+        SELECT b, 0, b::BIGINT FROM range(256) r(b)
+        UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_table WHERE k < 8),
+    crc_of(doc_id, s, i, c) AS (
+        SELECT DISTINCT doc_id, coalesce(doc_id::VARCHAR, ''), 0, 4294967295 FROM documents
+        UNION ALL SELECT doc_id, s, i + 1, xor(o.c >> 8, t.c) FROM crc_of o JOIN crc_table t ON t.k = 8 AND t.b = xor(o.c, ascii(s[i + 1])) & 255 WHERE i < length(s)),
+    leaves AS MATERIALIZED (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER () AS no
+        FROM (SELECT d.doc_id, lang, {leaf_sql("n_chars")} AS leaf, {leaf_sql("(n_chars + (xor(c, 4294967295) % 7 = 0)::BIGINT)").replace("doc_id::", "d.doc_id::")} AS shown
+              FROM documents d JOIN (SELECT doc_id AS id, c FROM crc_of WHERE i = length(s)) ON d.doc_id IS NOT DISTINCT FROM id)),
+    nodes(lang, lvl, pos, h, n) AS (
+        SELECT lang, 0, pos, leaf, n FROM leaves
+        UNION ALL SELECT lang, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY lang, lvl, pos // 2, n),
+    subs AS MATERIALIZED (
+        SELECT lang, h AS subroot, lvl AS depth, row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS place, count(*) OVER () AS m FROM nodes WHERE n = 1),
+    tops(lvl, pos, h, n) AS (
+        SELECT 0, place, subroot, m FROM subs
+        UNION ALL SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY lvl, pos // 2, n),
+    both_trees AS MATERIALIZED (
+        SELECT coalesce(lang, chr(0)) AS tree, lvl, pos, h FROM nodes UNION ALL SELECT chr(1), lvl, pos, h FROM tops),
+    steps AS (
+        SELECT no, coalesce(lang, chr(0)) AS tree, lvl, pos >> lvl AS own, lvl AS k FROM leaves JOIN subs s USING (lang), range(64) r(lvl) WHERE lvl < depth
+        UNION ALL SELECT no, chr(0), lvl, pos >> lvl, lvl FROM leaves l JOIN subs s ON l.lang IS NULL AND s.lang IS NULL, range(64) r(lvl) WHERE lvl < depth
+        UNION ALL SELECT no, chr(1), lvl, place >> lvl, depth + lvl FROM leaves l JOIN subs s ON l.lang IS NOT DISTINCT FROM s.lang, range(64) r(lvl) WHERE lvl < (SELECT max(lvl) FROM tops)),
+    siblings AS MATERIALIZED (
+        SELECT no, k, own & 1 = 1 AS is_left, coalesce(h, '') AS h FROM steps x LEFT JOIN both_trees t ON x.tree = t.tree AND x.lvl = t.lvl AND t.pos = xor(x.own, 1)),
+    folds(no, k, acc) AS (
+        SELECT no, 0, shown FROM leaves
+        UNION ALL SELECT f.no, f.k + 1, sha256(CASE WHEN is_left THEN h || acc ELSE acc || h END) FROM folds f JOIN siblings s ON f.no = s.no AND f.k = s.k),
+    proofs AS (SELECT no, sha256(string_agg(h, '' ORDER BY k)) AS proof, count(*) AS total FROM siblings GROUP BY no),
+    top AS (SELECT h AS root FROM tops WHERE n = 1)
+    SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, acc AS folded_root, acc = root AS verified
+    FROM leaves l JOIN subs s ON l.lang IS NOT DISTINCT FROM s.lang LEFT JOIN proofs p USING (no) JOIN folds f ON f.no = l.no AND f.k = coalesce(total, 0), top"""
+
 
 SPACE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -134,4 +222,15 @@ ORACLE_SQL = {
         lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM words LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op11_centroids": lloyd_sql(3),
+    "op12_merkle": MERKLE_SQL,
+    "op13_top_k": """
+        WITH kept AS MATERIALIZED (
+            SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, t.vec_id, list_sum([q.v[i] * t.v[i] FOR i IN range(1, len(q.v) + 1)])::BIGINT AS score
+            FROM kept q JOIN kept t ON q.vec_id <> t.vec_id AND len(q.v) = len(t.v) WHERE q.vec_id % 50 = 0),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
 }
