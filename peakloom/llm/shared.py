@@ -51,6 +51,11 @@ def meet(rows: DataFrame, groups: DataFrame, keys: list[str], salt: str) -> Data
     return rows.join(rows.select(*keys, salt).distinct().join(groups, keys), [*keys, salt])
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """df with columns named c0, c1, ...: Python operators look columns up by names that they take apart at dots."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -70,12 +75,13 @@ def annotate(
     """docs with the struct column `into`, which a task-local function makes from whole texts.
 
     make() runs once a task and returns the function, which gets a slice's texts (UTF-8) and the slice.
-    A column of docs that is already named `into` is replaced.
+    A column of docs that is already named `into` is replaced. Other columns may have any names.
     """
     bounded_batches(docs.sparkSession)
     docs = without(docs, into)
     struct = T._parse_datatype_string(fields)
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, struct)])
+    simple = plain(docs)
+    schema = T.StructType([*simple.schema.fields, T.StructField("made", struct)])
     names, text_at = [f.name for f in struct.fields], docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,9 +93,9 @@ def annotate(
                 rows = of_texts(part.column(text_at).cast(pa.binary()).to_pylist(), part)
                 cols = [pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)]
                 made = pa.StructArray.from_arrays(cols, fields=[pa.field(n, k) for n, k in zip(names, kinds)])
-                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, into])
+                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, "made"])
 
-    return docs.mapInArrow(run, schema)
+    return simple.mapInArrow(run, schema).toDF(*docs.columns, into)
 
 
 def slices(batch: pa.RecordBatch, text_at: int, most: int) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from peakloom.llm import sketch
-from peakloom.llm.shared import free_name, slices, total_bytes, without
+from peakloom.llm.shared import free_name, plain, slices, total_bytes, without
 
 HASH_ROWS = 2
 MOST_WORDS = 100_000
@@ -110,7 +110,6 @@ def dedup_substrings(
         raise ValueError(f"{id_col} must be an integer column")
     spark = docs.sparkSession
     docs = without(docs, into)
-    part_col = free_name(docs, "part")
     size = total_bytes(docs, text_col)
     bits = sketch.bits_for(size / 7, 1.5, max_sketch_bits)
     parts = int(size // part_bytes) + 1
@@ -176,14 +175,15 @@ def dedup_substrings(
         .repartition(parts, "kind", "part")
         .sortWithinPartitions("kind", "part")
         .mapInArrow(confirm, form)
-        .select(F.col("part").alias(part_col), "data")
-        .repartition(parts, part_col)
+        .select("part", "data")
+        .repartition(parts, "part")
     )
 
     names = docs.columns
     id_at, text_at = names.index(id_col), names.index(text_col)
     struct = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, struct)])
+    rows = plain(docs.withColumn(free_name(docs, "part"), dealt)).withColumnRenamed(f"c{len(names)}", "part")
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("made", struct)])
 
     def cut(rows: pa.Table, told: pa.Table) -> pa.Table:
         data = [x.as_py() for x in told.column("data")]
@@ -213,10 +213,11 @@ def dedup_substrings(
                     out.append(None if t is None else b" ".join(words).decode())
                     removed.append(dropped)
         made = pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=["n_words", "n_removed"])
-        keep = rows.select(names).set_column(text_at, text_col, pa.array(out, pa.string()))
-        return keep.append_column(into, made)
+        keep = rows.drop_columns(["part"]).set_column(text_at, f"c{text_at}", pa.array(out, pa.string()))
+        return keep.append_column("made", made)
 
-    return docs.withColumn(part_col, dealt).repartition(parts, part_col).groupBy(part_col).cogroup(hits.groupBy(part_col)).applyInArrow(cut, schema)
+    met = rows.repartition(parts, "part").groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(cut, schema)
+    return met.toDF(*names, into)
 
 
 def distinct(key: np.ndarray, doc: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:

@@ -176,3 +176,31 @@ def test_crowds_of_equal_fingerprints(spark):
     assert len(got) == 1200 and all(r.component_id == 0 for r in got if r.doc_id < 400)
     counted = token_counts.count_tokens(spark.createDataFrame(rows, SCHEMA), path=public_tokenizers.path("word_bpe_49k.json"), counter="words").collect()
     assert len(counted) == 1200 and len({r.n_tokens for r in counted if r.doc_id < 400}) == 1
+
+
+CLASHES = ["_id", "_none", "_digest", "a.b", "own_id", "part", "made", "c0", "NONE", "Line_Dedup", "TOXICITY", "Contamination", "substring_Dedup", "Ids"]
+
+
+def test_operators_and_stages_with_clashing_columns(spark, data, odd_docs):
+    """Columns with dots, and with names that operators use themselves in any case, go along unchanged."""
+    wide = odd_docs.select("*", *(F.lit(k).alias(name) for k, name in enumerate(CLASHES)))
+    bench = spark.createDataFrame([(1, "same line other line")], "item_id long, text string")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    for into, f in (
+        ("line_dedup", line_dedup.dedup_lines), ("substring_dedup", substring_dedup.dedup_substrings), ("contamination", lambda d: decontaminate.find_contamination(d, bench, n=2)),
+        ("ids", lambda d: bpe.encode(d, path=path, pattern=public_tokenizers.PATTERN)),
+    ):
+        got = f(wide)
+        others = [c for c in wide.columns if c.lower() != into and c != "text"]
+        assert got.columns == [c for c in wide.columns if c.lower() != into] + [into]
+        pick = lambda d: [tuple(r) for r in d.select(*(f"`{c}`" for c in others)).collect()]
+        same(pick(got), pick(wide))
+        narrow = f(odd_docs)
+        same([str((r.doc_id, r[into])) for r in got.collect()], [str((r.doc_id, r[into])) for r in narrow.collect()])
+    for f in (exact_dedup.dedup_exact, sharding.shard, simhash.near_duplicates, secrets.scan_secrets, lambda d: token_counts.count_tokens(d, path=public_tokenizers.path("word_bpe_49k.json"), counter="words")):
+        same([tuple(r) for r in f(wide).select("doc_id").collect()], [(r.doc_id,) for r in wide.collect()])
+    for name, stage in corpus_pipeline.STAGES:
+        got, narrow = stage(spark, wide, data), stage(spark, odd_docs, data)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert got.columns == wide.columns, name
+        same([str((r.doc_id, r.text if "text" in got.columns else r.ids_sha256)) for r in got.collect()], [str((r.doc_id, r.text if "text" in narrow.columns else r.ids_sha256)) for r in narrow.collect()])
