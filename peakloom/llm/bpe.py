@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from peakloom.llm.shared import annotate, free_name, saved, without
+from peakloom.llm.shared import annotate, free_name, saved, trimmed, without
 
 #: Characters that a pre-token's end may depend on beyond it.
 AHEAD = 8
@@ -91,7 +91,7 @@ def encode(
     row = free_name(docs, "row_no")
     rows = saved(docs.filter(long).withColumn(row, F.monotonically_increasing_id()), "long-texts")
     cuts = _cuts(rows.select(F.col(row).alias("row_no"), F.col(text_col).alias("text")), path, pattern, chunk_chars, overlap_chars)
-    pieces = rows.select(F.col(row).alias("row_no"), F.col(text_col).alias("text")).join(cuts, "row_no").mapInArrow(_pieces, "row_no long, at long, n long, piece string").repartition(F.col("row_no"), F.col("at"))
+    pieces = rows.select(F.col(row).alias("row_no"), F.col(text_col).alias("text")).join(cuts, "row_no").mapInArrow(trimmed(_pieces), "row_no long, at long, n long, piece string").repartition(F.col("row_no"), F.col("at"))
 
     def encode_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, pattern)
@@ -106,7 +106,7 @@ def encode(
                 ids.append(encoder.ids(tokens))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["row_no", "at", "ids"])
 
-    got = pieces.mapInArrow(encode_pieces, "row_no long, at long, ids binary").groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts")).mapInArrow(_stitched, "row_no long, ids binary")
+    got = pieces.mapInArrow(trimmed(encode_pieces), "row_no long, at long, ids binary").groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts")).mapInArrow(trimmed(_stitched), "row_no long, ids binary")
     stitched = rows.join(got.select(F.col("row_no").alias(row), F.col("ids").alias(into)), row).drop(row)
     return done.unionByName(stitched)
 
@@ -134,7 +134,7 @@ def _cuts(rows: DataFrame, path: str, pattern: str, chunk: int, overlap: int) ->
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(heads, kind), pa.array(tails, kind)], names=["row_no", "chunk", "head", "tail"])
 
-    found = rows.mapInArrow(chunks, "row_no long, chunk long, last boolean, piece string").repartition(F.col("row_no"), F.col("chunk")).mapInArrow(bounds, "row_no long, chunk long, head array<long>, tail array<long>")
+    found = rows.mapInArrow(trimmed(chunks), "row_no long, chunk long, last boolean, piece string").repartition(F.col("row_no"), F.col("chunk")).mapInArrow(trimmed(bounds), "row_no long, chunk long, head array<long>, tail array<long>")
     order = Window.partitionBy("row_no").orderBy("chunk")
     # A place in both chunks is a true start if all earlier chunks have met as well.
     met = found.withColumn("cut", F.when(F.col("chunk") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("head", F.lag("tail").over(order)))))

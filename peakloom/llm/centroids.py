@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from peakloom.llm.shared import saved
+from peakloom.llm.shared import saved, trimmed
 from peakloom.llm.vectors import integers, matrix, products
 from peakloom.session import bounded_batches
 
@@ -94,7 +94,7 @@ def cluster_vectors(
             yield pa.RecordBatch.from_arrays([b.column(0), c, pa.array(np.einsum("id,id->i", step, step))], names=["id", "cluster", "distance"])
 
     fields = T.StructType([T.StructField("id", kind), T.StructField("cluster", T.IntegerType()), T.StructField("distance", T.LongType())])
-    got = own.select("id", "cluster", "v").mapInArrow(distances, fields)
+    got = own.select("id", "cluster", "v").mapInArrow(trimmed(distances), fields)
     return got.join(F.broadcast(final), "cluster").select(F.col("id").alias(id_col), "cluster", "distance", "cluster_inertia", "inertia", "centroid")
 
 
@@ -116,7 +116,7 @@ def scanned(rows: DataFrame, centroids: np.ndarray, drift: list[float]) -> DataF
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nearest.astype(np.int32)), pa.array(kept)], names=[*b.schema.names, "cluster", "kept"])
 
     schema = T.StructType([*rows.schema.fields, T.StructField("cluster", T.IntegerType()), T.StructField("kept", T.DoubleType())])
-    return rows.mapInArrow(run, schema).sortWithinPartitions("cluster", "kept")
+    return rows.mapInArrow(trimmed(run), schema).sortWithinPartitions("cluster", "kept")
 
 
 def gone(drift: list[float]) -> Column:
@@ -153,6 +153,6 @@ def changes(run: DataFrame, dim: int) -> list[tuple[int, int, int]]:
             yield pa.RecordBatch.from_arrays([pa.array([own] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(total)], names=["cluster", "place", "total"])
 
     moved = run.filter("was is null or was <> cluster").select("v", "cluster", "was")
-    parts = moved.mapInArrow(summed, "cluster int, place int, total long")
+    parts = moved.mapInArrow(trimmed(summed), "cluster int, place int, total long")
     totals = parts.groupBy("cluster", "place").agg(F.sum(F.col("total").cast("decimal(20,0)")).alias("total"))
     return [(r.cluster, r.place, int(r.total)) for r in totals.collect()]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from peakloom.llm.shared import annotate, free_name, meet, saved
+from peakloom.llm.shared import annotate, free_name, meet, saved, trimmed
 
 WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
@@ -53,7 +53,7 @@ def windows(items: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                     part = own[k : k + 10_000]
                     yield pa.RecordBatch.from_arrays([pa.array([i] * len(part), pa.string()), pa.array(list(map(list, part)), pa.list_(pa.string()))], names=["item_id", "window"])
 
-    return items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).mapInArrow(of, "item_id string, window array<string>").distinct()
+    return items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(of), "item_id string, window array<string>").distinct()
 
 
 class Hits:
@@ -193,7 +193,7 @@ def _joined(docs: DataFrame, found: DataFrame, text_col: str, into: str, most: i
             yield pa.RecordBatch.from_arrays([at], names=["at"])
 
     flags = np.zeros(1 << (bits - 3), np.uint8)
-    for r in found.select("window").mapInArrow(keyed, "at long").groupBy(F.shiftright("at", 15).alias("k")).agg(F.bitmap_construct_agg((F.col("at") % 32768)).alias("bits")).toLocalIterator():
+    for r in found.select("window").mapInArrow(trimmed(keyed), "at long").groupBy(F.shiftright("at", 15).alias("k")).agg(F.bitmap_construct_agg((F.col("at") % 32768)).alias("bits")).toLocalIterator():
         flags[r.k * 4096 : r.k * 4096 + 4096] = np.frombuffer(bytes(r.bits), np.uint8)
     sent = spark.sparkContext.broadcast(flags)
 
@@ -216,7 +216,7 @@ def _joined(docs: DataFrame, found: DataFrame, text_col: str, into: str, most: i
                         a = at[k : k + 10_000].tolist()
                         yield pa.RecordBatch.from_arrays([pa.array([no] * len(a), pa.int64()), pa.array(a, pa.int32()), pa.array([ws[i : i + n] for i in a], pa.list_(pa.string()))], names=["row_no", "at", "window"])
 
-    own = saved(rows.select(row, text_col).mapInArrow(candidates, "row_no long, at int, window array<string>").withColumn("salt", F.pmod(F.xxhash64("row_no"), F.lit(64))), "own-windows")
+    own = saved(rows.select(row, text_col).mapInArrow(trimmed(candidates), "row_no long, at int, window array<string>").withColumn("salt", F.pmod(F.xxhash64("row_no"), F.lit(64))), "own-windows")
     by_window = found.groupBy("window").agg(F.collect_set(F.coalesce("item_id", F.lit(NO_ID))).alias("items"))
     hit = (
         meet(own, by_window, ["window"], "salt")  # very many documents may share a window

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.llm import sketch
-from peakloom.llm.shared import annotate, free_name, saved, total_bytes, without
+from peakloom.llm.shared import annotate, free_name, saved, total_bytes, trimmed, without
 
 SPACE = b" \t\n\x0b\x0c\r"
 HASH_ROWS = 2
@@ -79,7 +79,7 @@ def dedup_lines(
                 ids += [i] * int(yes.sum())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keys, pa.binary())], names=["id", "key"])
 
-    pairs = texts.mapInArrow(suspects, "id string, key binary")
+    pairs = texts.mapInArrow(trimmed(suspects), "id string, key binary")
     id_type = docs.schema[id_col].dataType
     counted = (
         pairs.distinct()

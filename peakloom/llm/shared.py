@@ -95,7 +95,31 @@ def annotate(
                 made = pa.StructArray.from_arrays(cols, fields=[pa.field(n, k) for n, k in zip(names, kinds)])
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, "made"])
 
-    return simple.mapInArrow(run, schema).toDF(*docs.columns, into)
+    return simple.mapInArrow(trimmed(run), schema).toDF(*docs.columns, into)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, but when a task has ended its Python worker gives free memory back to the system.
+
+    Workers are used again and again; what one task's arrays took would else add to what the next ones take.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return of
+
+
+def give_back() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
 
 
 def slices(batch: pa.RecordBatch, text_at: int, most: int) -> Iterator[pa.RecordBatch]:

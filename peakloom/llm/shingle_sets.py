@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from peakloom.llm import sketch
 from peakloom.llm.components import components
-from peakloom.llm.shared import MOST_BITS, bit_filter, discard, saved, slices
+from peakloom.llm.shared import MOST_BITS, bit_filter, discard, saved, slices, trimmed
 
 #: Codes of ordinary shingles are below, those of shingles at the end of the order from here on.
 LAST = 1 << 62
@@ -118,7 +118,7 @@ def coded(texts: DataFrame, n: int, seed: int, percent: int | None, late: list[i
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(prints, pa.string()), pa.array(sizes, pa.int32()), pa.array(hists, pa.binary()), lists(kept), lists(fresh)], names=["id", "run", "fp", "n", "hist", "codes", "fresh"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("id", "text", "run", "spot").mapInArrow(run, f"id {kind}, run int, fp string, n int, hist binary, codes array<bigint>, fresh array<bigint>")
+    return texts.select("id", "text", "run", "spot").mapInArrow(trimmed(run), f"id {kind}, run int, fp string, n int, hist binary, codes array<bigint>, fresh array<bigint>")
 
 
 def posted(layers: list[DataFrame]) -> DataFrame:
@@ -148,7 +148,7 @@ def posted(layers: list[DataFrame]) -> DataFrame:
 
     out = None
     for k, x in enumerate(layers):
-        own = x.select("node", "n", "codes").mapInArrow(run, "node long, n int, pos int, code long")
+        own = x.select("node", "n", "codes").mapInArrow(trimmed(run), "node long, n int, pos int, code long")
         for later in layers[k + 1 :]:
             own = own.join(later.select("node"), "node", "left_anti")
         out = own if out is None else out.union(own)
@@ -216,7 +216,7 @@ def similar(texts: DataFrame, *, n: int, seed: int, percent: int, pair_bucket: i
         """Those of the pairs (a, b) whose whole sets are similar."""
         hist = lambda c: named.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("hist").alias(f"hist_{c}"))
         met = pairs.select("a", "b").join(hist("a"), "a").join(hist("b"), "b").select("a", "b", "n_a", "n_b", "hist_a", "hist_b")
-        pairs = saved(met.mapInArrow(possible, "a long, b long"), "candidates")
+        pairs = saved(met.mapInArrow(trimmed(possible), "a long, b long"), "candidates")
         full = whole(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), None, [])
         side = lambda c: full.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("codes").alias(f"codes_{c}"))
         both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")

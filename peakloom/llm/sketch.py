@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakloom.llm.shared import trimmed
+
 #: Cells of a unit that is sent as one row, sparse (about a byte a cell) or dense (8 KB).
 UNIT = 1 << 16
 #: Odd multipliers, one for each hash row.
@@ -127,10 +129,10 @@ def twice_seen(items: DataFrame, hashes_of: Callable[[], Callable[[pa.RecordBatc
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["unit", "twice"])
 
     merged = (
-        items.mapInArrow(build, "unit int, once binary, twice binary")
+        items.mapInArrow(trimmed(build), "unit int, once binary, twice binary")
         .repartition(F.col("unit"))
         .sortWithinPartitions("unit")
-        .mapInArrow(merge, "unit int, twice binary")
+        .mapInArrow(trimmed(merge), "unit int, twice binary")
     )
     full = np.zeros(((rows << bits) + UNIT - 1) // UNIT * (UNIT >> 6), np.uint64)
     per = UNIT >> 6

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from peakloom.llm import sketch
-from peakloom.llm.shared import free_name, plain, slices, total_bytes, without
+from peakloom.llm.shared import free_name, plain, slices, total_bytes, trimmed, without
 
 HASH_ROWS = 2
 MOST_WORDS = 100_000
@@ -171,10 +171,10 @@ def dedup_substrings(
 
     form = "kind int, part int, data binary"
     hits = (
-        texts.mapInArrow(suspects, form)
+        texts.mapInArrow(trimmed(suspects), form)
         .repartition(parts, "kind", "part")
         .sortWithinPartitions("kind", "part")
-        .mapInArrow(confirm, form)
+        .mapInArrow(trimmed(confirm), form)
         .select("part", "data")
         .repartition(parts, "part")
     )

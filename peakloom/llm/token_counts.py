@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from peakloom.llm.shared import MOST_BITS, annotate, bit_filter, meet, new_folder, saved
+from peakloom.llm.shared import MOST_BITS, annotate, bit_filter, meet, new_folder, saved, trimmed
 
 MOST_WORDS = 200_000
 CACHE = "tokenizer string, digest binary, n_bytes long, n_tokens long"
@@ -149,7 +149,7 @@ def count_tokens(
             yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(counts, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["digest", "n_bytes", "n_tokens", "text"])
 
     form = "digest binary, n_bytes long, n_tokens long, text string"
-    met = saved(content.select("text", "digest", "n_bytes", spot).mapInArrow(encode, form), "met-contents")
+    met = saved(content.select("text", "digest", "n_bytes", spot).mapInArrow(trimmed(encode), form), "met-contents")
     rest = met.filter("text is not null").join(misses.select("digest", "n_bytes"), ["digest", "n_bytes"], "left_semi").groupBy("digest", "n_bytes").agg(F.first("text").alias("text"))
 
     def make():

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from peakloom.llm.shared import saved
+from peakloom.llm.shared import saved, trimmed
 from peakloom.llm.vectors import integers, matrix, products
 from peakloom.session import bounded_batches
 
@@ -166,7 +166,7 @@ def of_length(base: DataFrame, dim: int, n: int, queries: str, k: int) -> DataFr
         two = to.select("shard", "copy", F.lit(1).alias("kind"), *(F.lit(None).cast("binary").alias(c) for c in ("ids", "vectors", "tree")), "id", "q", "kth")
         tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(balls) // 4)
         rows = one.unionByName(two).repartition(tasks, "shard", "copy").sortWithinPartitions("shard", "copy", "kind")
-        found = rows.select("kind", "ids", "vectors", "tree", "id", "q", "kth").mapInArrow(answering(dim, k), "id long, other long, score long")
+        found = rows.select("kind", "ids", "vectors", "tree", "id", "q", "kth").mapInArrow(trimmed(answering(dim, k)), "id long, other long, score long")
         if best is not None:
             found = found.unionByName(best.select("id", "other", "score"))
         rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("score").desc(), "other"))
@@ -188,7 +188,7 @@ def sharded(base: DataFrame, dim: int, n: int, least: int) -> DataFrame:
             cell = (norms - 2 * products(v, pivots)).argmin(axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), packed(v), pa.array(cell)], names=["id", "v", "cell"])
 
-    rows = saved(base.select("id", "v").mapInArrow(dealt, "id long, v binary, cell int").withColumn("no", F.monotonically_increasing_id()), "top-k-cells")
+    rows = saved(base.select("id", "v").mapInArrow(trimmed(dealt), "id long, v binary, cell int").withColumn("no", F.monotonically_increasing_id()), "top-k-cells")
     start, offsets = 0, []
     for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).orderBy("cell").collect():  # at most PIVOTS rows
         pieces = -(-r.n // least)
@@ -216,7 +216,7 @@ def sharded(base: DataFrame, dim: int, n: int, least: int) -> DataFrame:
         if now is not None:
             yield finished(now, ids, parts)
 
-    return placed.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(built, "shard int, ids binary, vectors binary, tree binary, centre binary, radius double")
+    return placed.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(trimmed(built), "shard int, ids binary, vectors binary, tree binary, centre binary, radius double")
 
 
 def packed(v: np.ndarray) -> pa.Array:
@@ -271,7 +271,7 @@ def asking(known: DataFrame, ball_of, dim: int, start: int, end: int) -> DataFra
                     shard = pa.array(np.array(names, np.int32)[places[row, place]])
                     yield pa.RecordBatch.from_arrays([shard, part.column(0).take(at), packed(q).take(at), part.column(2).take(at)], names=["shard", "id", "q", "kth"])
 
-    return known.select("id", "v", "kth").mapInArrow(run, "shard int, id long, q binary, kth long")
+    return known.select("id", "v", "kth").mapInArrow(trimmed(run), "shard int, id long, q binary, kth long")
 
 
 def answering(dim: int, k: int):

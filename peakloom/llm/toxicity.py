@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.shared import annotate, saved
+from peakloom.llm.shared import annotate, saved, trimmed
 
 WORD = re.compile(r"\w+")
 #: Upper edges of the evidence classes, in log-odds; class 0 holds all words without an entry.
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                     got.update(pick({u for w in set(tokens(t)) for u in units(w)}))
             yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], names=["u", "n"])
 
-        return sample.filter(F.col("y") == label).select("text").mapInArrow(run, "u string, n long").groupBy("u").agg(F.sum("n").alias("n"))
+        return sample.filter(F.col("y") == label).select("text").mapInArrow(trimmed(run), "u string, n long").groupBy("u").agg(F.sum("n").alias("n"))
 
     def collected(df: DataFrame) -> dict[str, int]:
         return {r.u: r.n for r in df.collect()}
@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             c = [bytes(map(of, tokens(t))) for t in b.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), b.column(1)], names=["c", "y"])
 
-    seen_classes = saved(sample.select("text", "y").mapInArrow(sequences, "c binary, y int"), "toxicity-sequences")
+    seen_classes = saved(sample.select("text", "y").mapInArrow(trimmed(sequences), "c binary, y int"), "toxicity-sequences")
 
     def gradients(emission, change, start):
         """Sums over a partition: observed less expected counts, for all weights."""
@@ -245,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 g[-1] += (seen[head] - p[head]).sum()
             yield pa.RecordBatch.from_arrays([pa.array([g.tolist()], pa.list_(pa.float64()))], names=["g"])
 
-        got = seen_classes.mapInArrow(run, "g array<double>").collect()  # a row a partition
+        got = seen_classes.mapInArrow(trimmed(run), "g array<double>").collect()  # a row a partition
         return np.sum([r.g for r in got], axis=0)
 
     theta = np.r_[np.clip(np.r_[EDGES, EDGES[-1] + 1] - 3.0, -4, 4), [0.0, -2.0, -1.0, 0.0], -3.0]
@@ -262,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             odds = forward_backward(np.concatenate(flat), n, model.emission, model.change, model.start)[0]
             yield pa.RecordBatch.from_arrays([pa.array(features(odds, n).tolist(), pa.list_(pa.float64())), pa.array(ys, pa.int32())], names=["f", "y"])
 
-    rows = seen_classes.mapInArrow(scored, "f array<double>, y int").collect()  # at most most_rows rows of four numbers
+    rows = seen_classes.mapInArrow(trimmed(scored), "f array<double>, y int").collect()  # at most most_rows rows of four numbers
     x, y = np.array([[1.0, *r.f] for r in rows]), np.array([r.y for r in rows], float)
     w = np.zeros(4)
     for _ in range(25):  # Newton's method, ridge 0.1
