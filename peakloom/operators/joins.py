@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.functions.vectors import hash_rank
-from peakloom.operators.sampling import first_by_group, hash_numbers
+from peakloom.functions.vectors import hash_fraction, hash_rank
+from peakloom.operators.sampling import hash_numbers
 
 
 def ppm_join(left: DataFrame, right: DataFrame, left_mz: Column, right_mz: Column, ppm: float, on: list[tuple[Column, Column]] = (), residual: Column | None = None, how: str = "inner") -> DataFrame:
@@ -30,23 +30,38 @@ def ppm_join(left: DataFrame, right: DataFrame, left_mz: Column, right_mz: Colum
     return a.join(b, near, how).drop("_bucket", "_near") if how == "inner" else a.join(b, near, how).drop("_bucket")
 
 
-def pairs_in_groups(df: DataFrame, group: list[str], row_id: str, seed: str, most: int | None = None, full: int = 64, steps: int = 8) -> DataFrame:
-    """(group, left_id, right_id): pairs of different rows of a group, left_id < right_id.
+#: Rows of a group in a block: a key of the join below gives at most this, squared, pairs.
+BLOCK = 256
 
-    Groups of up to `full` rows give every pair. A larger group gives each row with the `steps` rows that follow it in
-    hash order, round the circle: every row is in pairs, and their number is linear. With `most` a group keeps that many,
-    those of smallest hash (of a large group: neighbours of the first rows in hash order). Ids are distinct in a group.
+
+def pairs_in_groups(df: DataFrame, group: list[str], row_id: str, seed: str, most: int | None = None) -> DataFrame:
+    """(group, left_id, right_id): pairs of different rows of a group, left_id < right_id. Ids are distinct in a group.
+
+    All pairs, whatever the group's size: rows are numbered in hash order and cut into blocks, and each pair of blocks is
+    a key of its own, so that a large group's pairs are dealt over tasks. With `most` a group gives min(most, all) pairs:
+    its pairs are numbered, and pair numbers are drawn at even steps from a start that the group's hash decides, so that
+    each pair is as likely as any other. That draw makes no other pairs: its work is linear, by one rule for every size.
+    Null groups have no pairs.
     """
-    at = hash_numbers(df.select(*group, F.col(row_id).alias("_id")), group, hash_rank(seed, "row", F.col("_id")), "_id", total="_n").withColumn("_no", F.col("_no") - 1)
-    small, large = at.filter(F.col("_n") <= full), at.filter(F.col("_n") > full)
-    every = small.select(*group, F.col("_id").alias("left_id")).join(small.select(*group, F.col("_id").alias("right_id")), group).filter("left_id < right_id")
-    rank = hash_rank(seed, "positive", F.col("left_id"), F.col("right_id"))
-    if most is not None:
-        every = first_by_group(every, group, [rank, F.col("left_id"), F.col("right_id")], most)
-        large = large.filter(F.col("_no") < most)
-    ahead = large.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(steps if most is None else 1)))).withColumn("_no", F.pmod(F.col("_no") + F.col("_step"), F.col("_n")))
-    near = ahead.select(*group, "_no", F.col("_id").alias("_a")).join(at.select(*group, "_no", F.col("_id").alias("_b")), [*group, "_no"])
-    return every.select(*group, "left_id", "right_id").union(near.select(*group, F.least("_a", "_b"), F.greatest("_a", "_b")).distinct())
+    rows = df.select(*group, F.col(row_id).alias("_id"))
+    at = hash_numbers(rows, group, hash_rank(seed, "row", F.col("_id")), "_id", total="_n").withColumn("_no", F.col("_no") - 1)
+    ordered = [F.least("_a", "_b").alias("left_id"), F.greatest("_a", "_b").alias("right_id")]
+    if most is None:
+        own, blocks = F.floor(F.col("_no") / BLOCK), F.ceil(F.col("_n") / BLOCK)
+        first = at.select(*group, F.col("_id").alias("_a"), F.col("_no").alias("_i"), own.alias("_x"), F.explode(F.sequence(own, blocks - 1)).alias("_y"))
+        second = at.select(*group, F.col("_id").alias("_b"), F.col("_no").alias("_j"), F.explode(F.sequence(F.lit(0).cast("long"), own)).alias("_x"), own.alias("_y"))
+        return first.join(second, [*group, "_x", "_y"]).filter("_i < _j").select(*group, *ordered)
+    total = (F.col("_n") * (F.col("_n") - 1) / 2).cast("long")
+    start = hash_fraction(hash_rank(seed, "pairs", *(F.col(g) for g in group)))
+    draws = F.transform(F.sequence(F.lit(0), F.least(F.lit(most).cast("long"), total) - 1), lambda k: F.when(total <= most, k).otherwise(F.floor((k + start) * total / most)))
+    # Pair number p is that of the rows i < j with p = j (j - 1) / 2 + i.
+    drawn = at.filter("_no = 0 and _n > 1").select(*group, F.explode(draws).alias("_p"))
+    guess = F.floor((1 + F.sqrt(1 + 8 * F.col("_p").cast("double"))) / 2).cast("long")
+    below = lambda j: (j * (j - 1) / 2).cast("long")
+    j = F.when(below(F.col("_g")) > F.col("_p"), F.col("_g") - 1).when(below(F.col("_g") + 1) <= F.col("_p"), F.col("_g") + 1).otherwise(F.col("_g"))
+    numbers = drawn.withColumn("_g", guess).withColumn("_j", j).withColumn("_i", F.col("_p") - below(F.col("_j")))
+    left, right = at.select(*group, F.col("_no").alias("_i"), F.col("_id").alias("_a")), at.select(*group, F.col("_no").alias("_j"), F.col("_id").alias("_b"))
+    return numbers.join(left, [*group, "_i"]).join(right, [*group, "_j"]).select(*group, *ordered)
 
 
 def endpoints(pairs: DataFrame, rows: DataFrame, row_id: str, columns: list[str]) -> DataFrame:

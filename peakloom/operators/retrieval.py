@@ -146,9 +146,11 @@ def centroids(rows: DataFrame, group: str, vector: str) -> DataFrame:
 
 
 def compactness(rows: DataFrame, row_id: str, group: str, vector: str) -> DataFrame:
-    """(group, n, radius, within): mean cosine distance to the centroid, and mean over all pairs of different rows.
+    """(group, n, radius, within, between, ratio): mean cosine distance to the centroid, over all pairs of different rows,
+    and over all pairs of a row with one of another group; within / between, null where the latter is 0 or missing.
 
-    For unit vectors the mean over pairs follows from the vectors' sum, so no pairs are made.
+    For unit vectors both means follow from the groups' sums: a group's sum S_g and that of all, S, give the mean of
+    S_g * (S - S_g) over n_g * (N - n_g) pairs. So no pairs are made or sampled. Works out S, as long as a vector, at once.
     """
     c = centroids(rows, group, vector)
     from peakloom.functions.vectors import cosine_distance, dot
@@ -157,7 +159,12 @@ def compactness(rows: DataFrame, row_id: str, group: str, vector: str) -> DataFr
     radius = off.groupBy("group").agg(F.avg(cosine_distance(F.col("v"), unit(F.col("centroid")))).alias("radius"))
     n = F.col("n").cast("double")
     mean_dot = F.try_divide(n * n * dot(F.col("centroid"), F.col("centroid")) - n, n * (n - 1))
-    return c.join(radius, "group").select("group", "n", "radius", (1 - mean_dot).alias("within"))
+    sums = c.select("n", F.posexplode("centroid").alias("k", "x")).groupBy("k").agg(F.sum(F.col("n") * F.col("x")).alias("x"), F.sum("n").alias("n")).orderBy("k").collect()
+    whole, total = F.array([F.lit(r.x) for r in sums]), float(sums[0].n if sums else 0)
+    rest = F.zip_with(whole, F.col("centroid"), lambda x, y: x - n * y)
+    between = F.when(F.lit(total) > n, 1 - n * dot(F.col("centroid"), rest) / (n * (total - n)))
+    within = 1 - mean_dot
+    return c.join(radius, "group").select("group", "n", "radius", within.alias("within"), between.alias("between"), F.when(between > 0, within / between).alias("ratio"))
 
 
 def gram(rows: DataFrame, vector: str, center: bool = False) -> tuple[int, np.ndarray]:
@@ -193,3 +200,56 @@ def spectrum_metrics(rows: DataFrame, vector: str) -> dict[str, float]:
     held = np.arange(1, len(e) + 1)[e > 1e-12]
     slope = float(-np.polyfit(np.log(held), np.log(e[e > 1e-12]), 1)[0]) if len(held) > 1 else float("nan")
     return {"n": float(n), "rankme_entropy": entropy, "rankme": float(np.exp(entropy)), "stable_rank": float(e.sum() / e[0]), "condition": float(s[0] / max(s[-1], 1e-12)), "nesum": float((e / e[0]).sum()), "alpha": slope, "self_cluster": float((g * g).sum())}
+
+
+def coherence(rows: DataFrame, vector: str, center: bool = True, rank: int | None = None, tolerance: float | None = None) -> dict[str, float]:
+    """How far the singular vectors of all rows lean on single rows (left) or components (right): 1 for none.
+
+    left is the largest leverage of a row times rows / rank, right the largest of a component times components / rank.
+    Singular values up to `tolerance` (largest times max(rows, components) times the machine's epsilon unless given) do
+    not count. Each partition sends the triangle of its QR decomposition, which loses no precision as squares would;
+    leverages are taken in a second pass with the right vectors sent out. No rows, or rank 0, give zeros.
+    """
+    v = rows.select(F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
+    length = v.agg(F.max(F.size("v")).alias("d"), F.min(F.size("v")).alias("e"), F.count(F.lit(1)).alias("n")).first()
+    none = {"left": 0.0, "right": 0.0, "max": 0.0, "rank": 0.0}
+    if not length.n or not length.d:
+        return none
+    if length.d != length.e:
+        raise ValueError("vectors must have one length")
+    n, d = length.n, length.d
+    mean = np.zeros(d)
+    if center:
+        for r in v.select(F.posexplode("v").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("x")).collect():
+            mean[r.k] = r.x
+
+    def numbers(b: pa.RecordBatch) -> np.ndarray:
+        return b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+
+    def triangles(shift: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            r = np.zeros((0, d))
+            for b in batches:
+                r = np.linalg.qr(np.vstack([r, numbers(b) - shift]), mode="r")
+            yield pa.RecordBatch.from_arrays([pa.array(r.tolist(), pa.list_(pa.float64()))], names=["v"])
+
+        return run
+
+    parts = v.mapInArrow(triangles(mean), "v array<double>")
+    few = parts.repartition(16).mapInArrow(triangles(np.zeros(d)), "v array<double>").collect()  # at most 16 triangles
+    r = np.linalg.qr(np.array([x.v for x in few], float).reshape(-1, d), mode="r")
+    _, s, vh = np.linalg.svd(r, full_matrices=False)
+    least = s.max(initial=0) * max(n, d) * np.finfo(float).eps if tolerance is None else tolerance
+    k = int((s > least).sum()) if rank is None else max(0, min(rank, len(s), n))
+    if not k or not s[0]:
+        return none
+    back = (vh[:k] / s[:k, None]).T
+
+    def leverages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u = (numbers(b) - mean) @ back
+            yield pa.RecordBatch.from_arrays([pa.array([float((u * u).sum(axis=1).max(initial=0))])], names=["x"])
+
+    left = n / k * v.mapInArrow(leverages, "x double").agg(F.max("x")).first()[0]
+    right = d / k * float((vh[:k] ** 2).sum(axis=0).max())
+    return {"left": left, "right": right, "max": max(left, right), "rank": float(k)}

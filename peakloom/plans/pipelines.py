@@ -74,7 +74,7 @@ def retrieval_benchmark(rows: DataFrame, partition: str, label: str, row_id: str
 def pair_benchmark(rows: DataFrame, *, partition: str, row_id: str, label: str, mz: str, charge: str, ppm: float, per_label: int, seed: str) -> DataFrame:
     """(partition, pair_set, left_id, right_id, label, ppm): balanced pairs of three protocols.
 
-    Positive pairs share a label, at most per_label of each, chosen by hash; "random" negatives are any other row of the
+    Positive pairs share a label, at most per_label of each, drawn from all of its pairs; "random" negatives are any other row of the
     partition, "charge" ones have the same charge (both the first of another label along a circle in hash order), "hard"
     ones also lie within ppm. A protocol has as many negatives as positives.
     """

@@ -190,7 +190,7 @@ def hard_negative_coverage(spark, d):
 def positive_pairs(spark, d):
     """All pairs of a label's spectra, with their distance and whether one may be mixed into the other."""
     rows = precursors(spark, d)
-    pairs = joins.endpoints(joins.pairs_in_groups(rows, ["label"], "spectrum_id", "p", full=256).drop("label"), rows, "spectrum_id", ["precursor_mz", "charge"])
+    pairs = joins.endpoints(joins.pairs_in_groups(rows, ["label"], "spectrum_id", "p").drop("label"), rows, "spectrum_id", ["precursor_mz", "charge"])
     a, b = F.col("left_precursor_mz"), F.col("right_precursor_mz")
     return pairs.select("left_id", "right_id", F.round(F.abs(a - b) / ((a + b) / 2) * 1e6, 4).alias("ppm"), joins.distractor_ok((a, F.col("left_charge")), (b, F.col("right_charge")), 5000).alias("may_mix"))
 
@@ -232,11 +232,12 @@ def knn_accuracy(spark, d):
     c AS (SELECT label, k, avg(x) AS x FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS k FROM u) GROUP BY ALL),
     m AS (SELECT label, list(x ORDER BY k) AS c FROM c GROUP BY label),
     r AS (SELECT u.label, count(*) AS n, avg(greatest(0, 1 - list_cosine_similarity(e, c))) AS radius FROM u JOIN m USING (label) GROUP BY u.label),
-    w AS (SELECT a.label, avg(1 - list_dot_product(a.e, b.e)) AS within FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.label)
-    SELECT r.label AS "group", n, round(radius, 6) AS radius, round(within, 6) AS within FROM r LEFT JOIN w USING (label)""")
+    w AS (SELECT a.label, avg(1 - list_dot_product(a.e, b.e)) AS within FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.label),
+    o AS (SELECT a.label, avg(1 - list_dot_product(a.e, b.e)) AS between_ FROM u a JOIN u b ON a.label <> b.label GROUP BY a.label)
+    SELECT r.label AS "group", n, round(radius, 6) AS radius, round(within, 6) AS within, round(between_, 6) AS "between", round(within / between_, 6) AS ratio FROM r LEFT JOIN w USING (label) LEFT JOIN o USING (label)""")
 def compactness(spark, d):
-    """Distance to the centroid, and mean distance of a label's vectors."""
-    return retrieval.compactness(table(spark, d, "embeddings"), "vec_id", "label", "embedding").select("group", "n", r6("radius"), r6("within"))
+    """Distance to the centroid, mean distance of a label's vectors to each other and to all others."""
+    return retrieval.compactness(table(spark, d, "embeddings"), "vec_id", "label", "embedding").select("group", "n", r6("radius"), r6("within"), r6("between"), r6("ratio"))
 
 
 @query()
@@ -813,7 +814,11 @@ def corpus_build(spark, d):
 
 @query(f"""
     WITH p AS (SELECT o_orderkey AS id, o_totalprice AS mz, o_orderkey % 3 + 2 AS z, o_custkey AS y, o_orderpriority AS part FROM orders),
-    pos AS (SELECT part, l, r FROM (SELECT a.part, a.id AS l, b.id AS r, row_number() OVER (PARTITION BY a.part, a.y ORDER BY {SHA.format("'b', 'positive', a.id::VARCHAR, b.id::VARCHAR")}, a.id, b.id) AS no FROM p a JOIN p b ON a.part = b.part AND a.y = b.y AND a.id < b.id) WHERE no <= 4),
+    pn AS (SELECT *, row_number() OVER (PARTITION BY part, y ORDER BY {SHA.format("'b', 'row', id::VARCHAR")}, id) - 1 AS no, count(*) OVER (PARTITION BY part, y) AS n FROM p),
+    pt AS (SELECT DISTINCT part, y, n * (n - 1) // 2 AS total, ('0x' || left({SHA.format("'b', 'pairs', part, y::VARCHAR")}, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM pn),
+    pos AS (SELECT a.part, least(a.id, b.id) AS l, greatest(a.id, b.id) AS r FROM pt, range(4) k(k)
+            JOIN pn a ON a.part = pt.part AND a.y = pt.y JOIN pn b ON b.part = pt.part AND b.y = pt.y AND a.no < b.no
+            WHERE k < total AND a.no + b.no * (b.no - 1) // 2 = CASE WHEN total <= 4 THEN k ELSE floor((k + u) * total / 4)::BIGINT END),
     {circle_sql("rnd", "part", "b random", "p")},
     {circle_sql("chg", "(part, z)", "b charge", "p")},
     hard AS (SELECT l, r FROM (SELECT a.id AS l, b.id AS r, row_number() OVER (PARTITION BY a.id ORDER BY {SHA.format("'b', 'pair', a.id::VARCHAR, b.id::VARCHAR")}, b.id) AS no FROM p a JOIN p b ON a.part = b.part AND a.z = b.z AND a.y <> b.y AND abs(b.mz - a.mz) <= a.mz * 500 / 1e6) WHERE no = 1),

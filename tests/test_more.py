@@ -37,15 +37,22 @@ def test_circle_by_brute_force(spark, monkeypatch, cut):
 
 
 def test_pairs_of_small_and_large_groups(spark):
-    df = spark.createDataFrame([("s", k) for k in range(6)] + [("l", k) for k in range(100)], "g string, k int")
-    every = joins.pairs_in_groups(df, ["g"], "k", "p", full=10, steps=3).collect()
-    assert sorted((r.left_id, r.right_id) for r in every if r.g == "s") == [(a, b) for a in range(6) for b in range(a + 1, 6)]
-    large = [(r.left_id, r.right_id) for r in every if r.g == "l"]
-    assert len(large) == len(set(large)) == 300 and {x for p in large for x in p} == set(range(100)) and all(a < b for a, b in large)
-    few = joins.pairs_in_groups(df, ["g"], "k", "p", most=4, full=10).collect()
-    assert sum(r.g == "s" for r in few) == 4 and sum(r.g == "l" for r in few) == 4
-    ranked = sorted(((a, b) for a in range(6) for b in range(a + 1, 6)), key=lambda p: sha("p", "positive", *p))
-    assert sorted((r.left_id, r.right_id) for r in few if r.g == "s") == sorted(ranked[:4])
+    """All pairs at any size; a draw of them by the same rule for every size, each pair as likely as any other."""
+    sizes = {"one": 1, "s": 6, "l": 300, "b": 520}
+    df = spark.createDataFrame([(g, k) for g, n in sizes.items() for k in range(n)], "g string, k int")
+    every = joins.pairs_in_groups(df, ["g"], "k", "p").collect()
+    for g, n in sizes.items():
+        assert sorted((r.left_id, r.right_id) for r in every if r.g == g) == [(a, b) for a in range(n) for b in range(a + 1, n)]
+    for most in (1, 4, 15, 1000):
+        few = joins.pairs_in_groups(df, ["g"], "k", "p", most=most).collect()
+        for g, n in sizes.items():
+            total, got = n * (n - 1) // 2, [(r.left_id, r.right_id) for r in few if r.g == g]
+            assert len(got) == len(set(got)) == min(most, total) and all(a < b for a, b in got)
+            order = sorted(range(n), key=lambda k: (sha("p", "row", k), k))
+            pairs = [(i, j) for j in range(n) for i in range(j)]
+            u = int(sha("p", "pairs", g)[:8], 16) / 2**32
+            want = [pairs[k if total <= most else int((k + u) * total / most)] for k in range(min(most, total))]
+            assert sorted(got) == sorted(tuple(sorted((order[i], order[j]))) for i, j in want)
 
 
 def test_ends_of_pairs_are_checked(spark):
