@@ -211,3 +211,19 @@ def acquisition(name: Column) -> Column:
 def rate_suffix(x: Column) -> Column:
     """0.01 as 0p01."""
     return F.replace(x.cast("string"), F.lit("."), F.lit("p"))
+
+
+def with_deltas(sequence: Column, places: Column, residue: str, token: str) -> Column:
+    """The sequence with token after its residues at the given places (an array, from 1), put in from the right.
+
+    A place outside the sequence, or where another residue stands, stops the job. A place given twice gets two tokens;
+    null places change nothing; a null sequence stays null.
+    """
+
+    def put(done: Column, p: Column) -> Column:
+        # All that has been put in stands further right, so places still count from the sequence's start.
+        right = (p >= 1) & (p <= F.length(sequence)) & (F.substr(done, p, F.lit(1)) == residue)
+        wrong = F.raise_error(F.concat(F.lit(f"no {residue} at place "), p.cast("string"), F.lit(" of "), sequence))
+        return F.when(right, F.concat(F.substr(done, F.lit(1), p), F.lit(token), F.substr(done, p + 1))).otherwise(wrong)
+
+    return F.when(sequence.isNotNull(), F.aggregate(F.sort_array(F.coalesce(places, F.array().cast("array<int>")), asc=False), sequence, put))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from peakloom.functions.vectors import hash_rank
+from peakloom.operators.sampling import hash_numbers
 
 
 def shuffled_intensities(peaks: Column, key: Column) -> Column:
@@ -30,6 +31,20 @@ def permuted(df: DataFrame, strata: list[str], row_id: str, value: str, seed: st
     return dealt.withColumn("permuted", F.when(last, F.first(value).over(whole)).otherwise(F.lead(value).over(w))).drop("_batches", "_rank", "_batch")
 
 
+def dealt_peaks(df: DataFrame, batch: list[str], row_id: str, peaks: str, seed: str) -> DataFrame:
+    """df with a batch's peaks dealt anew among its rows: every row keeps its number of peaks, in order of m/z, and a batch
+    its peaks. Which peak goes where is decided by hash.
+
+    Peaks and places are numbered alike in hash order, in cuts, so that a batch may be of any size, then meet by number.
+    Rows without peaks keep what they have. Ids are distinct; peaks are structs (mz, intensity).
+    """
+    each = df.select(*batch, F.col(row_id).alias("_id"), F.posexplode(peaks).alias("_pos", "_peak"))
+    pool = hash_numbers(each, batch, hash_rank(seed, "peak", F.col("_id"), F.col("_pos")), "_id").select(*batch, "_no", "_peak")
+    places = hash_numbers(each.drop("_peak"), batch, hash_rank(seed, "place", F.col("_id"), F.col("_pos")), "_id").select(*batch, "_no", "_id")
+    dealt = places.join(pool, [*batch, "_no"]).groupBy("_id").agg(F.array_sort(F.collect_list("_peak")).alias("_dealt"))
+    return df.join(dealt, df[row_id] == dealt["_id"], "left").withColumn(peaks, F.coalesce("_dealt", F.col(peaks))).drop("_id", "_dealt")
+
+
 def without_precursor(df: DataFrame, mz: str, charge: str) -> DataFrame:
     """The null condition: precursor m/z and charge are 0."""
     return df.withColumn(mz, F.lit(0.0)).withColumn(charge, F.lit(0))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from peakloom.functions.text import with_deltas
 from peakloom.operators.checks import assert_empty, assert_unique
 
 SCHEMA = (
@@ -70,6 +73,87 @@ def read_mzid(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_spectrumID").alias("spectrum"), i).select("spectrum", F.col("i._peptide_ref").alias("peptide_ref"), F.col("i._chargeState").alias("charge"), F.col("i._experimentalMassToCharge").alias("observed_mz"))
 
 
+def mzid_labels(
+    spark: SparkSession, path: str, *, run: Column | None = None, suffix: str = "_msgfplus.mzid.gz", delta: float = 15.99491463, tolerance: float = 1e-4, residue: str = "M", token: str = "+15.995"
+) -> DataFrame:
+    """(run, scan, label): each scan's peptide, with token after every residue that carries a modification of mass delta.
+
+    Two kinds of rows of the same XML files meet by their references: peptides, and results' items of rank 1 that pass
+    the threshold (which they do unless the file says otherwise). Of several, a scan's last one in the file counts, and of
+    peptides with one id the last. Modifications of other masses, or without a mass or place, are left out; one at a
+    wrong place stops the job. Scans whose peptide is missing or has no sequence are left out. run: from the column
+    `path` of a file, its name less suffix unless given. Gzip or plain.
+    """
+    run = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), f"{re.escape(suffix)}$", "") if run is None else run
+    origin = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")]
+    at = F.struct("start", F.monotonically_increasing_id().alias("no"))  # rows of one block of a file are in its order
+    xml = lambda tag, schema: spark.read.format("xml").schema(schema).option("rowTag", tag).load(path)
+    parts = xml("Peptide", "_id string, PeptideSequence string, Modification array<struct<_location:string,_monoisotopicMassDelta:string>>")
+    near = lambda m: F.abs(m["_monoisotopicMassDelta"].try_cast("double") - delta) <= tolerance
+    places = F.filter(F.transform(F.filter("Modification", near), lambda m: m["_location"].try_cast("int")), lambda x: x.isNotNull())
+    made = parts.select("_id", F.nullif("PeptideSequence", F.lit("")).alias("seq"), places.alias("places"), *origin).withColumn("at", at)
+    made = made.groupBy("path", F.col("_id").alias("ref")).agg(F.max_by(F.struct("seq", "places"), "at").alias("p"))
+    labels = made.select("path", "ref", with_deltas(F.col("p.seq"), F.col("p.places"), residue, token).alias("label"))
+    results = xml("SpectrumIdentificationResult", "_spectrumID string, SpectrumIdentificationItem array<struct<_rank:string,_passThreshold:string,_peptide_ref:string>>")
+    able = lambda i: (i["_rank"] == "1") & (F.lower(F.coalesce(i["_passThreshold"], F.lit("true"))) == "true") & (F.coalesce(i["_peptide_ref"], F.lit("")) != "")
+    scan = F.coalesce(*(F.regexp_extract("_spectrumID", rf"(?:^|\s){w}=(\d+)(?:\s|$)", 1).try_cast("long") for w in ("scan", "scans?")))
+    items = results.select(scan.alias("scan"), F.try_element_at(F.filter("SpectrumIdentificationItem", able), F.lit(-1))["_peptide_ref"].alias("ref"), *origin)
+    items = items.withColumn("at", at).filter("scan is not null and ref is not null")
+    last = items.groupBy("path", "scan").agg(F.max_by("ref", "at").alias("ref"))
+    return last.join(labels, ["path", "ref"]).filter("label is not null").select(run.alias("run"), "scan", "label")
+
+
+def relabelled(rows: DataFrame, labels: DataFrame, *, file_col: str, scan_col: str, label_col: str) -> DataFrame:
+    """rows with the label that `labels` (run, scan, label; one row a scan) has for their file and scan, and `relabel`:
+    "updated", "same", or "unmatched" where there is none and the row keeps its own. A file's run is its name less the last extension.
+    """
+    run = F.regexp_replace(F.regexp_extract(file_col, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    new = labels.select(F.col("run").alias("_run"), F.col("scan").alias("_scan"), F.col("label").alias("_label"))
+    met = rows.join(new, (run == F.col("_run")) & (F.col(scan_col).cast("long") == F.col("_scan")), "left")
+    state = F.when(F.col("_label").isNull(), "unmatched").when(F.col("_label").eqNullSafe(F.col(label_col)), "same").otherwise("updated")
+    return met.withColumn("relabel", state).withColumn(label_col, F.coalesce("_label", F.col(label_col))).drop("_run", "_scan", "_label")
+
+
+def publish_counted(df: DataFrame, path: str, counts: dict[str, Column], check: Callable[[dict], None] | None = None, partition_by: list[str] = (), **facts) -> dict:
+    """Writes df to a path that is free, with a manifest.json of its counts beside it as path.manifest.json; returns them.
+
+    counts: aggregate expressions over df's rows, such as sums of reject reasons, taken while the rows are written: the
+    table is scanned once. check(counts) raises to stop; then nothing stands at the path. The manifest is moved into place
+    whole, after the table.
+    """
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    staging, target = hadoop.Path(f"{path}.staging"), hadoop.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        raise FileExistsError(path)
+    seen = Observation()
+    df.observe(seen, *(c.alias(k) for k, c in counts.items())).write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}.staging")
+    got = seen.get
+    try:
+        if check is not None:
+            check(got)
+    except Exception:
+        fs.delete(staging, True)
+        raise
+    fs.rename(staging, target)
+    write_text(spark, f"{path}.manifest.json", json.dumps({**facts, "counts": got}, sort_keys=True, indent=1, default=str) + "\n")
+    return got
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole or not at all: written beside the path, then moved there in place of what it held."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    staging, target = hadoop.Path(f"{path}.tmp"), hadoop.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(staging, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(target, False)
+    if not fs.rename(staging, target):
+        raise OSError(f"{path} could not be moved into place")
+
+
 def publish(df: DataFrame, path: str, audit, overwrite: bool = False) -> None:
     """Writes beside the path, audits what was written, then moves it there; what stood there stays as path.backup.
 
