@@ -112,13 +112,26 @@ def distractor_count(anchor: Column, distractor: Column, strength: float) -> Col
     return F.when(F.lit(strength) > 0, F.greatest(n, F.least(F.lit(1), F.size(distractor)))).otherwise(0)
 
 
-def mixed(anchor: Column, distractor: Column, ppm: float) -> Column:
-    """Both spectra's peaks, neighbours closer than ppm of their midpoint merged: struct(mz, intensity, origin), origin 0
-    for the anchor's own, 1 for the distractor's, 2 for merged from both."""
-    side = lambda ps, k: F.transform(ps, lambda p: F.struct(p["mz"].alias("mz"), F.lit(k).alias("origin"), p["intensity"].alias("intensity")))
-    runs = clusters(F.array_sort(F.concat(side(anchor, 0), side(distractor, 1))), lambda a, b: ~(b["mz"] - a["mz"] < ppm * 1e-6 * (a["mz"] + b["mz"]) / 2))
+def mixed(anchor: Column, distractor: Column, ppm: float, scale: str | None = None) -> Column:
+    """Both spectra's peaks: struct(mz, intensity, origin), origin 0 for the anchor's own, 1 for the distractor's, 2 for both.
+
+    Each side's neighbours closer than ppm of their midpoint are merged first, then those of what both sides have become.
+    scale: "range" brings intensities to 0 up to 1 (to 0 where all are equal), "base" divides by the largest, None leaves them.
+    """
+    apart = lambda a, b: ~(b["mz"] - a["mz"] < ppm * 1e-6 * (a["mz"] + b["mz"]) / 2)
+    side = lambda ps, k: F.transform(clusters(F.array_sort(ps), apart), lambda c: F.struct(_centre(c).alias("mz"), F.lit(k).alias("origin"), _sum(c).alias("intensity")))
     own = lambda c: F.array_distinct(F.transform(c, lambda p: p["origin"]))
-    return F.transform(runs, lambda c: F.struct(_centre(c).alias("mz"), _sum(c).alias("intensity"), F.when(F.size(own(c)) > 1, 2).otherwise(F.get(own(c), F.lit(0))).alias("origin")))
+    both = clusters(F.array_sort(F.concat(side(anchor, 0), side(distractor, 1))), apart)
+    made = F.transform(both, lambda c: F.struct(_centre(c).alias("mz"), _sum(c).alias("intensity"), F.when(F.size(own(c)) > 1, 2).otherwise(F.get(own(c), F.lit(0))).alias("origin")))
+    if scale is None:
+        return made
+
+    def scaled(ps: Column) -> Column:
+        x = F.transform(ps, lambda p: p["intensity"])
+        low = F.array_min(x) if scale == "range" else F.lit(0.0)
+        return F.transform(ps, lambda p: F.struct(p["mz"].alias("mz"), F.coalesce(F.try_divide(p["intensity"] - low, F.array_max(x) - low), F.lit(0.0)).alias("intensity"), p["origin"].alias("origin")))
+
+    return let(made, scaled)
 
 
 def running_merge(peaks: Column, ppm: float) -> Column:

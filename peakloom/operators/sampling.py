@@ -162,6 +162,41 @@ def length_holdout(df: DataFrame, run: str, length: str, quota: int, seed: str)
     return profile.repartition(1).sortWithinPartitions("_rank", "_run").select("_run", "_have").mapInPandas(choose, df.select(run).schema)
 
 
+def quota_holdout(rows: DataFrame, quotas: DataFrame, used: DataFrame | None, *, run: str, length: str, row_id: str, seed: str, split: str) -> tuple[DataFrame, DataFrame]:
+    """(rows chosen, runs used): rows of whole runs until each length's quota is met to the row.
+
+    Runs come in hash order, those in `used` left out; a run gives its rows in hash order, of each length as many as are
+    still needed, and is used up for other splits if it gives any. Rows of the first `quota` runs that hold a length meet
+    its need, so only these runs are judged one after the other: at most as many as rows are asked for. quotas: (length,
+    quota), a row a length.
+    """
+    able = rows.join(used, run, "left_anti") if used is not None else rows
+    able = able.join(quotas.filter("quota > 0").select(length, F.col("quota").alias("_quota")), length)
+    counts = able.groupBy(F.col(run).alias("_run"), F.col(length).alias("_length"), "_quota").agg(F.count(F.lit(1)).alias("_n")).withColumn("_rank", hash_rank(seed, split, "run", F.col("_run")))
+    first = Window.partitionBy("_length").orderBy("_rank", "_run")
+    runs = counts.withColumn("_no", F.row_number().over(first)).filter(F.col("_no") <= F.col("_quota")).select("_run").distinct()
+    need = F.map_from_entries(F.collect_list(F.struct("_length", F.struct("_n", "_quota"))))
+    profile = counts.join(runs, "_run", "left_semi").groupBy("_run", "_rank").agg(need.alias("_have"))
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got: dict = {}
+        for pdf in batches:
+            out = []
+            for r, have in zip(pdf["_run"], pdf["_have"]):
+                for k, x in dict(have).items():
+                    n = min(x["_n"], x["_quota"] - got.get(k, 0))
+                    if n > 0:
+                        out.append((r, k, n))
+                        got[k] = got.get(k, 0) + n
+            yield pd.DataFrame(out, columns=["_run", "_length", "_take"])
+
+    kinds = {c: counts.schema[c].dataType.simpleString() for c in ("_run", "_length")}
+    taken = profile.repartition(1).sortWithinPartitions("_rank", "_run").select("_run", "_have").mapInPandas(choose, f"_run {kinds['_run']}, _length {kinds['_length']}, _take long")
+    order = Window.partitionBy(run, length).orderBy(hash_rank(seed, split, "row", F.col(row_id)), row_id)
+    met = able.drop("_quota").withColumn("_no", F.row_number().over(order)).join(taken, (F.col(run) == F.col("_run")) & (F.col(length) == F.col("_length")))
+    return met.filter(F.col("_no") <= F.col("_take")).drop("_no", "_run", "_length", "_take"), taken.select(F.col("_run").alias(run)).distinct()
+
+
 def replayed(df: DataFrame, row_id: str, n: int, seed: str, epoch: int) -> DataFrame:
     """n rows of a pool for an epoch (column draw, from 0): the first in hash order, or, where the pool is smaller, drawn
     with replacement."""

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from peakloom.functions.text import RESIDUES
+from peakloom.functions.text import PROTON, RESIDUES, WATER
 
 EPSILON = 1e-8
+ISOTOPE = 1.00335
 MATCH = T.StructType([T.StructField("matches", T.ArrayType(T.BooleanType())), T.StructField("n_true", T.IntegerType()), T.StructField("n_predicted", T.IntegerType()), T.StructField("peptide", T.BooleanType())])
 
 
@@ -98,3 +101,56 @@ def peptide_score(token_scores: Column, fits: Column) -> Column:
     mean = F.try_divide(F.aggregate(token_scores, F.lit(0.0), lambda a, x: a + x), F.size(token_scores).cast("double"))
     score = F.when(fits, mean).otherwise(mean - 1)
     return F.struct(score.alias("score"), F.transform(token_scores, lambda x: (x + score) / 2).alias("token_scores"))
+
+
+def beam_end(
+    tokens: Column, mz: Column, charge: Column, masses: dict[str, float], *, n_term: tuple[str, ...] = (), stop: str = "$", pad: str = "", min_length: int = 6, ppm: float = 50.0, isotopes: tuple[int, int] = (0, 1)
+) -> Column:
+    """struct(step, finished, fits, discarded): where a beam that is decoded token by token ends, and how.
+
+    tokens: an array, in the order of decoding (from the C-terminus, so that an N-terminal token comes last). The first step
+    (from 0) counts at which one of these holds; a beam that none ends has step null and is neither finished nor discarded.
+    - A padding token: discarded.
+    - From the third token on, an N-terminal token that is not the last residue: discarded.
+    - A stop without residues, or with fewer than min_length: discarded.
+    - Any other stop: finished, and fits if the mass agrees with the precursor within ppm at one of the isotope offsets.
+    - No stop, the mass doesn't agree, and with some token of negative mass after it, it would still be too large at every
+      offset: finished, and doesn't fit.
+    A residue without a mass agrees with no precursor and exceeds none. A null token counts as such a residue; null tokens, m/z or
+    charge give a beam without end or fit. One pass with a running mass; tokens after the end aren't looked at.
+    """
+    known = F.create_map(*(F.lit(x) for k, v in masses.items() for x in (k, float(v)))) if masses else F.create_map().cast("map<string,double>")
+    losses = [float(v) for v in masses.values() if v < 0]
+
+    def off(mass: Column) -> list[Column]:
+        """ppm by which the peptide's m/z lies above the precursor's, at each isotope offset."""
+        calculated = (mass + WATER) / charge + PROTON
+        return [(calculated - (mz - k * ISOTOPE / charge)) / mz * 1e6 for k in range(isotopes[0], isotopes[1] + 1)]
+
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    agrees = lambda mass: yes(reduce(Column.__or__, [F.abs(d) < ppm for d in off(mass)]))
+    too_large = lambda mass: yes(reduce(Column.__and__, [d > ppm for d in off(mass)]))
+    terminal = lambda t: yes(t.isin(*n_term)) if n_term else F.lit(False)
+
+    def state(i, n, mass, before, last, step, finished, fits, discarded) -> Column:
+        """before: an N-terminal token stands before the last token; last: the last one is such a token."""
+        return F.struct(
+            i.cast("int").alias("i"), n.cast("int").alias("n"), mass.cast("double").alias("mass"), before.alias("before"), last.alias("last"),
+            step.cast("int").alias("step"), finished.alias("finished"), fits.alias("fits"), discarded.alias("discarded"),
+        )
+
+    def take(a: Column, t: Column) -> Column:
+        stops, pads = yes(t == stop), yes(t == pad)
+        mass = F.when(stops | pads, a["mass"]).otherwise(a["mass"] + F.try_element_at(known, t))
+        n = a["n"] + F.when(stops | pads, 0).otherwise(1)
+        inside = (a["i"] > 1) & (a["before"] | (a["last"] & ~stops))
+        discarded = pads | inside | (stops & ((n == 0) | (n < min_length)))
+        fits = ~discarded & stops & agrees(mass)
+        beyond = reduce(Column.__or__, [too_large(mass + x) for x in losses], F.lit(False))
+        finished = ~discarded & (stops | (~agrees(mass) & beyond))
+        step = F.when(finished | discarded, a["i"])
+        return F.when(a["step"].isNotNull(), a).otherwise(state(a["i"] + 1, n, mass, a["before"] | a["last"], terminal(t), step, finished, fits, discarded))
+
+    no = F.lit(False)
+    start = state(F.lit(0), F.lit(0), F.lit(0.0), no, no, F.lit(None), no, no, no)
+    return F.aggregate(tokens, start, take, lambda a: F.struct(a["step"].alias("step"), a["finished"].alias("finished"), a["fits"].alias("fits"), a["discarded"].alias("discarded")))

@@ -86,21 +86,27 @@ def coprime_strides(spark, d):
     return s.select("o_custkey", "size", counterfactual.coprime_stride(F.col("size"), F.col("o_custkey")).alias("stride"))
 
 
-@query("""
+def near_sql(by: str, source: str, then: str, k: str) -> str:
+    """Peaks of a spectrum merged where neighbours lie closer than 20,000 ppm of their midpoint: one step of mixing."""
+    return f"""o{k} AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY mz, {then}) AS g FROM {source}),
+    l{k} AS (SELECT *, CASE WHEN mz - lag(mz) OVER w < 20000 * 1e-6 * (mz + lag(mz) OVER w) / 2 THEN 0 ELSE 1 END AS new FROM o{k} WINDOW w AS (PARTITION BY {by} ORDER BY g)),
+    c{k} AS (SELECT * EXCLUDE (new), sum(new) OVER (PARTITION BY {by} ORDER BY g) AS no FROM l{k}),
+    x{k} AS (SELECT id, no AS cluster, sum(mz * x) / sum(x) AS mz, sum(x) AS x, CASE WHEN count(DISTINCT origin) > 1 THEN 2 ELSE min(origin) END AS origin FROM c{k} GROUP BY {by}, no)"""
+
+
+@query(f"""
     WITH p AS (SELECT l_orderkey AS id, l_extendedprice AS mz, l_quantity AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_quantity) AS pos FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
     n AS (SELECT id, count(*) AS n FROM p GROUP BY id), pair AS (SELECT a.id, b.id AS other, least(greatest(floor(a.n * 0.5), 1), b.n) AS k FROM n a JOIN n b ON b.id = a.id + 1),
     s AS (SELECT pair.id, p.mz, 1 AS origin, p.x FROM pair JOIN (SELECT *, row_number() OVER (PARTITION BY id ORDER BY x DESC, pos) AS rank FROM p) p ON p.id = other AND rank <= k UNION ALL SELECT pair.id, mz, 0, x FROM pair JOIN p USING (id)),
-    o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY mz, origin, x) AS g FROM s),
-    l AS (SELECT *, CASE WHEN mz - lag(mz) OVER w < 20000 * 1e-6 * (mz + lag(mz) OVER w) / 2 THEN 0 ELSE 1 END AS new FROM o WINDOW w AS (PARTITION BY id ORDER BY g)),
-    c AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY g) AS cluster FROM l),
-    m AS (SELECT id, cluster, sum(mz * x) / sum(x) AS mz, sum(x) AS x, CASE WHEN count(DISTINCT origin) > 1 THEN 2 ELSE min(origin) END AS origin FROM c GROUP BY ALL)
-    SELECT id AS spectrum_id, count(*) AS n, count(*) FILTER (origin = 1) AS n_distractor, count(*) FILTER (origin = 2) AS n_mixed, round(sum(mz), 4) AS sum_mz, round(sum(x * cluster), 4) AS placed FROM m GROUP BY id""")
+    {near_sql("id, origin", "s", "x", "1")}, {near_sql("id", "x1", "origin, x", "2")},
+    r AS (SELECT *, coalesce((x - min(x) OVER w) / nullif(max(x) OVER w - min(x) OVER w, 0), 0) AS y FROM x2 WINDOW w AS (PARTITION BY id))
+    SELECT id AS spectrum_id, count(*) AS n, count(*) FILTER (origin = 1) AS n_distractor, count(*) FILTER (origin = 2) AS n_mixed, round(sum(mz), 4) AS sum_mz, round(sum(y * cluster), 4) AS placed FROM r GROUP BY id""")
 def mixed_spectra(spark, d):
     """Each spectrum with the strongest peaks of the one of the next id mixed in, half as many as it has itself."""
     s = spectra(spark, d).select("spectrum_id", "peaks")
     pairs = s.join(s.select((F.col("spectrum_id") - 1).alias("spectrum_id"), F.col("peaks").alias("other")), "spectrum_id")
     few = peaks.strongest(F.col("other"), peaks.distractor_count(F.col("peaks"), F.col("other"), 0.5))
-    m = pairs.select("spectrum_id", peaks.mixed(F.col("peaks"), few, 20_000).alias("m"))
+    m = pairs.select("spectrum_id", peaks.mixed(F.col("peaks"), few, 20_000, "range").alias("m"))
     total = lambda f: F.aggregate(F.transform("m", f), F.lit(0.0), lambda a, x: a + x)
     count = lambda k: F.size(F.filter("m", lambda p: p["origin"] == k)).cast("long")
     return m.select("spectrum_id", F.size("m").cast("long").alias("n"), count(1).alias("n_distractor"), count(2).alias("n_mixed"), F.round(total(lambda p: p["mz"]), 4).alias("sum_mz"), F.round(total(lambda p, i: p["intensity"] * (i + 1)), 4).alias("placed"))

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.functions.vectors import hash_rank
-from peakloom.operators import dedup, joins, sampling
+from peakloom.operators import dedup, joins, metrics, sampling
+from peakloom.operators.checks import assert_empty
 from peakloom.operators.circle import negatives
+from peakloom.plans.scratch import new_folder
 
 
 @dataclass(frozen=True)
@@ -103,3 +105,64 @@ def charge_filtered(rows: DataFrame, pairs: DataFrame, row_id: str, condition: C
     able = joins.both_qualified(pairs, rows.filter(condition), row_id)
     kept = sampling.balanced(able.withColumn("pair_id", F.concat_ws("|", "left_id", "right_id")), balance_by, "label", "pair_id", seed).drop("pair_id")
     return joins.referenced(rows, kept, row_id), kept
+
+
+def probe_split(rows: DataFrame, *, run: str, key: str, length: str, row_id: str, sizes: dict[str, int], seed: str) -> DataFrame:
+    """rows with `split`: validation and test from whole runs, in this order, then train; each split's lengths as in rows.
+
+    sizes: rows of "val", "test" and "train". Each has a quota of every length by largest remainder, met to the row; a
+    quota that the rows can't meet stops the job. Validation and test take rows only of keys that a single run holds, by
+    `sampling.quota_holdout`; what validation used, test can't use. Train takes the first rows in hash order of other
+    runs and other keys. So no run, key or row is in two splits. Saves each step in the shared folder. Rows without a
+    run, key or length take no part.
+    """
+    spark = rows.sparkSession
+
+    def saved(df: DataFrame, name: str) -> DataFrame:
+        path = new_folder(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    able = rows.filter(F.col(run).isNotNull() & F.col(key).isNotNull() & F.col(length).isNotNull())
+    lengths = saved(able.groupBy(length).agg(F.count(F.lit(1)).alias("_n")), "lengths")
+    # One run: its smallest and its largest name are the same.
+    single = able.join(able.groupBy(key).agg(F.min(run).alias("_a"), F.max(run).alias("_z")).filter("_a = _z").select(key), key, "left_semi")
+    used, parts = None, []
+
+    def whole(chosen: DataFrame, quotas: DataFrame, split: str) -> DataFrame:
+        short = quotas.join(chosen.groupBy(length).agg(F.count(F.lit(1)).alias("_got")), length, "left").filter(F.coalesce("_got", F.lit(0)) < F.col("quota"))
+        assert_empty(short, f"too few rows for {split}")
+        return chosen.withColumn("split", F.lit(split))
+
+    for split in ("val", "test"):
+        quotas = saved(sampling.largest_remainder(lengths, length, "_n", sizes[split]).select(length, "quota"), "quotas")
+        chosen, runs = sampling.quota_holdout(single, quotas, used, run=run, length=length, row_id=row_id, seed=seed, split=split)
+        chosen, runs = saved(chosen, split), saved(runs, "used")
+        parts.append(whole(chosen, quotas, split))
+        used = runs if used is None else used.union(runs)
+    quotas = saved(sampling.largest_remainder(lengths, length, "_n", sizes["train"]).select(length, "quota"), "quotas")
+    held = parts[0].select(key).union(parts[1].select(key)).distinct()
+    rest = able.join(used, run, "left_anti").join(held, key, "left_anti")
+    numbered = sampling.hash_numbers(rest, [length], hash_rank(seed, "train", F.col(row_id)), row_id).join(quotas.withColumnRenamed("quota", "_quota"), length)
+    train = saved(numbered.filter(F.col("_no") <= F.col("_quota")).drop("_no", "_quota"), "train")
+    parts.append(whole(train, quotas, "train"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def pooled_and_macro(pairs: DataFrame, pair_set: str, partition: str, distance: str, label: str) -> DataFrame:
+    """(pair_set, scope, partition, metric, value): every metric of pairs in each partition, their "macro" mean over
+    partitions where it is finite, and "pooled", ranked over all pairs of a set.
+
+    Each pair counts in its partition's group and in the pooled one; all groups are ranked in the same running counts.
+    Null partitions are one partition.
+    """
+    groups = F.array(F.struct(F.lit("partition").alias("scope"), F.col(partition).alias("part")), F.struct(F.lit("pooled").alias("scope"), F.lit(None).cast(pairs.schema[partition].dataType).alias("part")))
+    each = pairs.select(F.col(pair_set).alias("_set"), F.explode(groups).alias("_g"), F.col(distance).alias("_distance"), F.col(label).alias("_label"))
+    # Joins between the metrics' tables are by equality, which a null partition has not: groups go by a text of their own.
+    each = each.withColumn("_key", F.to_json("_g", {"ignoreNullFields": "false"}))
+    got = metrics.pair_report(each, ["_set", "_key"], "_distance", "_label")
+    names = each.select("_key", "_g").distinct()
+    long = got.join(names, "_key").select("_set", "_g.scope", "_g.part", "metric", "value")
+    fine = long.filter((F.col("scope") == "partition") & F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    mean = fine.groupBy("_set", "metric").agg(F.avg("value").alias("value")).select("_set", F.lit("macro").alias("scope"), F.lit(None).cast(pairs.schema[partition].dataType).alias("part"), "metric", "value")
+    return long.unionByName(mean).toDF(pair_set, "scope", partition, "metric", "value")

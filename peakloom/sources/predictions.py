@@ -114,11 +114,11 @@ def relabelled(rows: DataFrame, labels: DataFrame, *, file_col: str, scan_col: s
     return met.withColumn("relabel", state).withColumn(label_col, F.coalesce("_label", F.col(label_col))).drop("_run", "_scan", "_label")
 
 
-def publish_counted(df: DataFrame, path: str, counts: dict[str, Column], check: Callable[[dict], None] | None = None, partition_by: list[str] = (), **facts) -> dict:
-    """Writes df to a path that is free, with a manifest.json of its counts beside it as path.manifest.json; returns them.
+def publish_counted(df: DataFrame, path: str, counts: dict[str, Column], check: Callable[[dict], None] | None = None, partition_by: list[str] = (), keep: Column | None = None, **facts) -> dict:
+    """Writes df, or its rows for which keep holds, to a path that is free, with a manifest.json of its counts beside it as path.manifest.json; returns them.
 
-    counts: aggregate expressions over df's rows, such as sums of reject reasons, taken while the rows are written: the
-    table is scanned once. check(counts) raises to stop; then nothing stands at the path. The manifest is moved into place
+    counts: aggregate expressions over all of df's rows, such as counts of reject reasons, taken while the rows are written:
+    the table is scanned once. check(counts) raises to stop; then nothing stands at the path. The manifest is moved into place
     whole, after the table.
     """
     spark = df.sparkSession
@@ -128,7 +128,8 @@ def publish_counted(df: DataFrame, path: str, counts: dict[str, Column], check:
     if fs.exists(target):
         raise FileExistsError(path)
     seen = Observation()
-    df.observe(seen, *(c.alias(k) for k, c in counts.items())).write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}.staging")
+    rows = df.observe(seen, *(c.alias(k) for k, c in counts.items()))
+    (rows if keep is None else rows.filter(keep)).write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}.staging")
     got = seen.get
     try:
         if check is not None:

@@ -59,6 +59,48 @@ def write_mgf(df: DataFrame, path: str, *, title: str, precursor_mz: str, charge
     df.select(mgf_text(F.col(title), F.col(precursor_mz), F.col(charge), F.col(peaks), F.col(sequence) if sequence else None).alias("value")).write.option("lineSep", "\n\n").text(path)
 
 
+def export_problem(precursor_mz: Column, charge: Column, sequence: Column, mzs: Column, intensities: Column) -> Column:
+    """Why a record can't be exported: the first of "precursor", "charge", "sequence", "peaks", "mz", "intensity", else null."""
+    sound = lambda x, low: F.coalesce(x.isNotNull() & ~F.isnan(x) & (x < float("inf")) & low(x), F.lit(False))
+    every = lambda xs, low: F.coalesce(F.forall(xs, lambda x: sound(x, low)), F.lit(False))
+    return (
+        F.when(~sound(precursor_mz, lambda x: x > 0), "precursor")
+        .when(~F.coalesce(charge >= 1, F.lit(False)), "charge")
+        .when(~F.coalesce((sequence != "") & ~sequence.rlike(r"\s"), F.lit(False)), "sequence")
+        .when(~F.coalesce((F.size(mzs) > 0) & (F.size(mzs) == F.size(intensities)), F.lit(False)), "peaks")
+        .when(~every(mzs, lambda x: x > 0), "mz")
+        .when(~every(intensities, lambda x: x >= 0), "intensity")
+    )
+
+
+def export_mgf(df: DataFrame, path: str, *, index: str, precursor_mz: str, charge: str, peaks: str, sequence: str, supported: Column | None = None, prefix: str = "index=") -> None:
+    """Writes path/mgf, path/index (supported_index, full_index) and path/rejected (full_index, problem).
+
+    Records in order of their index, a column of distinct numbers; their titles are prefix and index. Rows that are not
+    `supported` are left out and listed as "unsupported", those with an `export_problem` with it. The files of path/mgf,
+    in order of their names, hold the records in the order of supported_index, which counts from 0. The checked rows are
+    stored once, as path/checked, sorted and dealt by ranges of the index.
+    """
+    spark = df.sparkSession
+    problem = export_problem(F.col(precursor_mz), F.col(charge), F.col(sequence), F.col(f"{peaks}.mz"), F.col(f"{peaks}.intensity"))
+    if supported is not None:
+        problem = F.when(~F.coalesce(supported, F.lit(False)), "unsupported").otherwise(problem)
+    checked = df.withColumn("_problem", problem).select(F.col(index).cast("long").alias("full_index"), "_problem", mgf_text(F.concat(F.lit(prefix), F.col(index).cast("string")), F.col(precursor_mz), F.col(charge), F.col(peaks), F.col(sequence)).alias("value"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    checked.repartitionByRange(parts, "full_index").sortWithinPartitions("full_index").withColumn("at", F.monotonically_increasing_id()).write.parquet(f"{path}/checked")
+    rows = spark.read.parquet(f"{path}/checked")
+    fine = rows.filter("_problem is null")
+    # Each part's records are counted; a window over the parts gives where each starts.
+    own = fine.select("full_index", F.shiftright("at", 33).alias("part"), "at")
+    sizes = own.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("at")) - 1 + F.col("before")
+    own.join(F.broadcast(sizes), "part").select(place.cast("long").alias("supported_index"), "full_index").write.parquet(f"{path}/index")
+    rows.filter("_problem is not null").select("full_index", F.col("_problem").alias("problem")).write.parquet(f"{path}/rejected")
+    fine.repartitionByRange(parts, "full_index").sortWithinPartitions("full_index").select("value").write.option("lineSep", "\n\n").text(f"{path}/mgf")
+
+
 # The columns of the PSM section of an mzTab file, in their order.
 PSM_COLUMNS = (
     "sequence PSM_ID accession unique database database_version search_engine search_engine_score[1] modifications retention_time charge "

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def stream(spark: SparkSession, folder: str, like: DataFrame, files_per_trigger: int = 8) -> DataFrame:
@@ -29,6 +30,26 @@ def first_only(events: DataFrame, time: str, keys: list[str], late: str) -> Data
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
+def marked_repeats(events: DataFrame, keys: list[str], refuse: bool = False) -> DataFrame:
+    """Rows with `repeat`: whether one with their keys was met before, in whatever batch; with refuse such a row stops the query.
+
+    State by key, kept in the query's checkpoint, so that a query that starts again still knows its keys. A batch's rows
+    of a key stream past; which of them is the first is not determined. Null keys are one key.
+    """
+
+    def mark(_, pdfs, state):
+        for pdf in pdfs:
+            again = [state.exists or i > 0 for i in range(len(pdf))]
+            if refuse and any(again):
+                raise ValueError(f"a key is repeated: {pdf[keys].iloc[again.index(True)].to_dict()}")
+            if len(pdf):
+                state.update((True,))
+            yield pdf.assign(repeat=again)
+
+    schema = StructType([*events.schema.fields, StructField("repeat", BooleanType())])
+    return events.groupBy(*keys).applyInPandasWithState(mark, schema, "met boolean", "append", "NoTimeout")
+
+
 def append_new(events: DataFrame, keys: list[str], path: str, checkpoint: str, batch: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
     """Each micro-batch through a batch operator, then appended unless its keys are stored already: repeated batches add nothing."""
 

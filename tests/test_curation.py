@@ -12,8 +12,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakloom.functions import digests, text
-from peakloom.operators import interventions, partners, retrieval
+from peakloom.operators import interventions, partners, retrieval, sequences
+from peakloom.plans import pipelines
 from peakloom.sources import predictions
+from peakloom.sources import spectra as files
+from peakloom.streaming import events
 
 PEAKS = "id long, b int, peaks array<struct<mz:double,intensity:double>>"
 
@@ -157,3 +160,150 @@ def test_batches(spark):
     assert len(used) == len(set(used)) and set(used) <= set(median) and len(median) - len(used) < 4 * 2
     assert sorted(map(tuple, pick(0))) == sorted(map(tuple, pick(0))) != sorted(map(tuple, pick(1)))
     assert pick(0, 10_000) == []
+
+
+def rank(*parts):
+    return hashlib.sha256("\x1f".join(map(str, parts)).encode()).hexdigest()
+
+
+def brute_probe(rows, sizes, seed):
+    lengths = Counter(n for _, _, _, n in rows)
+    runs = defaultdict(set)
+    for _, r, k, _ in rows:
+        runs[k].add(r)
+    single, used, out = [x for x in rows if len(runs[x[2]]) == 1], set(), {}
+
+    def quotas(total):
+        share = {n: c * total / len(rows) for n, c in lengths.items()}
+        low = {n: int(s) for n, s in share.items()}
+        for n in sorted(share, key=lambda n: (-(share[n] - low[n]), -lengths[n], n))[: total - sum(low.values())]:
+            low[n] += 1
+        return low
+
+    for split in ("val", "test"):
+        need, out[split] = quotas(sizes[split]), []
+        for run in sorted({x[1] for x in single} - used, key=lambda r: (rank(seed, split, "run", r), r)):
+            for x in sorted((x for x in single if x[1] == run), key=lambda x: (rank(seed, split, "row", x[0]), x[0])):
+                if need[x[3]] > 0:
+                    need[x[3]] -= 1
+                    out[split].append(x)
+                    used.add(run)
+        if any(need.values()):
+            return None
+    held, need, out["train"] = {x[2] for s in out.values() for x in s}, quotas(sizes["train"]), []
+    for x in sorted(rows, key=lambda x: (rank(seed, "train", x[0]), x[0])):
+        if x[1] not in used and x[2] not in held and need[x[3]] > 0:
+            need[x[3]] -= 1
+            out["train"].append(x)
+    return None if any(need.values()) else {x[0]: s for s, xs in out.items() for x in xs}
+
+
+def test_probe_split(spark):
+    rnd = random.Random(6)
+    rows = [(i, f"r{rnd.randint(0, 25)}", f"k{rnd.randint(0, 300)}", rnd.choice([7, 7, 7, 8, 9, 12])) for i in range(500)]
+    df = spark.createDataFrame([*rows, (900, None, "k", 7), (901, "r1", None, 7), (902, "r1", "k", None)], "id int, run string, key string, n int")
+    make = lambda sizes: {r.id: r for r in pipelines.probe_split(df, run="run", key="key", length="n", row_id="id", sizes=sizes, seed="s").collect()}
+    sizes = {"val": 10, "test": 12, "train": 90}
+    got = make(sizes)
+    assert {i: r.split for i, r in got.items()} == brute_probe(rows, sizes, "s") and Counter(r.split for r in got.values()) == sizes
+    for what in ("run", "key"):
+        held = [{r[what] for r in got.values() if r.split == s} for s in sizes]
+        assert not held[0] & held[1] and not held[2] & (held[0] | held[1])
+    with pytest.raises(ValueError, match="too few rows for train"):
+        make({"val": 10, "test": 12, "train": 480})
+
+
+def test_pooled_and_macro(spark):
+    rnd = random.Random(8)
+    rows = [("a", p, round(rnd.random() * (1 + p), 1), k % 2) for p in (1, 2, 3) for k in range(40)] + [("b", None, round(rnd.random(), 1), k % 2) for k in range(10)]
+    got = {(r.pair_set, r.scope, r.part, r.metric): r.value for r in pipelines.pooled_and_macro(spark.createDataFrame(rows, "pair_set string, part int, d double, y int"), "pair_set", "part", "d", "y").collect()}
+
+    def auc(xs):
+        pos, neg = [d for _, _, d, y in xs if y], [d for _, _, d, y in xs if not y]
+        return sum((p < n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg)
+
+    each = [auc([r for r in rows if r[1] == p]) for p in (1, 2, 3)]
+    assert [got["a", "partition", p, "auc"] for p in (1, 2, 3)] == pytest.approx(each)
+    assert got["a", "macro", None, "auc"] == pytest.approx(sum(each) / 3) and got["a", "pooled", None, "auc"] == pytest.approx(auc([r for r in rows if r[0] == "a"]))
+    assert got["b", "partition", None, "auc"] == got["b", "pooled", None, "auc"] == pytest.approx(auc(rows[-10:]))
+
+
+MASSES = {"G": 57.0, "A": 71.0, "M": 131.0, "+42": 42.0, "-17": -17.0, "-60": -60.0}
+
+
+def brute_beam(tokens, mz, z, n_term, least, ppm, isotopes):
+    """Every prefix judged on its own."""
+    for i, t in enumerate(tokens):
+        own = [x for x in tokens[: i + 1] if x != "$"]
+        if t == "":
+            return (i, False, False, True)
+        stops = t == "$"
+        last = i - 1 if stops else i
+        if i > 1 and any(x in n_term for x in tokens[:last]):
+            return (i, False, False, True)
+        if stops and (not own or len(own) < least):
+            return (i, False, False, True)
+        off = lambda more: [(((sum(MASSES[x] for x in [*own, *more]) + 18.010565) / z + 1.00727646688) - (mz - k * 1.00335 / z)) / mz * 1e6 for k in range(isotopes[0], isotopes[1] + 1)]
+        known = all(x in MASSES for x in own)
+        fits = known and any(abs(d) < ppm for d in off([]))
+        if stops:
+            return (i, True, fits, False)
+        if known and not fits and any(all(d > ppm for d in off([x])) for x in MASSES if MASSES[x] < 0):
+            return (i, True, False, False)
+    return (None, False, False, False)
+
+
+def test_beam_ends(spark):
+    rnd = random.Random(9)
+    rows = [([], 500.0, 2), (["$"], 500.0, 2), (["G", "A", "$"], 500.0, 2), (["G", "", "A"], 500.0, 1), (["+42", "+42", "G"], 900.0, 1), (["G", "A", "+42", "$"], 200.0, 1), (["+42", "G", "A"], 900.0, 1), (["X", "G", "M", "$"], 100.0, 1)]
+    for _ in range(500):
+        tokens = [rnd.choice(["G", "A", "M", "G", "A", "M", "G", "+42", "-17", "-60", "X"] if rnd.random() < 0.1 else ["G", "A", "M"]) for _ in range(rnd.randint(1, 9))]
+        z = rnd.randint(1, 3)
+        whole = (sum(MASSES.get(x, 0) for x in tokens) + 18.010565) / z + 1.00727646688
+        rows.append((tokens + rnd.choice([["$"], ["$", "G"], [], [""]]), whole + rnd.choice([0, 1.00335 / z, -1.0, 5.0, -whole / 2, 1e-9]), z))
+    for least, isotopes in ((3, (0, 1)), (1, (0, 0))):
+        end = sequences.beam_end(F.col("t"), F.col("mz"), F.col("z"), MASSES, n_term=("+42",), min_length=least, ppm=50.0, isotopes=isotopes)
+        got = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, t array<string>, mz double, z int").select("k", end.alias("e")).orderBy("k").collect()
+        want = [brute_beam(*r, ("+42",), least, 50.0, isotopes) for r in rows]
+        assert [tuple(r.e) for r in got] == want and len({w[1:] for w in want}) == 4
+    none = spark.createDataFrame([(None, 1.0, 1), (["G", None, "$"], 100.0, 1), (["G", "A", "M", "$"], None, 1)], "t array<string>, mz double, z int")
+    assert [r.e and tuple(r.e) for r in none.select(sequences.beam_end(F.col("t"), F.col("mz"), F.col("z"), MASSES, min_length=1).alias("e")).collect()] == [None, (2, True, False, False), (3, True, False, False)]
+
+
+def test_export_with_index(spark, tmp_path):
+    nan = float("nan")
+    bad = {3: (nan, 2, "AB", [(1.0, 1.0)]), 5: (500.0, 0, "AB", [(1.0, 1.0)]), 6: (500.0, 2, "A B", [(1.0, 1.0)]), 8: (500.0, 2, "", [(1.0, 1.0)]), 9: (500.0, 2, "AB", []), 11: (500.0, 2, "AB", None), 12: (500.0, 2, "AB", [(-1.0, 1.0)]), 13: (500.0, 2, "AB", [(1.0, nan)]), 14: (500.0, 9, "AB", [(1.0, 1.0)]), 15: (None, 2, None, None)}
+    rows = [(7 * i, *bad.get(i, (500.0 + i, 2 + i % 2, "PEP" * (1 + i % 2), [(100.0 + i, float(k)) for k in range(1 + i % 3)]))) for i in range(60)]
+    random.Random(2).shuffle(rows)
+    df = spark.createDataFrame(rows, "i long, m double, z int, s string, p array<struct<mz:double,intensity:double>>").repartition(5)
+    path = str(tmp_path / "out")
+    files.export_mgf(df, path, index="i", precursor_mz="m", charge="z", peaks="p", sequence="s", supported=F.col("z") < 9)
+    index = {r.supported_index: r.full_index for r in spark.read.parquet(f"{path}/index").collect()}
+    good = [7 * i for i in range(60) if i not in bad]
+    assert index == dict(enumerate(good))
+    # All files in order of their names hold the records in this order.
+    whole = "".join(p.read_text() for p in sorted((tmp_path / "out" / "mgf").glob("part-*.txt")))
+    titles = [int(line.split("index=")[1]) for line in whole.splitlines() if line.startswith("TITLE=")]
+    assert titles == good and whole.count("BEGIN IONS") == whole.count("END IONS") == len(good)
+    want = {3: "precursor", 5: "charge", 6: "sequence", 8: "sequence", 9: "peaks", 11: "peaks", 12: "mz", 13: "intensity", 14: "unsupported", 15: "precursor"}
+    assert {r.full_index // 7: r.problem for r in spark.read.parquet(f"{path}/rejected").collect()} == want
+
+
+def test_repeats_are_known_after_a_restart(spark, tmp_path):
+    schema = "k string, v int"
+    put = lambda name, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    def run(refuse=False):
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
+        q = events.marked_repeats(source, ["k"], refuse).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
+        q.foreachBatch(lambda df, _: df.write.mode("append").parquet(str(tmp_path / "out"))).start().awaitTermination()
+        return sorted((r.k or "", r.v, r.repeat) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    put("a", [("x", 1), ("y", 2), (None, 3)])
+    assert run() == [("", 3, False), ("x", 1, False), ("y", 2, False)]
+    put("b", [("x", 4), ("z", 5), ("z", 6), (None, 7)])  # another query, from the same checkpoint
+    got = run()
+    assert [r for r in got if r[1] in (4, 7)] == [("", 7, True), ("x", 4, True)] and sorted(r[2] for r in got if r[0] == "z") == [False, True]
+    put("c", [("y", 8)])
+    with pytest.raises(Exception, match="a key is repeated"):
+        run(refuse=True)

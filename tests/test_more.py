@@ -84,6 +84,12 @@ def test_digests(spark):
 
 def test_mixing(spark):
     p = lambda *x: F.array(*(F.struct(F.lit(float(m)).alias("mz"), F.lit(float(i)).alias("intensity")) for m, i in x))
+    # Each side is merged before both are: the anchor's centre lies more than 10 ppm from the distractor.
+    two = spark.range(1).select(peaks.mixed(p((100.0, 1), (100.0008, 1)), p((100.00145, 3)), 10).alias("m")).first().m
+    assert [(round(x.mz, 5), x.intensity, x.origin) for x in two] == [(100.0004, 2, 0), (100.00145, 3, 1)]
+    for scale, want in (("range", [0.0, 1.0]), ("base", [0.5, 1.0])):
+        assert [x.intensity for x in spark.range(1).select(peaks.mixed(p((1, 1), (9, 2)), p((1, 0)), 1, scale).alias("m")).first().m] == want
+    assert [x.intensity for x in spark.range(1).select(peaks.mixed(p((1, 2)), p((9, 2)), 1, "range").alias("m")).first().m] == [0, 0]
     got = spark.range(1).select(peaks.mixed(p((100, 1), (200, 2)), p((100.0004, 3)), 5).alias("m"), peaks.distractor_count(p((1, 1), (2, 1)), p((1, 1)), 0.1).alias("n")).first()
     assert [(round(x.mz, 6), x.intensity, x.origin) for x in got.m] == [(100.0003, 4, 2), (200, 2, 0)] and got.n == 1
 
