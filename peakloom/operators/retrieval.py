@@ -33,8 +33,10 @@ def distances(queries: DataFrame, rows: DataFrame, row_id: str, group: str, vect
     With ppm only rows within the tolerance of the query's mz, at the same charge or at another one; with a partition
     column only rows of the query's own. query_vector names another view of the queries than `vector` in the rows. With
     keep, each batch of rows gives a query its `keep` nearest only (by distance, then id), which is all that the nearest of
-    all can come from. Queries are broadcast by block of about `block`, and rows stream past it.
+    all can come from. Queries are broadcast by block of about `block`, and rows stream past it. Rows and queries without a
+    vector take no part; all other vectors have one length.
     """
+    queries, rows = queries.filter(F.col(query_vector or vector).isNotNull()), rows.filter(F.col(vector).isNotNull())
     part = F.col(partition).cast("string") if partition else F.lit("")
     cols = lambda v: [F.col(row_id).alias("id"), F.col(group).alias("g"), unit(F.col(v)).alias("v"), part.alias("p")]
     extra = [F.col(mz).cast("double").alias("mz"), F.col(charge).alias("z")] if ppm else []
@@ -138,6 +140,15 @@ def knn_labels(train: DataFrame, test: DataFrame, row_id: str, label: str, vecto
     return best.select(F.col("query_id").alias("id"), F.col("query_group").alias("label"), F.col("b.group").alias("predicted"))
 
 
+def knn_accuracy(train: DataFrame, test: DataFrame, row_id: str, label: str, vector: str, k: int) -> DataFrame:
+    """(n, n_right, accuracy) of knn_labels, one row. Fewer than k training rows with a vector stop the job."""
+    if k < 1 or train.filter(F.col(vector).isNotNull()).limit(k).count() < k:
+        raise ValueError(f"there are fewer than {k} training rows")
+    got = knn_labels(train, test, row_id, label, vector, k)
+    right = F.coalesce(F.sum(F.col("label").eqNullSafe(F.col("predicted")).cast("long")), F.lit(0).cast("long"))
+    return got.agg(F.count(F.lit(1)).alias("n"), right.alias("n_right")).withColumn("accuracy", F.try_divide(F.col("n_right").cast("double"), F.col("n").cast("double")))
+
+
 def centroids(rows: DataFrame, group: str, vector: str) -> DataFrame:
     """(group, n, centroid): mean of the unit vectors, place by place."""
     long = rows.select(F.col(group).alias("group"), F.posexplode(unit(F.col(vector))).alias("k", "x"))

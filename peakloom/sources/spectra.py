@@ -190,14 +190,36 @@ def mzml_peaks(spectra: DataFrame) -> DataFrame:
     return spectra.withColumns({"mz_array": one("m/z array"), "intensity_array": one("intensity array")}).drop("arrays")
 
 
-def read_best_psms(spark: SparkSession, path: str, *, file: str, scan: str, score: str, peptide: str, most_q: float | None = None, q: str | None = None) -> DataFrame:
-    """(file, scan, peptide, score): of a tab-separated table, the row of best (largest) score of each scan; ties: the smaller peptide."""
+def read_best_psms(
+    spark: SparkSession, path: str, *, file: str, scan: str, score: str, peptide: str, most_q: float | None = None, q: str | None = None, smallest: bool = False, gates: dict[str, str] | None = None
+) -> DataFrame:
+    """(file, scan, peptide, score): of a tab-separated table, the row of best score of each scan; ties: the smaller peptide.
+
+    The largest score is best, or, as for error probabilities, the smallest. most_q bounds the column q; a row that meets
+    one of the gates (name to SQL condition over the table's text columns) is left out, as are rows without score or scan.
+    """
     rows = spark.read.option("sep", "\t").option("header", True).csv(path)
+    for condition in (gates or {}).values():
+        rows = rows.filter(~F.coalesce(F.expr(condition), F.lit(False)))
     if most_q is not None:
         rows = rows.filter(F.col(q).try_cast("double") <= most_q)
     rows = rows.select(F.col(file).alias("file"), F.regexp_extract(F.col(scan), r"(\d+)$", 1).try_cast("long").alias("scan"), F.col(peptide).alias("peptide"), F.col(score).try_cast("double").alias("score")).filter("score is not null and scan is not null")
-    best = rows.groupBy("file", "scan").agg(F.min(F.struct((-F.col("score")).alias("s"), "peptide")).alias("b"))
-    return best.select("file", "scan", "b.peptide", (-F.col("b.s")).alias("score"))
+    key = F.col("score") if smallest else -F.col("score")
+    best = rows.groupBy("file", "scan").agg(F.min(F.struct(key.alias("s"), "peptide")).alias("b"))
+    return best.select("file", "scan", "b.peptide", (F.col("b.s") if smallest else -F.col("b.s")).alias("score"))
+
+
+def read_key_sets(spark: SparkSession, path: str, *, keys: list[str], sets: list[str], sep: str = "\t") -> DataFrame:
+    """(keys, a sorted array for each of `sets`): of a table of texts, the distinct values, not empty, that a key has.
+
+    Values are made distinct before they meet, so a key with many rows, but few values, is no large group.
+    """
+    rows = spark.read.option("sep", sep).option("header", True).csv(path)
+    out = rows.select(*keys).distinct()
+    for c in sets:
+        own = rows.filter(F.coalesce(F.trim(c), F.lit("")) != "").select(*keys, F.trim(c).alias(c)).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list(c)).alias(c))
+        out = out.join(own, keys, "left").withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
+    return out
 
 
 def tree_digest(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakloom.operators import checks, dedup, joins, metrics, retrieval, sampling, sequences
-from peakloom.plans import curation, evaluation, queries  # noqa: F401  these register their queries
+from peakloom.plans import curation, evaluation, forms, queries  # noqa: F401  these register their queries
 from peakloom.sources import spectra as files
 
 
