@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from peakloom.operators.sampling import cut_edges
 
-def cumulative(df: DataFrame, group: list[str], score: str, sums: dict[str, Column], descending: bool, buckets: int = 64) -> DataFrame:
+
+def cumulative(df: DataFrame, group: list[str], score: str, sums: dict[str, Column], descending: bool, buckets: int | None = None) -> DataFrame:
     """(group, score, each sum's own and cum_ value) by distinct score, running from the best score.
 
-    Equal scores are one step. Scores fall into buckets at approximate quantiles; a bucket starts from the totals of
-    those before it, which are as many as buckets and groups.
+    Equal scores are one step. Scores fall into buckets at approximate quantiles, more of them the more steps there are; a
+    bucket starts from the totals of those before it, which are as many as buckets and groups.
     """
     steps = df.groupBy(*group, score).agg(*(F.sum(c).alias(k) for k, c in sums.items()))
-    edges = sorted(set(steps.approxQuantile(score, [k / buckets for k in range(1, buckets)], 0.01)))
+    edges = cut_edges(steps, score, buckets)
     at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(score))) if edges else F.lit(0)
     steps = steps.withColumn("_bucket", -at if descending else at)
     totals = steps.groupBy(*group, "_bucket").agg(*(F.sum(k).alias(f"_{k}") for k in sums))
@@ -47,8 +49,12 @@ def _with(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, group: list[str], score: str, label: str) -> DataFrame:
-    """(group, n_pos, n_neg, auroc): higher scores mean label 1; ties count half; null where a label is missing."""
-    steps = cumulative(df, group, score, {"pos": F.col(label).cast("long"), "neg": (1 - F.col(label)).cast("long")}, descending=True)
+    """(group, n_pos, n_neg, auroc): higher scores mean label 1; ties count half; null where a label is missing.
+
+    Rows whose score is null or NaN have no rank and are left out, as are those without a label.
+    """
+    fine = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull())
+    steps = cumulative(fine, group, score, {"pos": F.col(label).cast("long"), "neg": (1 - F.col(label)).cast("long")}, descending=True)
     wins = (F.col("cum_neg") - F.col("neg")) * F.col("pos") + F.col("pos") * F.col("neg") / 2.0
     out = steps.groupBy(*group).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(wins).alias("_lost"))
     return out.select(*group, "n_pos", "n_neg", (1 - F.try_divide("_lost", (F.col("n_pos") * F.col("n_neg")).cast("double"))).alias("auroc"))
@@ -168,9 +174,9 @@ def spearman(df: DataFrame, group: list[str], a: str, b: str, row_id: str) -> Da
     return ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr(F.col("_ra").cast("double"), F.col("_rb").cast("double")).alias("spearman"))
 
 
-def ordinal_ranks(df: DataFrame, group: list[str], value: str, row_id: str, into: str, buckets: int = 64) -> DataFrame:
-    """df with `into`: places from 1 by (value, id) in each group."""
-    edges = sorted(set(df.approxQuantile(value, [k / buckets for k in range(1, buckets)], 0.01)))
+def ordinal_ranks(df: DataFrame, group: list[str], value: str, row_id: str, into: str, buckets: int | None = None) -> DataFrame:
+    """df with `into`: places from 1 by (value, id) in each group. Null values come first, NaN after all numbers."""
+    edges = cut_edges(df, value, buckets)
     cut = df.withColumn("_cut", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(value))) if edges else F.lit(0))
     sizes = cut.groupBy(*group, "_cut").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)

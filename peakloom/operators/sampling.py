@@ -12,6 +12,16 @@ from pyspark.sql.window import Window
 from peakloom.functions.vectors import hash_fraction, hash_rank
 
 
+#: Rows of a cut, about, and cuts at most: beyond their product cuts grow with the input.
+CUT_ROWS, MOST_CUTS = 100_000, 1024
+
+
+def cut_edges(df: DataFrame, column: str, buckets: int | None = None) -> list[float]:
+    """Values of a numeric column that cut df into parts of about CUT_ROWS rows (or into `buckets`): no edge, one part."""
+    many = min(MOST_CUTS, -(-df.count() // CUT_ROWS)) if buckets is None else buckets
+    return sorted(set(df.approxQuantile(column, [k / many for k in range(1, many)], 0.25 / many))) if many > 1 else []
+
+
 def first_by_group(df: DataFrame, group: list[str], order: list[Column], k: int | Column) -> DataFrame:
     """The first k rows of each group. Spark cuts each partition's groups to k rows before it shuffles them."""
     w = Window.partitionBy(*group).orderBy(*order)
@@ -98,9 +108,9 @@ def contiguous_shards(df: DataFrame, order: str, n: int) -> DataFrame:
     return numbered.withColumn("shard", F.when(at < cut, F.floor(at / (small + 1))).otherwise(more + F.floor((at - cut) / max(small, 1))).cast("int"))
 
 
-def row_numbers(df: DataFrame, order: str, buckets: int = 64) -> DataFrame:
+def row_numbers(df: DataFrame, order: str, buckets: int | None = None) -> DataFrame:
     """df with `row_number` from 0 by a numeric column of distinct values, without one task that holds all rows."""
-    edges = df.approxQuantile(order, [k / buckets for k in range(1, buckets)], 0.005)
+    edges = cut_edges(df, order, buckets)
     placed = df.withColumn("_bucket", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(order))) if edges else F.lit(0))
     sizes = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

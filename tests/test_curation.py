@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakloom.functions import digests, text
-from peakloom.operators import interventions, partners, retrieval, sequences
+from peakloom.operators import interventions, metrics, partners, retrieval, sampling, sequences
 from peakloom.plans import pipelines
 from peakloom.sources import predictions
 from peakloom.sources import spectra as files
@@ -307,3 +307,35 @@ def test_repeats_are_known_after_a_restart(spark, tmp_path):
     put("c", [("y", 8)])
     with pytest.raises(Exception, match="a key is repeated"):
         run(refuse=True)
+
+
+def test_rows_without_vectors_or_scores(spark):
+    rows = [(0, "a", [1.0, 0.0]), (1, "a", [0.9, 0.1]), (2, "b", [0.0, 1.0]), (3, "b", None), (4, "b", [0.1, 0.9])]
+    df = spark.createDataFrame(rows, "id int, g string, v array<double>")
+    near = retrieval.distances(df.filter("id in (0, 3)"), df, "id", "g", "v").collect()
+    assert sorted((r.query_id, r.id) for r in near) == [(0, 1), (0, 2), (0, 4)]
+    right = retrieval.knn_accuracy(df, df.filter("id < 3"), "id", "g", "v", 1).first()
+    assert tuple(right) == (3, 3, 1.0)
+    for k in (0, 5):
+        with pytest.raises(ValueError, match="training rows"):
+            retrieval.knn_accuracy(df, df, "id", "g", "v", k)
+    scored = spark.createDataFrame([(0.9, 1), (0.1, 0), (None, 1), (float("nan"), 0), (0.95, None)], "s double, y int")
+    assert tuple(metrics.roc_auc(scored, [], "s", "y").first()) == (1, 1, 1.0)
+
+
+def test_cuts_grow_with_the_rows(spark, monkeypatch):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
+    assert sampling.cut_edges(df, "x") == []
+    monkeypatch.setattr(sampling, "CUT_ROWS", 50)
+    edges = sampling.cut_edges(df, "x")
+    assert len(edges) == 19 and max(b - a for a, b in zip([0, *edges], [*edges, 1000])) < 100
+    got = metrics.ordinal_ranks(df.withColumn("id", F.col("x").cast("int")), [], "x", "id", "place").collect()
+    assert all(r.place == r.id + 1 for r in got) and sorted(r.row_number for r in sampling.row_numbers(df, "x").collect()) == list(range(1000))
+
+
+def test_evidence_tables(spark, tmp_path):
+    (tmp_path / "e.tsv").write_text("file\tscan\tpep\tseq\torg\tbad\na\tscan=1\t0.5\tX\to1\t\na\tscan=1\t0.1\tZ\to2\t\na\tscan=1\t0.1\tY\t \t\na\tscan=1\t0.01\tW\t\t+\na\tscan=2\tx\tV\t\t\n")
+    read = lambda **more: [tuple(r) for r in files.read_best_psms(spark, str(tmp_path), file="file", scan="scan", score="pep", peptide="seq", **more).collect()]
+    assert read(smallest=True, gates={"bad": "bad = '+'"}) == [("a", 1, "Y", 0.1)] and read(smallest=True) == [("a", 1, "W", 0.01)] and read() == [("a", 1, "X", 0.5)]
+    got = files.read_key_sets(spark, str(tmp_path), keys=["file", "scan"], sets=["seq", "org"])
+    assert sorted(map(tuple, got.collect())) == [("a", "scan=1", ["W", "X", "Y", "Z"], ["o1", "o2"]), ("a", "scan=2", ["V"], [])]

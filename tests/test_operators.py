@@ -208,7 +208,10 @@ def shown(v):
     v = v.tolist() if hasattr(v, "tolist") else v
     if isinstance(v, (list, dict)):
         return str(v)
-    return None if pd.isna(v) else round(float(v), 3) if isinstance(v, float) else str(v)
+    if pd.isna(v):
+        return None
+    # pandas turns whole numbers with nulls among them into floats.
+    return round(float(v), 3) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
