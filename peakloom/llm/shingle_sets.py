@@ -4,12 +4,14 @@ Sets with Jaccard similarity of percent / 100 or more are at most k bits apart,
 one (pigeonhole). Over any one order of all shingles these are the first of each set: sets that meet on one are all
 candidates, and the Hamming distance of whole sets decides. Shingles that fill a bucket go to the end of the order, which
 changes cost only. Members of a bucket that is still full are first compared with one of them, and pairs that these
-links already connect are not compared again.
+links already connect are not compared again. Others are joined only where what is left of both sets behind the shingle
+can be enough.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -184,17 +186,32 @@ def similar(texts: DataFrame, *, n: int, seed: int, percent: int, pair_bucket: i
         return saved(met.select("w.node", "g.n", "g.codes", "g.fresh").dropDuplicates(["node"]), "whole")
 
     late: list[int] = []
+
+    def frequent(crowd: DataFrame) -> list[int]:
+        """Shingles that more than pair_bucket of the given nodes have anywhere, the most frequent first; none of `late`.
+
+        All of them, not those alone that came up first: else what is moved makes room for the next of the same passage.
+        """
+        full = whole(crowd, None, [])
+        posts = posted([full])
+        counts = posts.groupBy("code").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > pair_bucket)
+        known = spark.createDataFrame([(c,) for c in late], "code long")
+        got = counts.join(F.broadcast(known), "code", "left_anti").orderBy(F.desc("size"), "code").limit(most_late).collect()
+        discard(full, posts)
+        return [r.code for r in got]
+
     layers = [sets.select("node", "n", "codes")]
     for turn in range(most_reorders + 1):
         posts = posted(layers)
         sizes = saved(posts.groupBy("code").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
-        # The most frequent go to the very end.
-        more = sizes.filter((F.col("size") > pair_bucket) & (F.col("code") < LAST)).orderBy(F.desc("size"), "code").limit(most_late).collect() if turn < most_reorders else []
+        crowd = posts.join(sizes.filter((F.col("size") > pair_bucket) & (F.col("code") < LAST)), "code", "left_semi").select("node").distinct()
+        more = frequent(crowd) if turn < most_reorders else []
         if not more or len(late) + len(more) > most_late:
             break
-        late += [r.code for r in more]
-        moved = spark.createDataFrame([(r.code,) for r in more], "code long")
-        changed = posts.join(F.broadcast(moved), "code", "left_semi").select("node").distinct()
+        late += more
+        moved = F.broadcast(spark.createDataFrame([(c,) for c in more], "code long"))
+        changed = [x.select("node", F.explode("codes").alias("code")).join(moved, "code", "left_semi").select("node") for x in layers]
+        changed = reduce(DataFrame.union, changed).distinct()
         layers.append(whole(changed, percent, late, len(late) - len(more)))
         discard(posts, sizes)
     discard(sets, *layers[1:])
@@ -224,11 +241,11 @@ def similar(texts: DataFrame, *, n: int, seed: int, percent: int, pair_bucket: i
         discard(full, pairs)
         return out
 
-    # Full buckets: each member meets the smallest of its length band.
+    # Full buckets: each member meets one of its length band, another one in each bucket, so that a crowd has many of them.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))) if percent < 100 else F.col("n")
     full = shared.filter(F.col("size") > pair_bucket).withColumn("band", band)
-    first = full.groupBy("code", "band").agg(F.min("node").alias("a"))
-    star = full.join(first, ["code", "band"]).filter("a < node").select("a", F.col("node").alias("b")).distinct()
+    first = full.groupBy("code", "band").agg(F.min_by("node", F.xxhash64("code", "node")).alias("one"))
+    star = full.join(first, ["code", "band"]).filter("one <> node").select(F.least("one", "node").alias("a"), F.greatest("one", "node").alias("b")).distinct()
     # Of their first shingles those that other sets have, too: no others are common.
     firsts = posts.join(star.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").groupBy("node", "n").agg(F.array_sort(F.collect_list("code")).alias("codes"))
     side = lambda c: firsts.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("codes").alias(f"codes_{c}"))
@@ -239,17 +256,21 @@ def similar(texts: DataFrame, *, n: int, seed: int, percent: int, pair_bucket: i
     roots = components(linked).select("node", "root")
     members = saved(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
 
-    # All other pairs. Beyond the last shared shingle of two prefixes at most the rest of either set is shared.
-    side = lambda c: members.select("code", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("pos").alias(f"pos_{c}"), F.col("root").alias(f"root_{c}"), "size")
+    # All other pairs. From its first shared shingle on, a set that is similar to another has enough left for both: so each
+    # bounds the other's size there, by `most`. The smaller of two sets has most >= n, and those without, which are the
+    # larger part of a crowd that is alike but not similar, are not joined with one another.
+    members = members.withColumn("most", F.expr(f"(n - pos) * {100 + percent}L div {percent}L - n"))
+    side = lambda c: members.select("code", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("pos").alias(f"pos_{c}"), F.col("root").alias(f"root_{c}"), F.col("most").alias(f"most_{c}"), "size")
     columns = ["a", "b", "n_a", "n_b", "pos_a", "pos_b"]
-    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    small = F.col("size") <= pair_bucket
-    met = side("a").filter(small).join(side("b").filter(small).drop("size"), "code").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near).select(columns)
-    groups = members.filter(~small).select("code", "root").distinct()
-    couples = groups.withColumnRenamed("root", "root_a").join(groups.withColumnRenamed("root", "root_b"), "code").filter("root_a < root_b")
-    far = couples.join(side("a").drop("size"), ["code", "root_a"]).join(side("b").drop("size"), ["code", "root_b"]).filter(near)
-    turned = F.col("a") > F.col("b")
-    far = far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *(F.when(turned, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}") for c in ("n", "pos") for x, y in ("ab", "ba")))
+    lesser, other = side("a").filter("most_a >= n_a"), side("b").drop("size")
+    fits = F.expr("(n_a < n_b or n_a = n_b and a < b) and n_b <= most_a and n_a <= most_b")
+    met = lesser.filter(F.col("size") <= pair_bucket).join(other, "code").filter(fits & (F.col("root_a") != F.col("root_b"))).select(columns)
+    bounds = [f(x).alias(f"{name}_{x}") for f, name in ((F.min, "least"), (F.max, "greatest")) for x in ("n", "most")]
+    crowd = members.filter(F.col("size") > pair_bucket)
+    groups = lambda c, rows: rows.groupBy("code", "root").agg(*bounds).select("code", *(F.col(x).alias(f"{x}_{c}") for x in ("root", "least_n", "greatest_n", "greatest_most")))
+    room = F.expr("root_a <> root_b and least_n_a <= greatest_n_b and least_n_b <= greatest_most_a and least_n_a <= greatest_most_b")
+    couples = groups("a", crowd.filter("most >= n")).join(groups("b", crowd), "code").filter(room).select("code", "root_a", "root_b")
+    far = couples.join(lesser.drop("size"), ["code", "root_a"]).join(other, ["code", "root_b"]).filter(fits)
     counted = met.union(far.select(columns)).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"), F.max("pos_a").alias("i"), F.max("pos_b").alias("j"))
     most = F.col("c") + F.least(F.col("n_a") - F.col("i") - 1, F.col("n_b") - F.col("j") - 1)
     return prints.select("id", "run", "fp"), nodes, linked.union(verified(counted.filter(alike(most, F.col("n_a"), F.col("n_b"))).select("a", "b")))
