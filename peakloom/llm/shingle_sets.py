@@ -3,7 +3,7 @@
 Sets with Jaccard similarity of percent / 100 or more are at most k bits apart, so of any k + 1 bits of one the other has
 one (pigeonhole). Over any one order of all shingles these are the first of each set: sets that meet on one are all
 candidates, and the Hamming distance of whole sets decides. Shingles that fill a bucket go to the end of the order, which
-changes cost only. Members of a bucket that is still full are first compared with one of them, and pairs that these
+changes cost only. Members of a bucket that is still full are first compared with a few of them, and pairs that these
 links already connect are not compared again. Others are joined only where what is left of both sets behind the shingle
 can be enough.
 """
@@ -27,6 +27,8 @@ LAST = 1 << 62
 MOST_WORDS = 50_000
 #: Bins of a set's histogram; two sets have no more in common than the lesser counts add up to.
 BINS, FULL = 512, 255
+#: So many members of a full bucket's length band meet all of it before pairs are made.
+PIVOTS = 6
 #: Cells of a row of the twice-seen filter, at most (a power of two): 32 MB are sent.
 MOST_CELLS = 27
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -241,11 +243,13 @@ def similar(texts: DataFrame, *, n: int, seed: int, percent: int, pair_bucket: i
         discard(full, pairs)
         return out
 
-    # Full buckets: each member meets one of its length band, another one in each bucket, so that a crowd has many of them.
+    # Full buckets: each member meets PIVOTS of its length band; each bucket has its own, so that a crowd has many.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))) if percent < 100 else F.col("n")
     full = shared.filter(F.col("size") > pair_bucket).withColumn("band", band)
-    first = full.groupBy("code", "band").agg(F.min_by("node", F.xxhash64("code", "node")).alias("one"))
-    star = full.join(first, ["code", "band"]).filter("one <> node").select(F.least("one", "node").alias("a"), F.greatest("one", "node").alias("b")).distinct()
+    ones = F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("code", "node", F.lit(k))) for k in range(PIVOTS))))
+    first = full.groupBy("code", "band").agg(ones.alias("ones"))
+    star = full.join(first, ["code", "band"]).select("node", F.explode("ones").alias("one")).filter("one <> node")
+    star = star.select(F.least("one", "node").alias("a"), F.greatest("one", "node").alias("b")).distinct()
     # Of their first shingles those that other sets have, too: no others are common.
     firsts = posts.join(star.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").groupBy("node", "n").agg(F.array_sort(F.collect_list("code")).alias("codes"))
     side = lambda c: firsts.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("codes").alias(f"codes_{c}"))
