@@ -335,6 +335,31 @@ def test_near_copies(spark, docs, odd, empty, bucket):
     assert close > 20 and simhash.near_duplicates(empty, n=5, percent=80).count() == 0
 
 
+def test_near_copies_in_crowds(spark):
+    """A passage that 90 unlike texts hold, and 90 copies of another with one to three words changed, against brute force."""
+    import random
+
+    rng = random.Random(11)
+    passage, other = ([f"{c}{i}" for i in range(n)] for c, n in (("p", 60), ("q", 120)))
+    texts = [[f"a{k}_{i}" for i in range(20 + k % 30)] + passage for k in range(90)]
+    for k in range(90):
+        copy = list(other)
+        for _ in range(1 + k % 3):
+            copy[rng.randrange(120)] = f"x{rng.randrange(40)}"
+        texts.append(copy)
+    grams = [frozenset(tuple(t[i : i + 5]) for i in range(len(t) - 4)) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(grams):
+        for j in range(i):
+            if 9 * len(a & grams[j]) >= 4 * (len(a) + len(grams[j])):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert 1 < len(set(root[90:])) < 80
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], SCHEMA)
+    got = simhash.near_duplicates(df, n=5, percent=80, pair_bucket=16).collect()
+    same([(r.doc_id, r.component_id) for r in got], list(enumerate(root)))
+
+
 def test_pipeline_drops_similar_texts_with_distant_fingerprints(spark):
     """Two words of 120 differ: similarity is above 0.8, but the fingerprints are more than two bits apart."""
     from corpus_pipeline import drop_near_copies
