@@ -1,12 +1,13 @@
 """Vector retrieval: a stated set of queries against all rows of their partition.
 
-The queries are one a group; they are dealt into blocks, and every block meets all rows in tasks of their own. What a
-query keeps of its neighbours is its rank counts, not its list.
+The queries are one a group. `ranked` scores them by counts: a query's positives are ranked among themselves, and rows that
+stream past are only counted between them. `distances` lists neighbours, for what needs the list.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from peakloom.functions.vectors import hash_rank, random_hit_chance, unit
+from peakloom.functions.vectors import cosine_distance, hash_rank, random_hit_chance, unit
 from peakloom.operators.sampling import first_by_group
+from peakloom.plans.scratch import new_folder, remove
 
 DIGITS = 9
 
@@ -96,19 +98,159 @@ def ranked_metrics(near: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFra
     totals = near.groupBy("query_id", "query_group").agg(F.count(F.lit(1)).alias("n"))
     at = [F.sum((F.col("rank") <= k).cast("int")).alias(f"_{k}") for k in ks]
     found = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_positive"), F.avg(F.col("k") / F.col("rank")).alias("ap"), (1.0 / F.min("rank")).alias("rr"), *at)
+    return _at_ranks(totals.join(found, "query_id"), ks)
+
+
+def _tallied(sent, parted: bool, ppm: float | None, same_charge: bool):
+    """Counts, over a task's rows (id, g, v, p and with ppm mz, z), the negatives between the positives of each slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = sent.value
+        n = q.num_rows
+        if not n:
+            return
+        a = np.array(q.column("v").to_pylist(), float).reshape(n, -1)
+        near = [np.array(x, float) for x in q.column("near").to_pylist()]
+        ids = [np.array(x, object) for x in q.column("ids").to_pylist()]
+        start = np.cumsum([0, *(len(x) + 1 for x in near)])
+        tally = np.zeros(start[-1], np.int64)
+        own = {}
+        for name in ("query_id", "g", "p"):
+            values = q.column(name).to_pylist()
+            known = {x: k for k, x in enumerate(dict.fromkeys(values))}
+            own[name] = known, np.array([known[x] for x in values], np.int64)
+        codes = lambda name, column: np.array([own[name][0].get(x, -1) for x in column.to_pylist()], np.int64)
+        if ppm:
+            mz, z = np.array(q.column("mz").to_pylist(), float), q.column("z").to_pylist()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = np.array(b.column(2).to_pylist(), float).reshape(b.num_rows, -1)
+            bi, bg, bp = codes("query_id", b.column(0)), codes("g", b.column(1)), codes("p", b.column(3))
+            names = np.array(b.column(0).to_pylist(), object)
+            if ppm:
+                bm = np.array(b.column(4).to_pylist(), float)
+                order = np.argsort(bm, kind="stable")
+                v, bi, bg, bp, names, bm = v[order], bi[order], bg[order], bp[order], names[order], bm[order]
+                bz = np.array(b.column(5).to_pylist(), object)[order]
+            for first in range(0, n, 64):
+                tile = None if ppm else np.round(np.maximum(0.0, 1.0 - a[first : first + 64] @ v.T), DIGITS)
+                for i in range(first, min(first + 64, n)):
+                    here = slice(None)
+                    if ppm:
+                        # A little more than the tolerance is looked up; the exact condition follows.
+                        reach = abs(mz[i]) * ppm / 1e6 * (1 + 1e-9) + 1e-9
+                        here = slice(*np.searchsorted(bm, [mz[i] - reach, mz[i] + reach + 1e-9]))
+                    ok = (bg[here] != own["g"][1][i]) & (bi[here] != own["query_id"][1][i])
+                    if parted:
+                        ok &= bp[here] == own["p"][1][i]
+                    if ppm:
+                        ok &= (np.abs(bm[here] - mz[i]) <= mz[i] * ppm / 1e6) & ((bz[here] == z[i]) == same_charge)
+                        if z[i] is None or not ok.any():
+                            continue
+                        ok &= np.array([x is not None for x in bz[here]], bool)
+                        d = np.round(np.maximum(0.0, 1.0 - v[here][ok] @ a[i]), DIGITS)
+                    else:
+                        d = tile[i - first][ok]
+                    at, end = np.searchsorted(near[i], d, "left"), np.searchsorted(near[i], d, "right")
+                    tied = np.flatnonzero(at < end)
+                    if len(tied):
+                        others, runs = names[here][ok], at[tied]
+                        for lo in np.unique(runs):
+                            some = tied[runs == lo]
+                            at[some] += np.searchsorted(ids[i][lo : end[some[0]]], others[some])
+                    tally[start[i] : start[i + 1]] += np.bincount(at, minlength=len(near[i]) + 1)
+        some = np.flatnonzero(tally)
+        which = np.searchsorted(start, some, "right") - 1
+        taken = pa.array(which, pa.int64())
+        yield pa.RecordBatch.from_arrays([q.column("query_id").combine_chunks().take(taken), q.column("slice").combine_chunks().take(taken), pa.array(some - start[which], pa.int64()), pa.array(tally[some])], names=["query_id", "slice", "place", "n"])
+
+    return run
+
+
+def ranked(queries: DataFrame, rows: DataFrame, row_id: str, group: str, vector: str, *, ks: tuple[int, ...] = (1, 5, 10), ppm: float | None = None, mz: str | None = None, charge: str | None = None, same_charge: bool = True, query_vector: str | None = None, partition: str | None = None, both: bool = False, most_bytes: int = 32 << 20, most_places: int = 1 << 16) -> DataFrame:
+    """What ranked_metrics gives of distances, without any list of neighbours: the same columns, a row a query with a positive.
+
+    A query's positives are found by a join on the group, ranked by (distance, id) and cut into slices of at most
+    `most_places`. Slices go to all tasks in blocks of about `most_bytes`; a task counts how many of its rows that are no
+    positives lie before each place, and tasks' counts are summed. So what is shuffled grows with positives, not with
+    queries times rows, and rows are read once a block. A positive's rank is its own place plus the counts up to it.
+    Distances, ppm, charges, views and partitions as in distances. both: only queries with a negative, too. Rows without a
+    group are negatives of all; rows and queries without a vector, m/z or charge that is asked for take no part. Places
+    and counts are written to the shared folder.
+    """
+    spark = rows.sparkSession
+    part = F.col(partition).cast("string") if partition else F.lit("")
+    extra = [F.col(mz).cast("double").alias("mz"), F.col(charge).alias("z")] if ppm else []
+    asked = [F.col(c).isNotNull() for c in ((mz, charge) if ppm else ())]
+    able = lambda df, v: reduce(DataFrame.filter, [F.col(v).isNotNull(), *asked], df)
+    cols = lambda v: [F.col(row_id).alias("id"), F.col(group).alias("g"), unit(F.col(v)).alias("v"), part.alias("p"), *extra]
+    q = able(queries, query_vector or vector).select(*cols(query_vector or vector)).toDF(*(f"query_{c}" for c in ("id", "g", "v", "p", *(("mz", "z") if ppm else ()))))
+    r = able(rows, vector).select(*cols(vector))
+    folders = [new_folder(spark, f"ranked-{what}") for what in ("places", "slices", "counts")]
+
+    on = (F.col("query_g") == F.col("g")) & (F.col("query_id") != F.col("id"))
+    if partition:
+        on &= F.col("query_p") == F.col("p")
+    met = q.join(r, on)
+    if ppm:
+        met = met.filter((F.abs(F.col("mz") - F.col("query_mz")) <= F.col("query_mz") * ppm / 1e6) & ((F.col("z") == F.col("query_z")) == F.lit(same_charge)))
+    met = met.select("query_id", "id", F.round(cosine_distance(F.col("query_v"), F.col("v")), DIGITS).alias("distance"))
+    # Places are numbered cut by cut, so a group that a third of all rows have is no single task.
+    met = met.withColumn("_cut", F.floor(F.when(F.isnan("distance"), 3.0).otherwise(F.col("distance")) * 4096).cast("int"))
+    met.write.parquet(folders[0])
+    met = spark.read.parquet(folders[0])
+    before = Window.partitionBy("query_id").orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = met.groupBy("query_id", "_cut").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy("query_id", "_cut").orderBy("distance", "id"))
+    placed = met.withColumn("_own", own).join(cuts, ["query_id", "_cut"]).withColumn("k", F.col("_before") + F.col("_own"))
+    placed = placed.withColumn("slice", F.floor((F.col("k") - 1) / most_places).cast("long")).select("query_id", "slice", "k", "distance", "id")
+    sliced = placed.groupBy("query_id", "slice").agg(F.array_sort(F.collect_list(F.struct("k", "distance", "id"))).alias("x"))
+    sliced = sliced.select("query_id", "slice", F.col("x.distance").alias("near"), F.col("x.id").alias("ids"), F.col("x.k").alias("ks")).join(q, "query_id").withColumnsRenamed({f"query_{c}": c for c in ("g", "v", "p", "mz", "z")})
+    weight = F.size("near") * (16 + F.coalesce(F.octet_length(F.element_at("ids", 1).cast("string")), F.lit(0))) + F.size("v") * 8 + 128
+    sliced.withColumn("weight", weight).write.parquet(folders[1])
+    sliced = spark.read.parquet(folders[1])
+    blocks = -(-(sliced.agg(F.sum("weight")).first()[0] or 1) // most_bytes)
+    kind = {f.name: f.dataType.simpleString() for f in sliced.schema.fields}
+    for k in range(blocks):
+        mine = sliced.drop("ks", "weight").filter(F.pmod(F.xxhash64("query_id", "slice"), F.lit(blocks)) == k).toArrow()  # about most_bytes
+        sent = spark.sparkContext.broadcast(mine)
+        tallied = r.mapInArrow(_tallied(sent, bool(partition), ppm, same_charge), f"query_id {kind['query_id']}, slice long, place long, n long")
+        tallied.groupBy("query_id", "slice", "place").agg(F.sum("n").alias("n")).write.mode("append").parquet(folders[2])
+        sent.destroy()
+    counts = spark.read.parquet(folders[2])
+
+    # A slice's rows in the order of its places: what was counted before a place, then the place itself.
+    key = ["query_id", "slice"]
+    at = sliced.select(*key, F.posexplode("ks").alias("place", "k"))
+    ahead = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy(*key).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = at.join(counts, [*key, "place"], "left").select("query_id", "k", (F.col("k") + ahead).alias("rank"))
+    found = ranks.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_positive"), F.avg(F.col("k") / F.col("rank")).alias("ap"), (1.0 / F.min("rank")).alias("rr"), *(F.sum((F.col("rank") <= k).cast("int")).alias(f"_{k}") for k in ks))
+    # Every slice meets all negatives; the first one's count for the query.
+    others = counts.filter("slice = 0").groupBy("query_id").agg(F.sum("n").alias("_others"))
+    found = found.join(others, "query_id", "inner" if both else "left").withColumn("n", F.col("n_positive") + F.coalesce("_others", F.lit(0)))
+    got = _at_ranks(found.join(q.select("query_id", F.col("query_g").alias("query_group")), "query_id"), ks)
+    out = new_folder(spark, "ranked")
+    got.write.parquet(out)
+    for folder in folders:
+        remove(spark, folder)
+    return spark.read.parquet(out)
+
+
+def _at_ranks(found: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """Queries' counts (n, n_positive, ap, rr and positives up to each k as _k) with hit, recall and chance at each k."""
     hits = [(F.col(f"_{k}") > 0).cast("double").alias(f"hit_at_{k}") for k in ks] + [(F.col(f"_{k}") / F.col("n_positive")).alias(f"recall_at_{k}") for k in ks]
     chance = [random_hit_chance(F.col("n_positive"), F.col("n"), k).alias(f"random_hit_at_{k}") for k in ks]
-    return totals.join(found, "query_id").select("query_id", "query_group", "n", "n_positive", "ap", "rr", *hits, *chance)
+    return found.select("query_id", "query_group", "n", "n_positive", "ap", "rr", *hits, *chance)
 
 
 def report(rows: DataFrame, partition: str, group: str, row_id: str, vector: str, seed: str, ks: tuple[int, ...] = (1, 5, 10), **how) -> DataFrame:
     """(partition, metric, value, n): means over a partition's queries, one of each group of two or more rows, and under
-    the partition null the mean of the partitions' means. `how` goes to distances (ppm, mz, charge, same_charge)."""
+    the partition null the mean of the partitions' means. `how` goes to ranked (ppm, mz, charge, same_charge)."""
     from peakloom.operators.metrics import macro
 
     queries = queries_of(rows, group, row_id, seed, [partition])
-    near = distances(queries, rows, row_id, group, vector, partition=partition, **how)
-    each = ranked_metrics(eligible(near) if how.get("ppm") else near, ks).join(queries.select(F.col(row_id).alias("query_id"), partition), "query_id")
+    each = ranked(queries, rows, row_id, group, vector, ks=ks, partition=partition, both=bool(how.get("ppm")), **how).join(queries.select(F.col(row_id).alias("query_id"), partition), "query_id")
     names = ["ap", "rr", *(f"{what}_at_{k}" for what in ("hit", "recall", "random_hit") for k in ks)]
     means = each.groupBy(partition).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in names))
     long = means.unpivot([partition, "n"], names, "metric", "value").select(partition, "metric", "value", "n")

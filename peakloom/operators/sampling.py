@@ -121,29 +121,14 @@ def row_numbers(df: DataFrame, order: str, buckets: int | None = None) -> DataFr
 def capped(df: DataFrame, project: str, run: str, order: list[str], project_cap: int, run_cap: int) -> DataFrame:
     """Rows kept in order of priority while their project and their run have room.
 
-    A row that one cap rejects uses no room of the other, so rows are judged one after the other, project by project.
-    A project's rows arrive sorted and one at a time; only counts are held.
+    A row that its run's cap rejects uses no room of the project. So the rows with room in their run are its first run_cap,
+    and the first project_cap of those are kept: two ranks, each cut to its cap before rows are shuffled.
     """
-    schema = df.schema
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, total, by_run = None, 0, {}
-        for pdf in batches:
-            chosen = []
-            for p, r in zip(pdf[project], pdf[run]):
-                if p != now:
-                    now, total, by_run = p, 0, {}
-                yes = total < project_cap and by_run.get(r, 0) < run_cap
-                if yes:
-                    total += 1
-                    by_run[r] = by_run.get(r, 0) + 1
-                chosen.append(yes)
-            yield pdf[chosen]
-
-    # No run keeps more than run_cap rows, and rows beyond a run's first run_cap are never kept: they need not be moved.
-    w = Window.partitionBy(project, run).orderBy(*order)
-    able = df.withColumn("_no", F.row_number().over(w)).filter(F.col("_no") <= run_cap).drop("_no")
-    return able.repartition(F.col(project)).sortWithinPartitions(project, *order).mapInPandas(keep, schema)
+    able = first_by_group(df, [project, run], [F.col(c) for c in order], run_cap)
+    if project_cap > 1000:  # Spark itself cuts before the shuffle up to here: beyond, the parts of a project come first
+        part = "_part"
+        able = first_by_group(able.withColumn(part, F.pmod(F.xxhash64(run), F.lit(256))), [project, part], [F.col(c) for c in order], project_cap).drop(part)
+    return first_by_group(able, [project], [F.col(c) for c in order], project_cap)
 
 
 def length_holdout(df: DataFrame, run: str, length: str, quota: int, seed: str) -> DataFrame:

@@ -210,8 +210,7 @@ SHA = "sha256(concat_ws(chr(31), {}))"
 def retrieval_map(spark, d):
     """Average precision, reciprocal rank, hits and recall of one query a label against all vectors."""
     rows = table(spark, d, "embeddings")
-    near = retrieval.distances(retrieval.queries_of(rows, "label", "vec_id", "0"), rows, "vec_id", "label", "embedding")
-    m = retrieval.ranked_metrics(near)
+    m = retrieval.ranked(retrieval.queries_of(rows, "label", "vec_id", "0"), rows, "vec_id", "label", "embedding")
     return m.select("query_id", F.col("query_group").alias("label"), "n_positive", r6("ap"), r6("rr"), "hit_at_5", r6("recall_at_10"))
 
 
@@ -771,8 +770,8 @@ NEAR_SQL = f"""
 
 def near_scores(spark, d, mz: str, same: bool) -> DataFrame:
     rows = placed_vectors(spark, d).withColumn("mass", F.col("mz") * F.col("z"))
-    near = retrieval.distances(retrieval.queries_of(rows, "label", "vec_id", "0"), rows, "vec_id", "label", "embedding", ppm=100.0 if same else 400_000.0, mz=mz, charge="z", same_charge=same)
-    return retrieval.ranked_metrics(retrieval.eligible(near), ks=(1,)).select("query_id", "n", "n_positive", r6("ap"), r6("random_hit_at_1"))
+    got = retrieval.ranked(retrieval.queries_of(rows, "label", "vec_id", "0"), rows, "vec_id", "label", "embedding", ks=(1,), ppm=100.0 if same else 400_000.0, mz=mz, charge="z", same_charge=same, both=True)
+    return got.select("query_id", "n", "n_positive", r6("ap"), r6("random_hit_at_1"))
 
 
 @query(NEAR_SQL.format("q.z = p.z AND abs(p.mz - q.mz) <= q.mz * 100 / 1e6"))
@@ -797,8 +796,7 @@ def clean_gallery_robustness(spark, d):
     """Disturbed queries against the clean vectors of all other rows."""
     rows = table(spark, d, "embeddings").withColumn("v", vectors.doubles(F.col("embedding")))
     q = retrieval.queries_of(rows, "label", "vec_id", "0").withColumn("noisy", F.zip_with("v", F.reverse("v"), lambda x, y: x + 0.1 * y))
-    near = retrieval.distances(q, rows.withColumn("noisy", F.col("v")), "vec_id", "label", "v", query_vector="noisy")
-    return retrieval.ranked_metrics(near, ks=(1,)).select("query_id", r6("rr"))
+    return retrieval.ranked(q, rows, "vec_id", "label", "v", ks=(1,), query_vector="noisy").select("query_id", r6("rr"))
 
 
 @query()

@@ -162,3 +162,19 @@ def test_replay(spark):
     assert {r.k for r in sampling.replayed(pool, "k", 10, "s", 1).collect()} == set(range(10))
     more = sampling.replayed(pool, "k", 50, "s", 1).collect()
     assert sorted(r.draw for r in more) == list(range(50)) and len({r.k for r in more}) > 5
+
+
+def test_ranks_by_counts_equal_those_of_lists(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"r{k}", None if k % 17 == 0 else f"g{int(rng.integers(0, 5)) if k % 3 else 0}", None if k == 5 else [float(x) for x in rng.integers(-1, 2, 3)], 500 + float(rng.integers(0, 9)) * 0.002, int(k % 2), k % 2) for k in range(240)]
+    df = spark.createDataFrame(rows, "k string, y string, v array<double>, mz double, z int, part int").repartition(5)
+    same = lambda a, b: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in a.collect()) == sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in b.collect())
+    q = retrieval.queries_of(df.filter("v is not null"), "y", "k", "0").unionByName(df.filter("k = 'r5'"))
+    hows = ({}, {"ppm": 10.0, "mz": "mz", "charge": "z"}, {"ppm": 10.0, "mz": "mz", "charge": "z", "same_charge": False}, {"partition": "part"})
+    for how in hows:
+        near = retrieval.distances(q, df, "k", "y", "v", **how)
+        want = retrieval.ranked_metrics(retrieval.eligible(near))
+        assert want.count() > 2
+        for bounds in ({"most_bytes": 5000, "most_places": 20}, {}) if how in ({}, hows[1]) else ({},):
+            assert same(retrieval.ranked(q, df, "k", "y", "v", both=True, **how, **bounds), want), (how, bounds)
+    assert retrieval.ranked(q.limit(0), df, "k", "y", "v").count() == 0
