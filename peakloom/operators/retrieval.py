@@ -187,7 +187,13 @@ def ranked(queries: DataFrame, rows: DataFrame, row_id: str, group: str, vector:
     cols = lambda v: [F.col(row_id).alias("id"), F.col(group).alias("g"), unit(F.col(v)).alias("v"), part.alias("p"), *extra]
     q = able(queries, query_vector or vector).select(*cols(query_vector or vector)).toDF(*(f"query_{c}" for c in ("id", "g", "v", "p", *(("mz", "z") if ppm else ()))))
     r = able(rows, vector).select(*cols(vector))
-    folders = [new_folder(spark, f"ranked-{what}") for what in ("places", "slices", "counts")]
+    asking, places, slices, counted = (new_folder(spark, f"ranked-{what}") for what in ("queries", "places", "slices", "counts"))
+
+    def stored(df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    q = stored(q, asking)
 
     on = (F.col("query_g") == F.col("g")) & (F.col("query_id") != F.col("id"))
     if partition:
@@ -198,8 +204,7 @@ def ranked(queries: DataFrame, rows: DataFrame, row_id: str, group: str, vector:
     met = met.select("query_id", "id", F.round(cosine_distance(F.col("query_v"), F.col("v")), DIGITS).alias("distance"))
     # Places are numbered cut by cut, so a group that a third of all rows have is no single task.
     met = met.withColumn("_cut", F.floor(F.when(F.isnan("distance"), 3.0).otherwise(F.col("distance")) * 4096).cast("int"))
-    met.write.parquet(folders[0])
-    met = spark.read.parquet(folders[0])
+    met = stored(met, places)
     before = Window.partitionBy("query_id").orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
     cuts = met.groupBy("query_id", "_cut").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     own = F.row_number().over(Window.partitionBy("query_id", "_cut").orderBy("distance", "id"))
@@ -208,17 +213,18 @@ def ranked(queries: DataFrame, rows: DataFrame, row_id: str, group: str, vector:
     sliced = placed.groupBy("query_id", "slice").agg(F.array_sort(F.collect_list(F.struct("k", "distance", "id"))).alias("x"))
     sliced = sliced.select("query_id", "slice", F.col("x.distance").alias("near"), F.col("x.id").alias("ids"), F.col("x.k").alias("ks")).join(q, "query_id").withColumnsRenamed({f"query_{c}": c for c in ("g", "v", "p", "mz", "z")})
     weight = F.size("near") * (16 + F.coalesce(F.octet_length(F.element_at("ids", 1).cast("string")), F.lit(0))) + F.size("v") * 8 + 128
-    sliced.withColumn("weight", weight).write.parquet(folders[1])
-    sliced = spark.read.parquet(folders[1])
+    sliced = stored(sliced.withColumn("weight", weight), slices)
+    for folder in (asking, places):
+        remove(spark, folder)
     blocks = -(-(sliced.agg(F.sum("weight")).first()[0] or 1) // most_bytes)
     kind = {f.name: f.dataType.simpleString() for f in sliced.schema.fields}
     for k in range(blocks):
         mine = sliced.drop("ks", "weight").filter(F.pmod(F.xxhash64("query_id", "slice"), F.lit(blocks)) == k).toArrow()  # about most_bytes
         sent = spark.sparkContext.broadcast(mine)
         tallied = r.mapInArrow(_tallied(sent, bool(partition), ppm, same_charge), f"query_id {kind['query_id']}, slice long, place long, n long")
-        tallied.groupBy("query_id", "slice", "place").agg(F.sum("n").alias("n")).write.mode("append").parquet(folders[2])
+        tallied.groupBy("query_id", "slice", "place").agg(F.sum("n").alias("n")).write.mode("append").parquet(counted)
         sent.destroy()
-    counts = spark.read.parquet(folders[2])
+    counts = spark.read.schema(f"query_id {kind['query_id']}, slice long, place long, n long").parquet(counted)
 
     # A slice's rows in the order of its places: what was counted before a place, then the place itself.
     key = ["query_id", "slice"]
@@ -229,12 +235,8 @@ def ranked(queries: DataFrame, rows: DataFrame, row_id: str, group: str, vector:
     # Every slice meets all negatives; the first one's count for the query.
     others = counts.filter("slice = 0").groupBy("query_id").agg(F.sum("n").alias("_others"))
     found = found.join(others, "query_id", "inner" if both else "left").withColumn("n", F.col("n_positive") + F.coalesce("_others", F.lit(0)))
-    got = _at_ranks(found.join(q.select("query_id", F.col("query_g").alias("query_group")), "query_id"), ks)
-    out = new_folder(spark, "ranked")
-    got.write.parquet(out)
-    for folder in folders:
-        remove(spark, folder)
-    return spark.read.parquet(out)
+    groups = sliced.filter("slice = 0").select("query_id", F.col("g").alias("query_group"))
+    return _at_ranks(found.join(groups, "query_id"), ks)
 
 
 def _at_ranks(found: DataFrame, ks: tuple[int, ...]) -> DataFrame:
