@@ -30,6 +30,37 @@ def ppm_join(left: DataFrame, right: DataFrame, left_mz: Column, right_mz: Colum
     return a.join(b, near, how).drop("_bucket", "_near") if how == "inner" else a.join(b, near, how).drop("_bucket")
 
 
+#: Rows of a bucket that one list holds.
+LISTED = 1024
+
+
+def ppm_first(rows: DataFrame, *, row_id: str, mz: str, label: str, on: list[str], ppm: float, seed: str, among: DataFrame | None = None) -> DataFrame:
+    """(on, row_id, partner_id): for each row the one of another label within ppm (of its own value) and equal in `on` that
+    has the smallest hash of both ids; ties go to the smaller id. With `among` only its rows (on, row_id, mz, label) look.
+
+    Every candidate is hashed, but no pair is a row: a row meets lists of a bucket's values, and of each list only the
+    first goes on. So what is sorted and shuffled are rows by lists, three or four for each row, not pairs. Buckets of
+    over LISTED rows are several lists, each a key of its own.
+    """
+    width = math.log1p(ppm / 1e6) * 1.01
+    bucket = lambda x: F.floor(F.log(F.when(x > 0, x)) / width)
+    key = [f"_on{k}" for k in range(len(on))]
+    fields = [*(F.col(c).alias(k) for c, k in zip(on, key)), F.col(row_id).alias("_id"), F.col(mz).cast("double").alias("_mz"), F.col(label).alias("_y")]
+    there = rows.select(*fields).withColumn("_bucket", bucket(F.col("_mz"))).filter("_bucket is not null and _y is not null")
+    full = there.groupBy(*key, "_bucket").agg(F.ceil(F.count(F.lit(1)) / LISTED).alias("_lists")).filter("_lists > 1")
+    dealt = lambda x: x.join(full, [*key, "_bucket"], "left").withColumn("_lists", F.coalesce("_lists", F.lit(1).cast("long")))
+    lists = dealt(there).groupBy(*key, "_bucket", F.pmod(F.xxhash64("_id"), F.col("_lists")).alias("_list")).agg(F.collect_list(F.struct("_mz", "_y", "_id")).alias("_near"))
+    look = (rows if among is None else among).select(*fields)
+    look = dealt(look.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_mz")) - 1, bucket(F.col("_mz")) + 1))))
+    look = look.withColumn("_list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lists") - 1)))
+    m, y, own = F.col("_mz"), F.col("_y"), F.col("_id")
+    fits = F.filter("_near", lambda x: (F.abs(x["_mz"] - m) <= m * ppm / 1e6) & (x["_y"] != y))
+    first = F.array_min(F.transform(fits, lambda x: F.struct(hash_rank(seed, "pair", own, x["_id"]).alias("h"), x["_id"].alias("id"))))
+    met = look.join(lists, [*key, "_bucket", "_list"]).select(*key, "_id", first.alias("x")).filter("x is not null")
+    best = met.groupBy(*key, "_id").agg(F.min("x").alias("x"))
+    return best.select(*(F.col(k).alias(c) for c, k in zip(on, key)), F.col("_id").alias(row_id), F.col("x.id").alias("partner_id"))
+
+
 #: Rows of a group in a block: a key of the join below gives at most this, squared, pairs.
 BLOCK = 256
 

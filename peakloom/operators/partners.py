@@ -2,36 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from peakloom.functions.vectors import hash_rank
 from peakloom.operators.circle import negatives
-from peakloom.operators.joins import ppm_join
+from peakloom.operators.joins import ppm_first
 from peakloom.operators.metrics import quantiles
+from peakloom.plans.scratch import stored
 
 
 def matched_partners(df: DataFrame, *, row_id: str, mz: str, charge: str, label: str, tolerances: list[float], seed: str) -> DataFrame:
     """(row_id, partner_id, tier): for each row one of another label.
 
     Tiers in order: within each tolerance (ppm) at the same charge, then the same charge, then any. Within a tolerance
-    the candidate of smallest hash is taken. Rows left over look along a circle in hash order, of their charge and then
+    the candidate of smallest hash is taken; only rows that a tolerance leaves over meet the next one's candidates, and
+    what each gives is stored in the shared folder. Rows left over look along a circle in hash order, of their charge and then
     of all rows: the first of another label is taken, so a row has a partner whenever another label exists.
     """
-    side = lambda s: [F.col(row_id).alias(f"{s}_id"), F.col(mz).alias(f"{s}_mz"), F.col(charge).alias(f"{s}_z"), F.col(label).alias(f"{s}_y")]
-    a, b = df.select(*side("a")), df.select(*side("b"))
-    off = F.abs(F.col("b_mz") - F.col("a_mz"))
-    tier = F.lit(len(tolerances))
-    for no, ppm in reversed(list(enumerate(tolerances))):
-        tier = F.when(off <= F.col("a_mz") * ppm / 1e6, no).otherwise(tier)
-    near = ppm_join(a, b, F.col("a_mz"), F.col("b_mz"), max(tolerances), [(F.col("a_z"), F.col("b_z"))], F.col("a_y") != F.col("b_y"))
-    best = near.select("a_id", F.struct(tier.alias("tier"), hash_rank(seed, "pair", F.col("a_id"), F.col("b_id")).alias("h"), "b_id").alias("x")).groupBy("a_id").agg(F.min("x").alias("x"))
-    out = best.select(F.col("a_id").alias(row_id), F.col("x.b_id").alias("partner_id"), F.col("x.tier").alias("tier"))
     rows = df.select(row_id, charge, label)
-    left = rows.join(out, row_id, "left_anti")
+    left, parts = df.select(row_id, mz, charge, label), []
+    for no, ppm in enumerate(tolerances):
+        found = stored(ppm_first(df, row_id=row_id, mz=mz, label=label, on=[charge], ppm=ppm, seed=seed, among=left), f"partners-{no}")
+        parts.append(found.select(row_id, "partner_id", F.lit(no).alias("tier")))
+        left = left.join(found, row_id, "left_anti")
+    out, left = reduce(DataFrame.union, parts), left.select(row_id, charge, label)
     for no, group in enumerate(([charge], [])):
         found = negatives(rows, group, row_id, label, f"{seed} {no}", left).select(row_id, F.col("negative_id").alias("partner_id"), F.lit(len(tolerances) + no).alias("tier"))
+        found = found if group == [] else stored(found, "partners-charge")
         out, left = out.union(found), left.join(found, row_id, "left_anti")
     return out
 
