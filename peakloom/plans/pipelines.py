@@ -81,11 +81,8 @@ def pair_benchmark(rows: DataFrame, *, partition: str, row_id: str, label: str,
     ones also lie within ppm. A protocol has as many negatives as positives.
     """
     positive = joins.pairs_in_groups(rows, [partition, label], row_id, seed, per_label).select(partition, "left_id", "right_id", F.lit(1).alias("label"))
-    side = lambda s: [F.col(row_id).alias(f"{s}_id"), F.col(label).alias(f"{s}_y"), F.col(mz).alias(f"{s}_mz"), F.col(charge).alias(f"{s}_z"), F.col(partition).alias(f"{s}_p")]
-    a, b = rows.select(*side("left")), rows.select(*side("right"))
-    near = joins.ppm_join(a, b, F.col("left_mz"), F.col("right_mz"), ppm, [(F.col("left_p"), F.col("right_p")), (F.col("left_z"), F.col("right_z"))], F.col("left_y") != F.col("right_y"))
-    best = near.withColumn("h", hash_rank(seed, "pair", F.col("left_id"), F.col("right_id"))).groupBy("left_p", "left_id").agg(F.min(F.struct("h", "right_id")).alias("x"))
-    hard = best.select(F.col("left_p").alias(partition), F.lit("hard").alias("pair_set"), "left_id", F.col("x.right_id").alias("right_id"), F.lit(0).alias("label"))
+    best = joins.ppm_first(rows, row_id=row_id, mz=mz, label=label, on=[partition, charge], ppm=ppm, seed=seed)
+    hard = best.select(partition, F.lit("hard").alias("pair_set"), F.col(row_id).alias("left_id"), F.col("partner_id").alias("right_id"), F.lit(0).alias("label"))
 
     def around(group: list[str], name: str) -> DataFrame:
         found = negatives(rows, group, row_id, label, f"{seed} {name}")

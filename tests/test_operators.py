@@ -436,3 +436,27 @@ def test_tables(spark, tmp_path):
     assert [(r.row, r.id, r.vector) for r in tables.read_arrays(spark, str(tmp_path / "v.npz"), "v", "i").orderBy("row").collect()] == [(0, "5", [1, 0]), (1, "6", [0, 1])]
     (tmp_path / "m.json").write_text('{"a": 1,\n "b": [2]}')
     assert tables.read_manifest(spark, str(tmp_path / "m.json")).first().a == 1
+
+
+def test_first_within_ppm_against_brute_force(spark, monkeypatch):
+    """A bucket of many lists, values on both sides of bucket edges, rows without a value, charge or label."""
+    import hashlib
+    import random
+
+    from peakloom.operators import joins
+
+    monkeypatch.setattr(joins, "LISTED", 7)
+    rng = random.Random(4)
+    data = [(k, 500.0 if k < 60 else 500 + rng.random() * 0.5, rng.choice([2, 3]), rng.choice("abc")) for k in range(200)]
+    data += [(900, None, 2, "a"), (901, 500.0, None, "a"), (902, 500.0, 2, None), (903, -500.0, 2, "b"), (904, 0.0, 2, "b")]
+    rank = lambda a, b: (hashlib.sha256("\x1f".join(["s", "pair", str(a), str(b)]).encode()).hexdigest(), b)
+    want = {}
+    for i, m, z, y in data:
+        if m and m > 0 and z and y:
+            near = [j for j, n, w, x in data if n and n > 0 and w == z and x and x != y and abs(n - m) <= m * 100 / 1e6]
+            if near:
+                want[i] = (z, min(near, key=lambda j: rank(i, j)))  # noqa: B023
+    df = spark.createDataFrame(data, "id long, mz double, z int, y string")
+    find = lambda **more: {r.id: (r.z, r.partner_id) for r in joins.ppm_first(df, row_id="id", mz="mz", label="y", on=["z"], ppm=100, seed="s", **more).collect()}
+    assert find() == want and len(want) > 100
+    assert find(among=df.filter("id % 3 = 0")) == {k: v for k, v in want.items() if k % 3 == 0}
