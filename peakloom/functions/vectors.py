@@ -16,9 +16,10 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Of length one; a zero vector stays zero."""
-    v = doubles(v)
-    norm = F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12))
-    return F.transform(v, lambda x: x / norm)
+    norm = lambda w: F.greatest(F.sqrt(dot(w, w)), F.lit(1e-12))
+    # Arrays of one element name the vector and its length: inside transform an expression is worked out for each component.
+    scaled = lambda w: F.transform(F.array(norm(w)), lambda n: F.transform(w, lambda x: x / n))[0]
+    return F.transform(F.array(doubles(v)), scaled)[0]
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

@@ -11,7 +11,7 @@ from peakloom.functions.vectors import cosine_distance, dot, doubles, euclidean_
 def jensen_shannon(p: Column, q: Column) -> Column:
     """Divergence of two distributions (natural logarithm); both are scaled to sum to one."""
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
-    share = lambda v: F.transform(doubles(v), lambda x: x / total(doubles(v)))
+    share = lambda v: F.transform(F.array(total(doubles(v))), lambda n: F.transform(doubles(v), lambda x: x / n))[0]  # noqa: E731  the total once, not for each component
     part = lambda x, m: F.when(x > 0, x * F.log(x / m)).otherwise(0.0)
     return total(F.zip_with(share(p), share(q), lambda a, b: (part(a, (a + b) / 2) + part(b, (a + b) / 2)) / 2))
 
@@ -46,9 +46,10 @@ def null_local(df: DataFrame, group: list[str], source: str, negative: str, one:
 
     A view is right if it lies nearer to its source than to the negative; a margin is how much nearer.
     """
-    v = {c: unit(F.col(c)) for c in (source, negative, one, two)}
+    units = df.select(*group, *(unit(F.col(c)).alias(f"_{k}") for k, c in enumerate((source, negative, one, two))))
+    v = {c: F.col(f"_{k}") for k, c in enumerate((source, negative, one, two))}
     d = lambda a, b: 1.0 - dot(v[a], v[b])
-    rows = df.select(*group, d(one, source).alias("s1"), d(one, negative).alias("n1"), d(two, source).alias("s2"), d(two, negative).alias("n2"), d(one, two).alias("local"), d(source, negative).alias("clean"))
+    rows = units.select(*group, d(one, source).alias("s1"), d(one, negative).alias("n1"), d(two, source).alias("s2"), d(two, negative).alias("n2"), d(one, two).alias("local"), d(source, negative).alias("clean"))
     right1, right2 = (F.col("s1") < F.col("n1")).cast("double"), (F.col("s2") < F.col("n2")).cast("double")
     m1, m2 = F.col("n1") - F.col("s1"), F.col("n2") - F.col("s2")
     means = {
@@ -63,8 +64,12 @@ def coprime_stride(size: Column, seed: Column) -> Column:
     def gcd(a: Column, b: Column) -> Column:
         pair = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
         turn = lambda x, _: F.struct(F.when(x["b"] == 0, x["a"]).otherwise(x["b"]).alias("a"), F.when(x["b"] == 0, F.lit(0).cast("long")).otherwise(x["a"] % F.greatest(x["b"], F.lit(1))).alias("b"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(92)), pair, turn, lambda x: x["a"])  # as many turns as a long needs at most
-
-    # Among any 400 neighbours one is coprime to a 64-bit number.
-    steps = F.transform(F.sequence(F.lit(0), F.lit(400)), lambda k: F.pmod(F.pmod(seed, size - 1) + k, size - 1) + 1)
-    return F.when(size < 2, F.lit(1).cast("long")).otherwise(F.get(F.filter(steps, lambda s: gcd(s, size) == 1), F.lit(0)).cast("long"))
+        # Euclid's turns are at most log(b) / log(1.618) and two more: 92 for a long.
+        turns = F.least(F.lit(92), F.ceil(F.log2(F.greatest(b, F.lit(2)).cast("double")) * 1.4405) + 3).cast("int")
+        return F.aggregate(F.sequence(F.lit(1), turns), pair, turn, lambda x: x["a"])
+
+    # Among any 400 neighbours one is coprime to a 64-bit number; once one is found no other is tried.
+    step = lambda k: (F.pmod(F.pmod(seed, size - 1) + k, size - 1) + 1).cast("long")
+    none = F.lit(None).cast("long")
+    first = lambda a, z: F.aggregate(F.sequence(F.lit(a), F.lit(z)), none, lambda got, k: F.when(got.isNotNull(), got).when(gcd(step(k), size) == 1, step(k)))
+    return F.when(size < 2, F.lit(1).cast("long")).otherwise(F.coalesce(first(0, 15), first(16, 400)))
