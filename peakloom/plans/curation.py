@@ -16,6 +16,8 @@ from peakloom.streaming import events
 
 #: A label's sequence: the first hex digits of its MD5, by letters.
 LETTERS = ("0123456789abcdef", "MAPETIDKMSGHVLFY")
+#: Labels whose results one search-result file holds.
+LABELS = 2048
 
 
 def sequence(label):
@@ -23,8 +25,13 @@ def sequence(label):
 
 
 def search_results(spark, d) -> str:
-    """The orders as mzIdentML files, one folder a run: each label's peptide with deltas at every other M, and results."""
+    """The orders as mzIdentML files, one folder a run: each label's peptide with deltas at every other M, and results.
+
+    A file holds the results of LABELS neighbouring labels and all peptides that they may name, so files grow in number,
+    not in size.
+    """
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("y")).withColumn("run", F.concat(F.lit("run"), F.col("id") % 3))
+    part = lambda y: F.floor(y / LABELS).alias("part")
     attribute = lambda name, value: F.concat(F.lit(f' {name}="'), value.cast("string"), F.lit('"'))
     seq = sequence(F.col("y"))
     letters = F.filter(F.transform(F.split(seq, ""), lambda c, i: F.when((c == "M") & ((F.col("y") + i) % 2 == 0), i + 1)), lambda x: x.isNotNull())
@@ -34,11 +41,15 @@ def search_results(spark, d) -> str:
     item = lambda rank, passes, y: F.concat(F.lit("<SpectrumIdentificationItem"), attribute("rank", F.lit(rank)), attribute("passThreshold", passes), attribute("peptide_ref", F.concat(F.lit("p"), y)), F.lit("/>"))
     items = F.concat(item(2, F.lit("true"), F.col("y") + 1), item(1, F.lit("true"), F.col("y") + 1), item(1, F.when(F.col("id") % 5 == 0, "false").otherwise("true"), F.col("y")))
     result = F.concat(F.lit("<SpectrumIdentificationResult"), attribute("spectrumID", F.concat(F.lit("controller=1 scan="), "id")), F.lit(">"), items, F.lit("</SpectrumIdentificationResult>"))
-    at = lambda k, value: [F.col("run"), F.lit(k).alias("k"), value.alias("value")]
-    ends = [o.select("run").distinct().select(*at(k, F.lit(tag))) for k, tag in ((0, "<MzIdentML>"), (3, "</MzIdentML>"))]
-    rows = o.select(*at(1, peptide)).distinct().unionByName(o.select(*at(2, result))).unionByName(ends[0]).unionByName(ends[1])
+    at = lambda k, value, p: [F.col("run"), p, F.lit(k).alias("k"), value.alias("value")]
+    # A result may name the label after its own, which may be the first of the next file's.
+    named = F.explode(F.array_distinct(F.array(part(F.col("y")), part(F.col("y") - 1)))).alias("part")
+    peptides = o.select("run", "y").distinct().select(*at(1, peptide, named))
+    results = o.select(*at(2, result, part(F.col("y"))))
+    ends = [peptides.select("run", "part").distinct().select(*at(k, F.lit(tag), F.col("part"))) for k, tag in ((0, "<MzIdentML>"), (3, "</MzIdentML>"))]
+    rows = peptides.unionByName(results).unionByName(ends[0]).unionByName(ends[1])
     path = new_folder(spark, "mzid")
-    rows.repartition("run").sortWithinPartitions("run", "k").select("run", "value").write.partitionBy("run").text(path)
+    rows.repartition("run", "part").sortWithinPartitions("run", "part", "k").select("run", "part", "value").write.partitionBy("run", "part").text(path)
     return path
 
 

@@ -339,3 +339,14 @@ def test_evidence_tables(spark, tmp_path):
     assert read(smallest=True, gates={"bad": "bad = '+'"}) == [("a", 1, "Y", 0.1)] and read(smallest=True) == [("a", 1, "W", 0.01)] and read() == [("a", 1, "X", 0.5)]
     got = files.read_key_sets(spark, str(tmp_path), keys=["file", "scan"], sets=["seq", "org"])
     assert sorted(map(tuple, got.collect())) == [("a", "scan=1", ["W", "X", "Y", "Z"], ["o1", "o2"]), ("a", "scan=2", ["V"], [])]
+
+
+def test_search_results_in_several_files_a_run(spark, data, monkeypatch):
+    """Labels at a file's end may name the first of the next: the outcome is that of one file a run."""
+    from peakloom.plans import curation
+
+    want = sorted(map(tuple, curation.relabelled_spectra(spark, data).collect()))
+    monkeypatch.setattr(curation, "LABELS", 7)
+    paths = spark.read.text(curation.search_results(spark, data)).select("run", "part").distinct().groupBy("run").count().collect()
+    assert len(paths) == 3 and min(r["count"] for r in paths) > 5
+    assert sorted(map(tuple, curation.relabelled_spectra(spark, data).collect())) == want
