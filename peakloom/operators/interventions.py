@@ -41,7 +41,7 @@ def dealt_peaks(df: DataFrame, batch: list[str], row_id: str, peaks: str, seed:
     each = df.select(*batch, F.col(row_id).alias("_id"), F.posexplode(peaks).alias("_pos", "_peak"))
     pool = hash_numbers(each, batch, hash_rank(seed, "peak", F.col("_id"), F.col("_pos")), "_id").select(*batch, "_no", "_peak")
     places = hash_numbers(each.drop("_peak"), batch, hash_rank(seed, "place", F.col("_id"), F.col("_pos")), "_id").select(*batch, "_no", "_id")
-    dealt = places.join(pool, [*batch, "_no"]).groupBy("_id").agg(F.array_sort(F.collect_list("_peak")).alias("_dealt"))
+    dealt = places.join(pool, [*batch, "_no"]).groupBy("_id").agg(F.sort_array(F.collect_list("_peak")).alias("_dealt"))
     return df.join(dealt, df[row_id] == dealt["_id"], "left").withColumn(peaks, F.coalesce("_dealt", F.col(peaks))).drop("_id", "_dealt")
 
 

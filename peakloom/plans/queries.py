@@ -37,7 +37,7 @@ def r6(x, name: str | None = None):
 
 def spectra(spark: SparkSession, d: str) -> DataFrame:
     """spectrum_id, peaks by line number, precursor_mz, charge (2 to 4), label, partition."""
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("l_extendedprice").alias("mz"), F.col("l_quantity").alias("intensity")))).alias("lines"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("l_extendedprice").alias("mz"), F.col("l_quantity").alias("intensity")))).alias("lines"))
     p = F.transform("lines", lambda x: F.struct(x["mz"].alias("mz"), x["intensity"].alias("intensity"))).alias("peaks")
     return lines.join(precursors(spark, d), F.col("l_orderkey") == F.col("spectrum_id")).select("spectrum_id", p, "precursor_mz", "charge", "label", "partition")
 
