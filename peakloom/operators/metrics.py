@@ -6,19 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from peakloom.operators.sampling import cut_edges
+from peakloom.operators.sampling import cut_edges, with_place
+from peakloom.plans.scratch import stored
 
 
 def cumulative(df: DataFrame, group: list[str], score: str, sums: dict[str, Column], descending: bool, buckets: int | None = None) -> DataFrame:
     """(group, score, each sum's own and cum_ value) by distinct score, running from the best score.
 
     Equal scores are one step. Scores fall into buckets at approximate quantiles, more of them the more steps there are; a
-    bucket starts from the totals of those before it, which are as many as buckets and groups.
+    bucket starts from the totals of those before it, which are as many as buckets and groups. Unless `buckets` is given,
+    the steps are stored in the shared folder first, so that df is worked out once.
     """
     steps = df.groupBy(*group, score).agg(*(F.sum(c).alias(k) for k, c in sums.items()))
+    if buckets is None:
+        steps = stored(steps, "steps")
     edges = cut_edges(steps, score, buckets)
-    at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(score))) if edges else F.lit(0)
-    steps = steps.withColumn("_bucket", -at if descending else at)
+    steps = with_place(steps, edges, score, "_at").withColumn("_bucket", -F.col("_at") if descending else F.col("_at"))
     totals = steps.groupBy(*group, "_bucket").agg(*(F.sum(k).alias(f"_{k}") for k in sums))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group, "_bucket", *(F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums))
@@ -177,7 +180,7 @@ def spearman(df: DataFrame, group: list[str], a: str, b: str, row_id: str) -> Da
 def ordinal_ranks(df: DataFrame, group: list[str], value: str, row_id: str, into: str, buckets: int | None = None) -> DataFrame:
     """df with `into`: places from 1 by (value, id) in each group. Null values come first, NaN after all numbers."""
     edges = cut_edges(df, value, buckets)
-    cut = df.withColumn("_cut", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(value))) if edges else F.lit(0))
+    cut = with_place(df, edges, value, "_cut")
     sizes = cut.groupBy(*group, "_cut").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*group, "_cut", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

@@ -14,6 +14,8 @@ from peakloom.functions.vectors import hash_fraction, hash_rank
 
 #: Rows of a cut, about, and cuts at most: beyond their product cuts grow with the input.
 CUT_ROWS, MOST_CUTS = 100_000, 1024
+#: So many edges are compared one by one.
+FEW_EDGES = 48
 
 
 def cut_edges(df: DataFrame, column: str, buckets: int | None = None) -> list[float]:
@@ -22,6 +24,27 @@ def cut_edges(df: DataFrame, column: str, buckets: int | None = None) -> list[fl
     return sorted(set(df.approxQuantile(column, [k / many for k in range(1, many)], 0.25 / many))) if many > 1 else []
 
 
+def place(edges: list[float] | Column, value: Column, equal: bool = False) -> Column:
+    """How many of the ascending edges (a list, or an array column of less than two million) lie below the value, with
+    `equal` at it as well; 0 for null.
+
+    Few edges are counted, more are halved: the work for a row grows with the logarithm of the edges.
+    """
+    at = F.array(*map(F.lit, edges)) if isinstance(edges, list) else edges
+    below = (lambda e: e <= value) if equal else (lambda e: e < value)
+    if isinstance(edges, list) and len(edges) <= FEW_EDGES:
+        return F.size(F.filter(at, below)) if edges else F.lit(0)
+    top = len(edges).bit_length() - 1 if isinstance(edges, list) else 20
+    steps = F.array(*(F.lit(1 << k) for k in range(top, -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda got, step: F.when(below(F.get(at, got + step - 1)), got + step).otherwise(got))
+
+
+def with_place(df: DataFrame, edges: list[float], value: str, into: str) -> DataFrame:
+    """df with `into`: how many of the edges lie below the value. As the row of a generator, it is worked out once: grouping
+    and windows refer to a column, not to the expression."""
+    return df.select("*", F.explode(F.array(place(edges, F.col(value)))).alias(into)) if edges else df.withColumn(into, F.lit(0))
+
+
 def first_by_group(df: DataFrame, group: list[str], order: list[Column], k: int | Column) -> DataFrame:
     """The first k rows of each group. Spark cuts each partition's groups to k rows before it shuffles them."""
     w = Window.partitionBy(*group).orderBy(*order)
@@ -111,7 +134,7 @@ def contiguous_shards(df: DataFrame, order: str, n: int) -> DataFrame:
 def row_numbers(df: DataFrame, order: str, buckets: int | None = None) -> DataFrame:
     """df with `row_number` from 0 by a numeric column of distinct values, without one task that holds all rows."""
     edges = cut_edges(df, order, buckets)
-    placed = df.withColumn("_bucket", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(order))) if edges else F.lit(0))
+    placed = with_place(df, edges, order, "_bucket")
     sizes = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     own = placed.withColumn("_no", F.row_number().over(Window.partitionBy("_bucket").orderBy(order)))

@@ -460,3 +460,35 @@ def test_first_within_ppm_against_brute_force(spark, monkeypatch):
     find = lambda **more: {r.id: (r.z, r.partner_id) for r in joins.ppm_first(df, row_id="id", mz="mz", label="y", on=["z"], ppm=100, seed="s", **more).collect()}
     assert find() == want and len(want) > 100
     assert find(among=df.filter("id % 3 = 0")) == {k: v for k, v in want.items() if k % 3 == 0}
+
+
+def test_place_among_edges(spark):
+    """Counts of lower edges, by lists and array columns, with and without equal ones; null lies below all, NaN above."""
+    from peakloom.operators.sampling import place
+
+    values = [None, -1.0, 0.0, 0.5, 1.0, 6.0, 7.0, 99.0, float("nan")]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id int, v double")
+    for n in (0, 1, 2, 3, 7, 8, 64, 100):
+        edges = [float(k) for k in range(n)]
+        at = F.array(*map(F.lit, edges)).cast("array<double>")
+        got = df.select("v", place(edges, F.col("v")), place(at, F.col("v")), place(at, F.col("v"), equal=True)).collect()
+        for v, a, b, c in got:
+            low = 0 if v is None else n if v != v else sum(e < v for e in edges)
+            assert a == b == low and c == (0 if v is None else n if v != v else sum(e <= v for e in edges))
+
+
+def test_strides_and_wide_vectors(spark):
+    """Strides against brute force, up to the product of the first nine primes; vectors of 3,000 components."""
+    from math import gcd
+
+    from peakloom.functions.vectors import unit
+    from peakloom.operators.counterfactual import coprime_stride
+
+    sizes = [*range(0, 120), 2 * 3 * 5 * 7 * 11 * 13 * 17 * 19 * 23, 2**62, 2**63 - 2]
+    df = spark.createDataFrame([(n, s) for n in sizes for s in (0, 1, 5, 1023)], "n long, s long")
+    for n, s, got in df.select("n", "s", coprime_stride(F.col("n"), F.col("s"))).collect():
+        assert got == (1 if n < 2 else next(k for k in ((s % (n - 1) + j) % (n - 1) + 1 for j in range(n)) if gcd(k, n) == 1)), (n, s)
+    wide = spark.range(200).select(F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda x: (x * 4).cast("float")).alias("v"))
+    norm = sum((4.0 * x) ** 2 for x in range(1, 3001)) ** 0.5
+    assert all(abs(r.u[2999] - 12000 / norm) < 1e-12 for r in wide.select(unit(F.col("v")).alias("u")).collect())
+    assert [r.u for r in spark.createDataFrame([(None,), ([],), ([0.0],)], "v array<double>").select(unit(F.col("v")).alias("u")).collect()] == [None, [], [0.0]]
