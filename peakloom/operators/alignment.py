@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.operators.metrics import quantiles
+from peakloom.operators.sampling import place
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
@@ -33,7 +34,7 @@ def aligned(df: DataFrame, run: str, key: str, value: str, species: list[str] =
     outside); else, and in the reference run, it stays as it is.
 
     A fit sees one run's anchors. Its curve goes to the rows in pieces of about the root of its length: a row first
-    finds its piece, then its place there.
+    finds its piece, then its place there, both by halving.
     """
     by = list(species)
     own = quantiles(df, [*by, run, key], value, {"_x": 0.5})
@@ -61,10 +62,10 @@ def aligned(df: DataFrame, run: str, key: str, value: str, species: list[str] =
     curves = anchors.groupBy(*by, run).applyInPandas(fit, f"{kinds}, _piece int, _starts array<double>, _xs array<double>, _ys array<double>")
     heads = curves.filter("_piece = 0").select(*by, run, "_starts")
     v = F.col(value)
-    piece = F.greatest(F.size(F.filter("_starts", lambda x: x <= v)) - 1, F.lit(0))
+    piece = F.greatest(place(F.col("_starts"), v, equal=True) - 1, F.lit(0))
     placed = df.join(heads, [*by, run], "left").withColumn("_piece", F.when(F.col("_starts").isNull(), -1).otherwise(piece)).drop("_starts")
     joined = placed.join(curves.select(*by, run, "_piece", "_xs", "_ys"), [*by, run, "_piece"], "left")
-    at = F.size(F.filter("_xs", lambda x: x <= v))
+    at = place(F.col("_xs"), v, equal=True)
     x0, x1, y0, y1 = (F.get(F.col(c), at + k) for c, k in (("_xs", -1), ("_xs", 0), ("_ys", -1), ("_ys", 0)))
     between = y0 + (y1 - y0) * F.coalesce(F.try_divide(v - x0, x1 - x0), F.lit(0.0))
     fitted = F.when(F.col("_xs").isNull(), v).when(at == 0, F.element_at("_ys", 1)).when(at == F.size("_xs"), F.element_at("_ys", -1)).otherwise(between)
