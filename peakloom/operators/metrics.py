@@ -43,7 +43,10 @@ def quantiles(df: DataFrame, group: list[str], value: str, at: dict[str, float])
     ends = [F.min(F.when(F.col("cum_n") > f(place(q)), F.col(value))).alias(f"_{side}_{k}") for k, q in at.items() for side, f in (("low", F.floor), ("high", F.ceil))]
     found = steps.groupBy(*group).agg(F.first("_last").alias("_last"), *ends)
     part = lambda q: place(q) - F.floor(place(q))
-    return found.select(*group, *((F.col(f"_low_{k}") + (F.col(f"_high_{k}") - F.col(f"_low_{k}")) * part(q)).alias(k) for k, q in at.items()))
+    # Shares of both ends: the median is rounded once, as SQL's is. A low end and a part of the difference round otherwise.
+    low, high = (lambda k, side=side: F.col(f"_{side}_{k}").cast("double") for side in ("low", "high"))
+    between = lambda k, q: F.when(low(k) == high(k), low(k)).otherwise(low(k) * (1 - part(q)) + high(k) * part(q))
+    return found.select(*group, *(between(k, q).alias(k) for k, q in at.items()))
 
 
 def _with(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:

@@ -492,3 +492,17 @@ def test_strides_and_wide_vectors(spark):
     norm = sum((4.0 * x) ** 2 for x in range(1, 3001)) ** 0.5
     assert all(abs(r.u[2999] - 12000 / norm) < 1e-12 for r in wide.select(unit(F.col("v")).alias("u")).collect())
     assert [r.u for r in spark.createDataFrame([(None,), ([],), ([0.0],)], "v array<double>").select(unit(F.col("v")).alias("u")).collect()] == [None, [], [0.0]]
+
+
+def test_medians_round_as_in_sql(spark):
+    """Bit for bit: where medians order rows, one that rounds otherwise changes the order of what ties."""
+    import duckdb
+
+    from peakloom.operators.metrics import quantiles
+
+    pairs = [(k, x) for k in range(400) for x in ((100_000 + 37 * k) / 100, (900_001 - 37 * k) / 100)]
+    got = {(r.k, r.m) for r in quantiles(spark.createDataFrame(pairs, "k int, v double"), ["k"], "v", {"m": 0.5}).collect()}
+    db = duckdb.connect()
+    db.execute("CREATE TABLE t (k INT, v DOUBLE)")
+    db.executemany("INSERT INTO t VALUES (?, ?)", pairs)
+    assert got == set(db.execute("SELECT k, median(v) FROM t GROUP BY k").fetchall())
