@@ -5,7 +5,8 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,58 +25,75 @@ def token_mass(token: str) -> float:
     return RESIDUES.get(token[:1], 0.0) + sum(map(float, re.findall(r"[+-]\d+(?:\.\d+)?", token)))
 
 
-def run_of_matches(a: np.ndarray, b: np.ndarray, cumulative: float, single: float) -> list[tuple[int, int]]:
-    """Places where two mass lists agree from the start: totals within `cumulative`, masses within `single`.
+def runs_of_matches(a: np.ndarray, at: np.ndarray, n: np.ndarray, b: np.ndarray, bt: np.ndarray, m: np.ndarray, step: int, cumulative: float, single: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which masses of a and of b match where lists agree from their start: totals within `cumulative`, masses within `single`.
 
-    Where totals differ the list that lags behind advances.
+    List k is n[k] masses of a from the place at[k] on, against m[k] of b from bt[k] on, read by `step` (1, or -1: backwards).
+    Where totals differ the list that lags behind advances. All lists go on side by side, each with its running totals.
     """
-    out, i, j = [], 0, 0
-    at, bt = np.cumsum(a), np.cumsum(b)
-    while i < len(a) and j < len(b):
-        if abs(at[i] - bt[j]) < cumulative:
-            if abs(a[i] - b[j]) < single:
-                out.append((i, j))
-            i, j = i + 1, j + 1
-        elif at[i] < bt[j]:
-            i += 1
-        else:
-            j += 1
-    return out
+    fits_a, fits_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    go = np.flatnonzero((n > 0) & (m > 0))
+    i, j, n, m = at[go], bt[go], n[go], m[go]
+    s, t = a[i], b[j]
+    while len(i):
+        both = np.abs(s - t) < cumulative
+        hit = both & (np.abs(a[i] - b[j]) < single)
+        fits_a[i[hit]] = fits_b[j[hit]] = True
+        ahead = s < t
+        on_a, on_b = both | ahead, both | ~ahead
+        i, j, n, m = i + step * on_a, j + step * on_b, n - on_a, m - on_b
+        go = np.flatnonzero((n > 0) & (m > 0))
+        i, j, n, m, on_a, on_b = i[go], j[go], n[go], m[go], on_a[go], on_b[go]
+        s, t = s[go], t[go]
+        s, t = np.where(on_a, s + a[i], s), np.where(on_b, t + b[j], t)
+    return fits_a, fits_b
+
+
+def misses(fits: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many of each list's places stand before its first one that doesn't fit."""
+    gaps = np.r_[np.flatnonzero(~fits), len(fits)]
+    return np.minimum(gaps[np.searchsorted(gaps, starts)] - starts, n)
+
+
+def matched_lists(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, mode: str, cumulative: float = 0.5, single: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each mass of b matches, and whether lists match whole. Lists lie in a and b one after another, n and m long."""
+    at, bt = np.cumsum(n) - n, np.cumsum(m) - m
+    back = lambda k, l: runs_of_matches(a, at + n - 1, k, b, bt + m - 1, l, -1, cumulative, single)[1]  # noqa: E731, E741
+    if mode == "backward":
+        fits = back(n, m)
+    else:
+        fits_a, fits = runs_of_matches(a, at, n, b, bt, m, 1, cumulative, single)
+        if mode == "best":
+            first_a, first_b = misses(fits_a, at, n), misses(fits, bt, m)
+            fits &= np.arange(len(b)) - np.repeat(bt, m) < np.repeat(first_b, m)
+            fits |= back(n - first_a, m - first_b)
+    return fits, (n == m) & (misses(fits, bt, m) == m)
 
 
 def matched(true: list[str], predicted: list[str], mode: str, cumulative: float = 0.5, single: float = 0.1) -> tuple[list[bool], bool]:
     """Whether each predicted residue matches. forward, backward, or best: forward up to the first miss, the rest backward."""
-    a, b = np.array([token_mass(t) for t in true]), np.array([token_mass(t) for t in predicted])
-    fits = np.zeros(len(b), bool)
-    if mode == "backward":
-        for _, j in run_of_matches(a[::-1], b[::-1], cumulative, single):
-            fits[len(b) - 1 - j] = True
-    else:
-        ahead = run_of_matches(a, b, cumulative, single)
-        for _, j in ahead:
-            fits[j] = True
-        if mode == "best" and not (len(a) == len(b) and fits.all()):
-            first_a = next((i for i in range(len(a)) if i not in {x for x, _ in ahead}), len(a))
-            first_b = next((j for j in range(len(b)) if not fits[j]), len(b))
-            fits[first_b:] = False
-            for _, j in run_of_matches(a[first_a:][::-1], b[first_b:][::-1], cumulative, single):
-                fits[len(b) - 1 - j] = True
-    return fits.tolist(), bool(len(a) == len(b) and fits.all())
-
-
-@F.pandas_udf(MATCH)
-def _matched(true: pd.Series, predicted: pd.Series, mode: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t, p, m in zip(true, predicted, mode):
-        t, p = [] if t is None else list(t), [] if p is None else list(p)
-        fits, whole = matched(t, p, m)
-        rows.append((fits, len(t), len(p), whole))
-    return pd.DataFrame(rows, columns=[f.name for f in MATCH.fields])
+    masses, sizes = lambda x: np.array([token_mass(t) for t in x], float), lambda x: np.array([len(x)])
+    fits, whole = matched_lists(masses(true), sizes(true), masses(predicted), sizes(predicted), mode, cumulative, single)
+    return fits.tolist(), bool(whole[0])
 
 
 def match(true: Column, predicted: Column, mode: str = "best") -> Column:
     """struct(matches, n_true, n_predicted, peptide) of two token arrays; null counts as none, and two empty ones match."""
-    return _matched(true, predicted, F.lit(mode))
+
+    @F.arrow_udf(MATCH)
+    def of(true: pa.Array, predicted: pa.Array) -> pa.Array:
+        def lists(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            tokens = x.flatten().dictionary_encode()
+            known = np.array([0.0 if t is None else token_mass(t) for t in tokens.dictionary.to_pylist()] + [0.0])
+            places = tokens.indices.fill_null(len(known) - 1).to_numpy(zero_copy_only=False)
+            return known[places], pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+        (a, n), (b, m) = lists(true), lists(predicted)
+        fits, whole = matched_lists(a, n, b, m, mode)
+        matches = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(m)], pa.int32()), pa.array(fits))
+        return pa.StructArray.from_arrays([matches, pa.array(n, pa.int32()), pa.array(m, pa.int32()), pa.array(whole)], names=[f.name for f in MATCH.fields])
+
+    return of(true, predicted)
 
 
 def sequence_scores(df: DataFrame, group: list[str], matched_col: str, times: Column | None = None) -> DataFrame:

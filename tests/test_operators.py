@@ -506,3 +506,41 @@ def test_medians_round_as_in_sql(spark):
     db.execute("CREATE TABLE t (k INT, v DOUBLE)")
     db.executemany("INSERT INTO t VALUES (?, ?)", pairs)
     assert got == set(db.execute("SELECT k, median(v) FROM t GROUP BY k").fetchall())
+
+
+def test_lists_side_by_side_match_as_one_by_one():
+    """All lists of a batch at once, against a plain walk through each."""
+    import random
+
+    import numpy as np
+
+    from peakloom.operators import sequences
+
+    def walk(a, b):
+        i, j, out, at, bt = 0, 0, [], np.cumsum(a), np.cumsum(b)
+        while i < len(a) and j < len(b):
+            if abs(at[i] - bt[j]) < 0.5:
+                out += [(i, j)] if abs(a[i] - b[j]) < 0.1 else []
+                i, j = i + 1, j + 1
+            elif at[i] < bt[j]:
+                i += 1
+            else:
+                j += 1
+        return out
+
+    def best(a, b):
+        ahead = walk(a, b)
+        i = next((k for k in range(len(a)) if k not in {x for x, _ in ahead}), len(a))
+        j = next((k for k in range(len(b)) if k not in {y for _, y in ahead}), len(b))
+        return [k < j for k in range(j)] + [len(b) - 1 - k in {y for _, y in walk(a[i:][::-1], b[j:][::-1])} for k in range(j, len(b))]
+
+    rng = random.Random(5)
+    make = lambda: [rng.choice([57.02, 71.04, 87.03, 114.04, 128.06, 128.09]) for _ in range(rng.randrange(9))]
+    left, right = [make() for _ in range(400)], [make() for _ in range(400)]
+    right[::3] = left[::3]
+    flat = lambda x: np.array([v for y in x for v in y])
+    n, m = np.array([*map(len, left)]), np.array([*map(len, right)])
+    fits, whole = sequences.matched_lists(flat(left), n, flat(right), m, "best")
+    want = [best(a, b) for a, b in zip(left, right)]
+    assert fits.tolist() == [x for w in want for x in w] and 0 < sum(fits) < len(fits)
+    assert whole.tolist() == [len(a) == len(b) and all(w) for a, b, w in zip(left, right, want)]
