@@ -553,6 +553,16 @@ def ledger_upsert(spark, d):
     return dedup.upsert(old, ledger(o).withColumn("load", F.lit(2)), ["entity", "metric"], "load").select("entity", "metric", "value")
 
 
+def label_counts(spark, d, label):
+    """(label, n): the labels that words of the documents make, a row for each distinct word that makes one, and its count.
+
+    The label hangs on the count, else Spark moves the filter before the count and makes a label of every word of a text.
+    """
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
+    counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.when(F.col("n") > 0, label(F.col("w"))).alias("label"), "n").filter("label is not null")
+
+
 @query("""
     WITH w AS (SELECT upper(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'))) AS w FROM documents),
     ok AS (SELECT w FROM w WHERE regexp_matches(w, '^[ACDEFGHIKLMNPQRSTVWYO]+$')),
@@ -560,8 +570,7 @@ def ledger_upsert(spark, d):
     SELECT token, count(*) AS n FROM t GROUP BY token""")
 def token_vocabulary(spark, d):
     """Residue tokens of all words that are valid labels."""
-    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
-    counted = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).select(text.canonical_label(F.col("w")).alias("label"), "n").filter("label is not null")
+    counted = label_counts(spark, d, text.canonical_label)
     return counted.select(F.explode(text.residue_tokens(F.col("label"))).alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
 
 
@@ -899,8 +908,7 @@ def report_unpivot(spark, d):
     SELECT len(regexp_replace(label, '[^A-Z]', '', 'g')) AS length, sum(n)::BIGINT AS n, sum(n * len(regexp_extract_all(label, 'C')))::BIGINT AS n_modified FROM l GROUP BY ALL""")
 def unimod_labels(spark, d):
     """Words with a UniMod term on every C, written as numeric labels, by length."""
-    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.upper("w").alias("w"))
-    labels = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).select(text.unimod_label(F.replace("w", F.lit("C"), F.lit("C(UniMod:4)"))).alias("label"), "n").filter("label is not null")
+    labels = label_counts(spark, d, lambda w: text.unimod_label(F.replace(F.upper(w), F.lit("C"), F.lit("C(UniMod:4)"))))
     modified = F.size(F.filter(text.residue_tokens(F.col("label")), lambda t: t == "C+57.021"))
     return labels.groupBy(F.length(text.backbone(F.col("label"))).cast("long").alias("length")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * modified).alias("n_modified"))
 

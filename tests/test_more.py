@@ -178,3 +178,13 @@ def test_ranks_by_counts_equal_those_of_lists(spark):
         for bounds in ({"most_bytes": 5000, "most_places": 20}, {}) if how in ({}, hows[1]) else ({},):
             assert same(retrieval.ranked(q, df, "k", "y", "v", both=True, **how, **bounds), want), (how, bounds)
     assert retrieval.ranked(q.limit(0), df, "k", "y", "v").count() == 0
+
+
+@pytest.mark.parametrize("name", ["unimod_labels", "token_vocabulary"])
+def test_labels_are_made_of_counted_words(spark, data, name):
+    """No label is made below the count of words, of each word of a text."""
+    from peakloom.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("Aggregate [w#")
+    assert "RLIKE" in above and below and "RLIKE" not in below
