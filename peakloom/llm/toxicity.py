@@ -29,6 +29,8 @@ MOST_TOKENS = 250_000
 #: And where all of a token's weights are in work.
 MOST_TRAINED = 250_000
 MOST_WORDS = 40_000
+#: Sequences left below which a step is not worth an array's operations.
+FEW = 32
 
 
 def lowered(text: bytes | None) -> str:
@@ -89,23 +91,43 @@ def forward_backward(classes: np.ndarray, lengths: np.ndarray, emission: np.ndar
     """
     e, a = np.exp(emission)[classes], np.exp(change)
     fwd, bwd = np.empty(len(classes)), np.empty(len(classes))
-    _, starts, alive = batches_by_length(lengths)
+    order, starts, alive = batches_by_length(lengths)
     tiny, huge = 1e-200, 1e200
+    # Steps that few sequences are left for are taken one sequence at a time: an array's step costs as much as that of FEW.
+    lead = int(np.searchsorted(-alive, -FEW, side="right"))
+    left = int(alive[lead]) if lead < len(alive) else 0
+    ends = starts[:left] + lengths[order[:left]]
+    (a00, a01), (a10, a11) = a.tolist()
     r = np.full(len(starts), np.exp(start))
-    for t, k in enumerate(alive.tolist()):
+    for t, k in enumerate(alive[:lead].tolist()):
         at = starts[:k] + t
         r = r[:k]
         if t:
-            r = (a[0, 1] + a[1, 1] * r) / (a[0, 0] + a[1, 0] * r)
+            r = (a01 + a11 * r) / (a00 + a10 * r)
         r = np.clip(r * e[at], tiny, huge)
         fwd[at] = r
     q = np.empty(len(starts))
-    for t in range(len(alive) - 1, -1, -1):
+    for j, (head, end) in enumerate(zip((starts[:left] + lead).tolist(), ends.tolist())):
+        own, x, out = e[head:end].tolist(), float(r[j]), []
+        for t, y in enumerate(own, lead):
+            if t:
+                x = (a01 + a11 * x) / (a00 + a10 * x)
+            x = min(max(x * y, tiny), huge)
+            out.append(x)
+        fwd[head:end] = out
+        x, out = 1.0, [1.0]
+        for y in reversed(own[1:]):
+            y = min(max(x * y, tiny), huge)
+            x = (a10 + a11 * y) / (a00 + a01 * y)
+            out.append(x)
+        bwd[head:end] = out[::-1]
+        q[j] = x
+    for t in range(lead - 1, -1, -1):
         k = alive[t]
         after = alive[t + 1] if t + 1 < len(alive) else 0
         if after:
             nxt = np.clip(q[:after] * e[starts[:after] + t + 1], tiny, huge)
-            q[:after] = (a[1, 0] + a[1, 1] * nxt) / (a[0, 0] + a[0, 1] * nxt)
+            q[:after] = (a10 + a11 * nxt) / (a00 + a01 * nxt)
         q[after:k] = 1.0
         bwd[starts[:k] + t] = q[:k]
     return np.log(fwd) + np.log(bwd), fwd, bwd
