@@ -1,4 +1,7 @@
-"""Near duplicates by exact shingle similarity: the fingerprint of a text is its set of n-word shingles, a bit each.
+"""Near duplicates by exact shingle similarity: SimHash fingerprints of shingle sets first, then the sets themselves.
+
+Sets whose 64-bit SimHash fingerprints are linked (by simhash.links) are compared whole, and those that are similar are linked
+before any other pair is made. What no such fingerprint can tell, as similar sets may be 14 bits apart, the sets tell.
 
 Sets with Jaccard similarity of percent / 100 or more are at most k bits apart, so of any k + 1 bits of one the other has
 one (pigeonhole). Over any one order of all shingles these are the first of each set: sets that meet on one are all
@@ -10,7 +13,7 @@ can be enough.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -32,6 +35,8 @@ PIVOTS = 6
 #: Cells of a row of the twice-seen filter, at most (a power of two): 32 MB are sent.
 MOST_CELLS = 27
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of each of the 256 byte values, most significant first.
+BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1).astype(np.int64)
 
 
 class Words(dict):
@@ -89,13 +94,20 @@ def histogram(c: np.ndarray) -> bytes:
     return np.minimum(np.bincount((c % BINS).astype(np.int64), minlength=BINS), FULL).astype(np.uint8).tobytes()
 
 
+def simprint(c: np.ndarray) -> int:
+    """The set's 64-bit SimHash fingerprint as a signed number: a bit is 1 if set in over half of the codes; 0 without codes."""
+    octets = (c.view(np.uint64) * ODD).astype("<u8").view(np.uint8).reshape(-1, 8)
+    ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ BYTE_BITS for k in range(8)])
+    return int.from_bytes(np.packbits(2 * ones > len(c)).tobytes(), "little", signed=True)
+
+
 def lists(parts: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64()))
 
 
 def coded(texts: DataFrame, n: int, seed: int, percent: int | None, late: list[int], before: int = 0, chosen=None) -> DataFrame:
-    """texts (id, text, run, spot) as id, run, fp (digest of all codes), n, hist, codes: all, or the first of them by percent,
+    """texts (id, text, run, spot) as id, run, fp (digest of all codes), print (SimHash; 0 with chosen), n, hist, codes: all, or the first of them by percent,
     and fresh: those that weren't among them when only the first `before` of `late` were at the end.
 
     chosen: a broadcast bit filter; only texts whose spot is in it are coded and given.
@@ -110,19 +122,20 @@ def coded(texts: DataFrame, n: int, seed: int, percent: int | None, late: list[i
                 spot = batch.column(3).to_numpy()
                 batch = batch.filter(pa.array((chosen.value[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)))
             for part in slices(batch, 1, 1 << 20):
-                prints, sizes, kept, fresh, hists = [], [], [], [], []
+                prints, sims, sizes, kept, fresh, hists = [], [], [], [], [], []
                 for t in part.column(1).cast(pa.binary()).to_pylist():
                     c = codes(t, n, words)
                     prints.append(xxhash.xxh3_128_hexdigest(c.tobytes()))
+                    sims.append(simprint(c) if chosen is None else 0)
                     k = len(c) if percent is None else prefix_length(len(c), percent)
                     sizes.append(len(c))
                     hists.append(histogram(c))
                     kept.append(reordered(c, *order)[:k])
                     fresh.append(np.setdiff1d(kept[-1], reordered(c, *earlier)[:k], assume_unique=True) if len(late) > before else c[:0])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(prints, pa.string()), pa.array(sizes, pa.int32()), pa.array(hists, pa.binary()), lists(kept), lists(fresh)], names=["id", "run", "fp", "n", "hist", "codes", "fresh"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(prints, pa.string()), pa.array(sims, pa.int64()), pa.array(sizes, pa.int32()), pa.array(hists, pa.binary()), lists(kept), lists(fresh)], names=["id", "run", "fp", "print", "n", "hist", "codes", "fresh"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("id", "text", "run", "spot").mapInArrow(trimmed(run), f"id {kind}, run int, fp string, n int, hist binary, codes array<bigint>, fresh array<bigint>")
+    return texts.select("id", "text", "run", "spot").mapInArrow(trimmed(run), f"id {kind}, run int, fp string, print long, n int, hist binary, codes array<bigint>, fresh array<bigint>")
 
 
 def posted(layers: list[DataFrame]) -> DataFrame:
@@ -159,11 +172,11 @@ def posted(layers: list[DataFrame]) -> DataFrame:
     return saved(out, "posts")
 
 
-def similar(texts: DataFrame, *, n: int, seed: int, percent: int, pair_bucket: int, most_reorders: int = 2, most_late: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similar(texts: DataFrame, *, n: int, seed: int, percent: int, pair_bucket: int, near: Callable[[DataFrame], DataFrame], most_reorders: int = 2, most_late: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """texts (id, text, run) as prints (id, run, fp), nodes (node, fp, least) and links (a, b) between similar nodes.
 
     Words as in simhash.fingerprints; a text of fewer words is one shingle. Links connect all that is similar, but not
-    every similar pair is given. most_reorders and most_late bound what goes to the end of the order: cost, not results.
+    every similar pair is given. near gives links (a, b) of distinct SimHash fingerprints (fp): which sets are compared first. most_reorders and most_late bound what goes to the end of the order: cost, not results.
     """
     if not 0 < percent <= 100:
         raise ValueError("percent is above 0 and at most 100")
@@ -172,10 +185,10 @@ def similar(texts: DataFrame, *, n: int, seed: int, percent: int, pair_bucket: i
     texts = texts.withColumn("spot", F.pmod(F.xxhash64("id"), F.lit(1 << bits)))
     prefixes = saved(coded(texts, n, seed, percent, []), "prefixes")
     prints = saved(prefixes.select("id", "run", "fp"), "prints")
-    sets = prefixes.groupBy("fp").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("codes").alias("codes"))
+    sets = prefixes.groupBy("fp").agg(F.min("id").alias("least"), F.first("print").alias("print"), F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("codes").alias("codes"))
     sets = saved(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     discard(prefixes)
-    named = saved(sets.select("node", "fp", "least", "n", "hist"), "nodes")
+    named = saved(sets.select("node", "fp", "print", "least", "n", "hist"), "nodes")
     nodes = named.select("node", "fp", "least")
 
     def whole(wanted: DataFrame, part: int | None, late: list[int], before: int = 0) -> DataFrame:
@@ -185,7 +198,9 @@ def similar(texts: DataFrame, *, n: int, seed: int, percent: int, pair_bucket: i
         got = coded(texts, n, seed, part, late, before, chosen).alias("g")
         # Of the rows of an id those with the set's own fingerprint count; null ids are equal here.
         met = got.join(wanted.alias("w"), (F.col("g.fp") == F.col("w.fp")) & F.col("g.id").eqNullSafe(F.col("w.least")))
-        return saved(met.select("w.node", "g.n", "g.codes", "g.fresh").dropDuplicates(["node"]), "whole")
+        out = saved(met.select("w.node", "g.n", "g.codes", "g.fresh").dropDuplicates(["node"]), "whole")
+        discard(wanted)
+        return out
 
     late: list[int] = []
 
@@ -243,11 +258,18 @@ def similar(texts: DataFrame, *, n: int, seed: int, percent: int, pair_bucket: i
         discard(full, pairs)
         return out
 
+    # Sets of linked fingerprints: one of each fingerprint meets those of others, and all of its own.
+    ones = saved(named.groupBy("print").agg(F.min("node").alias("one")), "fingerprints")
+    one = lambda c: ones.select(F.col("print").alias(f"print_{c}"), F.col("one").alias(c))
+    across = near(ones.select(F.col("print").alias("fp"))).select(F.col("a").alias("print_a"), F.col("b").alias("print_b")).join(one("a"), "print_a").join(one("b"), "print_b").select("a", "b")
+    within = named.select("node", "print").join(ones, "print").filter("node <> one").select(F.col("one").alias("a"), F.col("node").alias("b"))
+    told = across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
     # Full buckets: each member meets PIVOTS of its length band; each bucket has its own, so that a crowd has many.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))) if percent < 100 else F.col("n")
     full = shared.filter(F.col("size") > pair_bucket).withColumn("band", band)
-    ones = F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("code", "node", F.lit(k))) for k in range(PIVOTS))))
-    first = full.groupBy("code", "band").agg(ones.alias("ones"))
+    pivots = F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("code", "node", F.lit(k))) for k in range(PIVOTS))))
+    first = full.groupBy("code", "band").agg(pivots.alias("ones"))
     star = full.join(first, ["code", "band"]).select("node", F.explode("ones").alias("one")).filter("one <> node")
     star = star.select(F.least("one", "node").alias("a"), F.greatest("one", "node").alias("b")).distinct()
     # Of their first shingles those that other sets have, too: no others are common.
@@ -256,9 +278,11 @@ def similar(texts: DataFrame, *, n: int, seed: int, percent: int, pair_bucket: i
     mu = F.least(F.element_at("codes_a", -1), F.element_at("codes_b", -1))
     star = star.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", F.filter("codes_a", lambda x: x <= mu).alias("x"), F.filter("codes_b", lambda x: x <= mu).alias("y"))
     most = F.size(F.array_intersect("x", "y")) + F.least(F.col("n_a") - F.size("x"), F.col("n_b") - F.size("y"))
-    linked = verified(star.filter(alike(most, F.col("n_a"), F.col("n_b"))).select("a", "b"))
-    roots = components(linked).select("node", "root")
-    members = saved(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
+    linked = verified(star.filter(alike(most, F.col("n_a"), F.col("n_b"))).select("a", "b").union(told).distinct())
+    # A row a node, not a row a shingle, meets the roots.
+    roots = nodes.select("node").join(components(linked).select("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    members = saved(shared.join(roots, "node"), "members")
+    discard(posts, sizes, shared, ones)
 
     # All other pairs. From its first shared shingle on, a set that is similar to another has enough left for both: so each
     # bounds the other's size there, by `most`. The smaller of two sets has most >= n, and those without, which are the
@@ -277,4 +301,6 @@ def similar(texts: DataFrame, *, n: int, seed: int, percent: int, pair_bucket: i
     far = couples.join(lesser.drop("size"), ["code", "root_a"]).join(other, ["code", "root_b"]).filter(fits)
     counted = met.union(far.select(columns)).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"), F.max("pos_a").alias("i"), F.max("pos_b").alias("j"))
     most = F.col("c") + F.least(F.col("n_a") - F.col("i") - 1, F.col("n_b") - F.col("j") - 1)
-    return prints.select("id", "run", "fp"), nodes, linked.union(verified(counted.filter(alike(most, F.col("n_a"), F.col("n_b"))).select("a", "b")))
+    rest = verified(counted.filter(alike(most, F.col("n_a"), F.col("n_b"))).select("a", "b"))
+    discard(members)
+    return prints.select("id", "run", "fp"), nodes, linked.union(rest)

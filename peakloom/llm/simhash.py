@@ -5,7 +5,8 @@ others: they are joined on those, then the Hamming distance is verified. Buckets
 exact way: each member names the fingerprints one bit away, and members that name the same one are two bits apart at most.
 
 No 64-bit fingerprint can tell a Jaccard similarity of 0.8: texts as alike are up to 14 bits apart. Where `percent` asks
-for a similarity, the fingerprint is the shingle set itself, one bit a shingle (see shingle_sets).
+for a similarity, linked fingerprints say which shingle sets are compared first; the exact check and the pairs that no
+fingerprint tells are the sets' own (see shingle_sets).
 """
 
 from __future__ import annotations
@@ -20,9 +21,7 @@ from pyspark.sql import functions as F
 from peakloom.llm import shingle_sets
 from peakloom.llm.components import SALTS, components, named_components
 from peakloom.llm.shared import annotate, meet, saved
-
-#: Bits of each of the 256 byte values, most significant first.
-BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1).astype(np.int64)
+from peakloom.llm.shingle_sets import BYTE_BITS
 
 
 def fingerprint(text: bytes | None, n: int, seed: int, xxh64) -> int:
@@ -108,14 +107,15 @@ def near_duplicates(
     """One row for each row of docs: id_col, fp, component_id (the smallest id that links reach, its own included).
 
     Fingerprints (long) link at two or fewer differing bits. With percent, texts link instead if their sets of n-word
-    shingles have a Jaccard similarity of percent / 100 or more, and fp is the set's digest (string).
+    shingles have a Jaccard similarity of percent / 100 or more, and fp is the set's digest (string): linked SimHash
+    fingerprints of the sets come first, each checked, then all that they leave open.
 
     Texts without words have the same fingerprint and are linked like any other. Repeated rows and equal fingerprints
     are one node; null ids count as larger than all others. Other columns of docs are ignored; empty input, empty result.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("run"))
     if percent is not None:
-        prints, nodes, edges = shingle_sets.similar(texts, n=n, seed=seed, percent=percent, pair_bucket=pair_bucket)
+        prints, nodes, edges = shingle_sets.similar(texts, n=n, seed=seed, percent=percent, pair_bucket=pair_bucket, near=lambda x: links(x, distance, blocks, pair_bucket))
         every = named_components(nodes, edges, "node").join(nodes.select("node", "fp"), "node").select("fp", "component_id")
     else:
         prints = saved(fingerprints(texts, text_col="text", n=n, seed=seed).select("id", "run", "fp"), "fingerprints")

@@ -534,3 +534,44 @@ def test_fingerprints_of_random_texts():
         assert simhash.fingerprint(t.encode(), 3, 42, xxhash.xxh64_intdigest) == brute_fingerprint(t)
 
     check()
+
+
+def test_similarity_is_told_by_simhash_links_first(spark, monkeypatch):
+    """Fingerprints of the shingle sets are linked; an exact check follows: links of unlike sets do no harm."""
+    words = [f"w{i}" for i in range(600)]
+    texts = [" ".join(words), " ".join(words[:599]), " ".join("other" if i in (100, 300, 500) else w for i, w in enumerate(words)), "words of quite another text that is not alike"]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    near, seen = simhash.links, []
+
+    def spied(prints, *rest):
+        seen.append(near(prints, *rest).count())
+        return prints.selectExpr("fp as a").crossJoin(prints.selectExpr("fp as b")).filter("a < b")
+
+    monkeypatch.setattr(simhash, "links", spied)
+    got = simhash.near_duplicates(df, n=5, percent=80).collect()
+    same([(r.doc_id, r.component_id) for r in got], [(0, 0), (1, 0), (2, 0), (3, 3)])
+    assert len(seen) == 1
+
+
+def test_simprint_is_a_majority_of_bits():
+    import numpy as np
+
+    from peakloom.llm import shingle_sets
+
+    c = shingle_sets.codes(b"a b c d e f g h i j k", 5, shingle_sets.Words(42))
+    mixed = [int(x) for x in c.view(np.uint64) * shingle_sets.ODD]
+    print_ = shingle_sets.simprint(c) & ((1 << 64) - 1)
+    assert print_.bit_count() == sum(2 * sum(x >> k & 1 for x in mixed) > len(mixed) for k in range(64))
+    assert shingle_sets.simprint(c[:0]) == 0
+
+
+def test_tails_of_long_texts_are_no_array_steps(monkeypatch):
+    """What few sequences are left for is walked a sequence at a time."""
+    import numpy as np
+
+    rng, calls, clip = np.random.default_rng(2), [], np.clip
+    lengths = np.array([5000, 40, 7] + [3] * 60)
+    classes = rng.integers(0, toxicity.CLASSES, lengths.sum())
+    monkeypatch.setattr(toxicity.np, "clip", lambda *x: calls.append(1) or clip(*x))
+    odds = toxicity.forward_backward(classes, lengths, rng.normal(size=toxicity.CLASSES), rng.normal(size=(2, 2)), 0.3)[0]
+    assert len(calls) < 50 and np.isfinite(odds).all()
