@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,13 +19,29 @@ MOST_BITS = 28
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later work starts there, also after lost executors."""
+    """Writes df to the shared folder and reads it back: later work starts there, also after lost executors.
+
+    What the write shuffled is deleted as soon as it has ended.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Writes that start meanwhile delete their shuffle files when they end, not when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    now = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if now is None else spark.conf.set(key, now)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of saved tables that nothing reads any more."""
     for t in tables:

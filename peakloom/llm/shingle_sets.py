@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,6 +139,31 @@ def coded(texts: DataFrame, n: int, seed: int, percent: int | None, late: list[i
     return texts.select("id", "text", "run", "spot").mapInArrow(trimmed(run), f"id {kind}, run int, fp string, print long, n int, hist binary, codes array<bigint>, fresh array<bigint>")
 
 
+def parts_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """A column of lists as their values and their lengths."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+
+
+def twice_filter(codes: DataFrame) -> tuple[Broadcast, int]:
+    """A broadcast twice-seen filter of two rows over lists of codes (the only column), and its bits."""
+    total = codes.agg(F.sum(F.size(codes.columns[0]))).first()[0] or 0
+    bits = sketch.bits_for(total, 4, MOST_CELLS)
+    hashes_of = lambda: lambda batch: parts_of(batch.column(0))[0].view(np.uint64)
+    return codes.sparkSession.sparkContext.broadcast(sketch.twice_seen(codes, hashes_of, 2, bits)), bits
+
+
+def repeated(codes: DataFrame) -> DataFrame:
+    """(code), a row for each time that a list has it: the codes that a twice-seen filter suspects of more than one list."""
+    seen, bits = twice_filter(codes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, _ = parts_of(b.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[sketch.suspected(seen.value, flat.view(np.uint64), 2, bits)], pa.int64())], names=["code"])
+
+    return codes.mapInArrow(trimmed(run), "code long")
+
+
 def posted(layers: list[DataFrame]) -> DataFrame:
     """(node, n, pos, code): the codes of sets (node, n, codes) that a twice-seen filter suspects of more than one set.
 
@@ -145,14 +171,10 @@ def posted(layers: list[DataFrame]) -> DataFrame:
     others. Most shingles are in one set only, and such a code meets nothing. Beyond its largest size the filter
     suspects more, and in the end all.
     """
-    spark, codes = layers[0].sparkSession, layers[0].select("codes")
+    codes = layers[0].select("codes")
     for x in layers[1:]:
         codes = codes.union(x.select("fresh"))
-    total = codes.agg(F.sum(F.size("codes"))).first()[0] or 0
-    bits = sketch.bits_for(total, 4, MOST_CELLS)
-    parts_of = lambda column: (column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()))
-    hashes_of = lambda: lambda batch: parts_of(batch.column(0))[0].view(np.uint64)
-    seen = spark.sparkContext.broadcast(sketch.twice_seen(codes, hashes_of, 2, bits))
+    seen, bits = twice_filter(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -208,13 +230,24 @@ def similar(texts: DataFrame, *, n: int, seed: int, percent: int, pair_bucket: i
         """Shingles that more than pair_bucket of the given nodes have anywhere, the most frequent first; none of `late`.
 
         All of them, not those alone that came up first: else what is moved makes room for the next of the same passage.
+        Rows are picked by two filters, of ids and of ids with digests: a few rows more may count, which changes cost only.
         """
-        full = whole(crowd, None, [])
-        posts = posted([full])
-        counts = posts.groupBy("code").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > pair_bucket)
+        wanted = saved(nodes.join(crowd, "node").select("least", "fp"), "wanted")
+        spots = [F.pmod(F.xxhash64(*c), F.lit(1 << bits)).alias("spot") for c in (["least"], ["least", "fp"])]
+        chosen, own = (spark.sparkContext.broadcast(bit_filter(wanted.select(x), bits)) for x in spots)
+
+        def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                spot = b.column(0).to_numpy()
+                yield b.filter(pa.array((own.value[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool))).select(["codes"])
+
+        # Codes stay in the task that makes them: they are the bulk of the data, and here it doesn't matter whose they are.
+        rows = coded(texts, n, seed, None, [], 0, chosen).select(F.pmod(F.xxhash64("id", "fp"), F.lit(1 << bits)).alias("spot"), "codes")
+        full = saved(rows.mapInArrow(trimmed(picked), "codes array<bigint>"), "crowd")
+        counts = saved(repeated(full).groupBy("code").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > pair_bucket), "counts")
         known = spark.createDataFrame([(c,) for c in late], "code long")
         got = counts.join(F.broadcast(known), "code", "left_anti").orderBy(F.desc("size"), "code").limit(most_late).collect()
-        discard(full, posts)
+        discard(wanted, full, counts)
         return [r.code for r in got]
 
     layers = [sets.select("node", "n", "codes")]

@@ -204,3 +204,23 @@ def test_operators_and_stages_with_clashing_columns(spark, data, odd_docs):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert got.columns == wide.columns, name
         same([str((r.doc_id, r.text if "text" in got.columns else r.ids_sha256)) for r in got.collect()], [str((r.doc_id, r.text if "text" in narrow.columns else r.ids_sha256)) for r in narrow.collect()])
+
+
+def test_saved_tables_leave_no_shuffle_files(spark):
+    """A stage's shuffles would else add up until the driver collects garbage."""
+    import time
+    from pathlib import Path
+
+    from peakloom.llm.shared import saved
+
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in dirs for f in Path(d).rglob("shuffle_*")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = files(), spark.conf.get(key)
+    got = saved(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "seven")
+    assert sorted(r["count"] for r in got.collect()) == [142, 143, 143, 143, 143, 143, 143]
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(key) == setting
