@@ -72,7 +72,10 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], loaded: str) -> DataF
 
 def known_rows(rows: DataFrame, known: DataFrame, cheap: list[str], fingerprint: Column, row_id: str) -> DataFrame:
     """Ids of rows that `known` holds as well: first those whose cheap key it has, then, of these alone, those whose
-    fingerprint agrees. The fingerprint is worked out for the few that are left of either side."""
+    fingerprint agrees. The fingerprint is worked out for the few that are left of either side.
+
+    Fingerprints that `known` repeats are joined as they are: a hash table of distinct ones would hold all of a task's.
+    """
     few = rows.join(known.select(*cheap).distinct(), cheap, "left_semi")
-    other = known.join(few.select(*cheap).distinct(), cheap, "left_semi").select(*cheap, fingerprint.alias("_f")).distinct()
+    other = known.join(rows.select(*cheap).distinct(), cheap, "left_semi").select(*cheap, fingerprint.alias("_f"))
     return few.withColumn("_f", fingerprint).join(other, [*cheap, "_f"], "left_semi").select(row_id)

@@ -138,7 +138,7 @@ def forced_split(spark, d):
 def known_lines(spark, d):
     """Lines of odd orders that an even order has, too: by part first, then by a fingerprint of quantity and price."""
     rows = table(spark, d, "lineitem").withColumn("key", F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"))
-    fingerprint = F.sha2(F.concat_ws("|", "l_quantity", "l_extendedprice"), 256)
+    fingerprint = F.unhex(F.sha2(F.concat_ws("|", "l_quantity", "l_extendedprice"), 256))
     ids = dedup.known_rows(rows.filter("l_orderkey % 2 = 1"), rows.filter("l_orderkey % 2 = 0"), ["l_partkey"], fingerprint, "key")
     return ids.distinct().agg(F.count(F.lit(1)).alias("n"), F.sum("key.l_orderkey").alias("keys"))
 

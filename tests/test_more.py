@@ -188,3 +188,20 @@ def test_labels_are_made_of_counted_words(spark, data, name):
     plan = QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     above, _, below = plan.partition("Aggregate [w#")
     assert "RLIKE" in above and below and "RLIKE" not in below
+
+
+def test_known_rows_build_no_table_of_fingerprints(spark):
+    """Repeated fingerprints, null keys and keys of one side only against brute force; the plan groups no fingerprints."""
+    from pyspark.sql import functions as F
+
+    from peakloom.operators.dedup import known_rows
+
+    rows = [(i, None if i % 11 == 0 else i % 5, i % 7) for i in range(60)]
+    known = [(i, None if i % 13 == 0 else 2 + i % 5, i % 6) for i in range(40)] * 2
+    schema = "id long, cheap long, x long"
+    got = known_rows(spark.createDataFrame(rows, schema), spark.createDataFrame(known, schema), ["cheap"], F.sha2(F.col("x").cast("string"), 256), "id")
+    held = {(c, x) for _, c, x in known if c is not None}
+    want = [i for i, c, x in rows if (c, x) in held]
+    assert sorted(r.id for r in got.collect()) == want and 0 < len(want) < 40
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("Aggregate" in line and "_f#" in line for line in plan)
