@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from peakloom.llm import bpe, decontaminate, line_dedup, simhash, toxicity
 from peakloom.llm.queries import toxicity_model
-from peakloom.llm.shared import free_name
+from peakloom.llm.shared import free_name, saved
 from peakloom.plans.scratch import new_folder
 from peakloom.session import table
 
@@ -72,7 +72,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     besides doc_id and text are left out.
     """
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(docs.select("doc_id", "text"), path=path, pattern=public_tokenizers.PATTERN).select("doc_id", "ids")
+    # Stored, so that a task has one Python worker, not one that encodes and one that decodes.
+    ids = saved(bpe.encode(docs.select("doc_id", "text"), path=path, pattern=public_tokenizers.PATTERN).select("doc_id", "ids"), "ids")
     return bpe.decode(ids, path=path).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), "ids"
     )

@@ -19,7 +19,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.llm import sketch
@@ -102,16 +102,37 @@ def simprint(c: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(c)).tobytes(), "little", signed=True)
 
 
+def mark(spot: int, fp: str) -> int:
+    """A number for a text's spot and digest; as in `marks`."""
+    return spot ^ int(fp[:8], 16)
+
+
+def marks(spot: Column, bits: int) -> Column:
+    """The place of `mark` in a filter of 2**bits bits."""
+    return F.pmod(spot.bitwiseXOR(F.conv(F.substring("fp", 1, 8), 16, 10).cast("long")), F.lit(1 << bits))
+
+
+def holds(filter: np.ndarray, place: int) -> bool:
+    place %= 8 * len(filter)
+    return bool(filter[place >> 3] >> (place & 7) & 1)
+
+
+def listed(spark: SparkSession, codes: list[int]) -> DataFrame:
+    """(code) as an Arrow table: rows of Python's would start workers of another kind on the executors, which stay there."""
+    return spark.createDataFrame(pa.table({"code": pa.array(codes, pa.int64())}), "code long")
+
+
 def lists(parts: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64()))
 
 
-def coded(texts: DataFrame, n: int, seed: int, percent: int | None, late: list[int], before: int = 0, chosen=None) -> DataFrame:
+def coded(texts: DataFrame, n: int, seed: int, percent: int | None, late: list[int], before: int = 0, chosen=None, own=None) -> DataFrame:
     """texts (id, text, run, spot) as id, run, fp (digest of all codes), print (SimHash; 0 with chosen), n, hist, codes: all, or the first of them by percent,
     and fresh: those that weren't among them when only the first `before` of `late` were at the end.
 
-    chosen: a broadcast bit filter; only texts whose spot is in it are coded and given.
+    chosen: a broadcast bit filter; only texts whose spot is in it are coded and given. own: another, of marks; only texts
+    whose mark is in it are given.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,15 +145,21 @@ def coded(texts: DataFrame, n: int, seed: int, percent: int | None, late: list[i
                 batch = batch.filter(pa.array((chosen.value[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)))
             for part in slices(batch, 1, 1 << 20):
                 prints, sims, sizes, kept, fresh, hists = [], [], [], [], [], []
-                for t in part.column(1).cast(pa.binary()).to_pylist():
+                held = []
+                for i, (t, spot) in enumerate(zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(3).to_pylist())):
                     c = codes(t, n, words)
-                    prints.append(xxhash.xxh3_128_hexdigest(c.tobytes()))
+                    fp = xxhash.xxh3_128_hexdigest(c.tobytes())
+                    if own is not None and not holds(own.value, mark(spot, fp)):
+                        continue
+                    held.append(i)
+                    prints.append(fp)
                     sims.append(simprint(c) if chosen is None else 0)
                     k = len(c) if percent is None else prefix_length(len(c), percent)
                     sizes.append(len(c))
                     hists.append(histogram(c))
                     kept.append(reordered(c, *order)[:k])
                     fresh.append(np.setdiff1d(kept[-1], reordered(c, *earlier)[:k], assume_unique=True) if len(late) > before else c[:0])
+                part = part.take(pa.array(held, pa.int64())) if len(held) < part.num_rows else part
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(prints, pa.string()), pa.array(sims, pa.int64()), pa.array(sizes, pa.int32()), pa.array(hists, pa.binary()), lists(kept), lists(fresh)], names=["id", "run", "fp", "print", "n", "hist", "codes", "fresh"])
 
     kind = texts.schema["id"].dataType.simpleString()
@@ -187,9 +214,11 @@ def posted(layers: list[DataFrame]) -> DataFrame:
 
     out = None
     for k, x in enumerate(layers):
-        own = x.select("node", "n", "codes").mapInArrow(trimmed(run), "node long, n int, pos int, code long")
+        own = x.select("node", "n", "codes")
+        # A row a set, not a row a code, meets the later layers.
         for later in layers[k + 1 :]:
             own = own.join(later.select("node"), "node", "left_anti")
+        own = own.mapInArrow(trimmed(run), "node long, n int, pos int, code long")
         out = own if out is None else out.union(own)
     return saved(out, "posts")
 
@@ -233,19 +262,13 @@ def similar(texts: DataFrame, *, n: int, seed: int, percent: int, pair_bucket: i
         Rows are picked by two filters, of ids and of ids with digests: a few rows more may count, which changes cost only.
         """
         wanted = saved(nodes.join(crowd, "node").select("least", "fp"), "wanted")
-        spots = [F.pmod(F.xxhash64(*c), F.lit(1 << bits)).alias("spot") for c in (["least"], ["least", "fp"])]
-        chosen, own = (spark.sparkContext.broadcast(bit_filter(wanted.select(x), bits)) for x in spots)
-
-        def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                spot = b.column(0).to_numpy()
-                yield b.filter(pa.array((own.value[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool))).select(["codes"])
-
+        spot = F.pmod(F.xxhash64("least"), F.lit(1 << bits))
+        chosen, own = (spark.sparkContext.broadcast(bit_filter(wanted.select(x.alias("spot")), bits)) for x in (spot, marks(spot, bits)))
         # Codes stay in the task that makes them: they are the bulk of the data, and here it doesn't matter whose they are.
-        rows = coded(texts, n, seed, None, [], 0, chosen).select(F.pmod(F.xxhash64("id", "fp"), F.lit(1 << bits)).alias("spot"), "codes")
-        full = saved(rows.mapInArrow(trimmed(picked), "codes array<bigint>"), "crowd")
+        # One Python function picks and codes: each one more in a task is one more worker, and an executor keeps them all.
+        full = saved(coded(texts, n, seed, None, [], 0, chosen, own).select("codes"), "crowd")
         counts = saved(repeated(full).groupBy("code").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > pair_bucket), "counts")
-        known = spark.createDataFrame([(c,) for c in late], "code long")
+        known = listed(spark, late)
         got = counts.join(F.broadcast(known), "code", "left_anti").orderBy(F.desc("size"), "code").limit(most_late).collect()
         discard(wanted, full, counts)
         return [r.code for r in got]
@@ -259,7 +282,7 @@ def similar(texts: DataFrame, *, n: int, seed: int, percent: int, pair_bucket: i
         if not more or len(late) + len(more) > most_late:
             break
         late += more
-        moved = F.broadcast(spark.createDataFrame([(c,) for c in more], "code long"))
+        moved = F.broadcast(listed(spark, more))
         changed = [x.select("node", F.explode("codes").alias("code")).join(moved, "code", "left_semi").select("node") for x in layers]
         changed = reduce(DataFrame.union, changed).distinct()
         layers.append(whole(changed, percent, late, len(late) - len(more)))

@@ -224,3 +224,54 @@ def test_saved_tables_leave_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert files() <= before and spark.conf.get(key) == setting
+
+
+def test_near_dedup_joins_sets_and_not_their_codes(spark, monkeypatch):
+    """The posts of a set that a later layer has are not made first and thrown away in a join of a row a code."""
+    from peakloom.llm import shingle_sets
+
+    kind = "node long, n int, codes array<bigint>, fresh array<bigint>"
+    first = spark.createDataFrame([(1, 2, [10, 11], []), (2, 2, [10, 12], []), (3, 2, [11, 12], [])], kind)
+    later = spark.createDataFrame([(2, 2, [11, 12], [11])], kind)
+    last = spark.createDataFrame([(3, 2, [10, 12], [10])], kind)
+    made, plain_saved = [], shingle_sets.saved
+    monkeypatch.setattr(shingle_sets, "saved", lambda df, name: made.append(df) or plain_saved(df, name))
+    got = shingle_sets.posted([first, later, last])
+    assert sorted((r.node, r.pos, r.code) for r in got.collect()) == [(1, 0, 10), (1, 1, 11), (2, 0, 11), (2, 1, 12), (3, 0, 10), (3, 1, 12)]
+    plan = made[0]._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for k, line in enumerate(plan):
+        if "LeftAnti" in line:
+            below = [x for x in plan[k + 1 : next((j for j in range(k + 1, len(plan)) if depth(plan[j]) <= depth(line)), len(plan))] if "MapInArrow" in x]
+            assert not below, below
+    assert sum("LeftAnti" in x for x in plan) == 3
+
+
+def test_a_task_of_the_pipeline_has_one_python_worker(spark, data, monkeypatch):
+    """Executors keep all workers that their tasks had at once, and workers of each kind."""
+    from peakloom.llm import shingle_sets
+
+    plans, plain_saved = {}, shingle_sets.saved
+    monkeypatch.setattr(shingle_sets, "saved", lambda df, name: plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString()) or plain_saved(df, name))
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(i, f"{passage} " + " ".join(f"w{i}x{k}" for k in range(i % 30))) for i in range(40)] + [(None, passage), (None, passage), (7, passage)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, n=3, percent=80, pair_bucket=8).collect() if r.doc_id is not None and r.doc_id != 7}
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)} for i, t in rows if i is not None and i != 7}
+    pairs = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) * 180 >= (len(sets[i]) + len(sets[j])) * 80]
+    assert all(got[i] == got[j] for i, j in pairs)
+    assert plans["crowd"] and all(p.count("MapInArrow") == 1 for p in plans["crowd"])
+    assert "PythonRDD" not in shingle_sets.listed(spark, [1, 2])._jdf.queryExecution().toRdd().toDebugString()
+    assert sorted(r.code for r in shingle_sets.listed(spark, [5, 1 << 61]).collect()) == [5, 1 << 61] and shingle_sets.listed(spark, []).count() == 0
+    ids = corpus_pipeline.encode(spark, docs, data)
+    assert ids._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1 and ids.count() == len(rows)
+
+
+def test_marks_are_the_same_in_spark_and_python(spark):
+    from peakloom.llm import shingle_sets
+    from peakloom.llm.shared import bit_filter
+
+    rows = [(k * 7919 % 65536, f"{(k * 0x9E3779B1) % 2**32:08x}" + "0" * 24) for k in range(500)]
+    own = bit_filter(spark.createDataFrame(rows, "spot long, fp string").select(shingle_sets.marks(F.col("spot"), 16).alias("spot")), 16)
+    assert all(shingle_sets.holds(own, shingle_sets.mark(*r)) for r in rows)
+    assert sum(map(lambda k: shingle_sets.holds(own, k), range(65536))) == len({shingle_sets.mark(*r) % 65536 for r in rows})
