@@ -191,6 +191,21 @@ def repeated(codes: DataFrame) -> DataFrame:
     return codes.mapInArrow(trimmed(run), "code long")
 
 
+def holding(sets: DataFrame, some: list[int]) -> DataFrame:
+    """(node): the sets (node, codes) that hold one of some codes; no row a code is made."""
+    sent = sets.sparkSession.sparkContext.broadcast(np.sort(np.array(some, np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for b in batches:
+            flat, sizes = parts_of(b.column(1))
+            met = known[np.minimum(np.searchsorted(known, flat), len(known) - 1)] == flat
+            at = np.unique(np.repeat(np.arange(len(sizes)), sizes)[met])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at))], names=["node"])
+
+    return sets.select("node", "codes").mapInArrow(trimmed(run), "node long")
+
+
 def posted(layers: list[DataFrame]) -> DataFrame:
     """(node, n, pos, code): the codes of sets (node, n, codes) that a twice-seen filter suspects of more than one set.
 
@@ -282,9 +297,7 @@ def similar(texts: DataFrame, *, n: int, seed: int, percent: int, pair_bucket: i
         if not more or len(late) + len(more) > most_late:
             break
         late += more
-        moved = F.broadcast(listed(spark, more))
-        changed = [x.select("node", F.explode("codes").alias("code")).join(moved, "code", "left_semi").select("node") for x in layers]
-        changed = reduce(DataFrame.union, changed).distinct()
+        changed = reduce(DataFrame.union, [holding(x, more) for x in layers]).distinct()
         layers.append(whole(changed, percent, late, len(late) - len(more)))
         discard(posts, sizes)
     discard(sets, *layers[1:])

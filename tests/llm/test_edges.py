@@ -275,3 +275,13 @@ def test_marks_are_the_same_in_spark_and_python(spark):
     own = bit_filter(spark.createDataFrame(rows, "spot long, fp string").select(shingle_sets.marks(F.col("spot"), 16).alias("spot")), 16)
     assert all(shingle_sets.holds(own, shingle_sets.mark(*r)) for r in rows)
     assert sum(map(lambda k: shingle_sets.holds(own, k), range(65536))) == len({shingle_sets.mark(*r) % 65536 for r in rows})
+
+
+def test_sets_that_hold_a_code_without_a_row_a_code(spark):
+    from peakloom.llm import shingle_sets
+
+    sets = spark.createDataFrame([(1, [10, 11]), (2, []), (3, [5]), (4, [11, 99]), (5, [98, 100]), (6, [99, 11])], "node long, codes array<bigint>")
+    found = shingle_sets.holding(sets, [99, 10])
+    assert sorted(r.node for r in found.collect()) == [1, 4, 6]
+    assert shingle_sets.holding(sets.limit(0), [99]).count() == 0
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
