@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from peakloom.functions.vectors import hash_rank
 from peakloom.operators.sampling import hash_numbers
+from peakloom.plans.scratch import stored
 
 #: Rows of a circle that one window holds.
 CUT = 4096
@@ -18,7 +19,7 @@ def circle(rows: DataFrame, group: list[str], row_id: str, label: str, seed: str
     circle, whose label differs from the row's (null if there is none). Labels aren't null.
 
     A circle is cut into runs of CUT rows, each a window of its own. What a cut's last rows look for lies in the next cut
-    or beyond: that is told from one row a cut.
+    or beyond: that is told from one row a cut. The cut rows are stored in the shared folder, so that they are ranked once.
     """
     at = hash_numbers(rows.select(*group, F.col(row_id).alias("id"), F.col(label).alias("label")), group, hash_rank(seed, F.col("id")), "id", total="n")
     at = at.withColumn("pos", F.col("_no") - 1).drop("_no").withColumn("_c", F.floor(F.col("pos") / CUT))
@@ -27,7 +28,7 @@ def circle(rows: DataFrame, group: list[str], row_id: str, label: str, seed: str
     at = at.withColumn("_new", F.coalesce(new, F.lit(False)))
     # From the cut's end backwards, so that a frame grows by a row at a time.
     after = own.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    at = at.withColumn("_next", F.last(F.when(F.col("_new"), F.col("id")), ignorenulls=True).over(after))
+    at = stored(at.withColumn("_next", F.last(F.when(F.col("_new"), F.col("id")), ignorenulls=True).over(after)), "circle")
 
     head = at.groupBy(*group, "_c").agg(F.min(F.struct("pos", "label", "id")).alias("h"), F.min(F.when(F.col("_new"), F.struct("pos", "id"))).alias("s"), F.first("n").alias("n"))
     m = F.ceil(F.col("n") / CUT)
@@ -52,7 +53,7 @@ def negatives(rows: DataFrame, group: list[str], row_id: str, label: str, seed:
     only its rows (group, row_id, label) look."""
     around = circle(rows, group, row_id, label, f"{seed} circle")
     start = F.conv(F.substring(hash_rank(f"{seed} start", F.col(row_id)), 1, 8), 16, 10).cast("long")
-    sizes = around.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     looks = among if among is not None else rows
     own = looks.select(*group, F.col(row_id).alias("_row"), F.col(label).alias("_own"), start.alias("_start"))
     own = (own.join(sizes, group) if group else own.crossJoin(F.broadcast(sizes))).withColumn("pos", F.pmod("_start", "_n"))  # sizes: one row a group

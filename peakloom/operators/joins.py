@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from peakloom.functions.vectors import hash_fraction, hash_rank
 from peakloom.operators.sampling import hash_numbers
@@ -30,35 +35,99 @@ def ppm_join(left: DataFrame, right: DataFrame, left_mz: Column, right_mz: Colum
     return a.join(b, near, how).drop("_bucket", "_near") if how == "inner" else a.join(b, near, how).drop("_bucket")
 
 
-#: Rows of a bucket that one list holds.
-LISTED = 1024
+#: Rows of a cell that one block holds, and how many tolerances a cell spans.
+LISTED, SPAN = 4096, 16
+#: Pairs that a task compares at once.
+AT_ONCE = 1 << 18
 
 
 def ppm_first(rows: DataFrame, *, row_id: str, mz: str, label: str, on: list[str], ppm: float, seed: str, among: DataFrame | None = None) -> DataFrame:
     """(on, row_id, partner_id): for each row the one of another label within ppm (of its own value) and equal in `on` that
-    has the smallest hash of both ids; ties go to the smaller id. With `among` only its rows (on, row_id, mz, label) look.
-
-    Every candidate is hashed, but no pair is a row: a row meets lists of a bucket's values, and of each list only the
-    first goes on. So what is sorted and shuffled are rows by lists, three or four for each row, not pairs. Buckets of
-    over LISTED rows are several lists, each a key of its own.
+    has the smallest hash of both ids, `hash_rank(seed, "pair", row, partner)`; ids are distinct. With `among` only its rows
+    (on, row_id, mz, label) look. Values are positive and finite; rows without one, a label or what `on` names take no part.
+
+    Every candidate is hashed once, as the rule asks, but no pair is a row: cells of SPAN tolerances' width are gathered with
+    what lies a tolerance beyond their edges, and a task finds each row's candidates in the cell by halving. So what is
+    shuffled are little more than the rows. Cells of over LISTED rows are dealt as blocks, each pair of blocks a key of its
+    own; which cells those are is broadcast, a row for LISTED rows at most. Hashes are made by Python, in a third of the
+    time that an expression takes for each element of a list.
     """
-    width = math.log1p(ppm / 1e6) * 1.01
-    bucket = lambda x: F.floor(F.log(F.when(x > 0, x)) / width)
+    if not 0 <= ppm < 1e6:
+        raise ValueError("a tolerance is at least 0 and less than 1e6 ppm")
+    reach = max(-math.log1p(-ppm / 1e6) * 1.01, 1e-9)  # of a candidate's logarithm, rounding included
+    cell = lambda shift: F.floor((F.log("_mz") + shift) / (reach * SPAN))
     key = [f"_on{k}" for k in range(len(on))]
-    fields = [*(F.col(c).alias(k) for c, k in zip(on, key)), F.col(row_id).alias("_id"), F.col(mz).cast("double").alias("_mz"), F.col(label).alias("_y")]
-    there = rows.select(*fields).withColumn("_bucket", bucket(F.col("_mz"))).filter("_bucket is not null and _y is not null")
-    full = there.groupBy(*key, "_bucket").agg(F.ceil(F.count(F.lit(1)) / LISTED).alias("_lists")).filter("_lists > 1")
-    dealt = lambda x: x.join(full, [*key, "_bucket"], "left").withColumn("_lists", F.coalesce("_lists", F.lit(1).cast("long")))
-    lists = dealt(there).groupBy(*key, "_bucket", F.pmod(F.xxhash64("_id"), F.col("_lists")).alias("_list")).agg(F.collect_list(F.struct("_mz", "_y", "_id")).alias("_near"))
-    look = (rows if among is None else among).select(*fields)
-    look = dealt(look.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_mz")) - 1, bucket(F.col("_mz")) + 1))))
-    look = look.withColumn("_list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lists") - 1)))
-    m, y, own = F.col("_mz"), F.col("_y"), F.col("_id")
-    fits = F.filter("_near", lambda x: (F.abs(x["_mz"] - m) <= m * ppm / 1e6) & (x["_y"] != y))
-    first = F.array_min(F.transform(fits, lambda x: F.struct(hash_rank(seed, "pair", own, x["_id"]).alias("h"), x["_id"].alias("id"))))
-    met = look.join(lists, [*key, "_bucket", "_list"]).select(*key, "_id", first.alias("x")).filter("x is not null")
-    best = met.groupBy(*key, "_id").agg(F.min("x").alias("x"))
-    return best.select(*(F.col(k).alias(c) for c, k in zip(on, key)), F.col("_id").alias(row_id), F.col("x.id").alias("partner_id"))
+    text = F.coalesce(F.concat(F.lit("\x1f"), F.col(row_id).cast("string")), F.lit("")).alias("_text")
+    fields = [*(F.col(c).alias(k) for c, k in zip(on, key)), F.col(row_id).alias("_id"), F.col(mz).cast("double").alias("_mz"), F.col(label).alias("_y"), text]
+    able = lambda x: x.select(*fields).filter((F.col("_mz") > 0) & (F.col("_mz") < float("inf"))).dropna(subset=[*key, "_y"])
+    there = able(rows).withColumn("_cell", F.explode(F.sequence(cell(-reach), cell(reach)))).withColumn("_near", F.lit(True))
+    there = there.withColumn("_looks", F.lit(among is None) & (F.col("_cell") == cell(0)))
+    if among is not None:
+        there = there.unionByName(able(among).withColumn("_cell", cell(0)).withColumn("_near", F.lit(False)).withColumn("_looks", F.lit(True)))
+    cells = [*key, "_cell"]
+    full = there.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / LISTED).alias("_n")).filter("_n > 1")
+    there = there.join(F.broadcast(full), cells, "left").withColumn("_n", F.coalesce("_n", F.lit(1).cast("long"))).withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_n")))
+    # A pair of blocks: candidates of one, rows that look of the other.
+    pair = lambda a, b, near, looks: F.struct(a.alias("_a"), b.alias("_b"), near.alias("_near"), looks.alias("_looks"))
+    own, near, looks = F.col("_own"), F.col("_near"), F.col("_looks")
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda k: F.array(pair(own, k, near, looks & (k == own)), pair(k, own, F.lit(False), looks & (k != own)))))
+    dealt = there.withColumn("_pair", F.explode(pairs)).select(*cells, "_id", "_mz", "_y", "_text", "_pair.*").filter("_near or _looks")
+    # Costs lie in the pairs, not in the bytes that partitions are made by: more tasks than cores, so that they end together.
+    spark, block = rows.sparkSession, [*cells, "_a", "_b"]
+    tasks = max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = dealt.repartition(tasks, *block).groupBy(*block).agg(F.collect_list(F.struct("_mz", "_y", "_id", "_text", "_near", "_looks")).alias("_rows"))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = hashlib.sha256("\x1f".join((seed, "pair")).encode())
+        for batch in batches:
+            lists, at = batch.column(len(key)), batch.column(len(key)).flatten()
+            m, looks, near = (at.field(c).to_numpy(zero_copy_only=False) for c in ("_mz", "_looks", "_near"))
+            y, texts = at.field("_y").dictionary_encode().indices.to_numpy(), at.field("_text").cast(pa.binary()).to_pylist()
+            group = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            asks, has = np.flatnonzero(looks), np.flatnonzero(near)
+            has = has[np.lexsort((m[has], group[has]))]
+
+            def places(rows: np.ndarray, value: np.ndarray) -> np.ndarray:
+                out = np.empty(len(rows), complex)  # complex numbers sort as (block, value)
+                out.real, out.imag = group[rows], value  # noqa: B023
+                return out
+
+            off = m[asks] * ppm / 1e6
+            wide = off * (1 + 1e-6) + m[asks] * 1e-15
+            ordered = places(has, m[has])
+            low, high = np.searchsorted(ordered, places(asks, m[asks] - wide), "left"), np.searchsorted(ordered, places(asks, m[asks] + wide), "right")
+            upto = np.cumsum(high - low)
+            # A row that looks has at most a block's candidates, so no part is much over AT_ONCE.
+            cuts = np.searchsorted(upto, np.arange(AT_ONCE, upto[-1], AT_ONCE)).tolist() if len(upto) else []
+            found, partner, ranks = [], [], []
+            for p, q in zip([0, *cuts], [*cuts, len(asks)]):
+                n = high[p:q] - low[p:q]
+                i = np.repeat(np.arange(p, q), n)
+                j = has[np.arange(len(i)) - np.repeat(np.cumsum(n) - n - low[p:q], n)]
+                fits = (np.abs(m[j] - m[asks[i]]) <= off[i]) & (y[j] != y[asks[i]])
+                i, j = asks[i[fits]], j[fits].tolist()
+                turns = np.flatnonzero(np.diff(i, prepend=-1))
+                for row, s, e in zip(i[turns].tolist(), turns.tolist(), [*turns[1:].tolist(), len(j)]):
+                    one = start.copy()
+                    one.update(texts[row])
+                    copy, got = one.copy, []
+                    for k in j[s:e]:
+                        h = copy()
+                        h.update(texts[k])
+                        got.append(h.digest())
+                    least = min(got)
+                    found.append(row)
+                    partner.append(j[s + got.index(least)])
+                    ranks.append(least)
+            found, ids = np.array(found, np.int64), at.field("_id")
+            chosen = lambda x, k: x.take(pa.array(k, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(chosen(batch.column(k), group[found]) for k in range(len(key))), chosen(ids, found), pa.array(ranks, pa.binary()), chosen(ids, partner)], names=[*key, "_id", "_rank", "_partner"])
+
+    kind = dealt.schema
+    schema = StructType([*(kind[k] for k in key), kind["_id"], StructField("_rank", BinaryType()), StructField("_partner", kind["_id"].dataType)])
+    met = blocks.filter("size(_rows) > 1").select(*key, "_rows").mapInArrow(first, schema)
+    best = met.groupBy(*key, "_id").agg(F.min(F.struct("_rank", "_partner")).alias("x"))
+    return best.select(*(F.col(k).alias(c) for c, k in zip(on, key)), F.col("_id").alias(row_id), F.col("x._partner").alias("partner_id"))
 
 
 #: Rows of a group in a block: a key of the join below gives at most this, squared, pairs.

@@ -1,8 +1,9 @@
-"""Composite operators: corpora, benchmarks and splits from candidate rows. Each is one lazy plan of the single operators."""
+"""Composite operators: corpora, benchmarks and splits from candidate rows. Each is a plan of the single operators, lazy unless it says that it stores a step."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from peakloom.functions.vectors import hash_rank
 from peakloom.operators import dedup, joins, metrics, sampling
 from peakloom.operators.checks import assert_empty
 from peakloom.operators.circle import negatives
-from peakloom.plans.scratch import new_folder
+from peakloom.plans.scratch import new_folder, stored
 
 
 @dataclass(frozen=True)
@@ -78,18 +79,17 @@ def pair_benchmark(rows: DataFrame, *, partition: str, row_id: str, label: str,
 
     Positive pairs share a label, at most per_label of each, drawn from all of its pairs; "random" negatives are any other row of the
     partition, "charge" ones have the same charge (both the first of another label along a circle in hash order), "hard"
-    ones also lie within ppm. A protocol has as many negatives as positives.
+    ones also lie within ppm. A protocol has as many negatives as positives. Positives and each protocol's negatives are
+    stored in the shared folder: balancing reads them more than once.
     """
-    positive = joins.pairs_in_groups(rows, [partition, label], row_id, seed, per_label).select(partition, "left_id", "right_id", F.lit(1).alias("label"))
-    best = joins.ppm_first(rows, row_id=row_id, mz=mz, label=label, on=[partition, charge], ppm=ppm, seed=seed)
-    hard = best.select(partition, F.lit("hard").alias("pair_set"), F.col(row_id).alias("left_id"), F.col("partner_id").alias("right_id"), F.lit(0).alias("label"))
-
-    def around(group: list[str], name: str) -> DataFrame:
-        found = negatives(rows, group, row_id, label, f"{seed} {name}")
-        return found.select(partition, F.lit(name).alias("pair_set"), F.col(row_id).alias("left_id"), F.col("negative_id").alias("right_id"), F.lit(0).alias("label"))
+    def negative(found: DataFrame, name: str, other: str) -> DataFrame:
+        return stored(found.select(partition, F.lit(name).alias("pair_set"), F.col(row_id).alias("left_id"), F.col(other).alias("right_id"), F.lit(0).alias("label")), f"pairs-{name}")
 
+    positive = stored(joins.pairs_in_groups(rows, [partition, label], row_id, seed, per_label).select(partition, "left_id", "right_id", F.lit(1).alias("label")), "pairs-positive")
+    hard = negative(joins.ppm_first(rows, row_id=row_id, mz=mz, label=label, on=[partition, charge], ppm=ppm, seed=seed), "hard", "partner_id")
+    around = [negative(negatives(rows, group, row_id, label, f"{seed} {name}"), name, "negative_id") for name, group in (("random", [partition]), ("charge", [partition, charge]))]
     sets = F.explode(F.array(*map(F.lit, ("random", "charge", "hard"))))
-    every = positive.select(partition, sets.alias("pair_set"), "left_id", "right_id", "label").union(around([partition], "random")).union(around([partition, charge], "charge")).union(hard)
+    every = reduce(DataFrame.union, around, positive.select(partition, sets.alias("pair_set"), "left_id", "right_id", "label")).union(hard)
     pairs = every.withColumn("pair_id", F.concat_ws("|", "pair_set", "left_id", "right_id"))
     chosen = sampling.balanced(pairs, [partition, "pair_set"], "label", "pair_id", seed)
     full = joins.endpoints(chosen, rows, row_id, [mz])
