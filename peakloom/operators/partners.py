@@ -38,12 +38,13 @@ def matched_partners(df: DataFrame, *, row_id: str, mz: str, charge: str, label:
 
 
 def diagnostics(pairs: DataFrame, rows: DataFrame, row_id: str, mz: str, charge: str, ppm: float) -> DataFrame:
-    """(tier, n, same_charge, within, median_ppm) of partners."""
+    """(tier, n, same_charge, within, median_ppm) of partners. What is told of each pair is stored in the shared folder: it is
+    read twice."""
     side = lambda s: rows.select(F.col(row_id).alias(f"{s}_id"), F.col(mz).alias(f"{s}_mz"), F.col(charge).alias(f"{s}_z"))
     p = pairs.select(F.col(row_id).alias("a_id"), F.col("partner_id").alias("b_id"), "tier").join(side("a"), "a_id").join(side("b"), "b_id")
     off = F.abs(F.col("b_mz") - F.col("a_mz")) / F.col("a_mz") * 1e6
-    same = F.col("a_z") == F.col("b_z")
-    p = p.withColumn("_off", off)
+    p = stored(p.select("tier", (F.col("a_z") == F.col("b_z")).alias("_same"), off.alias("_off")), "partners-off")
+    same = F.col("_same")
     means = p.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.avg(same.cast("double")).alias("same_charge"), F.avg((same & (F.col("_off") <= ppm)).cast("double")).alias("within"))
     return means.join(quantiles(p, ["tier"], "_off", {"median_ppm": 0.5}), "tier")
 

@@ -572,3 +572,8 @@ def test_pair_benchmark_finds_neighbours_once(spark, data):
     """Balancing reads its pairs more than once: what is found is read there, not found again."""
     plan = queries.pair_benchmark(spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "array_min" not in plan and "MapInArrow" not in plan and "row_number" in plan
+
+
+def test_partner_diagnostics_join_once(spark, data):
+    plan = queries.partner_diagnostics(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "partner_id" not in plan and "_off" in plan
