@@ -21,20 +21,27 @@ def matched_partners(df: DataFrame, *, row_id: str, mz: str, charge: str, label:
     Tiers in order: within each tolerance (ppm) at the same charge, then the same charge, then any. Within a tolerance
     the candidate of smallest hash is taken; only rows that a tolerance leaves over meet the next one's candidates, and
     what each gives is stored in the shared folder. Rows left over look along a circle in hash order, of their charge and then
-    of all rows: the first of another label is taken, so a row has a partner whenever another label exists.
+    of all rows: the first of another label is taken, so a row has a partner whenever another label exists. A tier that no
+    row is left for isn't worked out.
     """
     rows = df.select(row_id, charge, label)
     left, parts = df.select(row_id, mz, charge, label), []
     for no, ppm in enumerate(tolerances):
-        found = stored(ppm_first(df, row_id=row_id, mz=mz, label=label, on=[charge], ppm=ppm, seed=seed, among=left), f"partners-{no}")
+        # The first tolerance's rows look among themselves: one table.
+        among = {"among": left} if parts else {}
+        found = stored(ppm_first(df, row_id=row_id, mz=mz, label=label, on=[charge], ppm=ppm, seed=seed, **among), f"partners-{no}")
         parts.append(found.select(row_id, "partner_id", F.lit(no).alias("tier")))
-        left = left.join(found, row_id, "left_anti")
-    out, left = reduce(DataFrame.union, parts), left.select(row_id, charge, label)
+        left = stored(left.join(found, row_id, "left_anti"), "partners-left")
+        if left.isEmpty():
+            return reduce(DataFrame.union, parts)
+    left = left.select(row_id, charge, label)
     for no, group in enumerate(([charge], [])):
-        found = negatives(rows, group, row_id, label, f"{seed} {no}", left).select(row_id, F.col("negative_id").alias("partner_id"), F.lit(len(tolerances) + no).alias("tier"))
-        found = found if group == [] else stored(found, "partners-charge")
-        out, left = out.union(found), left.join(found, row_id, "left_anti")
-    return out
+        found = stored(negatives(rows, group, row_id, label, f"{seed} {no}", left).select(row_id, "negative_id"), "partners-circle")
+        parts.append(found.select(row_id, F.col("negative_id").alias("partner_id"), F.lit(len(tolerances) + no).alias("tier")))
+        left = left.join(found, row_id, "left_anti")
+        if group and left.isEmpty():
+            break
+    return reduce(DataFrame.union, parts)
 
 
 def diagnostics(pairs: DataFrame, rows: DataFrame, row_id: str, mz: str, charge: str, ppm: float) -> DataFrame:

@@ -574,6 +574,25 @@ def test_pair_benchmark_finds_neighbours_once(spark, data):
     assert "array_min" not in plan and "MapInArrow" not in plan and "row_number" in plan
 
 
+def test_partners_stop_when_all_have_one(spark, monkeypatch):
+    """No circle of all rows is made for nobody; a row that is left still finds its partner there."""
+    from peakloom.operators import partners
+
+    made = []
+    monkeypatch.setattr(partners, "negatives", lambda rows, group, *more: made.append(list(group)) or find(rows, group, *more))
+    from peakloom.operators.circle import negatives as find
+
+    data = [("A", 500.0, 2), ("B", 500.004, 2), ("C", 600.0, 3), ("D", 600.004, 3)]
+    pairs = lambda rows, tolerances=(10, 100): {r.y: (r.partner_id, r.tier) for r in partners.matched_partners(spark.createDataFrame(rows, "y string, mz double, z int").withColumn("label", F.col("y")), row_id="y", mz="mz", charge="z", label="label", tolerances=list(tolerances), seed="s").collect()}
+    whole = {"A": ("B", 0), "B": ("A", 0), "C": ("D", 0), "D": ("C", 0)}
+    assert pairs(data) == whole and made == []
+    got = pairs([*data, ("E", 700.0, 3)])
+    assert got.pop("E") in {("C", 2), ("D", 2)} and got == whole and made == [["z"]]
+    got = pairs([*data, ("F", 700.0, 4)])
+    assert got.pop("F")[1] == 3 and got == whole and made == [["z"], ["z"], []]
+    assert len(pairs(data, ())) == 4
+
+
 def test_partner_diagnostics_join_once(spark, data):
     plan = queries.partner_diagnostics(spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "partner_id" not in plan and "_off" in plan
